@@ -152,9 +152,9 @@ _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_hashes(texts: list[bytes], rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words `[^ \\t-\\r]+` of all texts, A-Z lower-cased, and where each text's words begin
-    (len(texts) + 1 positions)."""
+def word_hashes(texts: list[bytes], rolling: Rolling, most: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words `[^ \\t-\\r]+` of all texts (of their first `most` bytes), A-Z lower-cased, and
+    where each text's words begin (len(texts) + 1 positions)."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     blank = _BLANK[data]
     ends = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
@@ -162,6 +162,8 @@ def word_hashes(texts: list[bytes], rolling: Rolling) -> tuple[np.ndarray, np.nd
     if len(data) and not blank[0]:
         starts = np.concatenate([[0], starts])
     prefix = rolling.prefix(_LOWER[data])
+    if most:
+        ends = np.minimum(ends, starts + most)
     hashes = rolling.windows(prefix, starts, ends - starts) ^ mixed((ends - starts).astype(np.uint64))
     edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
     return hashes, np.searchsorted(starts, edges)
