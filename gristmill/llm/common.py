@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -80,7 +81,7 @@ def read_bytes(uri: str, start: int = 0, length: int | None = None) -> bytes:
 def pieces(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in record batches of about `most` bytes of `column` (binary or string) each."""
     for batch in batches:
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         at = 0
         while at < len(sizes):
             n = max(1, int(np.searchsorted(np.cumsum(sizes[at:]), most, side="right")))
@@ -92,7 +93,7 @@ def packed(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
     """Rows of successive record batches gathered into tables of about `most` bytes of `column`."""
     held, size = [], 0
     for batch in pieces(batches, column, most):
-        n = int(pa.compute.sum(pa.compute.binary_length(batch.column(column))).as_py() or 0)
+        n = int(pc.sum(pc.binary_length(batch.column(column))).as_py() or 0)
         if held and size + n > most:
             yield pa.Table.from_batches(held)
             held, size = [], 0

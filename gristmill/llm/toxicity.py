@@ -88,7 +88,7 @@ def train(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str
     chosen = spark.createDataFrame(sample, known.schema)  # at most `most` rows of two numbers
     rows = texts.join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.min("body").alias("body"))
 
-    def learn(key, table: pa.Table) -> pa.Table:
+    def learn(key, table):
         table = table.sort_by([("rank", "ascending"), ("id", "ascending")])
         kept, weights, bias = fit(list(zip(texts_of(table.column("body")), table.column("y").to_pylist())), **options)
         return pa.table({"features": [kept.astype("<i8").tobytes()], "weights": [weights.astype("<f8").tobytes()], "bias": [bias]}, pa.schema([("features", pa.binary()), ("weights", pa.binary()), ("bias", pa.float64())]))
