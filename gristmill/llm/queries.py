@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, secrets, tokens, topk, toxicity, warc
+from . import decontaminate, licenses, mixing, secrets, tokens, topk, toxicity, warc
 from .common import table
 
 
@@ -32,6 +32,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.report(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -46,8 +50,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_exact_topk": op4_exact_topk,
     "op5_warc": op5_warc,
+    "op6_license_scan": op6_license_scan,
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_topk": topk.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_exact_topk": topk.ORACLE_SQL, "op6_license_scan": licenses.oracle_sql()}
