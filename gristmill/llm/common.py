@@ -67,7 +67,7 @@ def write_bytes(uri: str, *parts: bytes) -> None:
     """Writes one file whole. Callers use names no other attempt uses and publish them through a table."""
     system, path = storage(uri)
     system.create_dir(path.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(path) as out:
+    with system.open_output_stream(path, compression=None) as out:
         for part in parts:
             out.write(part)
 

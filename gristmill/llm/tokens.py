@@ -226,7 +226,7 @@ def _write(folder: str, tokenizer: str, end: int):
             if out is None:
                 system, at = storage(path)
                 system.create_dir(at.rsplit("/", 1)[0], recursive=True)
-                out = system.open_output_stream(at + ".ids")
+                out = system.open_output_stream(at + ".ids", compression=None)
             out.write(b"".join(x + tail for x in ids))
             keys += part.column("key").to_pylist()
             counts += [len(x) // coder.width + 1 for x in ids]

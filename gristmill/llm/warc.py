@@ -67,7 +67,7 @@ def _write(folder: str):
             if out is None:
                 system, at = storage(path)
                 system.create_dir(at.rsplit("/", 1)[0], recursive=True)
-                out = system.open_output_stream(at)
+                out = system.open_output_stream(at, compression=None)
             data = b"".join(rows)
             out.write(data)
             size, n = size + len(data), n + len(rows)
