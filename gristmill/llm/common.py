@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,10 +42,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def removed(spark: SparkSession, path: str) -> None:
-    """Deletes a folder of shared storage once no plan reads it any more."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """(df with a unique number a row, the name of that column): stored, so that the numbers stay."""
+    name = f"row_{uuid.uuid4().hex}"
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import numbered, stored
 
 #: Fixed value: the fractional part of the golden ratio.
 PHI = 0.6180339887498949
@@ -123,3 +123,12 @@ def report(docs: DataFrame, **options) -> DataFrame:
     empty = sizes.where("size = 0").join(sources, sizes["source"].eqNullSafe(sources["source"])).select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     out = kept.select("id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")).unionByName(empty)
     return out.withColumnRenamed("id", options.get("doc_id", "doc_id"))
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of `docs` as often as a pass of the mix begins with their first word, 0 to `repeats` times, with the
+    columns of `docs`: the schedule rounded to whole documents. Rows without words are never drawn."""
+    rows, row = numbered(docs)
+    mix, _, _ = schedule(rows, **(options | {"doc_id": row}))
+    times = stored(mix.where("first = 0").groupBy(F.col("id").alias(row)).agg(F.count(F.lit(1)).cast("int").alias(f"n_{row}")), "mixing-times")
+    return rows.join(times, row).withColumn(f"n_{row}", F.explode(F.sequence(F.lit(1), F.col(f"n_{row}")))).select(*docs.columns)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, mixed, parallelism, read_bytes, shared_dir, stored, word_hashes
+from .common import Rolling, mixed, numbered, parallelism, read_bytes, shared_dir, stored, word_hashes
 from .components import components
 from .substrings import _masked, exchange, pack
 
@@ -408,6 +408,17 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words:
     return whole.unionByName(rows.where("class is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))).withColumnRenamed("doc_id", doc_id)
 
 
+def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of `docs` for each group of linked rows, with the columns of `docs`: that with the smallest id (null
+    last); of rows that repeat it, one. Rows without a set all stay."""
+    rows, row = numbered(docs)
+    found = join(rows, doc_id=row, text=text, **options).where("n_shingles > 0").join(rows.select(row, F.col(doc_id).alias("named")), row)
+    found = stored(found.select(row, "component_id", F.struct(F.col("named").isNull().alias("none"), F.col("named").alias("id"), F.col(row).alias("row")).alias("order")), "nearcopies-found")
+    best = found.groupBy("component_id").agg(F.min("order").alias("best"))
+    gone = stored(found.join(best, "component_id").where("order.row <> best.row").select(row), "nearcopies-gone")
+    return rows.join(gone, row, "left_anti").drop(row)
+
+
 def brute_force(docs: list[tuple], words: int = 5, percent: int = 80) -> list[tuple]:
     """What join() returns, by comparing all pairs of sets of word tuples; for tests."""
     import re
