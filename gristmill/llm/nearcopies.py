@@ -127,17 +127,35 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.packbits((np.bincount((mixed(tokens ^ _SKETCH) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
-def distances(a: np.ndarray, others: list[bytes]) -> np.ndarray:
-    """A lower bound of the difference between the set of sketch `a` and those of the others."""
-    out = np.zeros(len(others), np.int64)
-    for size in {len(o) for o in others}:
-        at = [i for i, o in enumerate(others) if len(o) == size]
-        rows = np.frombuffer(b"".join(others[i] for i in at), np.uint8).reshape(-1, size)
-        least = min(size, len(a))
-        mine = np.bitwise_xor.reduce(a.reshape(-1, least), axis=0)
-        theirs = np.bitwise_xor.reduce(rows.reshape(len(at), -1, least), axis=1)
-        out[at] = np.bitwise_count(mine ^ theirs).sum(axis=1)
-    return out
+class Sketches:
+    """Sketches of several sizes, and lower bounds of the differences between their sets."""
+
+    def __init__(self, sketches: list[bytes]):
+        self.sizes = np.array([len(x) for x in sketches], np.int64)
+        self.at = np.zeros(len(sketches), np.int64)
+        self.rows = {}
+        for size in np.unique(self.sizes).tolist():
+            which = np.flatnonzero(self.sizes == size)
+            self.at[which] = np.arange(len(which))
+            self.rows[size] = np.frombuffer(b"".join(sketches[i] for i in which), np.uint64).reshape(len(which), -1)
+
+    def folded(self, size: int, least: int) -> np.ndarray:
+        if (size, least) not in self.rows:
+            self.rows[size, least] = np.bitwise_xor.reduce(self.rows[size].reshape(len(self.rows[size]), -1, least // 8), axis=1)
+        return self.rows[size, least]
+
+    def distances(self, i: np.ndarray, other: Sketches, k: np.ndarray) -> np.ndarray:
+        """For the pairs (i of these, k of the other): never more than their true difference."""
+        out = np.zeros(len(i), np.int64)
+        sizes = np.stack([self.sizes[i], other.sizes[k]])
+        for one, two in np.unique(sizes, axis=1).T.tolist():
+            pairs = np.flatnonzero((sizes[0] == one) & (sizes[1] == two))
+            least = min(one, two)
+            mine, theirs = self.folded(one, least), other.folded(two, least)
+            for lo in range(0, len(pairs), 4096):
+                part = pairs[lo : lo + 4096]
+                out[part] = np.bitwise_count(mine[self.at[i[part]]] ^ theirs[other.at[k[part]]]).sum(axis=1)
+        return out
 
 
 def signatures(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,27 +225,26 @@ class Join:
         self.batches = pack(docs, shared_dir(self.spark, "nearcopies"), doc_id=doc_id, text=text).drop("digests")
         for seed in range(8):
             self.seed = seed
-            self.docs = stored(self.batches.mapInArrow(self._classes(), "doc_id long, n long, class long, digest binary, sketch binary, short boolean, path string, place int"), "nearcopies-docs")
+            self.docs = stored(self.batches.mapInArrow(self._classes(), "doc_id long, n long, class long, digest binary, sketch binary, path string, place int"), "nearcopies-docs")
             mixed_up = self.docs.where("n > 0").groupBy("class").agg((F.min("digest") != F.max("digest")).alias("clash")).where("clash")
             if mixed_up.isEmpty():
                 return
         raise ValueError("sets clash under every seed")
 
     def _classes(self):
-        words, percent, seed = self.words, self.percent, self.seed
+        words, seed = self.words, self.seed
 
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()), ("short", pa.bool_()), ("path", pa.string()), ("place", pa.int32())])
+            kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()), ("path", pa.string()), ("place", pa.int32())])
             for batch in rows:
                 for row in batch.to_pylist():
                     sets = _sets(row, words)
-                    short = signatures(sets, percent)[2]
                     known = [(*class_of(s, seed), sketch(s)) if len(s) else (None, None, None) for s in sets]
                     out, seen = [], set()
                     for key, p in zip(row["ids"], row["places"]):
                         own = known[p]
                         # One document of each text carries the sketch.
-                        out.append((key, len(sets[p]), own[0], own[1], None if p in seen else own[2], bool(short[p]), row["path"], p))
+                        out.append((key, len(sets[p]), own[0], own[1], None if p in seen else own[2], row["path"], p))
                         seen.add(p)
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), kind)], schema=kind)
 
@@ -237,28 +254,31 @@ class Join:
         """One row a class: class, n, sketch, path, place."""
         rows = self.docs.where("sketch is not null")
         one = rows.groupBy("class").agg(F.min(F.struct("path", "place")).alias("at")).select("class", "at.path", "at.place")
-        return stored(rows.join(one, ["class", "path", "place"]).select("class", "n", "sketch", "short", "path", "place"), "nearcopies-classes")
+        return stored(rows.join(one, ["class", "path", "place"]).select("class", "n", "sketch", "path", "place"), "nearcopies-classes")
 
     def tied_signatures(self) -> DataFrame:
-        """(sig, class): the signatures that several classes of the corpus may share."""
+        """(sig, class): the signatures that several classes of the corpus may share; a null sig marks a class whose
+        signatures fall short."""
         words, percent, seed = self.words, self.percent, self.seed
 
-        def keys(row: dict) -> np.ndarray:
-            owner, found, _ = signatures(sets := _sets(row, words), percent)
+        def keys(row: dict) -> tuple[np.ndarray, np.ndarray]:
+            owner, found, short = signatures(sets := _sets(row, words), percent)
             classes = np.array([class_of(s, seed)[0] if len(s) else 0 for s in sets], np.int64)
             # Equal sets of a batch count once.
             pairs = np.unique(np.stack([found, classes[owner].astype(np.uint64)]), axis=1) if len(set(classes.tolist())) < len(classes) else np.stack([found, classes[owner].astype(np.uint64)])
-            return pairs
+            return pairs, classes[short]
 
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in rows:
                 for row in batch.to_pylist():
-                    found, classes = keys(row)
+                    (found, classes), short = keys(row)
                     distinct, which = np.unique(found, return_inverse=True)
                     tied = _masked(row["tied"], len(distinct))[which]
                     yield pa.RecordBatch.from_arrays([pa.array(found[tied].view(np.int64)), pa.array(classes[tied].astype(np.int64))], ["sig", "class"])
+                    if len(short):
+                        yield pa.RecordBatch.from_arrays([pa.nulls(len(short), pa.int64()), pa.array(short)], ["sig", "class"])
 
-        masked = exchange(self.batches, lambda row: keys(row)[0], "tied", 2 * parallelism(self.spark), 8)
+        masked = exchange(self.batches, lambda row: keys(row)[0][0], "tied", 2 * parallelism(self.spark), 8)
         return stored(masked.mapInArrow(run, "sig long, class long"), "nearcopies-signatures")
 
     def near(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -270,7 +290,8 @@ class Join:
             for batch in batches:
                 n, s = (batch.column(f"n_{x}").to_numpy() for x in "ab")
                 bound = n + s - 2 * overlap(n, s, percent)
-                far = np.array([distances(np.frombuffer(x, np.uint8), [y])[0] for x, y in zip(batch.column("sketch_a").to_pylist(), batch.column("sketch_b").to_pylist())], np.int64)
+                one, two = (Sketches(batch.column(f"sketch_{x}").to_pylist()) for x in "ab")
+                far = one.distances(np.arange(len(n)), two, np.arange(len(n)))
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(far <= bound))
 
         sized = pairs.join(b, "b").join(a, "a").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
@@ -298,10 +319,10 @@ class Join:
         a, b = (sets.select(F.col("class").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
         return stored(pairs.join(b, "b").join(a, "a").mapInArrow(compare, "a long, b long"), "nearcopies-links")
 
-    def stragglers(self, classes: DataFrame) -> DataFrame | None:
+    def stragglers(self, marked: DataFrame, classes: DataFrame) -> DataFrame | None:
         """Links of the sets whose signatures fall short: compared with all sets, in blocks."""
         words, percent, spark = self.words, self.percent, self.spark
-        few = classes.where("short").select("class", "path", "place")
+        few = classes.join(marked.distinct(), "class", "left_semi").select("class", "path", "place")
         n = few.count()
         if not n:
             return None
@@ -343,28 +364,38 @@ class Join:
     def labels(self) -> DataFrame:
         """(node, label) of the classes that are linked with another."""
         classes = self.classes()
-        shared = self.tied_signatures()
-        hubs = shared.groupBy("sig").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub <> last").drop("last")
-        # Every set with the least set of each of its signatures.
-        open_ = stored(self.near(shared.join(hubs, "sig").where("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct(), classes), "nearcopies-open")
-        first = open_.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        every = self.tied_signatures()
+        shared = every.where("sig is not null")
+        hubs = stored(shared.groupBy("sig").agg(F.min("class").alias("hub"), F.max("class").alias("last"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(7))).alias("y")).where("hub <> last"), "nearcopies-hubs")
+        # Every set with the least set of each of its signatures; the least of those that sketches leave open is compared.
+        pairs = shared.join(hubs.select("sig", "hub"), "sig").where("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
+        first = self.near(pairs, classes).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
         links = self.verified(first, classes)
-        extra = self.stragglers(classes)
+        extra = self.stragglers(every.where("sig is null").select("class"), classes)
         links = links if extra is None else links.unionByName(extra)
-        labels = components(links)
-        named = lambda df, x: df.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"l_{x}")), x, "left").withColumn(f"l_{x}", F.coalesce(f"l_{x}", x))
-        rest = named(named(open_, "a"), "b").where("l_a <> l_b").select("a", "b")
-        # Signatures that hold several components yet: their members across components, in tiles.
-        member = shared.withColumnRenamed("class", "c").join(hubs.select("sig"), "sig", "left_semi")
-        member = named(member, "c")
-        impure = member.groupBy("sig").agg(F.min("l_c").alias("lo"), F.max("l_c").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi and size > 2").select("sig", "size")
-        rest = rest.unionByName(self.across(member.join(impure, "sig"), classes)).distinct()
-        rest = stored(rest, "nearcopies-rest").join(first, ["a", "b"], "left_anti")
-        more = self.verified(rest, classes)
-        return labels if more.isEmpty() else components(links.unionByName(more))
-
-    def across(self, member: DataFrame, classes: DataFrame) -> DataFrame:
-        """Pairs (a, b), a < b, of members (sig, c, l_c, size) of a signature in different components that sketches leave open."""
+        # Signatures with the same members are one group.
+        groups = hubs.groupBy("size", "x", "y").agg(F.min("sig").alias("sig")).where("size > 1").select("sig", "size")
+        member = stored(shared.withColumnRenamed("class", "c").join(groups, "sig"), "nearcopies-members")
+        whole = False
+        while True:
+            labels = components(links)
+            # While comparing each member with the nearest member of another component finds links, only those are
+            # compared; then every pair that is left across components, which ends the search when none is a link.
+            more = self.verified(self.across(self.impure(member, labels), classes, whole), classes)
+            found = not more.isEmpty()
+            if not found and whole:
+                return labels
+            links, whole = (links.unionByName(more) if found else links), not found
+
+    def impure(self, member: DataFrame, labels: DataFrame) -> DataFrame:
+        """The members (sig, c, l_c, size) of groups that hold several components."""
+        named = member.join(labels.select(F.col("node").alias("c"), F.col("label").alias("l_c")), "c", "left").withColumn("l_c", F.coalesce("l_c", "c"))
+        several = named.groupBy("sig").agg(F.min("l_c").alias("lo"), F.max("l_c").alias("hi")).where("lo <> hi").select("sig")
+        return named.join(several, "sig", "left_semi")
+
+    def across(self, member: DataFrame, classes: DataFrame, whole: bool) -> DataFrame:
+        """Pairs (a, b), a < b, of members (sig, c, l_c, size) in different components that sizes and sketches leave open:
+        all of them, or for each member in a tile the nearest one only."""
         percent = self.percent
         parts = F.ceil(F.col("size") / TILE).cast("int")
         rows = member.join(classes.select(F.col("class").alias("c"), "n", "sketch"), "c").withColumn("part", F.pmod(F.xxhash64("c"), parts).cast("int")).withColumn("parts", parts)
@@ -377,20 +408,21 @@ class Join:
             order = np.argsort(n, kind="stable")
             n, c, label = n[order], c[order], label[order]
             sketches = table.column("sketch").to_pylist()
-            sketches = [sketches[i] for i in order]
-            a, b = [], []
+            known = Sketches([sketches[i] for i in order])
+            uptos = np.searchsorted(n, n * 100 // percent, side="right")
+            left, right = [], []
             for i in range(len(n)):
-                upto = int(np.searchsorted(n, n[i] * 100 // percent, side="right"))
-                at = np.arange(i + 1, upto)
+                at = np.arange(i + 1, uptos[i])
                 at = at[label[at] != label[i]]
                 if len(at):
-                    far = distances(np.frombuffer(sketches[i], np.uint8), [sketches[k] for k in at])
-                    at = at[far <= n[i] + n[at] - 2 * overlap(n[i], n[at], percent)]
-                    a += [min(c[i], c[k]) for k in at]
-                    b += [max(c[i], c[k]) for k in at]
-            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-        return tiles.groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+                    slack = n[i] + n[at] - 2 * overlap(n[i], n[at], percent) - known.distances(np.full(len(at), i), known, at)
+                    near = at[slack >= 0] if whole else at[[int(np.argmax(slack))]] if slack.max() >= 0 else at[:0]
+                    left.append(np.full(len(near), i))
+                    right.append(near)
+            one, two = (c[np.concatenate(x)] if x else c[:0] for x in (left, right))
+            return pa.table({"a": pa.array(np.minimum(one, two), pa.int64()), "b": pa.array(np.maximum(one, two), pa.int64())})
+
+        return stored(tiles.groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "nearcopies-across")
 
 
 def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
