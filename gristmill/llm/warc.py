@@ -181,14 +181,15 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def reachable(edges: DataFrame, rounds: int) -> DataFrame:
     """(path, at): what is reached from offset 0 of each path over the edges (path, at, out), by pointer jumping:
     after round k, `reached` holds everything within 2**k edges and `jumps` leads 2**k edges on."""
-    jumps = edges.where("out is not null")
+    # Paths repeat, so the edges' files are far smaller than their rows: a broadcast chosen by file size would grow with them.
+    jumps = edges.where("out is not null").hint("merge")
     reached = stored(edges.where("at = 0").select("path", "at"), "warc-reached")
     for k in range(rounds):
         step = reached.join(jumps, ["path", "at"]).select("path", F.col("out").alias("at"))
         reached = stored(reached.unionByName(step).distinct(), "warc-reached")
         if k + 1 < rounds:
             on = jumps.select("path", F.col("at").alias("out"), F.col("out").alias("far"))
-            jumps = stored(jumps.join(on, ["path", "out"]).select("path", "at", F.col("far").alias("out")), "warc-jumps")
+            jumps = stored(jumps.join(on, ["path", "out"]).select("path", "at", F.col("far").alias("out")), "warc-jumps").hint("merge")
     return reached
 
 
