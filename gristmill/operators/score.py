@@ -27,7 +27,7 @@ def quality(cells: DataFrame) -> DataFrame:
         F.collect_set(F.when(has & F.col("header").isin(*CRITICAL), F.col("header"))).alias("have"),
     )
     return per.select(
-        "row_index", "n_filled", micro(F.coalesce("q", F.lit(0.0))).alias("provenance_quality"), (F.size("have") / float(len(CRITICAL))).alias("critical_score"),
+        "row_index", "n_filled", micro(F.coalesce("q", F.lit(0.0)) + 1e-9).alias("provenance_quality"), (F.size("have") / float(len(CRITICAL))).alias("critical_score"),
         F.when(F.col("n_filled") > 0, F.col("g") / F.col("n_filled")).otherwise(0.0).alias("generative_share"), F.array_except(F.array(*map(F.lit, CRITICAL)), "have").alias("missing"),
     )
 
@@ -51,8 +51,9 @@ def verdicts(cells: DataFrame, checks: DataFrame) -> DataFrame:
     reasons = F.when(empty, F.array(F.lit("no cell was populated at all"))).otherwise(F.concat(blanks, F.array_compact(F.array(*(F.when(sure(c), why) for c, why, _ in tests)))))
     penalty = sum((F.when(sure(c), p).otherwise(0.0) for c, _, p in tests), F.lit(0.0))
     base = 0.45 * F.col("provenance_quality") + 0.30 * F.col("critical_score") + 0.25 * (1.0 - F.col("generative_share"))
+    # A hair above ties, which sums of decimals in doubles fall on either side of.
     confidence = F.when(empty, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), base - penalty)))
-    return r.select("row_index", micro(confidence).alias("confidence"), reasons.alias("reasons")).withColumn("needs_review", (F.size("reasons") > 0) | (F.col("confidence") < fixed.REVIEW))
+    return r.select("row_index", micro(confidence + 1e-9).alias("confidence"), reasons.alias("reasons")).withColumn("needs_review", (F.size("reasons") > 0) | (F.col("confidence") < fixed.REVIEW))
 
 
 def bucket(confidence: Column, needs_review: Column) -> Column:

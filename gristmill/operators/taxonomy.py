@@ -92,8 +92,12 @@ def phrase_join(rows: DataFrame, phrases: DataFrame, key: str, prepared: str) ->
     phrase then decides."""
     squeezed = phrases.select("*", F.regexp_replace(F.lower("phrase"), r"[\s\-]+", "").alias("gram"))
     atoms = F.regexp_extract_all(F.lower(prepared), F.lit(r"([a-z0-9]+|[^a-z0-9\s\-])"), F.lit(0))
-    sizes = range(1, 5)
-    grams = F.flatten(F.array(*(F.when(F.size("_a") >= n, F.transform(F.sequence(F.lit(1), F.size("_a") - n + 1), lambda i, n=n: F.array_join(F.slice("_a", i, n), ""))).otherwise(F.array().cast("array<string>")) for n in sizes)))
+
+    def runs(n: int) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size("_a") - n + 1), lambda i: F.array_join(F.slice("_a", i, n), ""))
+        return F.when(F.size("_a") >= n, made).otherwise(F.array().cast("array<string>"))
+
+    grams = F.flatten(F.array(*map(runs, range(1, 5))))
     cut = F.array_distinct(F.flatten(F.transform("_g", lambda g: F.array(g, F.regexp_replace(g, "s$", ""), F.regexp_replace(g, "es$", "")))))
     candidates = rows.select(key, prepared, atoms.alias("_a")).withColumn("_g", grams).withColumn("gram", F.explode(cut)).drop("_a", "_g")
     pattern = F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), F.regexp_replace(F.regexp_replace(F.trim("phrase"), r"([^A-Za-z0-9\s\-])", r"\\$1"), r"[\s\-]+", r"[\\s\\-]*"), F.lit("(?:e?s)?(?![A-Za-z0-9])"))

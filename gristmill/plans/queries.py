@@ -477,3 +477,416 @@ def a15_brand_prior(rows):
 @query("with g as (select o_custkey as grp, o_orderpriority as value, count(*) as hits, min(o_orderkey) as seen from orders group by 1, 2), m as (select *, cast(sum(hits) over (partition by grp) as bigint) as total, row_number() over (partition by grp order by hits desc, seen) as rn from g) select grp, value, hits, total from m where rn = 1")
 def a16_first_mode(spark, sf_dir):
     return learn.first_mode(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("grp"), F.col("o_orderpriority").alias("value"), F.col("o_orderkey").alias("seen")), "grp", "value", "seen")
+
+
+# Joins
+
+
+@query("select p_partkey, p_brand as canonical from part where p_partkey % 3 = 0 union all select p_partkey, p_name from part where p_partkey % 3 <> 0")
+def j1_resolve_alias(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    aliases = part.where("p_partkey % 3 = 0").select(F.concat(F.lit("alias "), F.col("p_partkey").cast("string")).alias("alias"), F.col("p_brand").alias("canonical"))
+    tokens = part.select("p_partkey", F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("ALIAS "), F.col("p_partkey").cast("string"))).otherwise(F.col("p_name")).alias("value"))
+    return learn.resolved(tokens, aliases).select("p_partkey", "canonical")
+
+
+@query(f"with p as ({PRIOR_SQL}), o as (select o_orderkey, c_mktsegment as grp, o_orderpriority as classpath from orders join customer on c_custkey = o_custkey) select o_orderkey, coalesce(share, 0.0::double) as prior from o left join p using (grp, classpath)")
+def j2_group_prior(spark, sf_dir):
+    prior = learn.group_prior(_votes(spark, sf_dir))
+    rows = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", F.col("c_mktsegment").alias("grp"), F.col("o_orderpriority").alias("classpath"))
+    return rows.join(prior.select("grp", "classpath", "share"), ["grp", "classpath"], "left").select("o_orderkey", F.coalesce("share", F.lit(0.0)).alias("prior"))
+
+
+def _re2(p: str) -> str:
+    import re as _re
+
+    return "(?i)(?:^|[^A-Za-z0-9])" + "[\\s\\-]*".join(_re.escape(x) for x in _re.split(r"[\s\-]+", p)) + "(?:e?s)?(?:[^A-Za-z0-9]|$)"
+
+
+_PHRASES = values([(c.classpath, kind, p, _re2(p)) for c in RULES.categories for kind in ("must", "boost", "veto") for p in getattr(c, kind)], "classpath", "kind", "phrase", "pattern")
+HITS = f"h as (select row_index, grp, classpath, kind, phrase from b cross join {_PHRASES} where regexp_matches(Part_Desc, pattern))"
+
+
+@query(f"{CATALOG}, {BODY}, {HITS} select row_index, classpath, kind, phrase from h")
+def j4_phrase_join(rows):
+    return taxonomy.phrase_join(rows, RULES.phrases(rows.sparkSession), "row_index", "Part_Desc")
+
+
+@query(f"{CATALOG}, {BODY}, {HITS} select distinct row_index, classpath from h where kind = 'must' and not exists (select 1 from h v where v.kind = 'veto' and v.row_index = h.row_index and v.classpath = h.classpath)")
+def j5_veto_anti_must_semi(rows):
+    hits = taxonomy.phrase_join(rows, RULES.phrases(rows.sparkSession), "row_index", "Part_Desc")
+    side = lambda k: hits.where(F.col("kind") == k).select("row_index", "classpath").distinct()
+    return side("must").join(side("veto"), ["row_index", "classpath"], "left_anti")
+
+
+SCORES = f"m as (select row_index, grp, classpath, max(case when kind = 'must' then length(phrase) end) as len, count(distinct case when kind = 'boost' then phrase end) as nb, max(kind = 'veto') as veto from h group by 1, 2, 3), s as (select row_index, grp, classpath, 0.6::double + 0.25::double * least(len / 12.0::double, 1.0::double) + 0.18::double * least(nb, 4) as score from m where len is not null and not veto), r as (select *, row_number() over (partition by row_index order by score desc, classpath) as rank, lead(score) over (partition by row_index order by score desc, classpath) as second, lead(classpath) over (partition by row_index order by score desc, classpath) as runner_up from s)"
+
+
+@query(f"{CATALOG}, {BODY}, {HITS}, {SCORES} select row_index, classpath, {micro('score')} as score from s")
+def r3_category_scores(rows):
+    made = rows.select("row_index", F.col("Part_Desc").alias("prepared"))
+    return taxonomy.matches(made, RULES).select("row_index", "classpath", learn.micro(F.col("base")).alias("score"))
+
+
+CLASSIFIED = f"k as (select row_index, grp, classpath, {micro('least(0.99::double, 0.55::double * least(score, 1.0::double) + 0.45::double * least((score - coalesce(second, 0.0::double)) / 0.4::double, 1.0::double))')} as confidence, {micro('score - coalesce(second, 0.0::double)')} as margin, runner_up from r where rank = 1)"
+
+
+@query(f"{CATALOG}, {BODY}, {HITS}, {SCORES}, {CLASSIFIED} select c.row_index, classpath, coalesce(confidence, 0.0::double) as confidence, coalesce(margin, 0.0::double) as margin, runner_up from c left join k using (row_index)")
+def r2_classify(rows):
+    made = rows.select("row_index", text.group_key(F.col("Part_Manuf")).alias("grp"), F.col("Part_Desc").alias("prepared"))
+    return taxonomy.classify(made, RULES).drop("how")
+
+
+@query(f"{CATALOG}, {BODY}, {HITS}, {SCORES} select row_index, classpath, rank from (select row_index, classpath, cast(rank as integer) as rank from r) where rank <= 2")
+def w1_best_and_runner_up(rows):
+    made = rows.select("row_index", text.group_key(F.col("Part_Manuf")).alias("grp"), F.col("Part_Desc").alias("prepared"))
+    return taxonomy.ranked(made, RULES).select("row_index", "classpath", "rank")
+
+
+@query(f"with p as ({PRIOR_SQL}), x as (select grp, weight * 10 as weight, total, case when classpath like '1%' then share + 0.5 else share end as share, classpath from p) select grp, first(classpath order by weight desc, classpath) as lent from x group by grp having first(share order by weight desc, classpath) >= 0.15")
+def r4_prior_only(spark, sf_dir):
+    top = learn.prior_top(learn.group_prior(_votes(spark, sf_dir)).withColumn("share", F.when(F.col("classpath").startswith("1"), F.col("share") + 0.5).otherwise(F.col("share"))))
+    return top.where("share >= 0.15").select("grp", F.col("classpath").alias("lent"))
+
+
+_LEGAL = values(fixed.LEGAL_ENTITIES.items(), "k", "v")
+
+
+@query(f"with x as (select p_partkey, case p_partkey % 4 when 0 then 'Frigidaire' when 1 then 'WHIRLPOOL' when 2 then p_brand else '' end as brand from part) select p_partkey, coalesce(v, brand) as maker, case when v is not null then 'crosswalk' when brand <> '' then 'derived' else 'unresolved' end as source from x left join {_LEGAL} on lower(brand) = k")
+def j7_manufacturer(spark, sf_dir):
+    brand = F.when(F.col("p_partkey") % 4 == 0, "Frigidaire").when(F.col("p_partkey") % 4 == 1, "WHIRLPOOL").when(F.col("p_partkey") % 4 == 2, F.col("p_brand")).otherwise("")
+    m = read(spark, sf_dir, "part").select("p_partkey", entity.manufacturer(brand, F.lit(True)).alias("m"))
+    return m.select("p_partkey", F.col("m.value").alias("maker"), "m.source")
+
+
+_URLS = values(fixed.URL_TEMPLATES.items(), "k", "v")
+
+
+@query(f"with x as (select p_partkey, case p_partkey % 3 when 0 then 'Whirlpool®' when 1 then 'Maytag Laundry' else p_brand end as brand from part) select p_partkey, replace(coalesce(a.v, e.v), '{{mpn}}', 'M' || cast(p_partkey as varchar)) as url from x left join (select * from {_URLS}) a on a.k = lower(trim(replace(brand, '®', ''))) left join (select * from {_URLS}) e on e.k = string_split(lower(trim(replace(brand, '®', ''))), ' ')[1]")
+def j8_manufacturer_url(spark, sf_dir):
+    brand = F.when(F.col("p_partkey") % 3 == 0, "Whirlpool®").when(F.col("p_partkey") % 3 == 1, "Maytag Laundry").otherwise(F.col("p_brand"))
+    return read(spark, sf_dir, "part").select("p_partkey", text.url_of(brand, F.concat(F.lit("M"), F.col("p_partkey").cast("string"))).alias("url"))
+
+
+_LEAVES = values([(c.classpath, c.leaf, c.department, c.klass) for c in RULES.categories], "classpath", "leaf", "department", "klass")
+
+
+@query(f"select r_regionkey, classpath, leaf, department, klass from region cross join {_LEAVES}")
+def j9_classpath_crosswalk(spark, sf_dir):
+    table = RULES.category_table(spark).select("classpath", "leaf", "department", "klass")
+    rows = read(spark, sf_dir, "region").withColumn("classpath", F.explode(F.array(*(F.lit(c.classpath) for c in RULES.categories))))
+    return rows.join(F.broadcast(table), "classpath").select("r_regionkey", "classpath", "leaf", "department", "klass")  # one row a category
+
+
+@query("with t(tier, name, ord) as (values (0, 'Milwaukee', 1), (1, 'Milwaukee Accessory', 2), (1, 'Bosch', 3)), x as (select * from (values ('Milw'), ('bosch'), ('Zzz')) v(token)) select 'Milw' as token, 'Milwaukee' as name, 0 as tier union all select 'bosch', 'Bosch', 1")
+def j11_tiered_link(spark, sf_dir):
+    tiers = spark.createDataFrame([(0, "Milwaukee", 1), (1, "Milwaukee Accessory", 2), (1, "Bosch", 3)], "tier int, name string, ord long")
+    tokens = spark.createDataFrame([("Milw",), ("bosch",), ("Zzz",)], "token string")
+    return entity.tiered_links(tokens, tiers).select("token", "name", "tier")
+
+
+@query("with g as (select *, row_number() over (partition by p_name order by p_partkey desc) as rn from part), w as (select * from g where rn = 1), f as (select p.p_name as k, 'brand' as field, p.p_brand as got, w.p_brand as want from part p join w using (p_name) union all select p.p_name, 'type', lower(p.p_type), w.p_type from part p join w using (p_name)) select field, count(*) as compared, cast(count_if(got = want) as bigint) as exact, cast(count_if(lower(got) = lower(want)) as bigint) as normalised from f group by field")
+def j14_gold_scores(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    got = part.select(F.col("p_name").alias("Mfg_Part_Num"), F.col("p_brand").alias("brand"), F.lower("p_type").alias("type"))
+    gold = part.select(F.col("p_partkey").alias("row_index"), F.col("p_name").alias("Mfg_Part_Num"), F.col("p_brand").alias("brand"), F.col("p_type").alias("type"))
+    return score.gold_scores(got, gold, ["brand", "type"])
+
+
+@query("select p_partkey as row_index, 'Color' as label, p_type as value from part where p_type not in ('Red', 'Blue') and p_partkey % 2 = 0")
+def j15_lov_violations(spark, sf_dir):
+    pairs = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_index"), F.when(F.col("p_partkey") % 2 == 0, "Color").otherwise("Free").alias("label"), F.col("p_type").alias("value"))
+    return score.lov_violations(pairs, RULES.lov_table(spark)).select("row_index", "label", "value")
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    lines = read(spark, sf_dir, "lineitem")
+    tokens = lines.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("pos"), (F.col("l_linenumber") * 10).alias("start"), (F.col("l_linenumber") * 10 + F.when(F.col("l_partkey") % 7 == 0, 0).otherwise(5)).alias("end")).distinct()
+    entities = lines.where("l_linenumber % 3 = 1").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("ord"), (F.col("l_linenumber") * 10).alias("e_start"), (F.col("l_linenumber") * 10 + 16).alias("e_end"), F.lit("X").alias("label"))
+    return tokens, entities
+
+
+BIO = "tk as (select l_orderkey as id, l_linenumber as pos, l_linenumber * 10 as s, l_linenumber * 10 + case when l_partkey % 7 = 0 then 0 else 5 end as e from lineitem), en as (select l_orderkey as id, l_linenumber as ord, l_linenumber * 10 as es, l_linenumber * 10 + 16 as ee from lineitem where l_linenumber % 3 = 1), al as (select tk.id, pos, s, e, first(es order by ord) filter (es is not null) as es from tk left join en on en.id = tk.id and s >= es and e <= ee group by 1, 2, 3, 4), tags as (select id, pos, case when s = e then null when es is null then 'O' when s = es then 'B-X' else 'I-X' end as tag from al)"
+
+
+@query(f"with {BIO} select * from tags")
+def j16_align_bio(spark, sf_dir):
+    return score.align_bio(*_tokens(spark, sf_dir))
+
+
+# Windows
+
+
+@query("select l_orderkey as id, l_linenumber as start, l_linenumber + 2 as stop, 'X' as label from lineitem where l_linenumber % 3 = 1 and l_linenumber < 0 union all select o_orderkey, 0, 2, 'A' from orders union all select o_orderkey, 3, 4, 'B' from orders union all select o_orderkey, 5, 7, 'A' from orders where o_orderkey % 2 = 0")
+def w6_decode_spans(spark, sf_dir):
+    # B-A I-A O B-B I-C (B-A null | O null): an I- of another label ends a span and opens none, null is stepped over.
+    tags = F.array(*(F.lit(t) for t in ("B-A", "I-A", "O", "B-B", "I-C")), F.when(F.col("o_orderkey") % 2 == 0, "B-A").otherwise("O"), F.lit(None).cast("string"))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.posexplode(tags).alias("pos", "tag"))
+    return score.decode_spans(rows)
+
+
+@query("with g as (select o_custkey as grp, o_orderpriority as value, count(*) as n, min(o_orderkey) as seen from orders group by 1, 2) select grp, value, cast(row_number() over (partition by grp order by n desc, seen) as integer) as place from g")
+def w2_first_seen_order(spark, sf_dir):
+    counts = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("grp"), F.col("o_orderpriority").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("seen"))
+    return counts.select("grp", "value", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("n").desc(), "seen")).alias("place"))
+
+
+@query(f"{CATALOG} select row_index, cast(regexp_extract(Part_Desc, '(\\d+)\"x', 1) as varchar) || ' in x ' || case row_index % 4 when 0 then '1/8' when 1 then '3/8' when 2 then '5/8' else '7/8' end || ' in' as run from c")
+def w3_dimension_run(rows):
+    made = rows.withColumn("m", units.find_measurements("Part_Desc")).withColumn("run", units.dimension_run(F.col("m"), F.col("Part_Desc")))
+    return made.select("row_index", F.array_join(F.transform("run", lambda m: F.concat_ws(" ", m["magnitude"], m["unit"])), " x ").alias("run"))
+
+
+@query("select o_orderkey as id, 0 as start, 10 as \"end\", 'a' as label from orders union all select o_orderkey, 12, 20, 'c' from orders")
+def w4_without_overlaps(spark, sf_dir):
+    spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(x).alias("label")) for a, b, x in ((0, 4, "z"), (0, 10, "a"), (5, 30, "b"), (12, 20, "c"))))
+    return score.without_overlaps(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.explode(spans).alias("s")).select("id", "s.*"))
+
+
+@query("with s as (select l_orderkey as id, l_linenumber * 10 as a, l_linenumber * 10 + 4 + cast(l_quantity as integer) % 12 as b from lineitem), o as (select *, max(b) over (partition by id order by a, b rows between unbounded preceding and 1 preceding) as reach from s), r as (select *, sum(case when reach is null or a > reach then 1 else 0 end) over (partition by id order by a, b) as run from o) select id, min(a) as start, max(b) as \"end\" from r group by id, run")
+def w5_merged_spans(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem")
+    return score.merged_spans(lines.select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 10).alias("start"), (F.col("l_linenumber") * 10 + 4 + F.col("l_quantity").cast("int") % 12).alias("end")))
+
+
+@query(f"{CATALOG}, {BODY}, {TOKENS} select row_index, lower(token) as low, {micro('min(pos::double / n)')} as p from tok group by 1, 2")
+def w7_first_position(rows):
+    return learn.token_positions(rows).groupBy("row_index", "low").agg(learn.micro(F.min(F.col("pos") / F.col("n"))).alias("p"))
+
+
+@query(f"{CATALOG}, {BODY}, {TOKENS} select token, count(*) as n from tok group by 1 order by n desc, token limit 20")
+def w8_top_tokens(rows):
+    return learn.token_positions(rows).groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "token").limit(20)
+
+
+# Cells, scores and reports over synthetic cells: every order is a row, every priority a source
+
+
+_SOURCES = {"1-URGENT": "input_copy", "2-HIGH": "regex_extract", "3-MEDIUM": "llm", "4-NOT SPECIFIED": "unresolved", "5-LOW": "derived"}
+CELLS = "cells as (select o_custkey as row_index, case o_orderkey % 7 when 0 then 'BRAND_NAME' when 1 then 'MANUFACTURER_NAME' when 2 then 'Classpath' when 3 then 'SHORT_DESC' when 4 then 'INVOICE_DESC' when 5 then 'MOBILE_DESC' else 'Dept' end as header, case when o_orderkey % 11 = 0 then '' else o_orderstatus end as value, case o_orderpriority " + " ".join(f"when {quoted(k)} then {quoted(v)}" for k, v in _SOURCES.items()) + " else 'crosswalk' end as source, cast((o_orderkey % 101) / 100.0::double as double) as confidence from orders)"
+_HEADERS = ("BRAND_NAME", "MANUFACTURER_NAME", "Classpath", "SHORT_DESC", "INVOICE_DESC", "MOBILE_DESC", "Dept")
+
+
+def some_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    header = F.element_at(F.array(*map(F.lit, _HEADERS)), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    source = F.coalesce(F.element_at(text.lexicon(_SOURCES), F.col("o_orderpriority")), F.lit("crosswalk"))
+    value = F.when(F.col("o_orderkey") % 11 == 0, "").otherwise(F.col("o_orderstatus"))
+    return o.select(F.col("o_custkey").alias("row_index"), header.alias("header"), value.alias("value"), source.alias("source"), F.lit("r").alias("rule"), ((F.col("o_orderkey") % 101) / 100.0).cast("double").alias("confidence"))
+
+
+@query(f"with {CELLS} select source, count(*) as n from cells where trim(value) <> '' group by source")
+def a17_source_histogram(spark, sf_dir):
+    return score.source_histogram(some_cells(spark, sf_dir))
+
+
+@query(f"with {CELLS} select source, count(*) as n from cells where trim(value) = '' group by source")
+def a18_blank_histogram(spark, sf_dir):
+    return score.source_histogram(some_cells(spark, sf_dir), blank=True)
+
+
+@query(f"with {CELLS} select row_index, source, count(*) as n from cells where value <> '' group by 1, 2")
+def a19_sources_by_row(spark, sf_dir):
+    return C.filled(some_cells(spark, sf_dir)).groupBy("row_index", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"with {CELLS} select row_index, header, value, source from cells where source in ('llm', 'local_model') and value <> ''")
+def p9_generative_cells(spark, sf_dir):
+    return C.generative(some_cells(spark, sf_dir)).select("row_index", "header", "value", "source")
+
+
+@query(f"with {CELLS} select row_index, header, value, source, {micro('confidence', 4)} as confidence from cells where value <> '' or source <> 'unresolved'")
+def k4_audit_record(spark, sf_dir):
+    return C.audit(some_cells(spark, sf_dir)).select("row_index", "header", "value", "source", learn.micro(F.col("confidence"), 4).alias("confidence"))
+
+
+_WEIGHTS = values([(k, str(v)) for k, v in fixed.SOURCE_WEIGHTS.items()], "source", "w")
+_CRIT = ", ".join(map(quoted, score.CRITICAL))
+QUALITY = f"w as (select cells.*, cast(w as double) as w from cells left join {_WEIGHTS} using (source)), q as (select row_index, count_if(value <> '') as nf, {micro('coalesce(avg(case when value <> $$$$ then w * confidence end), 0.0::double) + 1e-9::double')} as pq, count(distinct case when value <> '' and header in ({_CRIT}) then header end) / 6.0::double as cs, count_if(value <> '' and source = 'llm') as g from w group by 1)"
+
+
+@query(f"with {CELLS}, {QUALITY} select row_index, cast(nf as bigint) as n_filled, pq as provenance_quality, cs as critical_score, case when nf > 0 then g::double / nf else 0.0::double end as generative_share from q")
+def a24_row_quality(spark, sf_dir):
+    return score.quality(some_cells(spark, sf_dir)).drop("missing")
+
+
+def some_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    return read(spark, sf_dir, "customer").select(k.alias("row_index"), (k % 45).cast("int").alias("invoice_length"), (k % 100).cast("int").alias("mobile_length"), (k % 13 == 0).cast("int").alias("n_lov_violations"), (k % 9 == 0).alias("unclassified"), (k % 8 == 0).alias("brand_unresolved"), ((k % 30) / 100.0).cast("double").alias("margin"), F.lit("other").alias("runner_up"))
+
+
+VERDICT = f"ck as (select c_custkey as row_index, c_custkey % 45 as il, c_custkey % 100 as ml, c_custkey % 13 = 0 as lov, c_custkey % 9 = 0 as un, c_custkey % 8 = 0 as br, (c_custkey % 30) / 100.0::double as mg from customer), t as (select q.*, coalesce(il > 40, false) as t1, coalesce(ml > 0 and not ml between 60 and 80, false) as t2, coalesce(lov, false) as t3, coalesce(un, false) as t4, coalesce(br, false) as t5, coalesce(mg > 0 and mg < 0.1::double, false) as t6 from q left join ck using (row_index)), v as (select row_index, {micro('case when nf = 0 then 0.0::double else greatest(0.0::double, least(1.0::double, 0.45::double * pq + 0.30::double * cs + 0.25::double * (1.0::double - case when nf > 0 then g::double / nf else 0.0::double end) - (0.0::double + 0.0::double + case when t1 then 0.25::double else 0.0::double end + case when t2 then 0.1::double else 0.0::double end + case when t3 then 0.25::double else 0.0::double end + case when t4 then 0.2::double else 0.0::double end + case when t5 then 0.2::double else 0.0::double end + case when t6 then 0.08::double else 0.0::double end))) end + 1e-9::double')} as confidence, case when nf = 0 then 1 else cast(6 - round(cs * 6) as bigint) + (g > 0)::int + t1::int + t2::int + t3::int + t4::int + t5::int + t6::int end as n_reasons from t)"
+
+
+@query(f"with {CELLS}, {QUALITY}, {VERDICT} select row_index, confidence, n_reasons > 0 or confidence < 0.7 as needs_review, cast(n_reasons as integer) as n_reasons from v")
+def a24_verdicts(spark, sf_dir):
+    v = score.verdicts(some_cells(spark, sf_dir), some_checks(spark, sf_dir))
+    return v.select("row_index", "confidence", "needs_review", F.size("reasons").alias("n_reasons"))
+
+
+@query(f"with {CELLS}, {QUALITY}, {VERDICT} select case when confidence >= 0.85 and not (n_reasons > 0 or confidence < 0.7) then 'auto_publish' when confidence >= 0.45 then 'needs_review' else 'blocked' end as bucket, count(*) as n from v group by 1")
+def a23_triage(spark, sf_dir):
+    return score.triage(score.verdicts(some_cells(spark, sf_dir), some_checks(spark, sf_dir)))
+
+
+@query("with r as (select unnest(['BRAND_NAME is empty', 'INVOICE_DESC is ' || cast(o_orderkey as varchar) || ' chars', '3 value(s) proposed', 'brand unresolved: x']) as r from orders) select substr(trim(string_split(string_split(string_split(r, ':')[1], ' is ')[1], ' value(s)')[1]), 1, 70) as reason, count(*) as n from r group by 1")
+def a20_reason_histogram(spark, sf_dir):
+    said = F.array(F.lit("BRAND_NAME is empty"), F.concat(F.lit("INVOICE_DESC is "), F.col("o_orderkey").cast("string"), F.lit(" chars")), F.lit("3 value(s) proposed"), F.lit("brand unresolved: x"))
+    return score.reason_histogram(read(spark, sf_dir, "orders").select(said.alias("reasons")))
+
+
+_LINES = "l as (select p_name as s, upper(substr(p_name || ' ' || p_type || ' ' || p_brand, 1, 20 + p_size)) as i, p_name || repeat('x', 40 + p_size) as m from part)"
+
+
+@query(f"with {_LINES} select count(*) as rows, {micro('100.0::double * count_if(i <> $$$$ and length(i) <= 40) / greatest(count_if(i <> $$$$), 1)', 2)} as invoice_within_40_chars_pct, {micro('100.0::double * count_if(i = upper(i)) / greatest(count(*), 1)', 2)} as invoice_all_caps_pct, {micro('100.0::double * count_if(length(m) between 60 and 80) / greatest(count_if(m <> $$$$), 1)', 2)} as mobile_within_60_80_pct, cast(0 as bigint) as uom_spacing_violations from l")
+def a21_compliance(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    line = F.upper(F.expr("substring(concat_ws(' ', p_name, p_type, p_brand), 1, 20 + p_size)"))
+    return score.compliance(p.select(F.col("p_name").alias("SHORT_DESC"), F.col("p_name").alias("LONG_DESC1"), F.col("p_name").alias("RETAIL_DESC"), line.alias("INVOICE_DESC"), F.expr("concat(p_name, repeat('x', 40 + p_size))").alias("MOBILE_DESC")))
+
+
+@query("with t as (select labels.toxic as label, quality as pred from labels), m as (select label, count(*) as t, count_if(label = pred) as tp from t group by 1), p as (select pred as label, count(*) as p from t group by 1), f as (select m.*, 2.0::double * tp / (t + coalesce(p, 0)) as f1 from m left join p using (label)) select " + micro("sum(tp)::double / sum(t)") + " as accuracy, " + micro("avg(f1)") + " as macro_f1 from f")
+def a28_classification_metrics(spark, sf_dir):
+    return score.classification_metrics(read(spark, sf_dir, "labels").select(F.col("toxic").alias("label"), F.col("quality").alias("pred")))
+
+
+@query("with a as (select distinct l_orderkey as id, l_linenumber as start, l_linenumber + 1 as stop, l_returnflag as label from lineitem), p as (select distinct id, start, stop, case when id % 5 = 0 then 'Z' else label end as label from a where id % 7 <> 0), b as (select count(*) as tp from a join p using (id, start, stop, label)), n as (select (select tp from b)::double as tp, (select count(*) from p)::double as p, (select count(*) from a)::double as a) select " + f"{micro('tp / p')} as entity_precision, {micro('tp / a')} as entity_recall, {micro('2 * tp / (p + a)')} as entity_f1 from n")
+def a29_span_metrics(spark, sf_dir):
+    a = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("stop"), F.col("l_returnflag").alias("label"))
+    p = a.where("id % 7 <> 0").withColumn("label", F.when(F.col("id") % 5 == 0, "Z").otherwise(F.col("label")))
+    return score.span_metrics(p, a)
+
+
+@query("select source as label, count(*) as n from documents group by 1 order by n desc, label")
+def a32_class_distribution(spark, sf_dir):
+    return read(spark, sf_dir, "documents").groupBy(F.col("source").alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "label")
+
+
+@query("select count(*) as leaked from (select lower(text) as t from documents where doc_id % 8 <> 0 intersect select lower(text) from documents where doc_id % 8 = 0)")
+def a33_leakage(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    key = F.sha2(F.lower("text").cast("binary"), 256).alias("t")  # a digest stands for the text in the shuffle
+    return docs.where("doc_id % 8 <> 0").select(key).intersect(docs.where("doc_id % 8 = 0").select(key)).agg(F.count(F.lit(1)).alias("leaked"))
+
+
+# Orders, sets, rendering
+
+
+@query(f"with {CELLS}, v as (select row_index, max(confidence) as confidence from cells group by 1) select row_index, {micro('confidence', 3)} as confidence from v where confidence < 0.9 order by confidence, row_index")
+def o1_review_order(spark, sf_dir):
+    v = some_cells(spark, sf_dir).groupBy("row_index").agg(F.max("confidence").alias("confidence")).where("confidence < 0.9")
+    return v.orderBy("confidence", "row_index").select("row_index", learn.micro(F.col("confidence"), 3).alias("confidence"))
+
+
+@query("select doc_id, text from (select doc_id, text, lang, row_number() over (partition by lower(text), lang order by doc_id) as rn from documents) where rn = 1")
+def u6_keep_first(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    key = F.sha2(F.lower("text").cast("binary"), 256)
+    first = docs.groupBy(key.alias("k"), "lang").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return docs.join(first, "doc_id", "left_semi").select("doc_id", "text")
+
+
+@query(f"select label, value from {values(sorted({(s.label, v) for x in RULES.contracts.values() for s in x for v in s.lov}), 'label', 'value')}")
+def u2_lov_union(spark, sf_dir):
+    return RULES.lov_table(spark)
+
+
+@query("select p_partkey, case when p_partkey % 3 = 0 then 'A' when p_partkey % 3 = 1 then 'A|C' else '' end as missing from part")
+def u4_missing_headers(spark, sf_dir):
+    have = F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit("B"), F.lit("C"))).when(F.col("p_partkey") % 3 == 1, F.array(F.lit("B"))).otherwise(F.array(*map(F.lit, "ABC")))
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_except(F.array(*map(F.lit, "ABC")), have), "|").alias("missing"))
+
+
+@query("with s(label, style, value, uom) as (values ('Sound Level', 'value_uom_label', '47', 'dBA'), ('Mounting Type', 'value_label_head', 'Leg', ''), ('Number of Wash Cycles', 'count_hyphen', '5', ''), ('Series', 'series', 'Eco', ''), ('Voltage', 'value_only_uom', '120', 'V'), ('Notes', 'suffix_list', 'x', ''), ('H', 'hidden', 'x', '')) select label, case style when 'value_uom_label' then '47 dBA Sound Level' when 'value_label_head' then 'Leg Mounting' when 'count_hyphen' then '5-Wash Cycle' when 'series' then 'Eco Series' when 'value_only_uom' then '120 V' when 'suffix_list' then 'Notes: x' else '' end as said from s")
+def r6_phrases(spark, sf_dir):
+    rows = [("Sound Level", "value_uom_label", "47", "dBA"), ("Mounting Type", "value_label_head", "Leg", ""), ("Number of Wash Cycles", "count_hyphen", "5", ""), ("Series", "series", "Eco", ""), ("Voltage", "value_only_uom", "120", "V"), ("Notes", "suffix_list", "x", ""), ("H", "hidden", "x", "")]
+    s = spark.createDataFrame(rows, "label string, style string, value string, uom string").select("label", F.struct("label", "style", "value", "uom").alias("s"))
+    return s.select("label", render.phrase(F.col("s")).alias("said"))
+
+
+@query("with x as (select p_partkey, list_filter([p_name, p_type, p_brand, cast(p_size as varchar) || ' in'], lambda c: c <> '') as l from part) select p_partkey, list_reduce(l, lambda a, c: case when length(a) >= 24 then a when length(a || ', ' || c) > 30 then a else a || ', ' || c end, 'PN') as packed from x")
+def r9_two_sided_packer(spark, sf_dir):
+    parts = F.array("p_name", "p_type", "p_brand", F.concat(F.col("p_size").cast("string"), F.lit(" in")))
+    return read(spark, sf_dir, "part").select("p_partkey", render.pack(F.lit("PN"), parts, lo=24, hi=30)["text"].alias("packed"))
+
+
+@query("with x as (select p_partkey, [p_name, p_type, p_brand] as l from part) select p_partkey, list_reduce(l, lambda a, c: case when length(a || ' ' || c) > 20 then a else a || ' ' || c end, 'PN') as packed from x")
+def r10_one_sided_packer(spark, sf_dir):
+    packed = render.pack(F.lit("PN"), F.array("p_name", "p_type", "p_brand"), lo=20, hi=20, joiner=" ", required=3)
+    return read(spark, sf_dir, "part").select("p_partkey", packed["text"].alias("packed"))
+
+
+# Extraction by single slots
+
+
+_SAID = "s as (select p_partkey, case p_partkey % 6 when 0 then 'Lamp 50k 3pk' when 1 then 'Lamp 3000K T25' when 2 then 'Multi CCT 2G' when 3 then 'Disc P150 50 Disc/Box' when 4 then '10-4 SO Cord #2' else '6/6/6 80 grit' end as t from part)"
+
+
+def said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey") % 6
+    t = F.when(k == 0, "Lamp 50k 3pk").when(k == 1, "Lamp 3000K T25").when(k == 2, "Multi CCT 2G").when(k == 3, "Disc P150 50 Disc/Box").when(k == 4, "10-4 SO Cord #2").otherwise("6/6/6 80 grit")
+    return read(spark, sf_dir, "part").select("p_partkey", t.alias("t"))
+
+
+def _cases(*found: str | None) -> str:
+    return "case p_partkey % 6 " + " ".join(f"when {i} then {quoted(x)}" for i, x in enumerate(found) if x) + " else null end"
+
+
+@query(f"select p_partkey, {_cases('5000', '3000', 'Selectable', None, None, None)} as cct, {_cases(None, None, None, '150', None, '80')} as grit, {_cases('3', None, None, '50', None, None)} as pack, {_cases(None, 'T25', None, None, '#2', None)} as drive, {_cases(None, None, '2', None, None, None)} as gangs, {_cases(None, None, None, None, '10', '6')} as gauge, {_cases(None, None, None, None, '4', '3')} as conductors from part")
+def e1_single_slots(spark, sf_dir):
+    t = F.col("t")
+    return said(spark, sf_dir).select("p_partkey", extract.color_temperature(t).alias("cct"), extract.grit(t).alias("grit"), extract.pack_quantity(t).alias("pack"), extract.drive_size(t).alias("drive"), extract.gangs(t).alias("gangs"), extract.wire(t)["size"].alias("gauge"), extract.wire(t)["conductors"].alias("conductors"))
+
+
+@query("select p_partkey, case p_partkey % 3 when 0 then '1 in x 6 in x 20 ft' when 1 then '2 in x 4 in' else '4-1/2 in x 1/8 in x 7/8 in' end as size from part")
+def e4_nominal_size(spark, sf_dir):
+    k = F.col("p_partkey") % 3
+    t = F.when(k == 0, "Board 1nx6-20' Grooved").when(k == 1, "Stud 2x4").otherwise("Wheel 4-1/2x1/8x7/8")
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(extract.nominal_size(t), " x ").alias("size"))
+
+
+@query(f"{CATALOG} select row_index, case when regexp_matches(Part_Desc, '(?i)(?:^|[^A-Za-z0-9])blue(?:e?s)?(?:[^A-Za-z0-9]|$)') then 'Blue' when regexp_matches(Part_Desc, '(?i)(?:^|[^A-Za-z0-9])red(?:e?s)?(?:[^A-Za-z0-9]|$)') then 'Red' end as color, nullif(regexp_extract(Part_Desc, '(?i)(?:^|[^A-Za-z0-9])(\\d{{1,4}})\\s*[-]?\\s*(?:pc)(?:e?s)?(?:[^A-Za-z0-9]|$)', 1), '') as pieces from c")
+def e9_lov_and_count(rows):
+    color = next(s for s in RULES.contract("hardware") if s.label == "Color")
+    return rows.select("row_index", extract.lov_value(F.col("Part_Desc"), color).alias("color"), extract.count_of(F.col("Part_Desc"), "pc").alias("pieces"))
+
+
+@query()
+def e14_extract_contract(rows):
+    made = bodies(rows).withColumn("contract", F.lit("hardware"))
+    return extract.extract(made, RULES).select("row_index", F.posexplode("filled").alias("i", "f")).select("row_index", "i", "f.*")
+
+
+# Engine
+
+
+@query()
+def r1_resolve_brands(rows):
+    aliases = enrich.brand_aliases(rows)
+    out = entity.resolve_brands(rows, aliases, learn.brand_prior(rows, aliases))
+    return out.select("row_index", "brand_plain", "brand", "rung", "confidence")
+
+
+@query()
+def r17_enrich(rows):
+    rows = rows.persist()
+    out = enrich.enriched(rows, RULES, enrich.learned(rows, RULES))
+    return out.select("row_index", "classpath", "confidence", "how", "brand", "rung", "manufacturer", "SHORT_DESC", "LONG_DESC1", "RETAIL_DESC", "MOBILE_DESC", "INVOICE_DESC", "approvals")
+
+
+@query()
+def r18_run_verdicts(rows):
+    rows = rows.persist()
+    _, _, verdict, _ = enrich.run(rows, RULES)
+    return verdict.select("row_index", "confidence", "needs_review", F.array_join("reasons", " | ").alias("reasons"))
+
+
+@query(f"{CATALOG} select row_index, case when row_index % 10 < 3 then 'blocked' when row_index % 2 = 0 then 'review' else '' end as tone from c")
+def k2_row_tone(rows):
+    return rows.select("row_index", score.row_tone(F.when(F.col("row_index") % 10 < 3, 0.3).otherwise(0.8), F.col("row_index") % 2 == 0).alias("tone"))
+
+
+@query("select key, response from (select cast(c_nationkey as varchar) as key, c_name as response, row_number() over (partition by c_nationkey order by c_custkey desc) as rn from customer) where rn = 1")
+def s9_last_reply(spark, sf_dir):
+    rows = read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("key"), F.col("c_name").alias("response"), F.col("c_custkey").alias("line_no"))
+    return rows.groupBy("key").agg(F.max_by("response", "line_no").alias("response"))
