@@ -403,26 +403,56 @@ class Join:
         other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
         tiles = rows.withColumn("other", other).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).select("sig", "i", "j", "c", "l_c", "n", "sketch")
 
-        def compare(key, table):
-            n, c, label = (table.column(x).to_numpy() for x in ("n", "c", "l_c"))
-            order = np.argsort(n, kind="stable")
-            n, c, label = n[order], c[order], label[order]
-            sketches = table.column("sketch").to_pylist()
-            known = Sketches([sketches[i] for i in order])
-            uptos = np.searchsorted(n, n * 100 // percent, side="right")
-            left, right = [], []
-            for i in range(len(n)):
-                at = np.arange(i + 1, uptos[i])
-                at = at[label[at] != label[i]]
-                if len(at):
-                    slack = n[i] + n[at] - 2 * overlap(n[i], n[at], percent) - known.distances(np.full(len(at), i), known, at)
-                    near = at[slack >= 0] if whole else at[[int(np.argmax(slack))]] if slack.max() >= 0 else at[:0]
-                    left.append(np.full(len(near), i))
-                    right.append(near)
-            one, two = (c[np.concatenate(x)] if x else c[:0] for x in (left, right))
-            return pa.table({"a": pa.array(np.minimum(one, two), pa.int64()), "b": pa.array(np.maximum(one, two), pa.int64())})
-
-        return stored(tiles.groupBy("sig", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "nearcopies-across")
+        names = ["sig", "i", "j", "c", "l_c", "n"]
+
+        def search(chunk: pa.Table) -> pa.RecordBatch:
+            sig, i, j, c, label, n = (chunk.column(x).to_numpy() for x in names)
+            known = Sketches(chunk.column("sketch").to_pylist())
+            tile = np.cumsum(np.concatenate([[0], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+            left, right, slacks = [], [], []
+            # Rows ascend by size in a tile: once a row is too large for another, so are those after it.
+            at, step = np.arange(len(sig)), 1
+            while len(at := at[at + step < len(sig)]):
+                to = at + step
+                at = at[(tile[at] == tile[to]) & (n[to] * percent <= 100 * n[at])]
+                mine = at[label[at] != label[at + step]]
+                if len(mine):
+                    to = mine + step
+                    slack = n[mine] + n[to] - 2 * overlap(n[mine], n[to], percent) - known.distances(mine, known, to)
+                    near = slack >= 0
+                    left.append(mine[near])
+                    right.append(to[near])
+                    slacks.append(slack[near])
+                step += 1
+            one, two, slack = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, slacks))
+            if not whole:
+                order = np.lexsort((-slack, one))
+                one, two = one[order], two[order]
+                first = np.concatenate([[True], one[1:] != one[:-1]]) if len(one) else np.zeros(0, bool)
+                one, two = one[first], two[first]
+            pairs = np.unique(np.stack([np.minimum(c[one], c[two]), np.maximum(c[one], c[two])]), axis=1) if len(one) else np.zeros((2, 0), np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            rows = 0
+            for batch in batches:
+                held.append(batch)
+                rows += batch.num_rows
+                if rows >= 16 * TILE:
+                    table = pa.Table.from_batches(held).combine_chunks()
+                    keys = [table.column(x).to_numpy() for x in names[:3]]
+                    last = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))
+                    cut = int(last[-1]) + 1 if len(last) else 0  # the last tile may go on in the next batch
+                    if cut:
+                        yield search(table.slice(0, cut))
+                    held = table.slice(cut).to_batches()
+                    rows = table.num_rows - cut
+            if rows:
+                yield search(pa.Table.from_batches(held))
+
+        dealt = tiles.repartition(2 * parallelism(self.spark), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n")
+        return stored(dealt.mapInArrow(run, "a long, b long").distinct(), "nearcopies-across")
 
 
 def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
