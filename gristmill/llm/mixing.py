@@ -76,7 +76,7 @@ def slots(sources: DataFrame, block: int) -> DataFrame:
     every = Window.partitionBy(F.lit(0))
     upto = F.sum("goal").over(Window.partitionBy(F.lit(0)).orderBy("source_id").rowsBetween(Window.unboundedPreceding, 0)) / F.sum("goal").over(every)
     bounds = goal.where("goal > 0").withColumn("hi", upto).withColumn("lo", F.coalesce(F.lag("hi").over(Window.partitionBy(F.lit(0)).orderBy("source_id")), F.lit(0.0)))
-    n = int(goal.agg(F.sum("need")).first()[0] or 0)
+    n, n_sources = (int(x or 0) for x in goal.agg(F.sum("need"), F.count(F.lit(1))).first())
     # A source covers the cells that its interval meets: an equi-join on cells instead of a comparison of all pairs.
     cells = bounds.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * _CELLS), F.least(F.floor(F.col("hi") * _CELLS), F.lit(_CELLS - 1)))))
     point = F.col("id") * F.lit(PHI) + F.lit(PHI)
@@ -86,7 +86,7 @@ def slots(sources: DataFrame, block: int) -> DataFrame:
     drawn = _ranked(drawn, ["source_id"], "chunk", ["slot"], F.lit(1)).withColumnRenamed("before", "rank").where("rank < need")
     have = drawn.groupBy("source_id").agg(F.count(F.lit(1)).alias("have"))
     short = goal.join(have, "source_id", "left").withColumn("have", F.coalesce("have", F.lit(0))).where("have < need")
-    tail = short.select(F.col("source_id"), F.explode(F.sequence("have", F.col("need") - 1)).alias("rank")).select((F.lit(n) + F.col("rank")).alias("slot"), "source_id", "rank")
+    tail = short.select(F.col("source_id"), F.explode(F.sequence("have", F.col("need") - 1)).alias("rank")).select((F.lit(n) + F.col("rank") * n_sources + F.col("source_id")).alias("slot"), "source_id", "rank")
     return drawn.select("slot", "source_id", "rank").unionByName(tail)
 
 
