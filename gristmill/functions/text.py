@@ -122,7 +122,9 @@ def expand(text: Column, skip: Column | None = None) -> Column:
 def contract_for_invoice(text: Column) -> Column:
     """Abbreviated for the invoice line: longest phrases first, each seeing what the earlier ones left."""
     phrases = sorted(fixed.INVOICE, key=len, reverse=True)
-    out = reduce(lambda acc, p: F.regexp_replace(acc, rf"(?i)\b{re.escape(p)}\b", fixed.INVOICE[p]), phrases, F.coalesce(text, F.lit("")))
+    known = r"(?i)\b(?:" + "|".join(map(re.escape, phrases)) + r")\b"
+    shorter = lambda t: reduce(lambda acc, p: F.regexp_replace(acc, rf"(?i)\b{re.escape(p)}\b", fixed.INVOICE[p]), phrases, t)
+    out = let(F.coalesce(text, F.lit("")), lambda t: F.when(t.rlike(known), shorter(t)).otherwise(t))
     return F.upper(F.trim(F.regexp_replace(out, r"\s{2,}", " ")))
 
 
