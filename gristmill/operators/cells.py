@@ -105,4 +105,4 @@ def with_implied(rows: DataFrame, implied: DataFrame) -> DataFrame:
     """rows (row_index, classpath, label, value, confidence) with the values that a category implies in blank slots."""
     hit = rows.join(implied.withColumnRenamed("value", "_v"), ["classpath", "label"], "left")
     use = (F.trim("value") == "") & F.col("_v").isNotNull()
-    return hit.withColumn("value", F.when(use, F.col("_v")).otherwise(F.col("value"))).withColumn("confidence", F.when(use, F.greatest(F.lit(0.6), 0.9 * F.col("confidence"))).otherwise(F.col("confidence"))).drop("_v")
+    return hit.withColumns({"value": F.when(use, F.col("_v")).otherwise(F.col("value")), "confidence": F.when(use, F.greatest(F.lit(0.6), 0.9 * F.col("confidence"))).otherwise(F.col("confidence"))}).drop("_v")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text, units
 from ..operators import cells as C
-from ..operators import entity, extract, learn, render, score, taxonomy
+from ..operators import entity, extract, learn, propose, render, score, taxonomy, training
 from ..sources import catalogue
 from ..sources.rules import demo
 from . import enrich
@@ -890,3 +890,155 @@ def k2_row_tone(rows):
 def s9_last_reply(spark, sf_dir):
     rows = read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("key"), F.col("c_name").alias("response"), F.col("c_custkey").alias("line_no"))
     return rows.groupBy("key").agg(F.max_by("response", "line_no").alias("response"))
+
+
+# More joins, folds and sets
+
+
+@query(f"with {CELLS} select row_index, header, value from cells where trim(value) <> ''")
+def p8_filled_cells(spark, sf_dir):
+    return C.filled(some_cells(spark, sf_dir)).select("row_index", "header", "value")
+
+
+@query("select l_orderkey, l_linenumber, l_linenumber * 10 < 35 and l_linenumber * 10 + 8 > 22 as taken from lineitem")
+def p14_span_overlap(spark, sf_dir):
+    claimed = F.array(F.struct(F.lit(22).alias("s"), F.lit(35).alias("e")))
+    at = F.col("l_linenumber") * 10
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.exists(claimed, lambda c: (at < c["e"]) & (at + 8 > c["s"])).alias("taken"))
+
+
+@query("select p_partkey as row_index, 'ATTRIBUTE_LABEL 1' as header, 'Color' as value from part union all select p_partkey, 'ATTRIBUTE_VALUE 1', p_type from part union all select p_partkey, 'ATTRIBUTE_UOM 1', '' from part union all select p_partkey, 'ATTRIBUTE_LABEL 2', 'Size' from part union all select p_partkey, 'ATTRIBUTE_VALUE 2', cast(p_size as varchar) from part union all select p_partkey, 'ATTRIBUTE_UOM 2', 'in' from part")
+def p15_attribute_triples(spark, sf_dir):
+    slot = lambda a, v, u: F.struct(F.lit(a).alias("label"), v.alias("value"), F.lit(u).alias("uom"))
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_index"), F.array(slot("Color", F.col("p_type"), ""), slot("Size", F.col("p_size").cast("string"), "in"), slot("Dropped", F.lit("x"), "")).alias("slots"))
+    return C.attribute_cells(rows, limit=2).select("row_index", "header", "value")
+
+
+@query("select p_partkey as row_index, case when p_partkey % 2 = 0 then 'Steel' else p_type end as value, case when p_partkey % 2 = 0 then 0.72::double else 0.8::double end as confidence from part")
+def p16_implied_values(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_index"), F.lit("A").alias("classpath"), F.lit("Material").alias("label"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.col("p_type")).alias("value"), F.lit(0.8).alias("confidence"))
+    implied = spark.createDataFrame([("A", "Material", "Steel")], "classpath string, label string, value string")
+    return C.with_implied(rows, implied).select("row_index", "value", learn.micro(F.col("confidence")).alias("confidence"))
+
+
+_A15 = ORACLE_SQL["a15_brand_prior"]
+
+
+@query(f"with pr as ({_A15}), x as ({catalogue.BRIDGE}) select row_index, brand from x left join pr on grp = Part_Manuf")
+def j3_brand_prior(rows):
+    own = F.concat(F.lit("Brand "), F.regexp_extract("Part_Manuf", r"#0*(\d+)", 1))
+    prior = learn.brand_prior(rows.withColumn("DIB_Brand", F.when(F.col("row_index") % 4 == 0, own).otherwise(F.col("DIB_Brand"))))
+    return rows.withColumn("grp", text.group_key(F.col("Part_Manuf"))).join(prior.select("grp", "brand"), "grp", "left").select("row_index", "brand")
+
+
+@query("select p_partkey, case when p_partkey % 2 = 0 then 'hardware' else 'generic' end as contract from part")
+def j13_contract_default(spark, sf_dir):
+    table = RULES.category_table(spark).select("classpath", F.col("contract").alias("c"))
+    named = F.when(F.col("p_partkey") % 2 == 0, RULES.categories[0].classpath).otherwise("Other")
+    return read(spark, sf_dir, "part").withColumn("classpath", named).join(F.broadcast(table), "classpath", "left").select("p_partkey", F.coalesce("c", F.lit("generic")).alias("contract"))  # one row a category
+
+
+@query("with d as (select l_orderkey as id, l_linenumber as k, abs(l_quantity - 25) as dist from lineitem) select id, first(k order by dist, k) as nearest from d group by id")
+def j17_nearest(spark, sf_dir):
+    found = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min(F.struct(F.abs(F.col("l_quantity") - 25).alias("d"), F.col("l_linenumber").alias("k"))).alias("m"))
+    return found.select("id", F.col("m.k").alias("nearest"))
+
+
+@query(f"{CATALOG}, {BODY}, {TOKENS} select distinct token from tok where lower(token) not in ('bolt', 'gear', 'widget', 'plate')")
+def j18_product_word_filter(rows):
+    words = rows.sparkSession.createDataFrame([("bolt",), ("gear",), ("widget",), ("plate",)], "w string")
+    return learn.token_positions(rows).select("token", "low").distinct().join(words, F.col("low") == F.col("w"), "left_anti").select("token").distinct()
+
+
+@query(f"with {CELLS} select count(distinct row_index) as rows, count(distinct case when header = 'Classpath' and value <> '' then row_index end) as classified, cast(count_if(value <> '') as bigint) as filled, cast(count_if(source = 'llm' and value <> '') as bigint) as proposed from cells")
+def a22_run_stats(spark, sf_dir):
+    has = F.col("value") != ""
+    return some_cells(spark, sf_dir).agg(F.count_distinct("row_index").alias("rows"), F.count_distinct(F.when((F.col("header") == "Classpath") & has, F.col("row_index"))).alias("classified"), F.count_if(has).alias("filled"), F.count_if((F.col("source") == "llm") & has).alias("proposed"))
+
+
+@query(f"with {CELLS} select row_index, {micro('avg(case when value <> $$$$ then 1.0::double else 0.0::double end)')} as coverage from cells group by 1")
+def a26_coverage(spark, sf_dir):
+    return some_cells(spark, sf_dir).groupBy("row_index").agg(learn.micro(F.avg((F.col("value") != "").cast("double"))).alias("coverage"))
+
+
+@query(f"select distinct lower(w) as word from (select unnest(string_split(value, ' ')) as w from {values(sorted({(v,) for x in RULES.contracts.values() for s in x for v in (*s.lov, *s.cues)}), 'value')})")
+def a27_listed_words(spark, sf_dir):
+    rows = [(v,) for x in RULES.contracts.values() for s in x for v in (*s.lov, *s.cues)]
+    return spark.createDataFrame(rows, "v string").select(F.explode(F.regexp_extract_all("v", F.lit(r"([A-Za-z][A-Za-z'-]*)"), F.lit(0))).alias("w")).select(F.lower("w").alias("word")).distinct()
+
+
+@query("select o_orderpriority as k, count(*) as n from orders group by 1 order by n desc, min(o_orderkey)")
+def o2_histogram_order(spark, sf_dir):
+    h = read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("seen"))
+    return h.orderBy(F.col("n").desc(), "seen").select("k", "n")
+
+
+@query("select o_orderkey, 'c,a,d,b' as ordered from orders")
+def o3_channel_order(spark, sf_dir):
+    slot = lambda a, rank, title: F.struct(F.lit(a).alias("label"), F.lit(rank).alias("rank"), F.lit(title).alias("title_rank"))
+    slots = F.array(slot("a", 9, 2), slot("b", 50, 0), slot("c", 7, 1), slot("d", 3, 0))
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.transform(render.by_channel(slots), lambda s: s["label"]), ",").alias("ordered"))
+
+
+@query("select p_partkey, array_to_string(list_sort([p_type, p_brand, p_name])[1:2], ', ') as shown from part")
+def o7_first_items(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.slice(F.array_sort(F.array("p_type", "p_brand", "p_name")), 1, 2), ", ").alias("shown"))
+
+
+@query(f"{CATALOG}, {BODY}, {STACK} select column_rank, count(*) as n from st group by 1")
+def u1_union_of_columns(rows):
+    return learn.stacked_brands(rows).groupBy("column_rank").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("select id, start, stop, label from (select l_orderkey as id, l_linenumber as start, l_linenumber + 1 as stop, l_returnflag as label from lineitem where l_quantity < 30 intersect select l_orderkey, l_linenumber, l_linenumber + 1, l_returnflag from lineitem where l_quantity > 10)")
+def u5_span_intersection(spark, sf_dir):
+    s = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("stop"), F.col("l_returnflag").alias("label"), "l_quantity")
+    return s.where("l_quantity < 30").drop("l_quantity").intersect(s.where("l_quantity > 10").drop("l_quantity"))
+
+
+@query("select s_suppkey, len(list_intersect(regexp_extract_all(lower(s_name), '[a-z0-9]+'), ['supplier', 'x'])) > 0 as shared from supplier")
+def u8_redundant_words(spark, sf_dir):
+    return read(spark, sf_dir, "supplier").select("s_suppkey", F.arrays_overlap(F.regexp_extract_all(F.lower("s_name"), F.lit("([a-z0-9]+)"), F.lit(0)), F.array(F.lit("supplier"), F.lit("x"))).alias("shared"))
+
+
+@query("with s(label) as (values ('Mounting Type'), ('Sound Level'), ('Voltage Rating'), ('Type'), ('Color')) select label, case label when 'Mounting Type' then 'Mounting' when 'Sound Level' then 'Sound' when 'Voltage Rating' then 'Voltage' else label end as head from s")
+def r7_label_head(spark, sf_dir):
+    labels = spark.createDataFrame([("Mounting Type",), ("Sound Level",), ("Voltage Rating",), ("Type",), ("Color",)], "label string")
+    return labels.select("label", render.label_head(F.col("label")).alias("head"))
+
+
+@query("select p_partkey, case when p_partkey % 2 = 0 then cast(p_size as varchar) || 'IN' else 'SST' end as token from part")
+def r8_invoice_token(spark, sf_dir):
+    even = F.col("p_partkey") % 2 == 0
+    slot = F.struct(F.when(even, F.col("p_size").cast("string")).otherwise("Stainless Steel").alias("value"), F.when(even, "inches").otherwise("").alias("uom"))
+    return read(spark, sf_dir, "part").withColumn("s", slot).select("p_partkey", render.invoice_token(F.col("s")).alias("token"))
+
+
+@query("select p_partkey, 'Wh Lt ' || p_name as t from part")
+def t33_contract_words(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", training.contract_words(F.concat(F.lit("White Light "), "p_name")).alias("t"))
+
+
+@query(f"{CATALOG} select row_index, case when row_index % 2 = 0 then Part_Desc else Mfg_Part_Num || ' bolt' end as t from c")
+def t33_add_mpn(rows):
+    return rows.select("row_index", training.add_mpn(F.when(F.col("row_index") % 2 == 0, F.col("Part_Desc")).otherwise("bolt"), F.col("Mfg_Part_Num")).alias("t"))
+
+
+@query()
+def t31_augmented(rows):
+    made = rows.select("row_index", F.col("Part_Desc").alias("text"), F.col("Mfg_Part_Num").alias("mpn"), F.lit("x").alias("label"), F.lit(0.9).alias("confidence"))
+    return training.augmented(made)
+
+
+@query("select p_partkey, (p_type = 'SMALL' or p_type = 'LARGE') and p_size between 5 and 40 as ok from part")
+def m3_accept_proposal(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    named = propose.accepted(F.col("p_type"), F.lit(""), F.array(F.lit("SMALL"), F.lit("LARGE")), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(""))
+    sized = propose.accepted(F.col("p_size").cast("string"), F.lit("inch"), F.array().cast("array<string>"), F.lit(5.0), F.lit(40.0), F.lit("length"))
+    return part.select("p_partkey", (named & sized).alias("ok"))
+
+
+@query("with s as (select l_orderkey, case when l_linenumber = 1 then '' else 'abc def' end as t, l_linenumber as a, l_linenumber + 1 as b, case when l_tax > 0.05 then 'X' else 'Y' end as label from lineitem), f as (select 'empty text' as fault from s where t = '' union all select 'unknown label' from s where label = 'Y' union all select 'offset out of range' from s where b > length(t) or a >= b union all select 'blank span' from s where not (b > length(t) or a >= b) and trim(substr(t, a + 1, b - a)) = '') select fault, count(*) as n from f group by 1")
+def m10_span_faults(spark, sf_dir):
+    s = read(spark, sf_dir, "lineitem").select(F.when(F.col("l_linenumber") == 1, "").otherwise("abc def").alias("text"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end"), F.when(F.col("l_tax") > 0.05, "X").otherwise("Y").alias("label"))
+    return training.faults(s, spark.createDataFrame([("X",)], "label string"))

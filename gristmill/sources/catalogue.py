@@ -26,7 +26,8 @@ from part join supplier on s_suppkey = p_partkey % (select count(*) from supplie
 
 
 def bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = BRIDGE
+    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet").count()
+    text = BRIDGE.replace("(select count(*) from supplier)", str(suppliers))
     for name in ("part", "supplier"):
         text = text.replace(f"from {name}", f"from parquet.`{sf_dir}/{name}.parquet`").replace(f"join {name}", f"join parquet.`{sf_dir}/{name}.parquet`")
     return spark.sql(text)
