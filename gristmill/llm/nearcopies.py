@@ -8,7 +8,7 @@ deletion neighbourhoods at the least expected number of signatures; a set takes
 probes its own band and the lower bands that partners may be in. The rare set whose values fall short is
 compared with all sets in blocks instead.
 
-Copies: equal sets are one class, equal texts of a batch are read once, and a batch sends a signature once.
+Copies: equal sets are one class, equal texts of a batch are read once, and one batch sends a class's signatures.
 Signatures that occur once in the corpus are told by the masked exchange of the substring operator and go no
 further. Candidates are first the pairs of each set with the least set of a signature; parity sketches (whose
 distance never exceeds the true difference) prune them and exact comparison follows. After contraction, only
@@ -256,29 +256,35 @@ class Join:
         one = rows.groupBy("class").agg(F.min(F.struct("path", "place")).alias("at")).select("class", "at.path", "at.place")
         return stored(rows.join(one, ["class", "path", "place"]).select("class", "n", "sketch", "path", "place"), "nearcopies-classes")
 
-    def tied_signatures(self) -> DataFrame:
-        """(sig, class): the signatures that several classes of the corpus may share; a null sig marks a class whose
-        signatures fall short."""
-        words, percent, seed = self.words, self.percent, self.seed
+    def tied_signatures(self, classes: DataFrame) -> DataFrame:
+        """Distinct (sig, class): the signatures that several classes of the corpus may share; a null sig marks a class
+        whose signatures fall short. Only the batch that `classes` names for a class sends its signatures."""
+        words, percent = self.words, self.percent
+        homes = classes.groupBy("path").agg(F.collect_list(F.struct("place", "class")).alias("homes"))
+        batches = stored(self.batches.join(homes, "path"), "nearcopies-homes")
 
-        def keys(row: dict) -> tuple[np.ndarray, np.ndarray]:
-            owner, found, short = signatures(sets := _sets(row, words), percent)
-            classes = np.array([class_of(s, seed)[0] if len(s) else 0 for s in sets], np.int64)
-            # Equal sets of a batch count once.
-            pairs = np.unique(np.stack([found, classes[owner].astype(np.uint64)]), axis=1) if len(set(classes.tolist())) < len(classes) else np.stack([found, classes[owner].astype(np.uint64)])
-            return pairs, classes[short]
+        def keys(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            texts = _texts(row)
+            owner, found, short = signatures(shingles([texts[x["place"]] for x in row["homes"]], Rolling(5), words), percent)
+            own = np.array([x["class"] for x in row["homes"]], np.int64)
+            return found, own[owner], own[short]
 
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in rows:
                 for row in batch.to_pylist():
-                    (found, classes), short = keys(row)
+                    found, owners, short = keys(row)
                     distinct, which = np.unique(found, return_inverse=True)
                     tied = _masked(row["tied"], len(distinct))[which]
-                    yield pa.RecordBatch.from_arrays([pa.array(found[tied].view(np.int64)), pa.array(classes[tied].astype(np.int64))], ["sig", "class"])
+                    found, owners = found[tied], owners[tied]
+                    order = np.lexsort((owners, found))
+                    found, owners = found[order], owners[order]
+                    # Hashes of two segments of a set may be equal; its signature counts once.
+                    once = np.concatenate([[True], (found[1:] != found[:-1]) | (owners[1:] != owners[:-1])]) if len(found) else np.zeros(0, bool)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[once].view(np.int64)), pa.array(owners[once])], ["sig", "class"])
                     if len(short):
                         yield pa.RecordBatch.from_arrays([pa.nulls(len(short), pa.int64()), pa.array(short)], ["sig", "class"])
 
-        masked = exchange(self.batches, lambda row: keys(row)[0][0], "tied", 2 * parallelism(self.spark), 8)
+        masked = exchange(batches, lambda row: keys(row)[0], "tied", 2 * parallelism(self.spark), 8)
         return stored(masked.mapInArrow(run, "sig long, class long"), "nearcopies-signatures")
 
     def near(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -364,7 +370,7 @@ class Join:
     def labels(self) -> DataFrame:
         """(node, label) of the classes that are linked with another."""
         classes = self.classes()
-        every = self.tied_signatures()
+        every = self.tied_signatures(classes)
         shared = every.where("sig is not null")
         hubs = stored(shared.groupBy("sig").agg(F.min("class").alias("hub"), F.max("class").alias("last"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(7))).alias("y")).where("hub <> last"), "nearcopies-hubs")
         # Every set with the least set of each of its signatures; the least of those that sketches leave open is compared.

@@ -262,6 +262,22 @@ def test_near_copies_at_random(spark):
     assert got(nearcopies.join(frame(spark, rows)), "doc_id", "n_shingles", "component_id") == ordered(nearcopies.brute_force(rows))
 
 
+def test_near_copies_whose_copies_lie_in_other_batches(spark, monkeypatch):
+    """Each text is in two batches, so a signature meets each of its classes twice."""
+    monkeypatch.setattr(nearcopies, "pack", lambda *a, **b: substrings.pack(*a, **b, batch=4096))
+    rng = random.Random(13)
+    rows = []
+    for start in range(30):  # chains: neighbours are alike, ends are not
+        w = prose(rng, 60).split()
+        for i in range(8):
+            rows.append((100 * start + i, " ".join(w)))
+            for at in rng.sample(range(60), 1):
+                w[at] = f"step{i}"
+    rows += [(d + 10_000, t) for d, t in rows]
+    found = nearcopies.join(frame(spark, rows).repartitionByRange(4, "doc_id"))
+    assert got(found, "doc_id", "n_shingles", "component_id") == ordered(nearcopies.brute_force(rows))
+
+
 def test_stragglers_are_compared_with_all(spark, docs, monkeypatch):
     """With no segment taken as a signature, every link must come from the blocks."""
     work = nearcopies.Join(frame(spark, docs), "doc_id", "text", 5, 80)
