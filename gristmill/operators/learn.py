@@ -140,6 +140,17 @@ def families(rows: DataFrame) -> DataFrame:
 _RUN = r"\b([A-Z][a-z]+(?:\s+(?:[A-Z][a-z]+|[IVX]+|\d+|[A-Z]\+?))+)"
 
 
+#: Word boundaries, spaces and digits of all scripts, said in full since engines differ in what their short forms hold.
+_NO_WORD_BEFORE, _NO_WORD_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+_SPACE = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
+_WHOLE_RUN = rf"{_NO_WORD_BEFORE}([A-Z][a-z]+(?:{_SPACE}+(?:[A-Z][a-z]+|[IVX]+|\p{{Nd}}+|[A-Z]\+?))++)"
+
+
+def title_runs(texts: DataFrame, text: str = "text") -> DataFrame:
+    """texts with `run`, a row for each title-cased run anywhere in a text of any script."""
+    return texts.withColumn("run", F.explode(F.regexp_extract_all(text, F.lit(_WHOLE_RUN), F.lit(1))))
+
+
 def series(rows: DataFrame) -> DataFrame:
     """name, n of title-cased runs that occur twice or more and hold no shorthand or unit."""
     body = text.body_of(F.col("Part_Desc"), F.col("Mfg_Part_Num"))

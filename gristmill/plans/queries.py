@@ -233,6 +233,11 @@ def t16_title_runs(spark, sf_dir):
     return docs.select("doc_id", F.explode(F.regexp_extract_all(F.substring("text", 1, 2000), F.lit(learn._RUN), F.lit(1))).alias("run"))
 
 
+@query()
+def t16_title_runs_whole(spark, sf_dir):
+    return learn.title_runs(read(spark, sf_dir, "documents")).select("doc_id", "run")
+
+
 @query(f"{CATALOG} select row_index, regexp_matches(Part_Desc, '(?i)(?:^|[^A-Za-z0-9])red[\\s\\-]*bolt(?:e?s)?(?:[^A-Za-z0-9]|$)') as hit from c")
 def t20_phrase_match(rows):
     return rows.select("row_index", F.col("Part_Desc").rlike(text.phrase_pattern("red bolt")).alias("hit"))
