@@ -144,6 +144,7 @@ _RUN = r"\b([A-Z][a-z]+(?:\s+(?:[A-Z][a-z]+|[IVX]+|\d+|[A-Z]\+?))+)"
 _NO_WORD_BEFORE, _NO_WORD_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 _SPACE = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 _WHOLE_RUN = rf"{_NO_WORD_BEFORE}([A-Z][a-z]+(?:{_SPACE}+(?:[A-Z][a-z]+|[IVX]+|\p{{Nd}}+|[A-Z]\+?))++)"
+_WHOLE_NAME = rf"{_NO_WORD_BEFORE}([A-Z][a-z]+ [A-Z][a-z]+){_NO_WORD_AFTER}"
 
 
 def title_runs(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -151,6 +152,12 @@ def title_runs(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.withColumn("run", F.explode(F.regexp_extract_all(text, F.lit(_WHOLE_RUN), F.lit(1))))
 
 
+def name_counts(texts: DataFrame, text: str = "text") -> DataFrame:
+    """name, n of the pairs of title-cased words that occur twice or more in the texts of all scripts."""
+    names = texts.select(F.explode(F.regexp_extract_all(text, F.lit(_WHOLE_NAME), F.lit(1))).alias("name"))
+    return names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+
+
 def series(rows: DataFrame) -> DataFrame:
     """name, n of title-cased runs that occur twice or more and hold no shorthand or unit."""
     body = text.body_of(F.col("Part_Desc"), F.col("Mfg_Part_Num"))

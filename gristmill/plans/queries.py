@@ -427,6 +427,11 @@ def a8_series_counts(spark, sf_dir):
     return runs.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
+@query()
+def a8_series_counts_whole(spark, sf_dir):
+    return learn.name_counts(read(spark, sf_dir, "conversations"))
+
+
 @query()
 def a9_families(rows):
     return learn.families(rows)

@@ -23,3 +23,9 @@ def test_title_runs_of_whole_texts(spark):
     got = [tuple(r) for r in learn.title_runs(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "run").collect()]
     assert sorted(got) == sorted((i, run) for i, t in rows for run in re.findall(RUN, t or ""))
     assert (0, "Pebble Beach Grooved 12") in got and {1, 2, 3} <= {i for i, _ in got}
+
+
+def test_name_counts_of_all_texts(spark):
+    got = {r["name"]: r["n"] for r in learn.name_counts(spark.createDataFrame([(t,) for t in TEXTS], "text string")).collect()}
+    assert got == {k: n for k, n in Counter(x for t in TEXTS for x in re.findall(NAME, t or "")).items() if n >= 2}
+    assert got["Trex Enhance"] >= 2
