@@ -65,14 +65,18 @@ def learned(rows: DataFrame, rules: Rules) -> Vocabulary:
     return Vocabulary(aliases, learn.brand_prior(rows, aliases).persist(), prior, learn.series(rows).persist())
 
 
+def series_names(vocabulary: Vocabulary) -> list[str]:
+    """Every induced series, the most frequent first."""
+    return [r["name"] for r in vocabulary.series.orderBy(F.col("n").desc(), "name").collect()]
+
+
 def enriched(rows: DataFrame, rules: Rules, vocabulary: Vocabulary) -> DataFrame:
     """One row a row: the input, classification, brand, filled slots and the five channels."""
     spark = rows.sparkSession
     ready = prepared(rows)
     found = taxonomy.classify(ready.select("row_index", "grp", "prepared"), rules, vocabulary.group_prior)
     brands = entity.resolve_brands(rows, vocabulary.aliases, vocabulary.brand_prior)
-    # The induced series are a vocabulary: names that recur, however many rows there are.
-    names = [r["name"] for r in vocabulary.series.orderBy(F.col("n").desc(), "name").limit(10_000).collect()]
+    names = series_names(vocabulary)
     out = ready.join(found, "row_index").join(brands.withColumnsRenamed({"confidence": "brand_confidence", "source": "brand_source"}), "row_index")
     out = out.join(F.broadcast(rules.category_table(spark)), "classpath", "left").withColumn("contract", F.coalesce("contract", F.lit("generic")))  # one row a category
     out = render.with_slots(extract.extract(out, rules, names), rules)

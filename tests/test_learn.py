@@ -1,9 +1,15 @@
 """Learning over whole texts of all scripts, against brute force."""
 
+import itertools
+import random
 import re
 from collections import Counter
 
-from gristmill.operators import learn
+from pyspark.sql import functions as F
+
+from gristmill.operators import extract, learn
+from gristmill.plans import enrich
+from gristmill.sources.rules import demo
 
 RUN = r"\b([A-Z][a-z]+(?:\s+(?:[A-Z][a-z]+|[IVX]+|\d+|[A-Z]\+?))+)"
 NAME = r"\b([A-Z][a-z]+ [A-Z][a-z]+)\b"
@@ -29,3 +35,23 @@ def test_name_counts_of_all_texts(spark):
     got = {r["name"]: r["n"] for r in learn.name_counts(spark.createDataFrame([(t,) for t in TEXTS], "text string")).collect()}
     assert got == {k: n for k, n in Counter(x for t in TEXTS for x in re.findall(NAME, t or "")).items() if n >= 2}
     assert got["Trex Enhance"] >= 2
+
+
+def test_every_series_fills_a_slot(spark):
+    letters = ["".join(x) for x in itertools.product("abcdefghijklmnop", repeat=4)][:10_001]
+    table = spark.createDataFrame([(f"Zone Q{x}", 2) for x in letters], "name string, n long")
+    names = enrich.series_names(enrich.Vocabulary(None, None, None, table))
+    assert len(names) == 10_001 and names[-1] == f"Zone Q{letters[-1]}"
+    rows = spark.createDataFrame([(0, f"Decking zone-q{letters[-1]} board", "generic")], "row_index long, body string, contract string")
+    filled = extract.extract(rows, demo(), names).select(F.explode("filled").alias("f")).where("f.label = 'Series'").select("f.value").collect()
+    assert [r["value"] for r in filled] == [names[-1]]
+
+
+def test_names_near_a_text_are_all_that_match():
+    rng = random.Random(6)
+    words, joints = ["Red", "Bolt", "Rod", "Es", "S", "II", "4", "Bus"], [" ", "-", "", "  ", "/", "\u00a0", "\u00e9", " - "]
+    names = {" ".join(rng.choice(words) for _ in range(rng.randint(1, 3))) for _ in range(150)}
+    known = extract.Names(names)
+    for _ in range(300):
+        text = "".join(rng.choice((str.lower, str.upper, str))(rng.choice(words)) + rng.choice(("", "", "s", "es", "\u017f")) + rng.choice(joints) for _ in range(rng.randint(0, 7)))
+        assert {n for n in names if extract._pattern(n).search(text)} <= set(known.near(text))
