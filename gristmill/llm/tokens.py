@@ -17,6 +17,7 @@ from __future__ import annotations
 import functools
 import io
 import json
+import os
 import re
 import struct
 import uuid
@@ -153,18 +154,24 @@ class Shard:
 
 
 #: White space of the pre-tokeniser's pattern: Python's, without the four separators 1C to 1F. A pre-token never
-#: goes from other characters into white space, so a run of white space with the run after it is encoded alone.
-_PIECE = re.compile(r"[^\S\x1c-\x1f]*(?:\S|[\x1c-\x1f])+|[^\S\x1c-\x1f]+")
+#: goes from other characters into white space, nor from letters, digits or punctuation into another of the three, so
+#: a run of white space with the run of one kind after it is encoded alone. The run must not touch an apostrophe or a
+#: character beyond Latin letters, whose kind this pattern does not know: then it goes on to the next white space.
+_PIECE = re.compile(r"[^\S\x1c-\x1f]*(?:[A-Za-zÀ-ÖØ-öø-ɏ]++(?![^\x00-&(-\x7fÀ-ÖØ-öø-ɏ])|[0-9]++(?![^\x00-&(-\x7fÀ-ÖØ-öø-ɏ])|[!-&(-/:-@\[-`{-~]++(?![^\x00-&(-\x7fÀ-ÖØ-öø-ɏ])|(?:\S|[\x1c-\x1f])+)|[^\S\x1c-\x1f]+")
+#: The same, cut at white space alone: for texts that hold an added token, which may go from one kind into another.
+_RUN = re.compile(r"[^\S\x1c-\x1f]*(?:\S|[\x1c-\x1f])+|[^\S\x1c-\x1f]+")
 
 
 class Encoder:
     """A tokenizer file's encode(text, add_special_tokens=False), with a bounded memory of encoded pieces where the
     pre-tokeniser lets a text be cut at white space."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 300_000):
+        # A task has one core: threads of the library's own would only wait for each other.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most, self.known, self.before = Tokenizer.from_file(path), most, {}, {}
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -173,7 +180,7 @@ class Encoder:
         plain = plain and not spec.get("normalizer") and not any(t.get("lstrip") or t.get("rstrip") or any(c.isspace() for c in t["content"]) for t in added)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
-        self.lengths = None
+        self.lengths, self.added = None, [t["content"] for t in added]
         if plain:
             self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
             own = {t["id"]: len(t["content"].encode()) for t in added}
@@ -195,17 +202,24 @@ class Encoder:
                 at = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian bytes of `width` each."""
+        """The ids of each text as little-endian bytes of `width` each. Equal texts are encoded once."""
+        distinct = list(dict.fromkeys(texts))
         if self.lengths is None:
-            return [np.asarray(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        cut = [_PIECE.findall(t) for t in texts]
-        if len(self.known) > self.most:
-            self.known = {}
-        new = set().union(*cut).difference(self.known)
-        if new:
-            self._learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, c)) for c in cut]
+            found = [np.asarray(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False)]
+        else:
+            cut = [(_RUN if any(a in t for a in self.added) else _PIECE).findall(t) for t in distinct]
+            # Two generations: a piece that the young one lacks is taken over from the old one or learnt.
+            if len(self.known) > self.most:
+                self.known, self.before = {}, self.known
+            new = set().union(*cut).difference(self.known)
+            old = new.intersection(self.before)
+            self.known.update((x, self.before[x]) for x in old)
+            if new := new - old:
+                self._learn(list(new))
+            get = self.known.__getitem__
+            found = [b"".join(map(get, c)) for c in cut]
+        known = dict(zip(distinct, found))
+        return [known[t] for t in texts]
 
 
 @functools.lru_cache(maxsize=1)
@@ -221,7 +235,7 @@ def _write(folder: str, tokenizer: str, end: int):
         tail = np.asarray([end], f"<u{coder.width}").tobytes()
         keys: list = []
         counts: list[int] = []
-        for part in packed(batches, "body", 1 << 20):
+        for part in packed(batches, "body", 2 << 20):
             ids = coder.encode([t.decode("utf-8", "replace") for t in texts_of(part.column("body"))])
             if out is None:
                 system, at = storage(path)
