@@ -7,6 +7,7 @@ null ids never merge rows); an operator selects the columns it names and ignores
 from __future__ import annotations
 
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -22,26 +23,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that this process has named in shared storage and not dropped; pipelines clear what earlier stages left.
+_named: list[str] = []
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the cluster's checkpoint folder; a local one is set only where none is named."""
+    """A fresh folder name under the cluster's checkpoint folder. Where none is named, a session on one machine gets
+    a temporary folder; on a cluster, whose executors could not see that, this raises."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not current.isDefined() and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         top = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="gristmill-")
         spark.conf.set("spark.checkpoint.dir", top)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _named.append(f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _named[-1]
+
+
+def named() -> list[str]:
+    """The folders named so far and not dropped."""
+    return list(_named)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def drop(spark: SparkSession, *folders: str) -> None:
+    """Deletes folders of shared storage."""
+    for folder in folders:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if folder in _named:
+            _named.remove(folder)
+
+
+def stored(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """The frame written once to shared storage and read back: later stages neither recompute it nor
     depend on an executor that may be gone."""
-    path = shared_dir(df.sparkSession, name)
+    path = path or shared_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables and file folders of one run of an operator in shared storage. The operator drops each once what was
+    made from it is committed, so that the disk holds what is still to be read and no more."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.tables, self.n = spark, shared_dir(spark, name), [], 0
+
+    def folder(self, name: str) -> str:
+        self.n += 1
+        return f"{self.root}/{self.n}-{name}"
+
+    def store(self, df: DataFrame, name: str) -> DataFrame:
+        path = self.folder(name)
+        out = stored(df, name, path)
+        self.tables.append((out, path))
+        return out
+
+    def drop(self, *tables: DataFrame | str | None) -> None:
+        """Deletes tables of this store, and folders; other frames and None are left alone."""
+        gone = [p for t in tables for x, p in self.tables if x is t] + [t for t in tables if isinstance(t, str)]
+        self.tables = [(x, p) for x, p in self.tables if p not in gone]
+        drop(self.spark, *gone)
+
+
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     """(df with a unique number a row, the name of that column): stored, so that the numbers stay."""
     name = f"row_{uuid.uuid4().hex}"

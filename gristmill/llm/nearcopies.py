@@ -12,8 +12,12 @@ Copies: equal sets are one class, equal texts of a batch are read once, and one
 Signatures that occur once in the corpus are told by the masked exchange of the substring operator and go no
 further. Candidates are first the pairs of each set with the least set of a signature; parity sketches (whose
 distance never exceeds the true difference) prune them and exact comparison follows. After contraction, only
-signatures that still hold several components are compared across components, in tiles of bounded size. So a
-large cluster costs its members, not its pairs, and no link between components is missed.
+signatures that still hold several components are compared across components, in tiles of bounded size, once: a tile
+that leaves few pairs open gives them all, and its signature is done; one that leaves many gives each member's nearest,
+and only such signatures are looked at again after the next contraction. So a large cluster costs its members, not its
+pairs, and no link between components is missed.
+
+Tables in shared storage go as soon as what was made from them is committed.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,13 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, mixed, numbered, parallelism, read_bytes, shared_dir, stored, word_hashes
+from .common import Rolling, Scratch, mixed, parallelism, read_bytes, word_hashes
 from .components import components
 from .substrings import _masked, exchange, pack
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _SKETCH, _TOKEN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 TILE = 512
+#: A tile is done at once when it leaves no more pairs open than so many times its rows.
+OPEN = 8
+#: Shingles of a block of sets that are compared with all sets.
+BLOCK = 1 << 20
 
 
 def overlap(n, s, percent: int):
@@ -222,20 +231,23 @@ class Join:
 
     def __init__(self, docs: DataFrame, doc_id: str, text: str, words: int, percent: int):
         self.spark, self.words, self.percent = docs.sparkSession, words, percent
-        self.batches = pack(docs, shared_dir(self.spark, "nearcopies"), doc_id=doc_id, text=text).drop("digests")
+        self.scratch = Scratch(self.spark, "nearcopies")
+        self.batches = pack(docs, self.scratch, doc_id=doc_id, text=text)
         for seed in range(8):
             self.seed = seed
-            self.docs = stored(self.batches.mapInArrow(self._classes(), "doc_id long, n long, class long, digest binary, sketch binary, path string, place int"), "nearcopies-docs")
+            self.docs = self.scratch.store(self.batches.mapInArrow(self._classes(), "doc_id long, n long, class long, digest binary, body binary, sketch binary, path string, place int"), "docs")
             mixed_up = self.docs.where("n > 0").groupBy("class").agg((F.min("digest") != F.max("digest")).alias("clash")).where("clash")
             if mixed_up.isEmpty():
+                self.batches = self.batches.drop("digests")
                 return
+            self.scratch.drop(self.docs)
         raise ValueError("sets clash under every seed")
 
     def _classes(self):
         words, seed = self.words, self.seed
 
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("digest", pa.binary()), ("sketch", pa.binary()), ("path", pa.string()), ("place", pa.int32())])
+            kind = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("class", pa.int64()), ("digest", pa.binary()), ("body", pa.binary()), ("sketch", pa.binary()), ("path", pa.string()), ("place", pa.int32())])
             for batch in rows:
                 for row in batch.to_pylist():
                     sets = _sets(row, words)
@@ -244,7 +256,7 @@ class Join:
                     for key, p in zip(row["ids"], row["places"]):
                         own = known[p]
                         # One document of each text carries the sketch.
-                        out.append((key, len(sets[p]), own[0], own[1], None if p in seen else own[2], row["path"], p))
+                        out.append((key, len(sets[p]), own[0], own[1], row["digests"][p][:16], None if p in seen else own[2], row["path"], p))
                         seen.add(p)
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), kind)], schema=kind)
 
@@ -254,14 +266,14 @@ class Join:
         """One row a class: class, n, sketch, path, place."""
         rows = self.docs.where("sketch is not null")
         one = rows.groupBy("class").agg(F.min(F.struct("path", "place")).alias("at")).select("class", "at.path", "at.place")
-        return stored(rows.join(one, ["class", "path", "place"]).select("class", "n", "sketch", "path", "place"), "nearcopies-classes")
+        return self.scratch.store(rows.join(one, ["class", "path", "place"]).select("class", "n", "sketch", "path", "place"), "classes")
 
     def tied_signatures(self, classes: DataFrame) -> DataFrame:
         """Distinct (sig, class): the signatures that several classes of the corpus may share; a null sig marks a class
         whose signatures fall short. Only the batch that `classes` names for a class sends its signatures."""
         words, percent = self.words, self.percent
         homes = classes.groupBy("path").agg(F.collect_list(F.struct("place", "class")).alias("homes"))
-        batches = stored(self.batches.join(homes, "path"), "nearcopies-homes")
+        batches = self.scratch.store(self.batches.join(homes, "path"), "homes")
 
         def keys(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             texts = _texts(row)
@@ -284,8 +296,10 @@ class Join:
                     if len(short):
                         yield pa.RecordBatch.from_arrays([pa.nulls(len(short), pa.int64()), pa.array(short)], ["sig", "class"])
 
-        masked = exchange(batches, lambda row: keys(row)[0], "tied", 2 * parallelism(self.spark), 8)
-        return stored(masked.mapInArrow(run, "sig long, class long"), "nearcopies-signatures")
+        masked, masks = exchange(batches, lambda row: keys(row)[0], "tied", 2 * parallelism(self.spark), 8, self.scratch)
+        out = self.scratch.store(masked.mapInArrow(run, "sig long, class long"), "signatures")
+        self.scratch.drop(batches, masks)
+        return out
 
     def near(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """The pairs (a, b) that sizes and sketches leave open."""
@@ -321,18 +335,20 @@ class Join:
                 good = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b"))]
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-        sets = stored(self.batches.join(places, "path").mapInArrow(fetch, "class long, tokens binary"), "nearcopies-sets")
+        sets = self.scratch.store(self.batches.join(places, "path").mapInArrow(fetch, "class long, tokens binary"), "sets")
         a, b = (sets.select(F.col("class").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
-        return stored(pairs.join(b, "b").join(a, "a").mapInArrow(compare, "a long, b long"), "nearcopies-links")
+        out = self.scratch.store(pairs.join(b, "b").join(a, "a").mapInArrow(compare, "a long, b long"), "links")
+        self.scratch.drop(sets)
+        return out
 
     def stragglers(self, marked: DataFrame, classes: DataFrame) -> DataFrame | None:
         """Links of the sets whose signatures fall short: compared with all sets, in blocks."""
         words, percent, spark = self.words, self.percent, self.spark
-        few = classes.join(marked.distinct(), "class", "left_semi").select("class", "path", "place")
-        n = few.count()
-        if not n:
+        few = classes.join(marked.distinct(), "class", "left_semi").select("class", "path", "place", "n")
+        total = few.agg(F.sum("n")).first()[0]
+        if not total:
             return None
-        blocks, links = -(-n // 256), None
+        blocks, links = -(-total // BLOCK), None
         for k in range(blocks):
             block = few.where(F.pmod(F.xxhash64("class"), F.lit(blocks)) == k)
             sent = spark.sparkContext.broadcast([(r["class"], r["path"], r["place"]) for r in block.collect()])
@@ -363,35 +379,45 @@ class Join:
                                 found += [(c, f) for f, t in few_sets if f != c and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)) and _linked(s, t, percent)]
                         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-            part = stored(self.batches.mapInArrow(compare, "a long, b long"), "nearcopies-links")
+            part = self.scratch.store(self.batches.mapInArrow(compare, "a long, b long"), "links")
             links = part if links is None else links.unionByName(part)
         return links
 
     def labels(self) -> DataFrame:
         """(node, label) of the classes that are linked with another."""
+        scratch = self.scratch
         classes = self.classes()
         every = self.tied_signatures(classes)
         shared = every.where("sig is not null")
-        hubs = stored(shared.groupBy("sig").agg(F.min("class").alias("hub"), F.max("class").alias("last"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(7))).alias("y")).where("hub <> last"), "nearcopies-hubs")
+        hubs = scratch.store(shared.groupBy("sig").agg(F.min("class").alias("hub"), F.max("class").alias("last"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("class")).alias("x"), F.bit_xor(F.xxhash64("class", F.lit(7))).alias("y")).where("hub <> last"), "hubs")
         # Every set with the least set of each of its signatures; the least of those that sketches leave open is compared.
         pairs = shared.join(hubs.select("sig", "hub"), "sig").where("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
-        first = self.near(pairs, classes).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        first = scratch.store(self.near(pairs, classes).groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "first")
         links = self.verified(first, classes)
         extra = self.stragglers(every.where("sig is null").select("class"), classes)
         links = links if extra is None else links.unionByName(extra)
         # Signatures with the same members are one group.
         groups = hubs.groupBy("size", "x", "y").agg(F.min("sig").alias("sig")).where("size > 1").select("sig", "size")
-        member = stored(shared.withColumnRenamed("class", "c").join(groups, "sig"), "nearcopies-members")
+        labels = components(links, scratch)
+        member = scratch.store(self.impure(shared.withColumnRenamed("class", "c").join(groups, "sig"), labels), "members")
+        scratch.drop(every, hubs, first)
         whole = False
         while True:
-            labels = components(links)
-            # While comparing each member with the nearest member of another component finds links, only those are
-            # compared; then every pair that is left across components, which ends the search when none is a link.
-            more = self.verified(self.across(self.impure(member, labels), classes, whole), classes)
-            found = not more.isEmpty()
-            if not found and whole:
+            found = self.across(member, classes, whole)
+            more = self.verified(found.where("sig is null").select("a", "b").distinct(), classes)
+            open_ = found.where("sig is not null").select("sig").distinct()
+            linked, done = not more.isEmpty(), open_.isEmpty()
+            if linked:
+                scratch.drop(labels)
+                links = links.unionByName(more)
+                labels = components(links, scratch)
+            if done:
+                scratch.drop(member, found)
                 return labels
-            links, whole = (links.unionByName(more) if found else links), not found
+            # What is left of the open signatures; the search over all their pairs ends it when the nearest are no links.
+            left = scratch.store(self.impure(member.drop("l_c").join(open_, "sig", "left_semi"), labels), "members")
+            scratch.drop(member, found)
+            member, whole = left, not linked
 
     def impure(self, member: DataFrame, labels: DataFrame) -> DataFrame:
         """The members (sig, c, l_c, size) of groups that hold several components."""
@@ -400,8 +426,9 @@ class Join:
         return named.join(several, "sig", "left_semi")
 
     def across(self, member: DataFrame, classes: DataFrame, whole: bool) -> DataFrame:
-        """Pairs (a, b), a < b, of members (sig, c, l_c, size) in different components that sizes and sketches leave open:
-        all of them, or for each member in a tile the nearest one only."""
+        """Pairs (a, b), a < b, with a null sig, of members (sig, c, l_c, size) in different components that sizes and
+        sketches leave open: all of them, or, unless `whole`, in a tile with many for each member the nearest one only.
+        Then a row (null, null, sig) names the tile's signature."""
         percent = self.percent
         parts = F.ceil(F.col("size") / TILE).cast("int")
         rows = member.join(classes.select(F.col("class").alias("c"), "n", "sketch"), "c").withColumn("part", F.pmod(F.xxhash64("c"), parts).cast("int")).withColumn("parts", parts)
@@ -431,13 +458,18 @@ class Join:
                     slacks.append(slack[near])
                 step += 1
             one, two, slack = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, slacks))
+            many = np.zeros(0, np.int64)
             if not whole:
+                full = np.bincount(tile[one], minlength=tile[-1] + 1) > OPEN * np.bincount(tile)
                 order = np.lexsort((-slack, one))
                 one, two = one[order], two[order]
                 first = np.concatenate([[True], one[1:] != one[:-1]]) if len(one) else np.zeros(0, bool)
-                one, two = one[first], two[first]
+                kept = first | ~full[tile[one]]
+                one, two, many = one[kept], two[kept], np.unique(sig[full[tile]])
             pairs = np.unique(np.stack([np.minimum(c[one], c[two]), np.maximum(c[one], c[two])]), axis=1) if len(one) else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], ["a", "b"])
+            pad = pa.nulls(len(many), pa.int64())
+            columns = [pa.concat_arrays([pa.array(pairs[0], pa.int64()), pad]), pa.concat_arrays([pa.array(pairs[1], pa.int64()), pad]), pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(many, pa.int64())])]
+            return pa.RecordBatch.from_arrays(columns, ["a", "b", "sig"])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
@@ -458,7 +490,16 @@ class Join:
                 yield search(pa.Table.from_batches(held))
 
         dealt = tiles.repartition(2 * parallelism(self.spark), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n")
-        return stored(dealt.mapInArrow(run, "a long, b long").distinct(), "nearcopies-across")
+        return self.scratch.store(dealt.mapInArrow(run, "a long, b long, sig long"), "across")
+
+    def named(self) -> DataFrame:
+        """Per document: doc_id, n, body (digest of its text), label (of its group; null without a set). Everything
+        else that the join has stored is dropped."""
+        labels = self.labels().select(F.col("node").alias("class"), "label")
+        rows = self.docs.select("doc_id", "n", "body", "class")
+        out = self.scratch.store(rows.join(labels, "class", "left").select("doc_id", "n", "body", F.coalesce("label", "class").alias("label")), "named")
+        self.scratch.drop(*(t for t, _ in self.scratch.tables if t is not out), self.scratch.root + "/1-texts")
+        return out
 
 
 def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -468,23 +509,38 @@ def join(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words:
     no set and link with nothing: their component is their own id. Null ids stay null and never name a component
     that has another id. Rows that repeat an id are rows of their own. An empty table gives no rows."""
     work = Join(docs, doc_id, text, words, percent)
-    labels = work.labels().select(F.col("node").alias("class"), "label")
-    rows = work.docs.select("doc_id", "n", "class")
-    named = stored(rows.where("class is not null").join(labels, "class", "left").select("doc_id", "n", F.coalesce("label", "class").alias("label")), "nearcopies-named")
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    rows = work.named().select("doc_id", "n", "label")
+    named = rows.where("label is not null")
+    # Written, so that the join below deals named rows by a label that it may split.
+    least = work.scratch.store(named.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     whole = named.join(least, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return whole.unionByName(rows.where("class is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))).withColumnRenamed("doc_id", doc_id)
+    return whole.unionByName(rows.where("label is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))).withColumnRenamed("doc_id", doc_id)
 
 
-def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def representatives(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, most: int = 250_000) -> DataFrame:
     """One row of `docs` for each group of linked rows, with the columns of `docs`: that with the smallest id (null
-    last); of rows that repeat it, one. Rows without a set all stay."""
-    rows, row = numbered(docs)
-    found = join(rows, doc_id=row, text=text, **options).where("n_shingles > 0").join(rows.select(row, F.col(doc_id).alias("named")), row)
-    found = stored(found.select(row, "component_id", F.struct(F.col("named").isNull().alias("none"), F.col("named").alias("id"), F.col(row).alias("row")).alias("order")), "nearcopies-found")
-    best = found.groupBy("component_id").agg(F.min("order").alias("best"))
-    gone = stored(found.join(best, "component_id").where("order.row <> best.row").select(row), "nearcopies-gone")
-    return rows.join(gone, row, "left_anti").drop(row)
+    last), and of rows that repeat it the one whose text has the least digest; of rows that repeat id and text, one.
+    Rows without a set all stay.
+
+    Rows are told by id and digest of the text. What goes is broadcast up to `most` rows of 24 bytes, else joined."""
+    work = Join(docs, doc_id, text, words, percent)
+    scratch, key, name = work.scratch, f"key_{uuid.uuid4().hex}", f"id_{uuid.uuid4().hex}"
+    rows = work.named().where("label is not null").select("label", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "body").alias("order"))
+    best = scratch.store(rows.groupBy("label").agg(F.min("order").alias("best"), F.count(F.lit(1)).alias("n")), "best")
+    other = rows.join(best.where("n > 1"), "label")
+    gone = scratch.store(other.where("order <> best").select(F.col("order.id").alias(name), F.col("order.body").alias(key)).distinct(), "gone")
+    again = other.where("order = best").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.first("best").alias("best")).where("n > 1")
+    again = scratch.store(again.select(F.col("best.id").alias(name), F.col("best.body").alias(key)), "again")
+    told = docs.withColumn(name, F.col(doc_id).cast("long")).withColumn(key, F.unhex(F.substring(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256), 1, 32)))
+    small = lambda t: F.broadcast(t) if t.count() <= most else t
+    same = lambda t: told[name].eqNullSafe(t[name]) & (told[key] == t[key])
+    dropped = small(gone)
+    kept = told.join(dropped, same(gone), "left_anti")
+    if not again.isEmpty():
+        twins = small(again)
+        rest = kept.join(twins, kept[name].eqNullSafe(again[name]) & (kept[key] == again[key]), "left_anti")
+        kept = rest.unionByName(kept.join(twins, kept[name].eqNullSafe(again[name]) & (kept[key] == again[key]), "left_semi").dropDuplicates([name, key]))
+    return kept.select(*docs.columns)
 
 
 def brute_force(docs: list[tuple], words: int = 5, percent: int = 80) -> list[tuple]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, packed, parallelism, read_bytes, shared_dir, stored, texts_of, write_bytes
+from .common import Rolling, Scratch, packed, parallelism, read_bytes, texts_of, write_bytes
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -55,8 +55,9 @@ def difference_set(q: int) -> tuple[int, np.ndarray]:
     raise ValueError(f"{q} is no prime")
 
 
-def pack(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str = "text", batch: int = 4 << 20) -> DataFrame:
+def pack(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", batch: int = 4 << 20) -> DataFrame:
     """The texts in files; per file: path, ids (of its documents), places (their texts), sizes and digests of its texts."""
+    folder = scratch.folder("texts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("path", pa.string()), ("ids", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("digests", pa.list_(pa.binary()))])
@@ -70,16 +71,16 @@ def pack(docs: DataFrame, folder: str, *, doc_id: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_pylist([{"path": path, "ids": part.column("key").to_pylist(), "places": places, "sizes": [len(t) for t in distinct], "digests": [hashlib.sha256(t).digest() for t in distinct]}], kind)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("key"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"))
-    return stored(rows.mapInArrow(run, "path string, ids array<bigint>, places array<int>, sizes array<int>, digests array<binary>"), "substrings-batches")
+    return scratch.store(rows.mapInArrow(run, "path string, ids array<bigint>, places array<int>, sizes array<int>, digests array<binary>"), "batches")
 
 
-def copies(batches: DataFrame) -> DataFrame:
+def copies(batches: DataFrame, scratch: Scratch) -> DataFrame:
     """batches with `twins`: for each text that other batches hold too, its place and whether it is the one that goes on."""
     texts = batches.select("path", F.posexplode("digests").alias("place", "digest"))
     same = Window.partitionBy("digest")
     told = texts.withColumn("n", F.count(F.lit(1)).over(same)).withColumn("nth", F.row_number().over(same.orderBy("path", "place"))).where("n > 1")
     twins = told.groupBy("path").agg(F.collect_list(F.struct("place", (F.col("nth") == 1).alias("first"))).alias("twins"))
-    return stored(batches.drop("digests").join(twins, "path", "left"), "substrings-copies")
+    return scratch.store(batches.drop("digests").join(twins, "path", "left"), "copies")
 
 
 class Batch:
@@ -135,8 +136,9 @@ def _masked(masks: list | None, n: int) -> np.ndarray:
     return out
 
 
-def exchange(batches: DataFrame, keys: Callable[[dict], np.ndarray], name: str, buckets: int, width: int) -> DataFrame:
-    """batches with the column `name`: which of a batch's distinct keys, sorted, occur again in it or in another batch.
+def exchange(batches: DataFrame, keys: Callable[[dict], np.ndarray], name: str, buckets: int, width: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(batches with the column `name`, the stored table behind it): which of a batch's distinct keys, sorted, occur again
+    in it or in another batch.
 
     Keys go out once a batch, `width` leading bytes each, to a bucket by their value; a bucket is sorted in one task."""
     step = -(-(1 << 64) // buckets)
@@ -169,8 +171,8 @@ def exchange(batches: DataFrame, keys: Callable[[dict], np.ndarray], name: str,
 
     sent = batches.mapInArrow(send, "bucket int, path string, n int, keys binary, again binary")
     masks = sent.groupBy("bucket").applyInArrow(sort, "path string, bucket int, n int, bits binary")
-    gathered = stored(masks.groupBy("path").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias(name)), "substrings-masks")
-    return batches.join(gathered, "path", "left")
+    gathered = scratch.store(masks.groupBy("path").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias(name)), "masks")
+    return batches.join(gathered, "path", "left"), gathered
 
 
 def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 400, q: int = 13) -> tuple[DataFrame, Callable[[dict], Iterator[tuple]]]:
@@ -180,7 +182,8 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leng
     if length <= difference_set(q)[0]:
         raise ValueError("length must exceed the cover's period")
     buckets = 2 * parallelism(spark)
-    batches = copies(pack(docs, shared_dir(spark, "substrings"), doc_id=doc_id, text=text))
+    scratch = Scratch(spark, "substrings")
+    batches = copies(pack(docs, scratch, doc_id=doc_id, text=text), scratch)
 
     def sampled(row: dict) -> np.ndarray:
         b = Batch(row, length, q)
@@ -197,8 +200,8 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leng
         return b.keys(at, length)
 
     # The sample's ranks only tell what to look at, so six bytes of a key do.
-    batches = exchange(batches, sampled, "sampled", buckets, 6)
-    batches = exchange(batches, suffixes, "tied", buckets, 8)
+    batches, _ = exchange(batches, sampled, "sampled", buckets, 6, scratch)
+    batches, _ = exchange(batches, suffixes, "tied", buckets, 8, scratch)
 
     def marks(row: dict) -> Iterator[tuple]:
         b, at = tied_suffixes(row)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm import decontaminate, licenses, mixing, nearcopies, secrets, substrings, tokens, topk, toxicity, warc
+from gristmill.llm import common, decontaminate, licenses, mixing, nearcopies, secrets, substrings, tokens, topk, toxicity, warc
 from gristmill.llm.components import components
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -283,7 +283,7 @@ def test_stragglers_are_compared_with_all(spark, docs, monkeypatch):
     work = nearcopies.Join(frame(spark, docs), "doc_id", "text", 5, 80)
     classes = work.classes()
     links = work.stragglers(classes.select("class"), classes)
-    labels = components(links)
+    labels = components(links, work.scratch)
     rows = work.docs.where("class is not null").join(labels.withColumnRenamed("node", "class"), "class", "left").select("doc_id", F.coalesce("label", "class").alias("l"))
     least = rows.groupBy("l").agg(F.min("doc_id").alias("c"))
     found = got(rows.join(least, "l"), "doc_id", "c")
@@ -315,9 +315,9 @@ def test_components(spark):
     rng = random.Random(4)
     names = [rng.getrandbits(62) for _ in range(300)]
     edges = [(names[i], names[i + 1]) for i in range(150)] + [(names[200], names[i]) for i in range(201, 260)] + [(names[1], names[1])]
-    out = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    out = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long"), common.Scratch(spark, "t")).collect()}
     assert len({out[n] for n in names[:151]}) == 1 and len({out[n] for n in names[200:260]}) == 1 and out[names[0]] != out[names[200]]
-    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert components(spark.createDataFrame([], "a long, b long"), common.Scratch(spark, "t")).count() == 0
 
 
 def test_toxicity(spark):
