@@ -14,11 +14,11 @@ task leaves at most files that nobody reads.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import io
 import json
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -80,13 +80,13 @@ class PerfectHash:
         return out
 
 
-def _values(keys: np.ndarray, null: np.ndarray) -> np.ndarray:
-    """Keys as distinct hash inputs; the null key is the one that no integer shares in the fingerprint's bit 0."""
-    return np.where(null, np.uint64(0x5851F42D4C957F2D), mixed(keys.astype(np.uint64)))
+def _values(keys: np.ndarray) -> np.ndarray:
+    """Keys as distinct hash inputs."""
+    return mixed(keys.astype(np.uint64))
 
 
-def _fingerprints(keys: np.ndarray, null: np.ndarray) -> np.ndarray:
-    return ((mixed(keys.astype(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)) << np.uint64(1) | null.astype(np.uint64)).astype(np.uint32)
+def _fingerprints(keys: np.ndarray) -> np.ndarray:
+    return (mixed(keys.astype(np.uint64) ^ np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(32)).astype(np.uint32)
 
 
 def pack_index(keys: list[int | None], counts: list[int], width: int) -> bytes:
@@ -95,11 +95,13 @@ def pack_index(keys: list[int | None], counts: list[int], width: int) -> bytes:
     flat = np.array([k or 0 for k in keys], dtype=np.int64)
     starts = np.concatenate([[0], np.cumsum(np.asarray(counts, dtype=np.uint64))]).astype("<u8")
     first = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (null[1:] != null[:-1])]) if len(flat) else np.zeros(0, bool))
-    own, own_null = flat[first], null[first]
-    found = PerfectHash.build(_values(own, own_null))
-    slots = found.slots(_values(own, own_null))
+    # Null keys, which no hash value is left for, come first; their number tells where they are.
+    first = first[~null[first]]
+    own = flat[first]
+    found = PerfectHash.build(_values(own))
+    slots = found.slots(_values(own))
     prints, places, repeats = np.zeros(len(own), "<u4"), np.zeros(len(own), "<u4"), np.zeros(len(own), "<u4")
-    prints[slots], places[slots], repeats[slots] = _fingerprints(own, own_null), first, np.diff(np.append(first, len(flat)))
+    prints[slots], places[slots], repeats[slots] = _fingerprints(own), first, np.diff(np.append(first, len(flat)))
     out = io.BytesIO()
     out.write(MAGIC + struct.pack("<IQQI", width, len(flat), len(own), len(found.sizes)))
     for part in (np.asarray(found.sizes, "<u8"), np.packbits(found.bits), prints, places, repeats, flat.astype("<i8"), np.packbits(null), starts):
@@ -134,10 +136,10 @@ class Shard:
 
     def find(self, keys: np.ndarray, null: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(first document, number of documents) of each key; 0 documents where the shard lacks it."""
-        slots = self.hash.slots(_values(keys, null))
+        slots = np.where(null, -1, self.hash.slots(_values(keys)))
         known = slots >= 0
-        known[known] = self.prints[slots[known]] == _fingerprints(keys, null)[known]
-        place, n = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        known[known] = self.prints[slots[known]] == _fingerprints(keys)[known]
+        place, n = np.zeros(len(keys), np.int64), np.where(null, int(self.null.sum()), 0)
         place[known], n[known] = self.places[slots[known]], self.repeats[slots[known]]
         return place, n
 
@@ -153,25 +155,51 @@ class Shard:
         return [self.ids(int(place[0]) + i) for i in range(int(n[0]))]
 
 
-#: White space of the pre-tokeniser's pattern: Python's, without the four separators 1C to 1F. A pre-token never
-#: goes from other characters into white space, nor from letters, digits or punctuation into another of the three, so
-#: a run of white space with the run of one kind after it is encoded alone. The run must not touch an apostrophe or a
-#: character beyond Latin letters, whose kind this pattern does not know: then it goes on to the next white space.
-_PIECE = re.compile(r"[^\S\x1c-\x1f]*(?:[A-Za-zÀ-ÖØ-öø-ɏ]++(?![^\x00-&(-\x7fÀ-ÖØ-öø-ɏ])|[0-9]++(?![^\x00-&(-\x7fÀ-ÖØ-öø-ɏ])|[!-&(-/:-@\[-`{-~]++(?![^\x00-&(-\x7fÀ-ÖØ-öø-ɏ])|(?:\S|[\x1c-\x1f])+)|[^\S\x1c-\x1f]+")
-#: The same, cut at white space alone: for texts that hold an added token, which may go from one kind into another.
-_RUN = re.compile(r"[^\S\x1c-\x1f]*(?:\S|[\x1c-\x1f])+|[^\S\x1c-\x1f]+")
+#: Kinds of bytes, as the pre-tokeniser's pattern tells them apart: white space, letters, digits, signs. What it may
+#: take otherwise is UNSURE: apostrophes (contractions), control characters, and all beyond Latin letters.
+_SPACE, _LETTER, _DIGIT, _SIGN, _UNSURE = range(5)
+_KIND = np.full(256, _UNSURE, np.uint8)
+_KIND[[9, 10, 12, 13, 32]] = _SPACE
+_KIND[33:127] = _SIGN
+_KIND[48:58] = _DIGIT
+_KIND[65:91] = _KIND[97:123] = _LETTER
+_KIND[39] = _UNSURE
+#: Last bytes of white space beyond ASCII in UTF-8, and control characters: a cut after these might split white space.
+_LAST_OF_SPACE = np.zeros(256, bool)
+_LAST_OF_SPACE[[*range(0, 32), 127, *range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
+
+
+def piece_starts(data: np.ndarray) -> np.ndarray:
+    """Whether each byte begins a piece that can be encoded alone: a pre-token never goes on into white space, nor from
+    letters, digits or signs into another of the three; white space stays with what follows it."""
+    kind = _KIND[data]
+    lead = np.flatnonzero((data >= 0xC3) & (data <= 0xC9))
+    lead = lead[lead + 1 < len(data)]
+    after = data[lead + 1]
+    lead = lead[(after & 0xC0 == 0x80) & ~((data[lead] == 0xC3) & ((after == 0x97) | (after == 0xB7)))]
+    kind[lead] = kind[lead + 1] = _LETTER  # Latin letters of two bytes
+    out = np.ones(len(data), bool)
+    before, own = kind[:-1], kind[1:]
+    space = (own == _SPACE) & (before != _SPACE) & ~((before == _UNSURE) & _LAST_OF_SPACE[data[:-1]])
+    out[1:] = space | (own != before) & (before != _SPACE) & (own != _SPACE) & (before != _UNSURE) & (own != _UNSURE)
+    return out
 
 
 class Encoder:
     """A tokenizer file's encode(text, add_special_tokens=False), with a bounded memory of encoded pieces where the
-    pre-tokeniser lets a text be cut at white space."""
+    pre-tokeniser lets a text be cut.
 
-    def __init__(self, path: str, most: int = 300_000):
+    Texts are cut and their pieces told apart in vectors; each distinct piece of a batch is looked up once, and only
+    new ones reach the tokenizer."""
+
+    LONG = 64  # longer pieces are not remembered
+
+    def __init__(self, path: str, most: int = 600_000):
         # A task has one core: threads of the library's own would only wait for each other.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.known, self.before = Tokenizer.from_file(path), most, {}, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
@@ -180,46 +208,89 @@ class Encoder:
         plain = plain and not spec.get("normalizer") and not any(t.get("lstrip") or t.get("rstrip") or any(c.isspace() for c in t["content"]) for t in added)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
-        self.lengths, self.added = None, [t["content"] for t in added]
+        self.lengths, self.added = None, [t["content"].encode() for t in added]
         if plain:
             self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)
             own = {t["id"]: len(t["content"].encode()) for t in added}
             for token, k in vocabulary.items():
                 self.lengths[k] = own.get(k, len(token))
-
-    def _learn(self, new: list[str]) -> None:
-        kind = f"<u{self.width}"
-        joined = [x for x in new if x[0].isspace() and not x[-1].isspace()]
-        for x, e in zip(rest := [x for x in new if not (x[0].isspace() and not x[-1].isspace())], self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            self.known[x] = np.asarray(e.ids, kind).tobytes()
+        self._forget()
+
+    def _forget(self) -> None:
+        """`ids` holds those of all known pieces, `from_` and `upto` where each piece's are."""
+        self.known: dict[bytes, int] = {}
+        self.ids, self.n_ids = np.zeros(1 << 16, f"<u{self.width}"), 0
+        self.from_, self.upto = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Encodes pieces and appends them, in an order of its own. Those from white space to something else are
+        encoded in one text, as the pre-tokeniser cuts between them."""
+        blank = lambda c: _KIND[c] == _SPACE
+        apart = [blank(x[0]) and not blank(x[-1]) and not _LAST_OF_SPACE[x[-1]] for x in new]
+        joined = [x for x, a in zip(new, apart) if a]
+        rest = [x for x, a in zip(new, apart) if not a]
+        parts, sizes = [], []
         if joined:
-            ids = np.asarray(self.tokenizer.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, np.int64)
-            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(x.encode()) for x in joined])) + 1
-            data = ids.astype(kind).tobytes()
-            at = 0
-            for x, end in zip(joined, (ends * self.width).tolist()):
-                self.known[x] = data[at:end]
-                at = end
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian bytes of `width` each. Equal texts are encoded once."""
-        distinct = list(dict.fromkeys(texts))
+            ids = np.asarray(self.tokenizer.encode_batch_fast([b"".join(joined).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum([len(x) for x in joined])) + 1
+            if ends[-1] != len(ids):  # bytes that are no UTF-8 have other lengths
+                rest, joined = rest + joined, []
+            else:
+                parts.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+        if rest:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([x.decode("utf-8", "replace") for x in rest], add_special_tokens=False)]
+            parts.append(np.array([i for e in found for i in e], np.int64))
+            sizes.append(np.array([len(e) for e in found], np.int64))
+        flat, lengths = np.concatenate(parts), np.concatenate(sizes)
+        at, k = self.n_ids, len(self.known)
+        while len(self.ids) < at + len(flat):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.from_) < k + len(lengths):
+            self.from_, self.upto = (np.concatenate([x, np.zeros_like(x)]) for x in (self.from_, self.upto))
+        self.ids[at : at + len(flat)] = flat
+        self.upto[k : k + len(lengths)] = at + np.cumsum(lengths)
+        self.from_[k : k + len(lengths)] = self.upto[k : k + len(lengths)] - lengths
+        self.n_ids = at + len(flat)
+        self.known.update(zip(joined + rest, range(k, k + len(lengths))))
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts, how many of them each text has). Bytes that are no UTF-8 are replaced."""
         if self.lengths is None:
-            found = [np.asarray(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(distinct, add_special_tokens=False)]
-        else:
-            cut = [(_RUN if any(a in t for a in self.added) else _PIECE).findall(t) for t in distinct]
-            # Two generations: a piece that the young one lacks is taken over from the old one or learnt.
-            if len(self.known) > self.most:
-                self.known, self.before = {}, self.known
-            new = set().union(*cut).difference(self.known)
-            old = new.intersection(self.before)
-            self.known.update((x, self.before[x]) for x in old)
-            if new := new - old:
-                self._learn(list(new))
-            get = self.known.__getitem__
-            found = [b"".join(map(get, c)) for c in cut]
-        known = dict(zip(distinct, found))
-        return [known[t] for t in texts]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)]
+            return np.array([i for e in found for i in e], f"<u{self.width}"), np.array([len(e) for e in found], np.int64)
+        if len(self.known) > self.most:
+            self._forget()
+        edges = np.cumsum([0, *map(len, texts)])
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        if not len(data):
+            return self.ids[:0], np.zeros(len(texts), np.int64)
+        begins = piece_starts(data)
+        for k, t in enumerate(texts):  # an added token may go from one kind into another: such a text is one piece
+            if any(a in t for a in self.added):
+                begins[edges[k] : edges[k + 1]] = False
+        begins[edges[:-1][np.diff(edges) > 0]] = True
+        starts = np.flatnonzero(begins)
+        cuts = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.binary(), len(starts), [None, cuts, pa.py_buffer(data)]).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [x for x in distinct if x not in self.known]
+        new.sort(key=len)
+        short = bisect.bisect_right(new, self.LONG, key=len)
+        if short:
+            self._learn(new[:short])
+        held = self.n_ids
+        if new[short:]:
+            self._learn(new[short:])
+        place = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        first, n = self.from_[place], self.upto[place] - self.from_[place]
+        upto = np.cumsum(n)
+        out = self.ids[np.repeat(first - upto + n, n) + np.arange(upto[-1])]
+        for x in new[short:]:
+            del self.known[x]
+        self.n_ids = held
+        before = np.concatenate([[0], upto])[np.searchsorted(starts, edges)]
+        return out, np.diff(before)
 
 
 @functools.lru_cache(maxsize=1)
@@ -232,18 +303,17 @@ def _write(folder: str, tokenizer: str, end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, shard, path, out = encoder(tokenizer), TaskContext.get().partitionId(), f"{folder}/shard-{uuid.uuid4().hex}", None
-        tail = np.asarray([end], f"<u{coder.width}").tobytes()
         keys: list = []
         counts: list[int] = []
         for part in packed(batches, "body", 2 << 20):
-            ids = coder.encode([t.decode("utf-8", "replace") for t in texts_of(part.column("body"))])
+            ids, n = coder.encode(texts_of(part.column("body")))
             if out is None:
                 system, at = storage(path)
                 system.create_dir(at.rsplit("/", 1)[0], recursive=True)
                 out = system.open_output_stream(at + ".ids", compression=None)
-            out.write(b"".join(x + tail for x in ids))
+            out.write(np.insert(ids, np.cumsum(n), end).tobytes())
             keys += part.column("key").to_pylist()
-            counts += [len(x) // coder.width + 1 for x in ids]
+            counts += (n + 1).tolist()
         if out is not None:
             out.close()
             write_bytes(path + ".mph", pack_index(keys, counts, coder.width))
@@ -252,15 +322,18 @@ def _write(folder: str, tokenizer: str, end: int):
     return run
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end: int = 0) -> DataFrame:
+def write(docs: DataFrame, folder: str, tokenizer: str, *, doc_id: str = "doc_id", text: str = "text", end: int = 0, shard_bytes: int = 128 << 20) -> DataFrame:
     """Writes the shards under `folder` and returns the manifest: shard (its place in key order), path, n_docs,
     n_tokens, first_key, last_key.
 
     Null keys come first, null text is empty; every document ends with the id `end`. Documents with equal keys keep
-    an order by a hash of their text. An empty table writes no shard."""
+    an order by a hash of their text. An empty table writes no shard. Ids are integers. There are as many shards as
+    shuffle partitions, and more where that would be over `shard_bytes` of text for each."""
     rows = docs.select(F.col(doc_id).cast("long").alias("key"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body")).withColumn("tie", F.xxhash64("body"))
     order = (F.col("key").asc_nulls_first(), F.col("tie").asc())
-    ranged = rows.repartitionByRange(parallelism(docs.sparkSession), *order).sortWithinPartitions(*order).select("key", "body")
+    size = rows.agg(F.sum(F.octet_length("body") + 16)).first()[0] or 0
+    shards = max(parallelism(docs.sparkSession), -(-size // shard_bytes))
+    ranged = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("key", "body")
     manifest = ranged.mapInArrow(_write(folder, tokenizer, end), "shard int, path string, n_docs long, n_tokens long, first_key long, last_key long")
     manifest.write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(manifest.schema).parquet(f"{folder}/manifest")
@@ -277,12 +350,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if ((nth < 0) | (nth >= repeats)).any():
                 raise ValueError(f"{r['path']}: the index does not lead to its documents")
             at = places + nth
-            for lo in range(0, shard.n_docs, 4096):
-                hi = min(lo + 4096, shard.n_docs)
+            lo = 0
+            while lo < shard.n_docs:  # documents of about a million ids at once
+                hi = min(max(lo + 1, int(np.searchsorted(shard.starts, shard.starts[lo] + (1 << 20), side="right")) - 1), shard.n_docs)
                 ids, base = shard.ids(lo, hi), shard.starts[lo]
                 cuts = (shard.starts[at[lo:hi]] - base, shard.starts[at[lo:hi] + 1] - base)
                 crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(*(c.tolist() for c in cuts))]
                 yield pa.RecordBatch.from_arrays([pa.array(shard.keys[lo:hi], mask=shard.null[lo:hi]), pa.array(r["base"] + shard.starts[at[lo:hi]]), pa.array(cuts[1] - cuts[0]), pa.array(crc, pa.int64())], schema=kind)
+                lo = hi
 
 
 def read(manifest: DataFrame) -> DataFrame:

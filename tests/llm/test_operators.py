@@ -122,10 +122,17 @@ def test_tokens_keyed_access(spark, docs, tmp_path):
 def test_pieces_equal_whole_encoding():
     rng = random.Random(3)
     coder = tokens.Encoder(TOKENIZER, most=50)
-    signs = ["a", "bc", " ", "  ", "\n", "\t", ".", "'s", "'ll", "1", "23", "é", "　", "\x1c", "\x85", "​", "-", "<|endoftext|>", "😀"]
-    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(400)]
+    signs = ["a", "bc", " ", "  ", "\n", "\t", "\x0b", "\x0c", "\r\n", ".", ",(", "'s", "'ll", "'", "1", "23", "é", "ß", "ÿ", "ɏ", "×", "÷", "ª", "²", "½", "я", "語", "\u3000", "\xa0", "\u2028", "\x00", "\x1c", "\x85", "​", "-", "—", "«", "<|endoftext|>", "😀", "long" * 30]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(3000)]
     whole = [e.ids for e in coder.tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert [np.frombuffer(x, "<u2").tolist() for x in coder.encode(texts)] == whole
+    for at in range(0, len(texts), 100):
+        ids, n = coder.encode([t.encode() for t in texts[at : at + 100]])
+        ends = np.cumsum(n)
+        assert [ids[b - k : b].tolist() for b, k in zip(ends, n)] == whole[at : at + 100]
+    assert coder.encode([])[1].tolist() == [] and coder.encode([b"", b""])[1].tolist() == [0, 0]
+    broken = [b"caf\xc3", b"\xff ab", b"a\xe3\x80 b", b"x\xc3 y"]
+    ids, n = coder.encode(broken)
+    assert ids.tolist() == [i for t in broken for i in coder.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids]
 
 
 def test_perfect_hash():
