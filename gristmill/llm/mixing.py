@@ -17,10 +17,12 @@ row a source are the only ones held whole; they are joined by size, not by hint.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, stored
+from .common import Scratch, parallelism
 
 #: Fixed value: the fractional part of the golden ratio.
 PHI = 0.6180339887498949
@@ -58,15 +60,25 @@ def _ranked(df: DataFrame, keys: list[str], bucket: str, order: list, amount) ->
     return out.join(sums, [*keys, bucket]).withColumn("before", F.col("_base") + F.col("_in")).drop("_base", "_in")
 
 
-def laid_out(sizes: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+def laid_out(sizes: DataFrame, sources: DataFrame, seed: int, scratch: Scratch) -> DataFrame:
     """Documents with words: id, size, source_id, source_size, target and `before`, their first word's position in the
-    source's shuffled stream. Rows that agree in id and size are interchangeable."""
-    per_bucket = 1000
-    known = sizes.where("size > 0").join(sources.select("source", "source_id", "source_size", "n_docs", "target"), sizes["source"].eqNullSafe(sources["source"])).drop("source")
+    source's shuffled stream. Rows that agree in source, id and size are interchangeable: they are counted before
+    anything is dealt, lie next to each other, and are told apart again by their number."""
+    per_bucket, run = 1000, 4096
+    rows = sizes.where("size > 0").groupBy("source", "id", "size").agg(F.count(F.lit(1)).alias("copies"))
+    known = rows.join(sources.select("source", "source_id", "source_size", "n_docs", "target"), rows["source"].eqNullSafe(sources["source"])).drop("source")
     buckets = F.greatest(F.lit(1), F.col("n_docs").cast("long") / per_bucket).cast("long")
     draw = F.pmod(F.xxhash64("id", "size", F.lit(seed)), F.lit(1 << 40))
     known = known.withColumn("draw", draw).withColumn("bucket", F.shiftrightunsigned(F.col("draw"), 20) * buckets / (1 << 20)).withColumn("bucket", F.col("bucket").cast("long"))
-    return _ranked(known, ["source_id"], "bucket", ["draw", "id", "size"], F.col("size")).drop("bucket", "draw", "n_docs")
+    laid = scratch.store(_ranked(known, ["source_id"], "bucket", ["draw", "id", "size"], F.col("size") * F.col("copies")).drop("bucket", "draw", "n_docs"), "laid")
+    most = laid.agg(F.max("copies")).first()[0] or 0
+    if most > 1:
+        laid = laid.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / run))))
+        if most > run:  # one key's rows are numbered by as many tasks as others'
+            laid = laid.repartition(parallelism(sizes.sparkSession), "before", "run")
+        nth = F.explode(F.sequence(F.col("run") * run, F.least((F.col("run") + 1) * run, "copies") - 1))
+        laid = laid.withColumn("nth", nth).withColumn("before", F.col("before") + F.col("nth") * F.col("size")).drop("run", "nth")
+    return laid.drop("copies")
 
 
 def slots(sources: DataFrame, block: int) -> DataFrame:
@@ -101,25 +113,24 @@ def pieces(laid: DataFrame, block: int, repeats: int) -> DataFrame:
     return cut.select("source_id", "rank", "before", "id", "size", "epoch", (start - F.col("at")).alias("first"), (stop - start).alias("words"))
 
 
-def schedule(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = 1024, repeats: int = 3, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(mix, laid, sizes): the mix as pieces in slot order (slot, source_id, id, epoch, first, words, ...), the
-    documents' places, and their sizes. Null text has no words; null is a source of its own, the last."""
+def schedule(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", block: int = 1024, repeats: int = 3, seed: int = 1) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(mix, laid, sources, sizes): the mix as pieces in slot order (slot, source_id, id, epoch, first, words, ...), the
+    documents' places, the sources and the documents' sizes. Null text has no words; null is a source of its own, the
+    last."""
     sizes = docs.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(_WORDS)), F.lit(0)).cast("long").alias("size"))
-    sizes = stored(sizes, "mixing-sizes")
-    sources = stored(targets(sizes, repeats), "mixing-sources")
-    laid = laid_out(sizes, sources, seed)
+    sizes = scratch.store(sizes, "sizes")
+    sources = scratch.store(targets(sizes, repeats), "sources")
+    laid = laid_out(sizes, sources, seed, scratch)
     mix = pieces(laid, block, repeats).join(slots(sources, block), ["source_id", "rank"])
-    return mix, sources, sizes
+    return mix, laid, sources, sizes
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
     """Per row of `docs`: doc_id, size, source_size, target (its source's), taken (words the mix takes, repeats counted)."""
-    mix, sources, sizes = schedule(docs, **options)
-    drawn = mix.groupBy("source_id", "before", "id", "size").agg(F.sum("words").alias("taken"))
+    mix, laid, sources, sizes = schedule(docs, Scratch(docs.sparkSession, "mixing"), **options)
     # A document's place in its source names its row, so repeated ids stay apart; documents the mix leaves out have taken 0.
-    repeats, seed = options.get("repeats", 3), options.get("seed", 1)
-    laid = laid_out(sizes, sources, seed).select("source_id", "before", "id", "size", "source_size", "target")
-    kept = laid.join(drawn.select("source_id", "before", "taken"), ["source_id", "before"], "left")
+    drawn = mix.groupBy("source_id", "before").agg(F.sum("words").alias("taken"))
+    kept = laid.select("source_id", "before", "id", "size", "source_size", "target").join(drawn, ["source_id", "before"], "left")
     empty = sizes.where("size = 0").join(sources, sizes["source"].eqNullSafe(sources["source"])).select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     out = kept.select("id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")).unionByName(empty)
     return out.withColumnRenamed("id", options.get("doc_id", "doc_id"))
@@ -128,7 +139,10 @@ def report(docs: DataFrame, **options) -> DataFrame:
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs` as often as a pass of the mix begins with their first word, 0 to `repeats` times, with the
     columns of `docs`: the schedule rounded to whole documents. Rows without words are never drawn."""
-    rows, row = numbered(docs)
-    mix, _, _ = schedule(rows, **(options | {"doc_id": row}))
-    times = stored(mix.where("first = 0").groupBy(F.col("id").alias(row)).agg(F.count(F.lit(1)).cast("int").alias(f"n_{row}")), "mixing-times")
+    scratch = Scratch(docs.sparkSession, "mixing")
+    row = f"row_{uuid.uuid4().hex}"
+    rows = scratch.store(docs.withColumn(row, F.monotonically_increasing_id()), "rows")  # written, so that the numbers stay
+    mix, _, _, _ = schedule(rows, scratch, **(options | {"doc_id": row}))
+    times = scratch.store(mix.where("first = 0").groupBy(F.col("id").alias(row)).agg(F.count(F.lit(1)).cast("int").alias(f"n_{row}")), "times")
+    scratch.drop(*(t for t, _ in scratch.tables if t is not rows and t is not times))
     return rows.join(times, row).withColumn(f"n_{row}", F.explode(F.sequence(F.lit(1), F.col(f"n_{row}")))).select(*docs.columns)

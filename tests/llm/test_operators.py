@@ -93,8 +93,51 @@ def test_mixing(spark, docs):
     assert mixed.columns == frame(spark, docs).columns and mixed.count() > 0
 
 
+def test_mixing_takes_what_the_slots_give(spark, docs):
+    """`taken` of every row against a walk over the slots: slot by slot, block by block, word by word."""
+    block = 64
+    rows = docs + [(95, "the same row again", "en", "s1")] * 9000 + [(None, "no id", "en", "s2")] * 7
+    mix, laid, sources, sizes = mixing.schedule(frame(spark, rows), common.Scratch(spark, "t"), block=block)
+    per = {r["source_id"]: r for r in sources.collect()}
+    stream = {s: [None] * r["source_size"] for s, r in per.items()}
+    for r in laid.collect():
+        for k in range(r["size"]):
+            assert stream[r["source_id"]][r["before"] + k] is None  # places do not overlap
+            stream[r["source_id"]][r["before"] + k] = (r["before"], r["id"], r["size"])
+    assert all(None not in x for x in stream.values())
+    taken = {}
+    slots = sorted((r["slot"], r["source_id"], r["rank"]) for r in mixing.slots(sources, block).collect())
+    for _, s, rank in slots:
+        goal = int(per[s]["target"] + 0.5)
+        for word in range(rank * block, min((rank + 1) * block, goal)):
+            key = (s, *stream[s][word % per[s]["source_size"]])
+            taken[key] = taken.get(key, 0) + 1
+    expected = [(key[2], key[3], taken.get(key, 0)) for s, x in stream.items() for key in {(s, *w) for w in x}]
+    size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    expected += [(r[0], 0, 0) for r in rows if not size(r[1])]
+    assert got(mixing.report(frame(spark, rows), block=block), "doc_id", "size", "taken") == ordered(expected)
+
+
+def test_mixed_rows_follow_the_schedule(spark, docs):
+    """Whole rows, 0 to 3 times, and in sum about what the targets ask of each source."""
+    rows = [(i, prose(random.Random(i), 5 + i % 40), "en", f"s{i % 3}") for i in range(3000)]
+    out = mixing.mixed_rows(frame(spark, rows))
+    times = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
+    assert set(times.values()) <= {1, 2, 3}
+    words, want = {}, {}
+    for r in rows:
+        n = len(r[1].split())
+        words[r[3]] = words.get(r[3], 0) + n * times.get(r[0], 0)
+        want[r[3]] = want.get(r[3], 0) + n
+    total = sum(want.values())
+    for k, s in enumerate(sorted(want)):
+        assert abs(words[s] - total * (k + 1) / 6) <= 200  # a third or so of the largest text for each of the cuts
+    assert mixing.mixed_rows(frame(spark, [])).count() == 0
+    assert mixing.mixed_rows(frame(spark, [(1, None, "en", None), (None, "a b", "en", None), (None, "a b", "en", None)])).count() >= 1
+
+
 def test_mixing_schedule_is_whole(spark, docs):
-    mix, sources, _ = mixing.schedule(frame(spark, docs), block=64)
+    mix, _, sources, _ = mixing.schedule(frame(spark, docs), common.Scratch(spark, "t"), block=64)
     per = {r["source_id"]: r["n"] for r in mix.groupBy("source_id").agg(F.sum("words").alias("n")).collect()}
     for r in sources.collect():
         assert per.get(r["source_id"], 0) == int(r["target"] + 0.5)
