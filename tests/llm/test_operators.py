@@ -207,9 +207,9 @@ def test_topk(spark):
     rng = np.random.default_rng(2)
     rows = [(int(i), rng.normal(size=4).astype("f4").tolist()) for i in range(230)]
     rows += [(i, [0.5, 0.25, 0.0, 1.0]) for i in range(300, 340)]  # ties
-    rows += [(400, None), (450, [1.0, None, 0.0, 0.0]), (500, [float("nan")] * 4), (550, [float("inf"), 0.0, 0.0, 0.0]), (None, [9.0] * 4), (600, []), (650, [1.0, 2.0]), (300, [0.5, 0.25, 0.0, 1.0])]
+    rows += [(400, None), (450, [1.0, None, 0.0, 0.0]), (500, [float("nan")] * 4), (550, [float("inf"), 0.0, 0.0, 0.0]), (None, [9.0] * 4), (600, []), (601, []), (650, [1.0, 2.0]), (300, [0.5, 0.25, 0.0, 1.0])]
     df = topk.search(frame(spark, rows, "vec_id long, embedding array<float>, label int, rank int, score long, uid string"), tile=37, strips=3)
-    usable = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    usable = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     expected = []
     for n, (i, v) in enumerate(usable):
         if i % 50 == 0:
@@ -220,9 +220,15 @@ def test_topk(spark):
 
 
 def test_topk_large_components(spark):
-    rows = [(0, [3e17, -3e17]), (1, [2e17, 1e17]), (2, [1.0, 2.0])]
-    out = topk.search(frame(spark, rows, "vec_id long, embedding array<double>")).collect()
-    assert [(r["vec_id"], r["score"]) for r in sorted(out, key=lambda r: r["rank"])][0][0] in (1, 2) and len(out) == 2
+    """Components whose 256-fold leaves the floats' range, and scores outside 64 bits."""
+    rows = [(0, [3e17, -3e17]), (1, [2e17, 1e17]), (2, [1.0, 2.0]), (50, [1e306, 0.5]), (51, [1e306, 3.0]), (52, [1.7e308, -1.0]), (53, [-1e306, 0.1]), (100, [-3e200, 7.0])]
+    exact = {i: [int(x) * 256 if abs(x) > 2**53 else int(np.floor(256 * x)) for x in v] for i, v in rows}
+    expected = []
+    for q in (0, 50, 100):
+        scores = sorted((-sum(a * b for a, b in zip(exact[q], exact[i])), i) for i in exact if i != q)[:5]
+        expected += [(q, n + 1, i, min(max(-s, -(2**63)), 2**63 - 1)) for n, (s, i) in enumerate(scores)]
+    for tile in (2, 100):
+        assert got(topk.search(frame(spark, rows, "vec_id long, embedding array<double>"), tile=tile), "query_id", "rank", "vec_id", "score") == ordered(expected)
 
 
 def test_warc(spark):
