@@ -29,8 +29,10 @@ from .common import packed, parallelism, read_bytes, shared_dir, storage, stored
 
 MAGIC = b"WARC/1.1\r\n"
 _END = b"\r\n\r\n"
-#: Longest record header that the writer makes and the reader takes for one.
+#: Bytes that the reader looks ahead for the end of a header, at first; longer headers make it look further.
 HEADER = 1 << 16
+#: What stands for a null and for an empty URL, as a response needs a target.
+_NO_URL, _EMPTY_URL = "urn:x-no-url:null", "urn:x-no-url:empty"
 _LENGTH = re.compile(rb"\r\nContent-Length: *(\d+)\r\n", re.IGNORECASE)
 
 
@@ -38,19 +40,25 @@ def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _record(page: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
-    uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")[: HEADER // 16]
+def _urn(*names) -> str:
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, ' '.join(map(str, names)))}>"
+
+
+def _record(page: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, shared: bool, place: str) -> bytes:
+    """A record. A response that revisits refer to is named by its page and payload, which no other response shares
+    (`shared`); every other record is named by its place in the archives."""
+    uri = _NO_URL if url is None else re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) or _EMPTY_URL
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if revisit else http + payload
+    block, told = http if revisit else http + payload, digest(payload)
     lines = [
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page} {uri}')}>",
+        f"WARC-Record-ID: {_urn(page, told) if shared and not revisit else _urn(place)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
-        *([f"WARC-Target-URI: {uri}"] if uri else []),
+        f"WARC-Target-URI: {uri}",
         *([f"Page-Id: {page}"] if page is not None else []),
-        f"WARC-Payload-Digest: sha1:{digest(payload)}",
+        f"WARC-Payload-Digest: sha1:{told}",
         *(["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] if revisit else []),
-        *([f"Refers-To-Page-Id: {refers_to}"] if revisit and refers_to is not None else []),
+        *([f"WARC-Refers-To: {_urn(refers_to, told)}", f"Refers-To-Page-Id: {refers_to}"] if revisit else []),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(block)}",
     ]
@@ -63,7 +71,8 @@ def _write(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path, out, size, n = f"{folder}/pages-{uuid.uuid4().hex}.warc", None, 0, 0
         for part in packed(batches, "body", 2 << 20):
-            rows = [_record(*r) for r in zip(part.column("page").to_pylist(), part.column("url").to_pylist(), texts_of(part.column("body")), part.column("refers_to").to_pylist(), part.column("revisit").to_pylist())]
+            columns = [texts_of(part.column(c)) if c == "body" else part.column(c).to_pylist() for c in ("page", "url", "body", "refers_to", "revisit", "shared")]
+            rows = [_record(*r, f"{path} {n + k}") for k, r in enumerate(zip(*columns))]
             if out is None:
                 system, at = storage(path)
                 system.create_dir(at.rsplit("/", 1)[0], recursive=True)
@@ -81,7 +90,8 @@ def _write(folder: str):
 def write(pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = 0) -> DataFrame:
     """Writes a record per row of `pages` under `folder` and returns the manifest: path, bytes, records.
 
-    Null html is an empty payload. Of rows with equal payloads and the same largest id (repeated rows) one is the
+    Null html is an empty payload; a URL is written whole, whatever its length, and null and empty ones read back as
+    they were. Every record has an id of its own, and a revisit names its response's. Of rows with equal payloads and the same largest id (repeated rows) one is the
     response and the others revisit it. A null id is below every id; if all ids of a payload are null, every row is
     a response. An empty table writes no file."""
     spark = pages.sparkSession
@@ -92,35 +102,53 @@ def write(pages: DataFrame, folder: str, *, page_id: str = "page_id", url: str =
     # Only payloads that several rows share: as a rule a small part of all, so this table decides how the payloads are joined.
     shared = stored(groups.select("key", "last"), "warc-shared")
     told = rows.join(shared, "key", "left")
-    # Rows that repeat the response's id and payload: all but one become revisits, and a copy is told from its twins by its place.
+    # Rows that repeat the response's id and payload: all but one become revisits.
     twins = stored(keys.join(shared, "key").where("page = last").groupBy("key").count().where("count > 1").select("key", F.lit(True).alias("twin")), "warc-twins")
     told = told.join(twins, "key", "left")
     revisit = F.col("last").isNotNull() & ~F.col("page").eqNullSafe(F.col("last"))
-    plain = told.where("twin is null").withColumn("revisit", revisit).drop("twin")
-    same = told.where("twin and page = last").withColumn("nth", F.row_number().over(_by("key", "url"))).withColumn("revisit", F.col("nth") > 1).drop("nth", "twin")
-    others = told.where("twin and not page <=> last").withColumn("revisit", F.lit(True)).drop("twin")
-    every = plain if twins.isEmpty() else plain.unionByName(same).unionByName(others)
-    out = every.select("page", "url", "body", F.when(F.col("revisit"), F.col("last")).alias("refers_to"), "revisit")
+    columns = ["page", "url", "body", "last", "revisit"]
+    every = told.where("twin is null or not page <=> last").withColumn("revisit", revisit).select(*columns)
+    if not twins.isEmpty():
+        every = every.unionByName(_once(told.where("twin and page = last")).select(*columns))
+    out = every.select("page", "url", "body", F.when(F.col("revisit"), F.col("last")).alias("refers_to"), "revisit", F.col("last").isNotNull().alias("shared"))
     manifest = out.mapInArrow(_write(folder), "path string, bytes long, records long")
     manifest.write.parquet(f"{folder}/manifest")
     return spark.read.schema(manifest.schema).parquet(f"{folder}/manifest")
 
 
-def _by(key: str, url: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy(url)
+def _once(same: DataFrame, run: int = 4096) -> DataFrame:
+    """Rows that agree in key and page with `revisit`: false for one of each key, of the least URL, and true for the
+    others. They are counted by key and URL before anything is dealt, so a task holds a payload once, and made rows
+    again in runs that many tasks share."""
+    counted = stored(same.groupBy("key", "url").agg(F.first("page").alias("page"), F.first("last").alias("last"), F.first("body").alias("body"), F.count(F.lit(1)).alias("copies")), "warc-same")
+    least = counted.groupBy("key").agg(F.min(F.struct(F.col("url").isNotNull().alias("named"), "url")).alias("least")).select("key", F.col("least.url").alias("least"))
+    runs = counted.join(least, "key").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / run))))
+    if (counted.agg(F.max("copies")).first()[0] or 0) > run:
+        runs = runs.repartition(parallelism(same.sparkSession), "key", "url", "run")
+    nth = F.explode(F.sequence(F.col("run") * run, F.least((F.col("run") + 1) * run, "copies") - 1))
+    return runs.withColumn("nth", nth).withColumn("revisit", ~(F.col("url").eqNullSafe(F.col("least")) & (F.col("nth") == 0)))
 
 
 def successor(data: bytes, at: int) -> int | None:
     """Where the record that begins at `at` ends, by its header; None where no whole header follows."""
-    end = data.find(_END, at, at + HEADER)
+    end = data.find(_END, at)
     if end < 0:
         return None
     length = _LENGTH.search(data, at, end + 2)
     return None if length is None else end + 4 + int(length[1]) + 4
 
 
+def _from(path: str, start: int, length: int, at: int, size: int) -> bytes:
+    """Bytes of the file from `start`: `length` of them, and so many more that they hold the end of a header that begins
+    at `at` of them, if there is one."""
+    length = min(length, size - start)
+    data = read_bytes(path, start, length)
+    while data.find(_END, at) < 0 and length < size - start:
+        length = min(2 * length, size - start)
+        data = read_bytes(path, start, length)
+    return data
+
+
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(path, at, out): each magic in the range and where its chain leaves the range; out is null where it breaks."""
     kind = pa.schema([("path", pa.string()), ("at", pa.int64()), ("out", pa.int64())])
@@ -132,6 +160,8 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             while 0 <= at < b - a:
                 found.append(at)
                 at = data.find(MAGIC, at + 1)
+            if found:  # the last header may end beyond what was read
+                data = _from(r["path"], a, len(data), found[-1], size) if data.find(_END, found[-1]) < 0 else data
             exits: dict[int, int | None] = {}
             for at in reversed(found):
                 to = successor(data, at)
@@ -156,9 +186,9 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a, b = r["at"], r["upto"]
             data, at, out = read_bytes(r["path"], a, b - a), 0, []
             while at < b - a:
-                end, to = data.find(_END, at, at + HEADER), successor(data, at)
+                end, to = data.find(_END, at), successor(data, at)
                 if to is None or to > len(data):  # the record goes past the range
-                    more = read_bytes(r["path"], a + at, min(r["bytes"] - a - at, HEADER))
+                    more = _from(r["path"], a + at, HEADER, 0, r["bytes"])
                     end, to = more.find(_END), successor(more, 0)
                     whole = read_bytes(r["path"], a + at, to)
                     head, block, to = whole[:end], whole[end + 4 : to - 4], at + to
@@ -171,8 +201,9 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if kind_of == "response" and digest(payload) != told:
                     raise ValueError(f"{r['path']} at {a + at}: payload does not match its digest")
                 n = len(payload) if kind_of == "response" else int(_headers(http)[b"content-length"])
-                url = fields.get(b"warc-target-uri")
-                out.append((number(fields.get(b"page-id")), n, told, kind_of, number(fields.get(b"refers-to-page-id")), url and url.decode()))
+                url = fields[b"warc-target-uri"].decode()
+                url = None if url == _NO_URL else "" if url == _EMPTY_URL else url
+                out.append((number(fields.get(b"page-id")), n, told, kind_of, number(fields.get(b"refers-to-page-id")), url))
                 at = to
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), kind)], schema=kind)

@@ -251,6 +251,21 @@ def test_warc(spark):
     assert warc.report(frame(spark, [], "page_id long, url string, html string")).count() == 0
 
 
+def test_warc_urls_ids_and_repeated_rows(spark):
+    """URLs of any length come back whole; record ids differ; a revisit names its response; a hot row is one response."""
+    long = "http://x/" + "a" * 200_000
+    rows = [(1, long + "1", "x"), (2, long + "2", "y"), (2, long + "3", "y"), (3, None, "z"), (4, "", "w"), (5, "u", "MAGIC"), (5, None, "MAGIC")] + [(9, "same", "hot")] * 5000 + [(8, "other", "hot"), (None, "n", "hot")]
+    manifest = warc.write(frame(spark, rows, "page_id long, url string, html string"), warc.shared_dir(spark, "t"))
+    for split in (1000, 1 << 20):
+        out = warc.read(manifest, split=split).collect()
+        assert ordered((r["page_id"], r["url"]) for r in out) == ordered((r[0], r[1]) for r in rows)
+    hot = [r for r in out if r["payload_bytes"] == 3]
+    assert sum(r["record_type"] == "response" for r in hot) == 1 and {r["refers_to"] for r in hot if r["record_type"] == "revisit"} == {9}
+    data = b"".join(common.read_bytes(r["path"]) for r in manifest.collect())
+    ids, refers = re.findall(rb"WARC-Record-ID: (\S+)", data), re.findall(rb"WARC-Refers-To: (\S+)", data)
+    assert len(set(ids)) == len(ids) == len(rows) and set(refers) <= set(ids) and len(refers) == 5003
+
+
 def test_licenses(spark, docs):
     rows = [(r[0], r[1]) for r in docs]
     rows += [(300, "Copyright (c) 2020 Someone\n\n" + licenses.TEXTS["MIT"].upper()), (301, licenses.TEXTS["ISC"].replace("license", "licence")), (302, "text\nreleased under the MIT License\nmore"), (303, "Licensed under CC BY 4.0. And more words on the line")]
