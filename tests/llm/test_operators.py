@@ -201,6 +201,10 @@ def test_secrets_ledger_grows_by_the_unseen(spark, tmp_path):
     assert secrets.ledger(spark, at).count() == 4 and got(out, "doc_id", "n_assign") == [(3, 0), (4, 1), (5, 0)]
     secrets.scan(later, ledger_path=at, rules="base-2")
     assert secrets.ledger(spark, at).count() == 7
+    # What two updates at a time leave: the same blobs twice. Every path still has one row.
+    copy = secrets.ledger(spark, at).collect()
+    spark.createDataFrame(copy, secrets.ledger(spark, at).schema).write.mode("append").parquet(at)
+    assert got(secrets.scan(later, ledger_path=at), "doc_id", "n_assign") == [(3, 0), (4, 1), (5, 0)]
 
 
 def test_topk(spark):
@@ -273,6 +277,13 @@ def test_licenses(spark, docs):
     assert out[300]["license_id"] == "MIT" and out[301]["license_id"] == "ISC"
     assert out[302]["license_id"] is None and out[302]["notices"] == "MIT" and out[303]["notices"] == ""
     assert out[1]["canonical_sha256"] == out[2]["canonical_sha256"] == out[3]["canonical_sha256"]
+    by_words = lambda t, n: "\n".join(" ".join(w) for w in zip(*[iter(t.split() + [""] * (-len(t.split()) % n))] * n))
+    wrapped = [(1000 + i * 20 + n, "Copyright (C) 1999, 2020 A Name\nAll rights reserved.\n\n" + by_words(t, n)) for i, t in enumerate(licenses.TEXTS.values()) for n in range(3, 15)]
+    long = [(5000, "x y " * 200_000 + "\nSPDX-License-Identifier: LGPL-2.1-or-later\n"), (5000, None), (None, "Copyright 2001 by B\n" + licenses.TEXTS["Zlib"])]
+    found = sorted((r["doc_id"] or 0, r["license_id"] or "", r["notices"]) for r in licenses.scan(frame(spark, wrapped + long)).collect())
+    names = list(licenses.TEXTS)
+    assert [x[:2] for x in found[1:-2]] == [(d, names[(d - 1000) // 20]) for d, _ in wrapped]
+    assert found[0][:2] == (0, "Zlib") and found[-2:] == [(5000, "", ""), (5000, "", "LGPL-2.1")]
     assert len(licenses.scan(frame(spark, rows)).collect()) == len(rows) and licenses.scan(frame(spark, [])).count() == 0
 
 
