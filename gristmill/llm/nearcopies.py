@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, mixed, parallelism, read_bytes, word_hashes
+from .common import Rolling, Scratch, mixed, parallelism, read_bytes, trimmed, word_hashes
 from .components import components
 from .substrings import _masked, exchange, pack
 
@@ -235,7 +235,7 @@ class Join:
         self.batches = pack(docs, self.scratch, doc_id=doc_id, text=text)
         for seed in range(8):
             self.seed = seed
-            self.docs = self.scratch.store(self.batches.mapInArrow(self._classes(), "doc_id long, n long, class long, digest binary, body binary, sketch binary, path string, place int"), "docs")
+            self.docs = self.scratch.store(self.batches.mapInArrow(trimmed(self._classes()), "doc_id long, n long, class long, digest binary, body binary, sketch binary, path string, place int"), "docs")
             mixed_up = self.docs.where("n > 0").groupBy("class").agg((F.min("digest") != F.max("digest")).alias("clash")).where("clash")
             if mixed_up.isEmpty():
                 self.batches = self.batches.drop("digests")
@@ -297,7 +297,7 @@ class Join:
                         yield pa.RecordBatch.from_arrays([pa.nulls(len(short), pa.int64()), pa.array(short)], ["sig", "class"])
 
         masked, masks = exchange(batches, lambda row: keys(row)[0], "tied", 2 * parallelism(self.spark), 8, self.scratch)
-        out = self.scratch.store(masked.mapInArrow(run, "sig long, class long"), "signatures")
+        out = self.scratch.store(masked.mapInArrow(trimmed(run), "sig long, class long"), "signatures")
         self.scratch.drop(batches, masks)
         return out
 
@@ -315,7 +315,7 @@ class Join:
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(far <= bound))
 
         sized = pairs.join(b, "b").join(a, "a").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-        return sized.mapInArrow(run, "a long, b long")
+        return sized.mapInArrow(trimmed(run), "a long, b long")
 
     def verified(self, pairs: DataFrame, classes: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets are linked, by their sets."""
@@ -335,9 +335,9 @@ class Join:
                 good = [_linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b"))]
                 yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-        sets = self.scratch.store(self.batches.join(places, "path").mapInArrow(fetch, "class long, tokens binary"), "sets")
+        sets = self.scratch.store(self.batches.join(places, "path").mapInArrow(trimmed(fetch), "class long, tokens binary"), "sets")
         a, b = (sets.select(F.col("class").alias(x), F.col("tokens").alias(f"tokens_{x}")) for x in "ab")
-        out = self.scratch.store(pairs.join(b, "b").join(a, "a").mapInArrow(compare, "a long, b long"), "links")
+        out = self.scratch.store(pairs.join(b, "b").join(a, "a").mapInArrow(trimmed(compare), "a long, b long"), "links")
         self.scratch.drop(sets)
         return out
 
@@ -366,7 +366,7 @@ class Join:
                         sets = shingles([texts[p] for p, _ in asked], Rolling(5), words)
                         yield pa.RecordBatch.from_arrays([pa.array([c for _, c in asked], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "tokens"])
 
-            own = spark.sparkContext.broadcast([(r["class"], bytes(r["tokens"])) for r in rows.mapInArrow(fetch, "class long, tokens binary").collect()])
+            own = spark.sparkContext.broadcast([(r["class"], bytes(r["tokens"])) for r in rows.mapInArrow(trimmed(fetch), "class long, tokens binary").collect()])
 
             def compare(batches, own=own, seed=self.seed):
                 few_sets = [(c, np.frombuffer(t, np.uint64)) for c, t in own.value]
@@ -379,7 +379,7 @@ class Join:
                                 found += [(c, f) for f, t in few_sets if f != c and 100 * min(len(s), len(t)) >= percent * max(len(s), len(t)) and _linked(s, t, percent)]
                         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-            part = self.scratch.store(self.batches.mapInArrow(compare, "a long, b long"), "links")
+            part = self.scratch.store(self.batches.mapInArrow(trimmed(compare), "a long, b long"), "links")
             links = part if links is None else links.unionByName(part)
         return links
 
@@ -490,7 +490,7 @@ class Join:
                 yield search(pa.Table.from_batches(held))
 
         dealt = tiles.repartition(2 * parallelism(self.spark), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n")
-        return self.scratch.store(dealt.mapInArrow(run, "a long, b long, sig long"), "across")
+        return self.scratch.store(dealt.mapInArrow(trimmed(run), "a long, b long, sig long"), "across")
 
     def named(self) -> DataFrame:
         """Per document: doc_id, n, body (digest of its text), label (of its group; null without a set). Everything

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, packed, parallelism, read_bytes, texts_of, write_bytes
+from .common import Rolling, Scratch, packed, parallelism, read_bytes, texts_of, trimmed, write_bytes
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -71,7 +71,7 @@ def pack(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_pylist([{"path": path, "ids": part.column("key").to_pylist(), "places": places, "sizes": [len(t) for t in distinct], "digests": [hashlib.sha256(t).digest() for t in distinct]}], kind)
 
     rows = docs.select(F.col(doc_id).cast("long").alias("key"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"))
-    return scratch.store(rows.mapInArrow(run, "path string, ids array<bigint>, places array<int>, sizes array<int>, digests array<binary>"), "batches")
+    return scratch.store(rows.mapInArrow(trimmed(run), "path string, ids array<bigint>, places array<int>, sizes array<int>, digests array<binary>"), "batches")
 
 
 def copies(batches: DataFrame, scratch: Scratch) -> DataFrame:
@@ -169,7 +169,7 @@ def exchange(batches: DataFrame, keys: Callable[[dict], np.ndarray], name: str,
         bits = [np.packbits(tied[a:b] | np.unpackbits(np.frombuffer(again, np.uint8), count=b - a).astype(bool)).tobytes() for a, b, again in zip(cuts, cuts[1:], table.column("again").to_pylist())]
         return pa.table({"path": table.column("path"), "bucket": table.column("bucket"), "n": table.column("n"), "bits": pa.array(bits, pa.binary())})
 
-    sent = batches.mapInArrow(send, "bucket int, path string, n int, keys binary, again binary")
+    sent = batches.mapInArrow(trimmed(send), "bucket int, path string, n int, keys binary, again binary")
     masks = sent.groupBy("bucket").applyInArrow(sort, "path string, bucket int, n int, bits binary")
     gathered = scratch.store(masks.groupBy("path").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias(name)), "masks")
     return batches.join(gathered, "path", "left"), gathered
@@ -238,7 +238,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
                     out.append((key, len(data), n, runs, _EMPTY if n == len(data) else hashlib.sha256(data[~gone].tobytes() if n else data.tobytes()).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), kind)], schema=kind)
 
-    return batches.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return batches.mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def brute_force(docs: list[tuple], length: int = 400) -> list[tuple]:

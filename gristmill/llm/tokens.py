@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mixed, packed, parallelism, read_bytes, shared_dir, storage, texts_of, write_bytes
+from .common import mixed, packed, parallelism, read_bytes, shared_dir, storage, texts_of, trimmed, write_bytes
 
 MAGIC = b"GMTOK001"
 _LEVELS = 48
@@ -194,7 +194,7 @@ class Encoder:
 
     LONG = 64  # longer pieces are not remembered
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         # A task has one core: threads of the library's own would only wait for each other.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -305,7 +305,7 @@ def _write(folder: str, tokenizer: str, end: int):
         coder, shard, path, out = encoder(tokenizer), TaskContext.get().partitionId(), f"{folder}/shard-{uuid.uuid4().hex}", None
         keys: list = []
         counts: list[int] = []
-        for part in packed(batches, "body", 2 << 20):
+        for part in packed(batches, "body", 1 << 20):
             ids, n = coder.encode(texts_of(part.column("body")))
             if out is None:
                 system, at = storage(path)
@@ -334,7 +334,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, doc_id: str = "doc_id
     size = rows.agg(F.sum(F.octet_length("body") + 16)).first()[0] or 0
     shards = max(parallelism(docs.sparkSession), -(-size // shard_bytes))
     ranged = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("key", "body")
-    manifest = ranged.mapInArrow(_write(folder, tokenizer, end), "shard int, path string, n_docs long, n_tokens long, first_key long, last_key long")
+    manifest = ranged.mapInArrow(trimmed(_write(folder, tokenizer, end)), "shard int, path string, n_docs long, n_tokens long, first_key long, last_key long")
     manifest.write.parquet(f"{folder}/manifest")
     return docs.sparkSession.read.schema(manifest.schema).parquet(f"{folder}/manifest")
 
@@ -365,7 +365,7 @@ def read(manifest: DataFrame) -> DataFrame:
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
     placed = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
     spread = placed.repartition(parallelism(manifest.sparkSession))
-    return spread.mapInArrow(_read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(trimmed(_read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(manifest: list, key: int | None) -> list[np.ndarray]:

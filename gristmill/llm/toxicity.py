@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, mixed, packed, texts_of, word_hashes
+from .common import Rolling, mixed, packed, texts_of, trimmed, word_hashes
 from .decontaminate import _FOLD
 
 STEM = 6
@@ -124,7 +124,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, text
             yield from part.set_column(at, part.schema.field(at), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))).combine_chunks().to_batches()
 
     out = docs.withColumn(name, F.lit(None).cast("double")).withColumn(body, F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
-    return out.mapInArrow(run, out.schema).drop(body), name
+    return out.mapInArrow(trimmed(run), out.schema).drop(body), name
 
 
 def report(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:

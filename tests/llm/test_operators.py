@@ -320,10 +320,29 @@ def test_decontamination(spark, docs):
     small = got(decontaminate.report(frame(spark, docs), bench, block_bytes=60), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     assert small == found
     assert decontaminate.report(frame(spark, docs), bench.limit(0)).where("contaminated").count() == 0
+    # The stretches in the original text hold the hit words and nothing else.
+    texts = {}
+    for d, t in pairs(docs):
+        texts.setdefault(d, []).append(t or "")
+    for r in decontaminate.report(frame(spark, docs), bench).where("contaminated").collect():
+        cut = ["".join(t[int(a) : int(b)] + " " for a, b in (x.split(":") for x in r["hit_spans"].split(","))) for t in texts[r["doc_id"]]]
+        assert any(len(decontaminate.words_of(c.encode())) == r["n_hit"] for c in cut)
     assert decontaminate.report(frame(spark, []), bench).count() == 0
     assert decontaminate.clean(frame(spark, docs), bench).columns == frame(spark, docs).columns
 
 
+def test_decontamination_at_random(spark):
+    """Few words, so that blocks occur everywhere, items overlap each other, and stretches end at any place."""
+    rng = random.Random(21)
+    text = lambda n: " ".join(rng.choice("a b c é".split()) for _ in range(n))
+    items = [(i, text(rng.choice((1, 2, 4, 5, 9, 10, 11, 14, 15, 20, 40)) if i else 0)) for i in range(25) if i not in (1, 2)]
+    items = [x for x in items if len(x[1].split()) > 4 or not x[1]]
+    rows = [(i, text(rng.randrange(60)) + " zz " + (rng.choice(items)[1] if i % 2 else "") + " " + text(rng.randrange(9))) for i in range(150)]
+    for width in (10, 7):
+        found = got(decontaminate.report(frame(spark, rows), frame(spark, items, "item_id long, text string"), width=width), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+        assert found == ordered(decontaminate.brute_force(rows, items, width))
+
+
 def test_near_copies(spark, docs):
     df = nearcopies.join(frame(spark, docs))
     assert got(df, "doc_id", "n_shingles", "component_id") == ordered(nearcopies.brute_force(pairs(docs)))
