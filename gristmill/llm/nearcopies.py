@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import Rolling, Scratch, mixed, parallelism, read_bytes, trimmed, word_hashes
 from .components import components
-from .substrings import _masked, exchange, pack
+from .substrings import _masked, even_edges, exchange, pack, spread
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _SKETCH, _TOKEN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
@@ -44,6 +44,8 @@ TILE = 512
 OPEN = 8
 #: Shingles of a block of sets that are compared with all sets.
 BLOCK = 1 << 20
+#: Bytes of signatures that a task sorts at once, about.
+BUCKET = 32 << 20
 
 
 def overlap(n, s, percent: int):
@@ -235,7 +237,7 @@ class Join:
         self.batches = pack(docs, self.scratch, doc_id=doc_id, text=text)
         for seed in range(8):
             self.seed = seed
-            self.docs = self.scratch.store(self.batches.mapInArrow(trimmed(self._classes()), "doc_id long, n long, class long, digest binary, body binary, sketch binary, path string, place int"), "docs")
+            self.docs = self.scratch.store(spread(self.batches).mapInArrow(trimmed(self._classes()), "doc_id long, n long, class long, digest binary, body binary, sketch binary, path string, place int"), "docs")
             mixed_up = self.docs.where("n > 0").groupBy("class").agg((F.min("digest") != F.max("digest")).alias("clash")).where("clash")
             if mixed_up.isEmpty():
                 self.batches = self.batches.drop("digests")
@@ -296,8 +298,11 @@ class Join:
                     if len(short):
                         yield pa.RecordBatch.from_arrays([pa.nulls(len(short), pa.int64()), pa.array(short)], ["sig", "class"])
 
-        masked, masks = exchange(batches, lambda row: keys(row)[0], "tied", 2 * parallelism(self.spark), 8, self.scratch)
-        out = self.scratch.store(masked.mapInArrow(trimmed(run), "sig long, class long"), "signatures")
+        # About one key of 8 bytes for two shingles; a bucket of keys is one task's.
+        n = classes.agg(F.sum("n")).first()[0] or 0
+        edges = even_edges(max(2 * parallelism(self.spark), -(-4 * n // BUCKET)))
+        masked, masks = exchange(batches, lambda row: keys(row)[0], "tied", edges, 8, self.scratch)
+        out = self.scratch.store(spread(masked).mapInArrow(trimmed(run), "sig long, class long"), "signatures")
         self.scratch.drop(batches, masks)
         return out
 

@@ -1,21 +1,24 @@
 """Exact removal of repeated substrings by a difference-cover, bucketed suffix construction.
 
-A byte goes when a string of `length` bytes that covers it also starts anywhere else. Only the classes of
-equal `length`-byte prefixes of suffixes are needed, so suffixes are sorted by a 64-bit fingerprint of that
-prefix, one bucket of fingerprints at a time, and never all at once:
+A byte goes when a string of `length` bytes that covers it also starts anywhere else. So it matters which suffixes tie
+on their first `length` bytes; they are told blockwise, one bucket of suffixes at a time, and never all at once:
 
 1. Texts are packed into files of about `batch` bytes in shared storage, equal texts of a batch once; a narrow
    table finds texts equal across batches, and one copy of each goes on. Texts never shuffle.
 2. Cover sample. Positions whose residue modulo v lies in a perfect difference set D of v = q*q + q + 1 residues:
-   whatever the alignment of two equal prefixes, at one shift below v both their positions are sampled, and the
-   sampled suffixes agree over length - v + 1 bytes at least. Ranking the sample (|D| / v of all positions) to
-   that depth tells unique sample suffixes from tied ones.
-3. Only suffixes that reach a tied sample suffix within v bytes can be tied themselves. These alone are dealt to
-   buckets and sorted; the others are settled by the sample's ranks.
-4. Each batch gets its ties back as bit masks and marks what they cover.
-
-A batch sends each fingerprint once, so a passage that a third of the texts hold is a row of 8 bytes a batch, and
-buckets are even whatever repeats. Two different prefixes share a fingerprint with a chance of about 2**-64.
+   whatever the alignment of two suffixes, at one shift below v both their positions are sampled. The sample
+   (|D| / v of all positions) is sorted to a depth of length - v + 1 bytes, in buckets by leading bytes, and gets its
+   ties. Sorting only tells what to look at, so leading bytes and a short fingerprint do for it.
+3. Tied sample suffixes alone go on, by the digest of their `depth` bytes, with the v - 1 bytes before and after. A
+   bucket of them holds whole classes, and all suffixes that begin up to v - 1 bytes before a class. Two of those that
+   begin at the same shift tie if the bytes up to the sampled position agree, the class of the sampled position is the
+   same (so a tie of hundreds of bytes costs one comparison), and the bytes after it agree up to `length`. Bytes are
+   compared as bytes, by sorting both contexts.
+4. Each batch gets for each of its tied sample suffixes the shifts that tie, as bits, and marks what they cover.
+
+A batch sends each key or context once, so a passage that a third of the texts hold is a row a batch, and buckets are
+even whatever repeats; their number follows the bytes to be sorted, so that one fits a task. Classes are told by 128-bit
+BLAKE2 digests of their bytes.
 """
 
 from __future__ import annotations
@@ -103,28 +106,33 @@ class Batch:
         return self.length - self.v + 1
 
     def sample(self) -> np.ndarray:
-        """Cover positions of the searched texts that a prefix of `depth` bytes follows."""
+        """Cover positions of the searched texts that `depth` bytes follow."""
         most = int(self.sizes.max(initial=0))
         pattern = (np.arange(most // self.v + 1)[:, None] * self.v + self.cover).ravel()
         out = [self.bases[k] + pattern[: np.searchsorted(pattern, self.sizes[k] - self.depth, side="right")] for k in np.flatnonzero(self.live)]
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
-    def keys(self, at: np.ndarray, length: int) -> np.ndarray:
-        return self.rolling.windows(self.prefix, at, length)
-
-    def near(self, tied: np.ndarray) -> np.ndarray:
-        """Positions of whole `length`-byte prefixes that reach one of the tied sample positions within v bytes."""
-        n = len(self.data)
-        change = np.zeros(n + 1, np.int32)
-        owner = np.searchsorted(self.bases, tied, side="right") - 1
-        np.add.at(change, np.maximum(tied - self.v + 1, self.bases[owner]), 1)
-        np.add.at(change, tied + 1, -1)
-        open_ = np.cumsum(change[:n]) > 0
-        ends = np.zeros(n + 1, np.int32)
-        for k in np.flatnonzero(self.live):
-            ends[self.bases[k]] += 1
-            ends[self.bases[k + 1] - self.length + 1] -= 1
-        return np.flatnonzero(open_ & (np.cumsum(ends[:n]) > 0))
+    def keys(self, at: np.ndarray) -> np.ndarray:
+        """By which sample positions are sorted: two leading bytes, then 32 bits of a fingerprint of `depth` bytes."""
+        lead = self.data[at].astype(np.uint64) << np.uint64(56) | self.data[at + 1].astype(np.uint64) << np.uint64(48)
+        return lead | self.rolling.windows(self.prefix, at, self.depth) >> np.uint64(32) << np.uint64(16)
+
+    def contexts(self, at: np.ndarray) -> np.ndarray:
+        """A row of bytes for each of these sample positions: digest of its `depth` bytes, how many of the v - 1 bytes
+        before and after lie in its text, those before (from the nearest on) and those after, padded with zeros."""
+        w = self.v - 1
+        text = np.searchsorted(self.bases, at, side="right") - 1
+        left, right = np.minimum(at - self.bases[text], w), np.minimum(self.bases[text + 1] - at - self.depth, w)
+        out = np.zeros((len(at), 18 + 2 * w), np.uint8)
+        whole = self.data.tobytes()
+        digests = b"".join(hashlib.blake2b(whole[i : i + self.depth], digest_size=16).digest() for i in at.tolist())
+        out[:, :16] = np.frombuffer(digests, np.uint8).reshape(-1, 16)
+        out[:, 16], out[:, 17] = left, right
+        padded = np.concatenate([np.zeros(w, np.uint8), self.data, np.zeros(w, np.uint8)])
+        steps = np.arange(w)
+        out[:, 18 : 18 + w] = np.where(steps < left[:, None], padded[at[:, None] + w - 1 - steps], 0)
+        out[:, 18 + w :] = np.where(steps < right[:, None], padded[at[:, None] + w + self.depth + steps], 0)
+        return out
 
 
 def _masked(masks: list | None, n: int) -> np.ndarray:
@@ -136,13 +144,38 @@ def _masked(masks: list | None, n: int) -> np.ndarray:
     return out
 
 
-def exchange(batches: DataFrame, keys: Callable[[dict], np.ndarray], name: str, buckets: int, width: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def spread(batches: DataFrame) -> DataFrame:
+    """A batch's row is short and its work long: rows are dealt to tasks by number, not by their bytes."""
+    return batches.repartition(parallelism(batches.sparkSession))
+
+
+def bucket_edges(batches: DataFrame, keys: Callable[[dict], np.ndarray], buckets: int, some: int = 16) -> np.ndarray:
+    """Keys that split all keys into about even buckets, by those of a few batches. They decide balance alone."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for row in batch.to_pylist():
+                found = np.sort(keys(row))
+                yield pa.RecordBatch.from_arrays([pa.array(found[:: max(1, len(found) // 4096)].view(np.int64))], ["key"])
+
+    least = batches.orderBy(F.xxhash64("path"), "path").limit(some)
+    found = np.sort(np.array([r["key"] for r in spread(least).mapInArrow(trimmed(run), "key long").collect()], np.int64).view(np.uint64))
+    if not len(found):
+        return np.zeros(0, np.uint64)
+    return np.unique(found[np.arange(1, buckets) * len(found) // buckets])
+
+
+def even_edges(buckets: int) -> np.ndarray:
+    """The same for keys that are hashes."""
+    step = -(-(1 << 64) // buckets)
+    return np.array([k * step for k in range(1, buckets)], dtype=np.uint64)
+
+
+def exchange(batches: DataFrame, keys: Callable[[dict], np.ndarray], name: str, edges: np.ndarray, width: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(batches with the column `name`, the stored table behind it): which of a batch's distinct keys, sorted, occur again
     in it or in another batch.
 
-    Keys go out once a batch, `width` leading bytes each, to a bucket by their value; a bucket is sorted in one task."""
-    step = -(-(1 << 64) // buckets)
-    edges = np.array([k * step for k in range(1, buckets)], dtype=np.uint64)
+    Keys go out once a batch, `width` leading bytes each, to the bucket between two edges; a bucket is sorted in one task."""
 
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.schema([("bucket", pa.int32()), ("path", pa.string()), ("n", pa.int32()), ("keys", pa.binary()), ("again", pa.binary())])
@@ -166,50 +199,146 @@ def exchange(batches: DataFrame, keys: Callable[[dict], np.ndarray], name: str,
         tied[order[1:][equal]] = True
         tied[order[:-1][equal]] = True
         cuts = np.concatenate([[0], np.cumsum(counts)])
-        bits = [np.packbits(tied[a:b] | np.unpackbits(np.frombuffer(again, np.uint8), count=b - a).astype(bool)).tobytes() for a, b, again in zip(cuts, cuts[1:], table.column("again").to_pylist())]
-        return pa.table({"path": table.column("path"), "bucket": table.column("bucket"), "n": table.column("n"), "bits": pa.array(bits, pa.binary())})
+        tied |= np.concatenate([np.unpackbits(np.frombuffer(again, np.uint8), count=n).astype(bool) for n, again in zip(counts, table.column("again").to_pylist())])
+        parts = [tied[a:b] for a, b in zip(cuts, cuts[1:])]
+        return pa.table({"path": table.column("path"), "bucket": table.column("bucket"), "n": table.column("n"), "bits": pa.array([np.packbits(x).tobytes() for x in parts], pa.binary()), "tied": pa.array([int(x.sum()) for x in parts], pa.int32())})
+
+    sent = spread(batches).mapInArrow(trimmed(send), "bucket int, path string, n int, keys binary, again binary")
+    masks = sent.groupBy("bucket").applyInArrow(sort, "path string, bucket int, n int, bits binary, tied int")
+    gathered = scratch.store(masks.groupBy("path").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias(name), F.sum("tied").alias("n_tied")), "masks")
+    return batches.join(gathered.drop("n_tied"), "path", "left"), gathered
+
+
+def tied_shifts(records: np.ndarray, v: int) -> np.ndarray:
+    """For distinct context rows (see Batch.contexts), sorted, with whole classes: at which shifts, as bits, the suffix
+    that begins there ties with the one of another row."""
+    w, n = v - 1, len(records)
+    out = np.zeros(n, np.uint64)
+    classes = np.ascontiguousarray(records[:, :16]).view("V16").ravel()
+    number = np.cumsum(np.concatenate([[False], classes[1:] != classes[:-1]])) if n else np.zeros(0, np.int64)
+    many = np.flatnonzero(np.bincount(number)[number] > 1) if n else np.zeros(0, np.int64)
+    if not len(many):
+        return out
+    number, left, right = number[many], records[many, 16], records[many, 17]
+
+    def names(context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order by class and context, at how many bytes each row of it parts from the one before)."""
+        rows = np.concatenate([number.astype(">u4").view(np.uint8).reshape(-1, 4), context], axis=1)
+        order = np.argsort(np.ascontiguousarray(rows).view(f"V{4 + w}").ravel(), kind="stable")
+        apart = rows[order][1:] != rows[order][:-1]
+        common = np.where(apart.any(axis=1), apart.argmax(axis=1), 4 + w) - 4  # negative: another class
+        return order, np.concatenate([[-1], common])
+
+    (by_left, common_left), (by_right, common_right) = names(records[many, 18 : 18 + w]), names(records[many, 18 + w :])
+    key_left, key_right = np.empty(len(many), np.int64), np.empty(len(many), np.int64)
+    for shift in range(v):
+        key_left[by_left] = np.cumsum(common_left < shift)
+        key_right[by_right] = np.cumsum(common_right < w - shift)
+        whole = np.flatnonzero((left >= shift) & (right >= w - shift))
+        key = key_left[whole] * (len(many) + 1) + key_right[whole]
+        order = np.argsort(key, kind="stable")
+        equal = key[order][1:] == key[order][:-1]
+        again = np.zeros(len(whole), bool)
+        again[order[1:][equal]] = True
+        again[order[:-1][equal]] = True
+        out[many[whole[again]]] |= np.uint64(1 << shift)
+    return out
+
+
+def resolve(batches: DataFrame, records: Callable[[dict], np.ndarray], name: str, edges: np.ndarray, v: int, scratch: Scratch) -> DataFrame:
+    """batches with the column `name`: for a batch's distinct context rows, sorted, the shifts that tie, as bits."""
+    size = 18 + 2 * (v - 1)
+
+    def distinct(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(np.ascontiguousarray(rows).view(f"V{size}").ravel(), kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], (rows[1:] != rows[:-1]).any(axis=1)])) if len(rows) else np.zeros(0, np.int64)
+        return rows[first], np.diff(np.append(first, len(rows))), order
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.schema([("bucket", pa.int32()), ("path", pa.string()), ("n", pa.int32()), ("rows", pa.binary()), ("again", pa.binary())])
+        for batch in batches:
+            for row in batch.to_pylist():
+                found, n, _ = distinct(records(row))
+                lead = np.ascontiguousarray(found[:, :8]).view(">u8").ravel().astype(np.uint64)
+                cuts = [0, *np.searchsorted(lead, edges).tolist(), len(found)]
+                out = [{"bucket": b, "path": row["path"], "n": hi - lo, "rows": found[lo:hi].tobytes(), "again": np.packbits(n[lo:hi] > 1).tobytes()} for b, (lo, hi) in enumerate(zip(cuts, cuts[1:])) if hi > lo]
+                yield pa.RecordBatch.from_pylist(out, kind)
+
+    def sort(key, table):
+        counts = table.column("n").to_numpy()
+        rows = np.frombuffer(b"".join(table.column("rows").to_pylist()), np.uint8).reshape(-1, size)
+        again = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).astype(bool) for n, x in zip(counts, table.column("again").to_pylist())])
+        found, n, order = distinct(rows)
+        which = np.empty(len(rows), np.int64)
+        which[order] = np.repeat(np.arange(len(found)), n)
+        often = n > 1
+        often[which[again]] = True
+        # Rows that occur more than once tie at every shift that their texts have room for.
+        shifts = tied_shifts(found, v)
+        left, right = found[often, 16].astype(np.uint64), np.uint64(v - 1) - found[often, 17].astype(np.uint64)
+        one = np.uint64(1)
+        shifts[often] |= np.where(right <= left, ((one << left) << one) - one & ~((one << right) - one), np.uint64(0))
+        cuts = np.concatenate([[0], np.cumsum(counts)])
+        bits = [shifts[which[a:b]].astype("<u8").tobytes() for a, b in zip(cuts, cuts[1:])]
+        return pa.table({"path": table.column("path"), "bucket": table.column("bucket"), "shifts": pa.array(bits, pa.binary())})
 
-    sent = batches.mapInArrow(trimmed(send), "bucket int, path string, n int, keys binary, again binary")
-    masks = sent.groupBy("bucket").applyInArrow(sort, "path string, bucket int, n int, bits binary")
-    gathered = scratch.store(masks.groupBy("path").agg(F.collect_list(F.struct("bucket", "n", "bits")).alias(name)), "masks")
-    return batches.join(gathered, "path", "left"), gathered
+    sent = spread(batches).mapInArrow(trimmed(send), "bucket int, path string, n int, rows binary, again binary")
+    found = sent.groupBy("bucket").applyInArrow(sort, "path string, bucket int, shifts binary")
+    gathered = scratch.store(found.groupBy("path").agg(F.collect_list(F.struct("bucket", "shifts")).alias(name)), "shifts")
+    return batches.join(gathered, "path", "left")
 
 
-def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 400, q: int = 13) -> tuple[DataFrame, Callable[[dict], Iterator[tuple]]]:
+def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 400, q: int = 7, bucket_bytes: int = 32 << 20) -> tuple[DataFrame, Callable[[dict], Iterator[tuple]]]:
     """(batches, marks): rows of batches, and a function that gives for a batch each of its documents as
-    (id, whole text, mask of the bytes to remove)."""
+    (id, whole text, mask of the bytes to remove). `bucket_bytes` bounds what a task sorts, but for one key's rows."""
     spark = docs.sparkSession
-    if length <= difference_set(q)[0]:
-        raise ValueError("length must exceed the cover's period")
-    buckets = 2 * parallelism(spark)
+    v, cover = difference_set(q)
+    if length <= v or v > 64:
+        raise ValueError("length must exceed the cover's period, and that 64 bits")
     scratch = Scratch(spark, "substrings")
-    batches = copies(pack(docs, scratch, doc_id=doc_id, text=text), scratch)
+    packs = pack(docs, scratch, doc_id=doc_id, text=text)
+    batches = copies(packs, scratch)
+    scratch.drop(packs)
 
     def sampled(row: dict) -> np.ndarray:
         b = Batch(row, length, q)
-        return b.keys(b.sample(), b.depth)
+        return b.keys(b.sample())
 
-    def tied_suffixes(row: dict) -> tuple[Batch, np.ndarray]:
+    def tied(row: dict) -> tuple[Batch, np.ndarray]:
         b = Batch(row, length, q)
         at = b.sample()
-        distinct, which = np.unique(b.keys(at, b.depth), return_inverse=True)
-        return b, b.near(at[_masked(row["sampled"], len(distinct))[which]])
+        distinct, which = np.unique(b.keys(at), return_inverse=True)
+        return b, at[_masked(row["sampled"], len(distinct))[which]]
 
-    def suffixes(row: dict) -> np.ndarray:
-        b, at = tied_suffixes(row)
-        return b.keys(at, length)
+    def records(row: dict) -> np.ndarray:
+        b, at = tied(row)
+        return b.contexts(at)
 
-    # The sample's ranks only tell what to look at, so six bytes of a key do.
-    batches, _ = exchange(batches, sampled, "sampled", buckets, 6, scratch)
-    batches, _ = exchange(batches, suffixes, "tied", buckets, 8, scratch)
+    most = lambda size: max(2 * parallelism(spark), -(-size // bucket_bytes))
+    total = batches.agg(F.sum(F.expr("aggregate(sizes, 0L, (a, x) -> a + x)"))).first()[0] or 0
+    edges = bucket_edges(batches, sampled, most(total * len(cover) // v * 6))
+    batches, masks = exchange(batches, sampled, "sampled", edges, 6, scratch)
+    n_tied = masks.agg(F.sum("n_tied")).first()[0] or 0
+    batches = resolve(batches, records, "shifts", even_edges(most(n_tied * (18 + 2 * v))), v, scratch)
 
     def marks(row: dict) -> Iterator[tuple]:
-        b, at = tied_suffixes(row)
-        distinct, which = np.unique(b.keys(at, length), return_inverse=True)
+        b, at = tied(row)
+        rows = b.contexts(at)
+        order = np.argsort(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), kind="stable")
+        changes = np.concatenate([[True], (rows[order][1:] != rows[order][:-1]).any(axis=1)]) if len(rows) else np.zeros(0, bool)
+        parts = [np.frombuffer(m["shifts"], "<u8") for m in sorted(row["shifts"] or [], key=lambda m: m["bucket"])]
+        shifts = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        if len(shifts) != changes.sum():
+            raise ValueError("shifts do not fit their batch")
+        shifts, at = shifts[np.cumsum(changes) - 1], at[order]
+        begins = np.zeros(len(b.data), bool)
+        for shift in range(v):
+            begins[at[shifts >> np.uint64(shift) & np.uint64(1) > 0] - shift] = True
+        hits = np.flatnonzero(begins)
         change = np.zeros(len(b.data) + 1, np.int32)
-        hits = at[_masked(row["tied"], len(distinct))[which]]
         change[hits] += 1
-        np.add.at(change, hits + length, -1)
+        change[hits + length] -= 1
         covered = np.cumsum(change[:-1]) > 0
         seen = np.bincount(np.asarray(row["places"], np.int64), minlength=len(b.sizes)) > 1
         covered |= np.repeat((seen | b.whole) & (b.sizes >= length), b.sizes)
@@ -238,7 +367,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
                     out.append((key, len(data), n, runs, _EMPTY if n == len(data) else hashlib.sha256(data[~gone].tobytes() if n else data.tobytes()).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), kind)], schema=kind)
 
-    return batches.mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return spread(batches).mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def brute_force(docs: list[tuple], length: int = 400) -> list[tuple]:

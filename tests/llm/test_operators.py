@@ -304,6 +304,27 @@ def test_substrings_inside_one_text_and_edges(spark):
     assert got(substrings.report(frame(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == ordered(substrings.brute_force(rows))
 
 
+@pytest.mark.parametrize(("length", "q"), [(40, 3), (75, 7), (400, 7), (32, 5)])
+def test_substrings_at_random(spark, monkeypatch, length, q):
+    """Many batches and buckets; texts glued from shared parts at any alignment, with zero bytes at their edges."""
+    monkeypatch.setattr(substrings, "pack", lambda *a, _pack=substrings.pack, **b: _pack(*a, **b, batch=2048))
+    rng = random.Random(length)
+    parts = ["".join(rng.choice("ab\0") for _ in range(rng.choice((length // 2, length - 1, length, length + 1, 3 * length)))) for _ in range(12)]
+    rows = [(i, "".join(rng.choice(parts) if rng.random() < 0.6 else "".join(rng.choice("ab\0é") for _ in range(rng.randrange(length))) for _ in range(rng.randrange(6)))) for i in range(90)]
+    rows += [(200 + i, rows[i][1]) for i in range(20)] + [(300, "\0" * (length - 1)), (301, "\0" * length), (302, "b" + "\0" * length), (303, None)]
+    df = substrings.report(frame(spark, rows).repartition(4), length=length, q=q, bucket_bytes=4096)
+    assert got(df, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == ordered(substrings.brute_force(rows, length))
+
+
+def test_substrings_in_very_long_texts(spark):
+    """Two texts of some 150,000 bytes that share stretches, and a passage that a third of the rows hold."""
+    rng = random.Random(31)
+    one, two, hot = prose(rng, 28_000), prose(rng, 28_000), prose(rng, 120)
+    rows = [(1, one), (2, two[:50_000] + one[20_000:20_900] + two[50_000:] + one[-450:]), (3, two[1000:1399]), (4, two[1000:1401])]
+    rows += [(10 + i, f"{prose(rng, 9 + i % 40)} {hot}{' ' * (i % 3)}{prose(rng, 12)}") for i in range(60)] + [(100 + i, prose(rng, 80)) for i in range(120)]
+    assert got(substrings.report(frame(spark, rows)), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == ordered(substrings.brute_force(rows))
+
+
 @pytest.mark.parametrize("q", [2, 3, 5, 13])
 def test_difference_cover(q):
     v, cover = substrings.difference_set(q)
