@@ -87,8 +87,11 @@ def scan(docs: DataFrame, *, path_column: str = "doc_id", text: str = "text", le
     at = ledger_path or shared_dir(spark, "secrets-ledger")
     update(docs, at, text=text, rules=rules)
     paths = docs.select(F.col(path_column).alias("path"), F.unhex(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)).alias("blob"))
-    # Two updates at a time may both append a blob; their findings are the same, and one counts.
-    found = ledger(spark, at).where(F.col("rules") == rules).drop("rules").dropDuplicates(["blob"])
+    found = ledger(spark, at).where(F.col("rules") == rules).drop("rules")
+    # Two updates at a time may both append a blob; their findings are the same, and one counts. Without such blobs the
+    # join reads the ledger as it is and may split the rows of a blob that many paths hold.
+    if not found.groupBy("blob").count().where("count > 1").isEmpty():
+        found = found.dropDuplicates(["blob"])
     return paths.join(found, "blob").select(F.col("path").alias(path_column), "blob", "n_assign", "n_access", "n_hex", "spans")
 
 
