@@ -74,11 +74,15 @@ def not_derivable(rows: DataFrame, populated: DataFrame | None = None, headers:
 
 def attribute_cells(rows: DataFrame, limit: int = 50) -> DataFrame:
     """Label, value and unit cells of `slots` (structs) in contract order: labels always, blanks as blanks."""
+    told = "source" in rows.schema["slots"].dataType.elementType.names
+
     def triple(s: Column, i: Column) -> Column:
         n, has = (i + 1).cast("string"), F.trim(s["value"]) != ""
-        source, confidence = F.when(has, "regex_extract").otherwise("contract_template"), F.when(has, 0.92).otherwise(1.0)
+        source = F.when(has, s["source"] if told else F.lit("regex_extract")).otherwise("contract_template")
+        confidence = F.when(has, s["confidence"] if told else F.lit(0.92)).otherwise(1.0)
+        rule = F.when(has, s["rule"]).otherwise("contract:value") if told else F.lit("contract:value")
         name = lambda x: F.concat(F.lit(f"ATTRIBUTE_{x} "), n)
-        return F.array(cell(name("LABEL"), s["label"], "derived", "contract:label", 1.0), cell(name("VALUE"), s["value"], source, "contract:value", confidence), cell(name("UOM"), s["uom"], source, "contract:uom", confidence))
+        return F.array(cell(name("LABEL"), s["label"], "derived", "contract:label", 1.0), cell(name("VALUE"), s["value"], source, rule, confidence), cell(name("UOM"), s["uom"], source, "contract:uom", confidence))
 
     return exploded(rows, array=F.flatten(F.transform(F.slice("slots", 1, limit), triple)))
 

@@ -78,6 +78,85 @@ def attested_brands(rows: DataFrame) -> DataFrame:
     return stacked_brands(rows).groupBy("value").agg(F.count(F.lit(1)).alias("support"))
 
 
+def link_tiers(rows: DataFrame) -> DataFrame:
+    """tier, ord, name, strongest evidence first: the brand columns, brands that shorthand stands for, account heads.
+    Of spellings that differ in case alone the first seen counts; `ord` is where it was seen."""
+    columns = stacked_brands(rows).select(F.col("column_rank").alias("tier"), F.col("value").alias("name"), F.col("row_index").alias("ord"))
+    heads = rows.select(F.lit(len(COLUMNS) + 1).alias("tier"), text.account_head(text.account_name(F.col("Part_Manuf"))).alias("name"), F.col("row_index").alias("ord"))
+    known = rows.sparkSession.createDataFrame([(len(COLUMNS), i, v) for i, v in enumerate(dict.fromkeys(fixed.BRAND_SHORTHAND.values()))], "tier int, ord long, name string")
+    each = columns.unionByName(heads.where("name <> ''")).unionByName(known).withColumn("ord", F.col("ord").cast("long"))
+    first = F.min(F.struct("ord", "name")).alias("f")
+    return each.groupBy("tier", F.lower("name").alias("low")).agg(first).select("tier", "f.ord", "f.name")
+
+
+def link_brands(rows: DataFrame, product: DataFrame) -> DataFrame:
+    """grp, token, hits, position, seen, canonical, linkage, confidence, attested of every brand token, by the first of:
+    its group's favourite column value, if the two agree; a name that it is but for case; if it is no product word
+    (`product`: low), the closest name of the first tier with one that is close enough. What is left is unattested."""
+    from . import entity
+
+    tokens = brand_tokens(rows).withColumn("low", F.lower("token"))
+    seen = token_positions(rows).groupBy("grp", "token").agg(F.min("row_index").alias("seen"))
+    order = (F.col("row_index") * 4 + F.col("column_rank")).alias("seen")
+    votes = stacked_brands(rows, COLUMNS[:2]).select("grp", "value", order)
+    favourites = first_mode(votes, "grp", "value", "seen").withColumnRenamed("value", "name")
+    tiers = link_tiers(rows)
+    own = entity.group_links(tokens, favourites).select("grp", "token", F.col("name").alias("own"), F.col("hits").alias("votes"))
+    exact = entity.exact_links(tokens, tiers).select("token", F.col("name").alias("exact"), F.col("tier").alias("exact_tier"))
+    blocked = product.select("low", F.lit(True).alias("blocked"))
+    out = tokens.join(own, ["grp", "token"], "left").join(exact, "token", "left").join(blocked, "low", "left")
+    open_ = out.where("own is null and exact is null and blocked is null").select("token")
+    fuzzy = entity.tiered_links(open_, tiers).select("token", F.col("name").alias("fuzzy"), F.col("tier").alias("fuzzy_tier"), "score")
+    labels = F.array(*map(F.lit, ("dib-brand-column", "e1-brand-column", "unilog-brand-column", "known-shorthand", "account-name-head")))
+    at = lambda tier: F.element_at(labels, tier + 1)
+    made = lambda name, linkage, confidence: F.struct(name.alias("canonical"), linkage.alias("linkage"), confidence.cast("double").alias("confidence"))
+    self_name = text.title_case(F.col("token"))
+    found = (
+        F.when(F.col("own").isNotNull(), made(F.col("own"), F.concat(F.lit("group-brand-column("), "votes", F.lit(" rows)")), F.lit(0.97)))
+        .when(F.col("exact").isNotNull(), made(F.col("exact"), F.concat(F.lit("exact:"), at(F.col("exact_tier"))), F.lit(0.95)))
+        .when(F.col("blocked"), made(self_name, F.lit("blocked:product-vocabulary"), F.lit(0.0)))
+        .when(F.col("fuzzy").isNotNull(), made(F.col("fuzzy"), F.concat(F.lit("fuzzy:"), at(F.col("fuzzy_tier")), F.lit("("), F.rint("score").cast("int"), F.lit(")")), F.col("score") / 100))
+        .otherwise(made(self_name, F.lit("unlinked"), F.lit(0.0)))
+    )
+    positions = mean_positions(rows).select("low", F.col("mean_position").alias("position"))
+    placed = out.join(fuzzy, "token", "left").join(positions, "low", "left").join(seen, ["grp", "token"], "left").withColumn("f", found)
+    return placed.select("grp", "token", "hits", F.coalesce("position", F.lit(0.5)).alias("position"), "seen", "f.*", (F.col("f.confidence") > 0).alias("attested"))
+
+
+def brand_entries(links: DataFrame, attested: DataFrame | None = None) -> DataFrame:
+    """canonical, aliases, groups, support, linkage, confidence, mean_position, seen of what link_brands() tells, folded
+    in the order in which groups and tokens were seen; with `attested` (value, support, seen) every such value is an
+    entry and adds its support.
+
+    The mean position is a running one: each link moves it half way to its own."""
+    link = F.struct("seen", "grp", "token", "position", "linkage", "hits")
+    some = links.groupBy("canonical").agg(F.sort_array(F.collect_list(link)).alias("l"), F.sum("hits").alias("support"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("grp")).alias("groups"), F.min("seen").alias("seen"))
+    spelled = lambda x, i: ~F.exists(F.slice("l", 1, i), lambda y: F.lower(y["token"]) == F.lower(x["token"]))
+    aliases = F.transform(F.filter("l", spelled), lambda x: x["token"])
+    halved = F.aggregate("l", F.lit(0.0), lambda acc, x: F.when(acc == 0, x["position"]).otherwise((acc + x["position"]) / 2))
+    out = some.select("canonical", aliases.alias("aliases"), "groups", "support", F.col("l")[0]["linkage"].alias("linkage"), "confidence", micro(halved).alias("mean_position"), "seen")
+    if attested is None:
+        return out
+    told = attested.select(F.col("value").alias("canonical"), F.col("support").alias("_n"), F.col("seen").alias("_seen"))
+    both = out.join(told, "canonical", "full_outer")
+    none = F.array().cast("array<string>")
+    return both.select(
+        "canonical", F.coalesce("aliases", F.array("canonical")).alias("aliases"), F.coalesce("groups", none).alias("groups"), (F.coalesce("support", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("support"),
+        F.coalesce("linkage", F.lit("attested-column")).alias("linkage"), F.coalesce("confidence", F.lit(0.99)).alias("confidence"), F.coalesce("mean_position", F.lit(0.0)).alias("mean_position"), F.coalesce("seen", F.col("_seen") + (1 << 40)).alias("seen"),
+    )
+
+
+def brands(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(brands, candidates): entries of the attested links and column values, and of the rest for review, with why they
+    were refused; a candidate that a column attests is no candidate any more."""
+    told = stacked_brands(rows).groupBy("value").agg(F.count(F.lit(1)).alias("support"), F.min("row_index").alias("seen"))
+    known = brand_entries(links.where("attested"), told)
+    open_ = brand_entries(links.where("not attested")).join(told.select(F.col("value").alias("canonical")), "canonical", "left_anti")
+    why = F.when(F.col("linkage").startswith("blocked:"), "token is product vocabulary, not a brand").otherwise(f"no attested spelling within {fixed.LINK_THRESHOLD} similarity")
+    side = F.when(F.col("mean_position") < 0.4, "head").otherwise("tail")
+    return known, open_.withColumn("rejection", F.format_string("%s; mean position %.2f (%s-weighted)", why, "mean_position", side))
+
+
 def alias_index(entries: DataFrame) -> DataFrame:
     """alias to canonical: of the canonicals (canonical, alias, ord) that share an alias the longest, then the first."""
     both = entries.select("canonical", F.explode(F.array("alias", "canonical")).alias("a"), "ord").withColumn("alias", F.lower("a"))
@@ -121,20 +200,40 @@ def head_phrase(body: Column, measured: Column, aliases: Column | None = None) -
     return F.when(F.size(named) > 0, F.array_join(F.slice(last, F.greatest(F.size(last) - 3, F.lit(1)), F.lit(4)), " ")).otherwise("")
 
 
+def own_aliases(rows: DataFrame, aliases: DataFrame) -> DataFrame:
+    """rows with `aliases`: the words of a row's description that are aliases, in lower case. A join by words, so that
+    the alias table may be of any size."""
+    words = rows.select("row_index", F.explode(F.array_distinct(F.transform(F.regexp_extract_all("Part_Desc", F.lit(PRODUCT_WORD), F.lit(0)), F.lower))).alias("alias"))
+    found = words.join(aliases.select("alias").distinct(), "alias").groupBy("row_index").agg(F.sort_array(F.collect_set("alias")).alias("aliases"))
+    return rows.join(found, "row_index", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """rows with body, found (its measurements), phrase (the words that name the product) and canonical (in full, title
+    case). Words of a column `aliases` name no product."""
+    made = rows.withColumn("body", text.body_of(F.col("Part_Desc"), F.col("Mfg_Part_Num"))).withColumn("found", units.find_measurements("body"))
+    known = F.col("aliases") if "aliases" in rows.columns else None
+    return made.withColumn("phrase", head_phrase(F.col("body"), F.col("found"), known)).withColumn("canonical", text.title_case(text.expand(F.col("phrase"))))
+
+
 def product_types(rows: DataFrame) -> DataFrame:
     """canonical, support, groups and variants (sorted arrays) of the product names that occur twice or more."""
-    bodies = rows.select(text.group_key(F.col("Part_Manuf")).alias("grp"), text.body_of(F.col("Part_Desc"), F.col("Mfg_Part_Num")).alias("body"))
-    named = bodies.withColumn("phrase", head_phrase(F.col("body"), units.find_measurements("body"))).where("phrase <> ''")
-    named = named.withColumn("canonical", text.title_case(text.expand(F.col("phrase"))))
+    account = text.clean(F.col("Part_Manuf"))
     variant = F.when(F.lower("canonical") != F.lower("phrase"), F.col("phrase"))
-    return named.groupBy("canonical").agg(F.count(F.lit(1)).alias("support"), F.array_sort(F.collect_set("grp")).alias("groups"), F.array_sort(F.collect_set(variant)).alias("variants")).where("support >= 2")
+    made = named(rows).where("phrase <> ''").withColumn("grp", F.when(account == "", "<ungrouped>").otherwise(account))
+    return made.groupBy("canonical").agg(F.count(F.lit(1)).alias("support"), F.array_sort(F.collect_set("grp")).alias("groups"), F.array_sort(F.collect_set(variant)).alias("variants")).where("support >= 2")
+
+
+def product_words(types: DataFrame) -> DataFrame:
+    """low: every word of the product names (canonical), in lower case."""
+    return types.select(F.explode(F.regexp_extract_all("canonical", F.lit(PRODUCT_WORD), F.lit(0))).alias("w")).select(F.lower("w").alias("low")).distinct()
 
 
 def families(rows: DataFrame) -> DataFrame:
-    """canonical, family, n: the measurement families of each product name."""
-    bodies = rows.select(text.body_of(F.col("Part_Desc"), F.col("Mfg_Part_Num")).alias("body")).withColumn("found", units.find_measurements("body"))
-    named = bodies.withColumn("canonical", text.title_case(text.expand(head_phrase(F.col("body"), F.col("found")))))
-    return named.select("canonical", F.explode("found.family").alias("family")).groupBy("canonical", "family").agg(F.count(F.lit(1)).alias("n"))
+    """canonical, family, n: the measurement families of each product name that occurs twice or more."""
+    made = named(rows).where("phrase <> ''").select("canonical", "found.family")
+    kept = made.groupBy("canonical").count().where("count >= 2").select("canonical")
+    return made.join(kept, "canonical", "left_semi").select("canonical", F.explode("family").alias("family")).groupBy("canonical", "family").agg(F.count(F.lit(1)).alias("n"))
 
 
 _RUN = r"\b([A-Z][a-z]+(?:\s+(?:[A-Z][a-z]+|[IVX]+|\d+|[A-Z]\+?))+)"
@@ -158,13 +257,24 @@ def name_counts(texts: DataFrame, text: str = "text") -> DataFrame:
     return names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
-def series(rows: DataFrame) -> DataFrame:
-    """name, n of title-cased runs that occur twice or more and hold no shorthand or unit."""
-    body = text.body_of(F.col("Part_Desc"), F.col("Mfg_Part_Num"))
-    runs = rows.select(F.explode(F.regexp_extract_all(body, F.lit(_RUN), F.lit(1))).alias("name"))
+def series_runs(rows: DataFrame) -> DataFrame:
+    """row_index, name: the title-cased runs of a description that may name a product line. A run with a word of the
+    row's product phrase is none; words of a column `aliases` are left out; two words must stay, without shorthand and
+    units among them."""
     known = [*fixed.EXPANSIONS, *units.aliases()]
-    plain = ~F.exists(F.split("name", r"\s+"), lambda w: F.lower(w).isin(*known))
-    return runs.where(plain).groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+    made = named(rows).select("row_index", "phrase", *(["aliases"] if "aliases" in rows.columns else []), F.explode(F.regexp_extract_all("body", F.lit(_WHOLE_RUN), F.lit(1))).alias("run"))
+    words = F.filter(F.split("run", rf"{_SPACE}+"), lambda w: w != "")
+    low = lambda x: F.transform(x, F.lower)
+    made = made.withColumn("words", words).where(~F.arrays_overlap(low(F.col("words")), low(F.split("phrase", " "))))
+    if "aliases" in rows.columns:
+        made = made.withColumn("words", F.filter("words", lambda w: ~F.array_contains("aliases", F.lower(w))))
+    plain = ~F.exists("words", lambda w: F.lower(w).isin(*known))
+    return made.where((F.size("words") >= 2) & plain).select("row_index", F.array_join("words", " ").alias("name"))
+
+
+def series(rows: DataFrame) -> DataFrame:
+    """name, n of the series_runs() that occur twice or more."""
+    return series_runs(rows).groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
 
 
 def unknown_units(rows: DataFrame) -> DataFrame:

@@ -139,9 +139,31 @@ def slot_table(rules: Rules) -> Column:
 
 
 def with_slots(rows: DataFrame, rules: Rules) -> DataFrame:
-    """rows with `slots`: all slots of `contract`, those of `filled` with their values."""
-    found = lambda s, field: F.element_at(F.transform(F.filter("filled", lambda f: f["label"] == s["label"]), lambda f: f[field]), 1)
+    """rows with `slots`: all slots of `contract`, those of `filled` with their value, unit, source, rule and confidence."""
     table = slot_table(rules)
     slots = F.coalesce(F.element_at(table, F.col("contract")), F.element_at(table, F.lit("generic")))
-    has = lambda s: F.exists("filled", lambda f: f["label"] == s["label"])
-    return rows.withColumn("slots", F.transform(slots, lambda s: s.withField("value", F.when(has(s), found(s, "value")).otherwise("")).withField("uom", F.when(has(s), found(s, "uom")).otherwise(""))))
+    empty = {"value": F.lit(""), "uom": F.lit(""), "source": F.lit(""), "rule": F.lit(""), "confidence": F.lit(0.0)}
+
+    def told(s: Column) -> Column:
+        found = F.filter("filled", lambda f: f["label"] == s["label"])
+        for name, none in empty.items():
+            s = s.withField(name, F.coalesce(F.get(F.transform(found, lambda f, name=name: f[name]), F.lit(0)), none))
+        return s
+
+    return rows.withColumn("slots", F.transform(slots, told))
+
+
+def with_implied(rows: DataFrame, rules: Rules) -> DataFrame:
+    """rows (classpath, confidence, slots) with the values that a row's category implies in its blank slots."""
+    implied = {c.classpath: dict(c.implies) for c in rules.categories if c.implies}
+    if not implied:
+        return rows
+    values = text.lexicon({f"{path}\n{label}": value for path, told in implied.items() for label, value in told.items()})
+    leaf = F.trim(F.element_at(F.split("classpath", ">"), -1))
+
+    def filled(s: Column) -> Column:
+        value = F.element_at(values, F.concat(F.col("classpath"), F.lit("\n"), s["label"]))
+        made = s.withField("value", value).withField("uom", F.lit("")).withField("source", F.lit("derived")).withField("rule", F.concat(F.lit("taxonomy:implied-by:"), leaf)).withField("confidence", F.greatest(F.lit(0.6), 0.9 * F.col("confidence")))
+        return F.when((F.trim(s["value"]) == "") & value.isNotNull(), made).otherwise(s)
+
+    return rows.withColumn("slots", F.when(F.col("classpath").isin(*implied), F.transform("slots", filled)).otherwise(F.col("slots")))

@@ -6,7 +6,7 @@ one wide projection with joins to those tables, so it scales with the rows and s
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,14 +25,21 @@ class Vocabulary:
     brand_prior: DataFrame
     group_prior: DataFrame
     series: DataFrame
+    brands: DataFrame
+    candidates: DataFrame
+    product_types: DataFrame
 
     def write(self, path: str) -> None:
-        for name in ("aliases", "brand_prior", "group_prior", "series"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        for f in fields(self):
+            getattr(self, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
 
     @classmethod
     def read(cls, spark, path: str) -> Vocabulary:
-        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("aliases", "brand_prior", "group_prior", "series")))
+        return cls(*(spark.read.parquet(f"{path}/{f.name}") for f in fields(cls)))
+
+    def unpersist(self) -> None:
+        for f in fields(self):
+            getattr(self, f.name).unpersist()
 
 
 def prepared(rows: DataFrame) -> DataFrame:
@@ -41,28 +48,30 @@ def prepared(rows: DataFrame) -> DataFrame:
     return made.withColumn("prepared", text.prepare_text(F.col("Part_Desc"), F.col("Mfg_Part_Num")))
 
 
-def brand_aliases(rows: DataFrame) -> DataFrame:
-    """alias, canonical, attested: attested brands by their own names, and the tokens that link to them.
+def brand_vocabulary(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(aliases: alias, canonical, attested; brands; candidates). Product names come first, without any knowledge of
+    brands, since their words are never linked to a brand that they merely resemble."""
+    links = learn.link_brands(rows, learn.product_words(learn.product_types(rows))).persist()
+    known, candidates = learn.brands(rows, links)
+    known = known.persist()
+    entries = known.select("canonical", F.explode(F.array_union("aliases", F.array("canonical"))).alias("alias"), F.col("seen").alias("ord"))
+    return learn.alias_index(entries).withColumn("attested", F.lit(True)), known, candidates
 
-    A token links to the brand its group's columns name where it abbreviates it, else to the closest name of the first
-    tier (brand columns, then account heads) that is close enough."""
-    attested = learn.attested_brands(rows)
-    tokens = learn.brand_tokens(rows)
-    names = attested.select(F.lit(0).alias("tier"), F.col("value").alias("name"))
-    heads = learn.groups(rows).where("name <> ''").select(F.lit(1).alias("tier"), text.account_head(F.col("name")).alias("name")).where("name <> ''")
-    tiers = names.unionByName(heads).distinct().withColumn("ord", F.xxhash64("name"))
-    links = entity.tiered_links(tokens, tiers)
-    entries = attested.select(F.col("value").alias("canonical"), F.col("value").alias("alias")).unionByName(links.select(F.col("name").alias("canonical"), F.col("token").alias("alias")))
-    index = learn.alias_index(entries.withColumn("ord", F.xxhash64("canonical")))
-    return index.withColumn("attested", F.lit(True))
+
+def brand_aliases(rows: DataFrame) -> DataFrame:
+    """alias, canonical, attested."""
+    return brand_vocabulary(rows)[0]
 
 
 def learned(rows: DataFrame, rules: Rules) -> Vocabulary:
-    aliases = brand_aliases(rows).persist()
+    aliases, brands, candidates = brand_vocabulary(rows)
+    aliases = aliases.persist()
     ready = prepared(rows).select("row_index", "grp", "prepared")
     seen = taxonomy.classify(ready, rules).join(ready.select("row_index", "grp"), "row_index")
     prior = learn.group_prior(seen.where("grp <> '<ungrouped>'").select("grp", "classpath", "confidence")).persist()
-    return Vocabulary(aliases, learn.brand_prior(rows, aliases).persist(), prior, learn.series(rows).persist())
+    # The second pass over product language knows the brands and leaves them out.
+    told = learn.own_aliases(rows, aliases)
+    return Vocabulary(aliases, learn.brand_prior(rows, aliases).persist(), prior, learn.series(told).persist(), brands, candidates, learn.product_types(told))
 
 
 def series_names(vocabulary: Vocabulary) -> list[str]:
@@ -79,7 +88,7 @@ def enriched(rows: DataFrame, rules: Rules, vocabulary: Vocabulary) -> DataFrame
     names = series_names(vocabulary)
     out = ready.join(found, "row_index").join(brands.withColumnsRenamed({"confidence": "brand_confidence", "source": "brand_source"}), "row_index")
     out = out.join(F.broadcast(rules.category_table(spark)), "classpath", "left").withColumn("contract", F.coalesce("contract", F.lit("generic")))  # one row a category
-    out = render.with_slots(extract.extract(out, rules, names), rules)
+    out = render.with_implied(render.with_slots(extract.extract(out, rules, names), rules), rules)
     named = F.coalesce("product_name", text.fallback_name(F.col("body")))
     out = out.withColumn("product_name", named).withColumn("mpn", F.trim("Mfg_Part_Num")).withColumn("series", F.lit("")).withColumn("with_phrase", F.lit("")).withColumn("maker", F.col("manufacturer")).withColumn("manufacturer", F.col("maker.value"))
     out = render.channels(out)
