@@ -172,6 +172,12 @@ def account_head(name: Column) -> Column:
     return F.btrim(F.regexp_replace(text, rf"(?i)(?:\s+[.,]*(?:{suffix})[.,]*)+$", ""), F.lit(" .,&-"))
 
 
+def length_status(value: Column) -> Column:
+    """How a text's length suits the channels: empty, short (an invoice line), window (a mobile title) or other."""
+    n = F.length(value)
+    return F.when(n == 0, "empty").when(n <= fixed.INVOICE_MAX, "short").when(n.between(fixed.MOBILE_MIN, fixed.MOBILE_MAX), "window").otherwise("other")
+
+
 def strip_marks(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), "[®™©]", ""))
 

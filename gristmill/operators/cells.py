@@ -50,6 +50,16 @@ class Schema:
         return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
 
 
+def first_items(items: Column, most: int = 4) -> Column:
+    """The first `most` of an array in order, as a message lists them."""
+    return F.array_join(F.slice(F.array_sort(items), 1, most), ", ")
+
+
+def absent(required: Column, present: Column) -> Column:
+    """What of `required` is not in `present`, as a message lists it."""
+    return F.array_join(F.array_except(required, present), "|")
+
+
 def cell(header: str | Column, value: Column, source: str | Column, rule: str | Column, confidence: float | Column) -> Column:
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
     return F.struct(as_column(header).alias("header"), value.cast("string").alias("value"), as_column(source).alias("source"), as_column(rule).alias("rule"), as_column(confidence).cast("double").alias("confidence"))

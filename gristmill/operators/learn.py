@@ -236,14 +236,10 @@ def families(rows: DataFrame) -> DataFrame:
     return made.join(kept, "canonical", "left_semi").select("canonical", F.explode("family").alias("family")).groupBy("canonical", "family").agg(F.count(F.lit(1)).alias("n"))
 
 
-_RUN = r"\b([A-Z][a-z]+(?:\s+(?:[A-Z][a-z]+|[IVX]+|\d+|[A-Z]\+?))+)"
-
-
 #: Word boundaries, spaces and digits of all scripts, said in full since engines differ in what their short forms hold.
-_NO_WORD_BEFORE, _NO_WORD_AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+_NO_WORD_BEFORE = r"(?<![\p{L}\p{N}_])"
 _SPACE = r"[\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 _WHOLE_RUN = rf"{_NO_WORD_BEFORE}([A-Z][a-z]+(?:{_SPACE}+(?:[A-Z][a-z]+|[IVX]+|\p{{Nd}}+|[A-Z]\+?))++)"
-_WHOLE_NAME = rf"{_NO_WORD_BEFORE}([A-Z][a-z]+ [A-Z][a-z]+){_NO_WORD_AFTER}"
 
 
 def title_runs(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -251,10 +247,14 @@ def title_runs(texts: DataFrame, text: str = "text") -> DataFrame:
     return texts.withColumn("run", F.explode(F.regexp_extract_all(text, F.lit(_WHOLE_RUN), F.lit(1))))
 
 
-def name_counts(texts: DataFrame, text: str = "text") -> DataFrame:
-    """name, n of the pairs of title-cased words that occur twice or more in the texts of all scripts."""
-    names = texts.select(F.explode(F.regexp_extract_all(text, F.lit(_WHOLE_NAME), F.lit(1))).alias("name"))
-    return names.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
+def top_tokens(rows: DataFrame, most: int = 20) -> DataFrame:
+    """token, n: the most frequent candidate tokens, a report of `most` rows."""
+    return token_positions(rows).groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "token").limit(most)
+
+
+def no_product_words(tokens: DataFrame, product: DataFrame) -> DataFrame:
+    """The tokens (token) that are no product words (low)."""
+    return tokens.select("token").distinct().join(product.select("low").distinct(), F.lower("token") == F.col("low"), "left_anti")
 
 
 def series_runs(rows: DataFrame) -> DataFrame:

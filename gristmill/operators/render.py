@@ -50,6 +50,12 @@ def by_channel(slots: Column) -> Column:
     return F.transform(F.array_sort(keyed, lambda a, b: F.when(a["k"] != b["k"], a["k"] - b["k"]).otherwise(a["i"] - b["i"])), lambda x: x["s"])
 
 
+def shares_words(one: Column, other: Column) -> Column:
+    """Whether two texts share a word of letters and digits, case ignored: then one of them is redundant."""
+    words = lambda t: F.regexp_extract_all(F.lower(t), F.lit(r"([a-z0-9]+)"), F.lit(0))
+    return F.arrays_overlap(words(one), words(other))
+
+
 def by_rank(slots: Column) -> Column:
     keyed = F.transform(slots, lambda s, i: F.struct(s["rank"].alias("k"), i.alias("i"), s.alias("s")))
     return F.transform(F.array_sort(keyed, lambda a, b: F.when(a["k"] != b["k"], a["k"] - b["k"]).otherwise(a["i"] - b["i"])), lambda x: x["s"])
@@ -110,10 +116,9 @@ def channels(rows: DataFrame) -> DataFrame:
     out = out.withColumn("_invoice", line).withColumn("INVOICE_DESC", F.rtrim(F.substring(F.upper(F.trim(F.regexp_replace(F.col("_invoice.text"), r"\s{2,}", " "))), 1, fixed.INVOICE_MAX)))
     # The maker joins the brand unless they share a word.
     plain = F.coalesce(F.nullif("brand_plain", F.lit("")), F.col("brand"))
-    pieces = lambda c: F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(0))
     maker = F.coalesce("manufacturer", F.lit(""))
     both = _words(maker, plain)
-    head = F.when((maker == "") | F.arrays_overlap(pieces(plain), pieces(maker)), F.when(plain == "", maker).otherwise(plain)).otherwise(both)
+    head = F.when((maker == "") | shares_words(plain, maker), F.when(plain == "", maker).otherwise(plain)).otherwise(both)
     core = F.filter(F.array("product_name", "_line", "mpn"), lambda c: F.coalesce(c, F.lit("")) != "")
     extras = F.array_distinct(_said(by_channel(F.filter("_f", lambda s: ~is_series(s) & (s["style"] != "hidden") & ~listed(s)))))
     tail = F.filter(F.array("leaf", "klass"), lambda c: F.coalesce(c, F.lit("")) != "")

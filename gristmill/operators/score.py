@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import cells as C
 from ..functions import fixed, text, units
 from .learn import micro
 
@@ -179,3 +180,56 @@ def review_queue(rows: DataFrame) -> DataFrame:
     cols = ["Mfg_Part_Num", "Part_Desc", "BRAND_NAME", "MANUFACTURER_NAME", "Classpath", "SHORT_DESC", "INVOICE_DESC", "MOBILE_DESC"]
     out = rows.where("needs_review").select("row_index", micro(F.col("confidence"), 3).alias("confidence"), *cols[:7], F.length("INVOICE_DESC").alias("invoice_chars"), "MOBILE_DESC", F.length("MOBILE_DESC").alias("mobile_chars"), F.array_join("reasons", " | ").alias("review_reasons"))
     return out.orderBy("confidence", "row_index")
+
+
+def histogram(rows: DataFrame, key: str, seen: str) -> DataFrame:
+    """key, n: the most frequent first, equals in the order in which `seen` is least."""
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(seen).alias("_seen"))
+    return counts.orderBy(F.col("n").desc(), "_seen").drop("_seen")
+
+
+def placed(rows: DataFrame, group: str, value: str, seen: str) -> DataFrame:
+    """group, value, place of the values of each group: the most frequent first, equals in the order seen."""
+    counts = rows.groupBy(group, value).agg(F.count(F.lit(1)).alias("n"), F.min(seen).alias("_seen"))
+    return counts.select(group, value, F.row_number().over(Window.partitionBy(group).orderBy(F.col("n").desc(), "_seen")).alias("place"))
+
+
+def sources_by_row(cells: DataFrame) -> DataFrame:
+    """row_index, source, n of the cells with a value."""
+    return C.filled(cells).groupBy("row_index", "source").agg(F.count(F.lit(1)).alias("n"))
+
+
+def run_stats(cells: DataFrame) -> DataFrame:
+    """One row: rows, classified (rows with a class), filled (cells with a value), proposed (those of a model)."""
+    has = F.trim("value") != ""
+    return cells.agg(
+        F.count_distinct("row_index").alias("rows"),
+        F.count_distinct(F.when((F.col("header") == "Classpath") & has, F.col("row_index"))).alias("classified"),
+        F.count_if(has).alias("filled"),
+        F.count_if(F.col("source").isin("llm", "local_model") & has).alias("proposed"),
+    )
+
+
+def coverage(cells: DataFrame) -> DataFrame:
+    """row_index, coverage: the share of a row's cells that hold a value."""
+    return cells.groupBy("row_index").agg(micro(F.avg((F.trim("value") != "").cast("double"))).alias("coverage"))
+
+
+def shared_spans(one: DataFrame, other: DataFrame) -> DataFrame:
+    """The spans (id, start, stop, label) that both hold."""
+    keys = ["id", "start", "stop", "label"]
+    return one.select(keys).intersect(other.select(keys))
+
+
+def leaked(train: DataFrame, validation: DataFrame, text: str = "text") -> DataFrame:
+    """One row: `leaked`, the number of texts, case ignored, that both hold. A digest stands for a text in the shuffle."""
+    key = lambda df: df.select(F.sha2(F.lower(text).cast("binary"), 256).alias("t"))
+    return key(train).intersect(key(validation)).agg(F.count(F.lit(1)).alias("leaked"))
+
+
+def keep_first(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """The row of least `order` for each combination of `by`, compared without regard to case, by a digest."""
+    key = F.sha2(F.concat_ws("\x00", *(F.concat(F.coalesce(F.length(c), F.lit(-1)).cast("string"), F.lit(":"), F.coalesce(F.lower(c), F.lit(""))) for c in by)).cast("binary"), 256)
+    keyed = rows.withColumn("_k", key)
+    first = keyed.groupBy("_k").agg(F.min(order).alias(order))
+    return keyed.join(first, ["_k", order], "left_semi").drop("_k")

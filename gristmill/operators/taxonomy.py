@@ -77,6 +77,13 @@ def classify(rows: DataFrame, rules: Rules, prior: DataFrame | None = None) -> D
     )
 
 
+def with_category(rows: DataFrame, rules: Rules) -> DataFrame:
+    """rows (classpath) with the category's leaf, department, klass, fine, product_name and contract, 'generic' where the
+    class is null or unknown."""
+    table = F.broadcast(rules.category_table(rows.sparkSession))  # one row a category of the rule file
+    return rows.join(table, "classpath", "left").withColumn("contract", F.coalesce("contract", F.lit("generic")))
+
+
 def prior_only(prior: DataFrame) -> DataFrame:
     """grp, lent, lent_confidence: what a group lends to rows without any phrase."""
     from .learn import prior_top

@@ -81,13 +81,12 @@ def series_names(vocabulary: Vocabulary) -> list[str]:
 
 def enriched(rows: DataFrame, rules: Rules, vocabulary: Vocabulary) -> DataFrame:
     """One row a row: the input, classification, brand, filled slots and the five channels."""
-    spark = rows.sparkSession
     ready = prepared(rows)
     found = taxonomy.classify(ready.select("row_index", "grp", "prepared"), rules, vocabulary.group_prior)
     brands = entity.resolve_brands(rows, vocabulary.aliases, vocabulary.brand_prior)
     names = series_names(vocabulary)
     out = ready.join(found, "row_index").join(brands.withColumnsRenamed({"confidence": "brand_confidence", "source": "brand_source"}), "row_index")
-    out = out.join(F.broadcast(rules.category_table(spark)), "classpath", "left").withColumn("contract", F.coalesce("contract", F.lit("generic")))  # one row a category
+    out = taxonomy.with_category(out, rules)
     out = render.with_implied(render.with_slots(extract.extract(out, rules, names), rules), rules)
     named = F.coalesce("product_name", text.fallback_name(F.col("body")))
     out = out.withColumn("product_name", named).withColumn("mpn", F.trim("Mfg_Part_Num")).withColumn("series", F.lit("")).withColumn("with_phrase", F.lit("")).withColumn("maker", F.col("manufacturer")).withColumn("manufacturer", F.col("maker.value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,7 +12,7 @@ from ..functions import fixed, text, units
 from ..operators import cells as C
 from ..operators import entity, extract, learn, propose, render, score, taxonomy, training
 from ..sources import catalogue
-from ..sources.rules import demo
+from ..sources.rules import Category, Rules, Slot, demo
 from . import enrich
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +20,16 @@ ORACLE_SQL: dict[str, str] = {}
 RULES = demo()
 
 
+def table_rules(spark: SparkSession, sf_dir: str) -> Rules:
+    """A rule set whose permitted values, cues and contracts come from `part`, whose types and brands are few."""
+    part = read(spark, sf_dir, "part")
+    types, brands = (sorted(r[0] for r in part.select(c).distinct().collect()) for c in ("p_type", "p_brand"))
+    slots = (Slot("Type", "lov", lov=tuple(types)), Slot("Maker", "lov", lov=tuple(brands), lov_aliases=tuple((b.replace(" ", "-nr "), b) for b in brands)), Slot("Note", "text", cues=tuple(f"{t} make" for t in types)))
+    more = (Slot("Type", "lov", lov=tuple(f"{t} Plus" for t in types)),)
+    categories = tuple(Category(f"Parts > {t}", f"contract {t}", must=(t.lower(),)) for t in types[::2])
+    return Rules(categories, {"generic": slots, **{f"contract {t}": more for t in types[::2]}})
+
+
 def quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -107,10 +118,13 @@ def p7_wide_record(rows):
     return C.wide(C.passthrough(rows), _SMALL)
 
 
-@query(f"{CATALOG} select row_index, 'slot 1: value/UOM present with no label' as problem from c where row_index % 5 = 0 and row_index % 2 = 0")
-def p4_record_problems(rows):
-    wide = rows.select("row_index", F.when(F.col("row_index") % 5 == 0, "").otherwise("Size").alias("ATTRIBUTE_LABEL 1"), F.when(F.col("row_index") % 2 == 0, "1").otherwise("").alias("ATTRIBUTE_VALUE 1"), F.lit("").alias("ATTRIBUTE_UOM 1"))
-    schema = C.Schema(["ATTRIBUTE_LABEL 1", "ATTRIBUTE_VALUE 1", "ATTRIBUTE_UOM 1"])
+_SLOTS = ((1, "substr(p_type, 1, cast(p_partkey % 3 as integer))", "p_name", "''"), (2, "case when p_size > 25 then p_brand else ' ' end", "case when p_partkey % 4 = 0 then '' else p_type end", "case when p_size % 2 = 0 then 'in' else ' ' end"))
+
+
+@query("select row_index, problem from (" + " union all ".join(f"select p_partkey as row_index, 'slot {n}: value/UOM present with no label' as problem, trim({a}) = '' and (trim({v}) <> '' or trim({u}) <> '') as bad from part" for n, a, v, u in _SLOTS) + ") where bad")
+def p4_record_problems(spark, sf_dir):
+    wide = read(spark, sf_dir, "part").selectExpr("p_partkey as row_index", *(f"{x} as `ATTRIBUTE_{kind} {n}`" for n, *slot in _SLOTS for kind, x in zip(("LABEL", "VALUE", "UOM"), slot)))
+    schema = C.Schema([c for c in wide.columns if c != "row_index"])
     return wide.select("row_index", F.explode(schema.problems(wide)).alias("problem"))
 
 
@@ -227,14 +241,8 @@ def t15_head_phrase(rows):
     return made.select("row_index", learn.head_phrase(F.col("body"), F.col("m")).alias("phrase"))
 
 
-@query("select doc_id, unnest(regexp_extract_all(substr(text, 1, 2000), '\\b([A-Z][a-z]+(?:\\s+(?:[A-Z][a-z]+|[IVX]+|\\d+|[A-Z]\\+?))+)', 1)) as run from documents where regexp_full_match(text, '[\\x00-\\x7F]*')")
-def t16_title_runs(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    return docs.select("doc_id", F.explode(F.regexp_extract_all(F.substring("text", 1, 2000), F.lit(learn._RUN), F.lit(1))).alias("run"))
-
-
 @query()
-def t16_title_runs_whole(spark, sf_dir):
+def t16_title_runs(spark, sf_dir):
     return learn.title_runs(read(spark, sf_dir, "documents")).select("doc_id", "run")
 
 
@@ -248,10 +256,13 @@ def t21_prepare_text(rows):
     return enrich.prepared(rows).select("row_index", "prepared")
 
 
-@query(f"{CATALOG} select row_index, case when row_index % 3 = 0 then 'Bosch®' when row_index % 3 = 1 then 'Bosch®' else 'Acme' end as brand from c")
-def t22_decorate(rows):
-    raw = F.when(F.col("row_index") % 3 == 0, "Bosch").when(F.col("row_index") % 3 == 1, "Bosch®").otherwise("Acme")
-    return rows.select("row_index", text.decorate(raw, F.lit(True)).alias("brand"))
+_MARKED = "case p_partkey % 5 " + " ".join(f"when {i} then {quoted(w)}" for i, w in enumerate(("Bosch", "DeWalt®", "LP SmartSide", "Acme"))) + " else p_brand end || case when p_size % 3 = 0 then '®' when p_size % 3 = 1 then ' ' else '' end"
+_BARE = "trim(regexp_replace(b, '[®™©]', '', 'g'))"
+
+
+@query(f"with x as (select p_partkey, {_MARKED} as b, p_size % 2 = 0 as attested from part) select p_partkey, case when {_BARE} = '' then '' when regexp_matches(b, '[®™©]') then trim(b) when attested and lower({_BARE}) in ({', '.join(map(quoted, fixed.REGISTERED))}) then {_BARE} || '®' else {_BARE} end as brand from x")
+def t22_decorate(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", text.decorate(F.expr(_MARKED), F.col("p_size") % 2 == 0).alias("brand"))
 
 
 @query()
@@ -264,10 +275,20 @@ def t25_asset_names(rows):
     return rows.select("row_index", F.element_at(text.asset_names(F.col("DIB_Brand"), F.col("Mfg_Part_Num")), "Alternate Image 2").alias("alternate"))
 
 
-@query("select o_orderkey, case when o_orderkey % 2 = 0 then 'ENERGY STAR Certified|UL Listed|cUL Listed' else 'NSF Certified' end as binary_order, case when o_orderkey % 2 = 0 then 'cUL Listed|ENERGY STAR Certified|UL Listed' else 'NSF Certified' end as gold_order from orders")
+def _approval_sql(x: str) -> str:
+    cases = ", ".join(f"case when regexp_matches({x}, " + quoted("(?i)(?:^|[^A-Za-z0-9])(?:" + "|".join(re.escape(c) for c in cues.split("|")) + ")(?:[^A-Za-z0-9]|$)") + f") then {quoted(mark)} end" for mark, cues in fixed.APPROVALS.items())
+    return f"list_filter([{cases}], lambda m: m is not null)"
+
+
+#: A text of cues and words that the table's numbers pick.
+_CUES = [c for cues in fixed.APPROVALS.values() for c in cues.split("|")]
+_SAID_CUES = "p_name || " + " || ".join(f"case when (p_partkey + p_size) % {k + 3} = 0 then ' {c if k % 3 else c.upper()}{',' if k % 2 else ''}' when p_partkey % {k + 5} = 1 then ' x{c} ' else '' end" for k, c in enumerate(_CUES))
+
+
+@query(f"with x as (select p_partkey, {_approval_sql(_SAID_CUES)} as marks from part) select p_partkey, array_to_string(list_sort(marks), '|') as binary_order, array_to_string(list_transform(list_sort(list_transform(marks, lambda m: {{'k': lower(m), 'v': m}})), lambda z: z.v), '|') as gold_order from x")
 def t26_approvals(spark, sf_dir):
-    said = F.when(F.col("o_orderkey") % 2 == 0, "estar, UL-Listed and cUL").otherwise("NSF sculpture")
-    return read(spark, sf_dir, "orders").select("o_orderkey", text.approvals(said).alias("binary_order"), text.approvals(said, "gold").alias("gold_order"))
+    said = F.expr(_SAID_CUES)
+    return read(spark, sf_dir, "part").select("p_partkey", text.approvals(said).alias("binary_order"), text.approvals(said, "gold").alias("gold_order"))
 
 
 @query(f"{CATALOG} select row_index, lower(trim(regexp_replace(Part_Desc, '\\s+', ' ', 'g'))) as norm from c")
@@ -288,8 +309,7 @@ def t30_bio_tags(spark, sf_dir):
 
 @query(f"{CATALOG}, a as (select row_index, length(Part_Desc) as n from c) select row_index, case when n = 0 then 'empty' when n <= 40 then 'short' when n between 60 and 80 then 'window' else 'other' end as status from a")
 def t32_length_status(rows):
-    n = F.length("Part_Desc")
-    return rows.select("row_index", F.when(n == 0, "empty").when(n <= fixed.INVOICE_MAX, "short").when(n.between(fixed.MOBILE_MIN, fixed.MOBILE_MAX), "window").otherwise("other").alias("status"))
+    return rows.select("row_index", text.length_status(F.col("Part_Desc")).alias("status"))
 
 
 # Units and numbers
@@ -402,10 +422,16 @@ def a4_attested_brands(rows):
     return learn.attested_brands(rows)
 
 
-@query(f"{CATALOG}, {BODY}, {STACK} select value as canonical, array_to_string(list_sort(list(distinct grp)), '|') as groups, count(*) as support, max(0.9::double + column_rank / 100.0::double) as confidence from st group by 1")
-def a5_brand_fold(rows):
-    s = learn.stacked_brands(rows)
-    return s.groupBy(F.col("value").alias("canonical")).agg(F.array_join(F.array_sort(F.collect_set("grp")), "|").alias("groups"), F.count(F.lit(1)).alias("support"), F.max(0.9 + F.col("column_rank") / 100.0).alias("confidence"))
+_LINKED = "l as (select p_brand as canonical, p_name as token, cast(p_size as bigint) as hits, p_type as grp, p_partkey as seen, 0.5::double + (p_partkey % 40) / 100.0::double as confidence, (p_size % 10) / 10.0::double as position from part)"
+
+
+@query(f"with {_LINKED}, f as (select *, row_number() over (partition by canonical, lower(token) order by seen) as nth from l), g as (select canonical, string_agg(token, '|' order by seen) filter (nth = 1) as aliases, array_to_string(list_sort(list(distinct grp)), '|') as groups, cast(sum(hits) as bigint) as n, max(confidence) as confidence, {micro('list_reduce(list(position order by seen), lambda a, x: case when a = 0 then x else (a + x) / 2 end)')} as mean_position from f group by 1), t as (select p_brand as canonical, count(*) as k from part group by 1) select canonical, aliases, groups, n + k as support, confidence, mean_position from g join t using (canonical)")
+def a5_brand_fold(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    links = part.select(F.col("p_brand").alias("canonical"), F.col("p_name").alias("token"), F.col("p_size").cast("long").alias("hits"), F.col("p_type").alias("grp"), F.col("p_partkey").alias("seen"), (0.5 + (F.col("p_partkey") % 40) / 100.0).cast("double").alias("confidence"), ((F.col("p_size") % 10) / 10.0).cast("double").alias("position"), F.lit("").alias("linkage"))
+    told = part.groupBy(F.col("p_brand").alias("value")).agg(F.count(F.lit(1)).alias("support"), F.min("p_partkey").alias("seen"))
+    out = learn.brand_entries(links, told)
+    return out.select("canonical", F.array_join("aliases", "|").alias("aliases"), F.array_join("groups", "|").alias("groups"), "support", "confidence", "mean_position")
 
 
 @query("with e as (select p_brand as canonical, substr(p_name, 1, 4) as a, p_partkey as ord from part), x as (select canonical, lower(a) as alias, ord from e union all select canonical, lower(canonical), ord from e) select alias, first(canonical order by length(canonical) desc, ord) as canonical from x group by alias")
@@ -420,16 +446,10 @@ def a7_product_types(rows):
     return t.select("canonical", "support", F.array_join("groups", "|").alias("groups"), F.array_join("variants", "|").alias("variants"))
 
 
-@query("select name, count(*) as n from (select unnest(regexp_extract_all(text, '\\b([A-Z][a-z]+ [A-Z][a-z]+)\\b', 1)) as name from conversations where regexp_full_match(text, '[\\x00-\\x7F]*')) group by name having count(*) >= 2")
-def a8_series_counts(spark, sf_dir):
-    ascii_only = read(spark, sf_dir, "conversations").where(F.col("text").rlike(r"(?s)^[\x00-\x7F]*$"))
-    runs = ascii_only.select(F.explode(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]+ [A-Z][a-z]+)\b"), F.lit(1))).alias("name"))
-    return runs.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
-
-
 @query()
-def a8_series_counts_whole(spark, sf_dir):
-    return learn.name_counts(read(spark, sf_dir, "conversations"))
+def a8_series_counts(spark, sf_dir):
+    said = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_index"), F.lit("").alias("Mfg_Part_Num"), F.col("text").alias("Part_Desc"))
+    return learn.series(said)
 
 
 @query()
@@ -460,6 +480,12 @@ def a12_group_prior(spark, sf_dir):
     return learn.group_prior(_votes(spark, sf_dir))
 
 
+def _even_types(rows: DataFrame) -> DataFrame:
+    """`canonical`: type and brand of every second part of the catalogue view, whose descriptions end in the type."""
+    part = rows.where("row_index % 2 = 0")
+    return part.select(F.explode(F.array(F.regexp_extract("Part_Desc", r'/8" (.*?)(?: 6pc| - Display Only)?$', 1), "DIB_Brand", "E1_Brand")).alias("canonical")).where("canonical not like '--%'")
+
+
 def _votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     return orders.select(F.col("c_mktsegment").alias("grp"), F.col("o_orderpriority").alias("classpath"), (0.5 + (F.col("o_orderkey") % 50) / 100.0).cast("decimal(18,6)").alias("confidence"))
@@ -588,11 +614,37 @@ def j9_classpath_crosswalk(spark, sf_dir):
     return rows.join(F.broadcast(table), "classpath").select("r_regionkey", "classpath", "leaf", "department", "klass")  # one row a category
 
 
-@query("with t(tier, name, ord) as (values (0, 'Milwaukee', 1), (1, 'Milwaukee Accessory', 2), (1, 'Bosch', 3)), x as (select * from (values ('Milw'), ('bosch'), ('Zzz')) v(token)) select 'Milw' as token, 'Milwaukee' as name, 0 as tier union all select 'bosch', 'Bosch', 1")
+@query(f"{CATALOG}, {BODY}, {TOKENS}, t as (select 0 as tier, p_partkey as ord, p_brand as name from part union all select 1, p_partkey, p_type from part union all select 2, p_partkey, upper(substr(p_name, 1, strpos(p_name || ' ', ' ') - 1)) from part), h as (select distinct token, tier, ord, name from tok join t on lower(token) = lower(name)) select token, first(name order by tier, ord, name) as name, min(tier) as tier from h group by token")
+def j10_exact_link(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    first = F.upper(F.element_at(F.split("p_name", " "), 1))
+    names = F.array(*(F.struct(F.lit(i).alias("tier"), F.col("p_partkey").alias("ord"), n.alias("name")) for i, n in enumerate((F.col("p_brand"), F.col("p_type"), first))))
+    return entity.exact_links(learn.token_positions(catalogue.bridge(spark, sf_dir)), part.select(F.explode(names).alias("n")).select("n.*")).select("token", "name", "tier")
+
+
+@query()
 def j11_tiered_link(spark, sf_dir):
-    tiers = spark.createDataFrame([(0, "Milwaukee", 1), (1, "Milwaukee Accessory", 2), (1, "Bosch", 3)], "tier int, name string, ord long")
-    tokens = spark.createDataFrame([("Milw",), ("bosch",), ("Zzz",)], "token string")
-    return entity.tiered_links(tokens, tiers).select("token", "name", "tier")
+    part = read(spark, sf_dir, "part")
+    # Names with letters left out: each is close to what it was made of.
+    tokens = part.select(F.regexp_replace(F.regexp_replace("p_name", " ", ""), "(?<=...)[aeiou]", "").alias("token"))
+    tiers = part.select((F.col("p_partkey") % 2).cast("int").alias("tier"), F.col("p_partkey").alias("ord"), F.regexp_replace("p_name", " ", "").alias("name"))
+    return entity.tiered_links(tokens.where("token <> ''"), tiers).select("token", "name", "tier")
+
+
+@query()
+def j12_link_brands(rows):
+    """Every brand token of the catalogue on the ladder: group column, exact name, product word, likeness, none."""
+    return learn.link_brands(rows, learn.product_words(learn.product_types(rows))).select("grp", "token", "hits", "canonical", "linkage", "attested")
+
+
+@query(f"{CATALOG}, {BODY}, {STACK} select value, 1 as kept from st group by 1")
+def j19_no_attested_candidates(rows):
+    """Brands that columns attest are entries, whatever else their tokens would make of them; none stays a candidate."""
+    links = learn.link_brands(rows, learn.product_words(learn.product_types(rows)))
+    known, candidates = learn.brands(rows, links)
+    values = learn.attested_brands(rows).select("value")
+    kept = values.join(known, F.col("value") == F.col("canonical"), "left_semi")
+    return kept.join(candidates, F.col("value") == F.col("canonical"), "left_anti").select("value", F.lit(1).alias("kept"))
 
 
 @query("with g as (select *, row_number() over (partition by p_name order by p_partkey desc) as rn from part), w as (select * from g where rn = 1), f as (select p.p_name as k, 'brand' as field, p.p_brand as got, w.p_brand as want from part p join w using (p_name) union all select p.p_name, 'type', lower(p.p_type), w.p_type from part p join w using (p_name)) select field, count(*) as compared, cast(count_if(got = want) as bigint) as exact, cast(count_if(lower(got) = lower(want)) as bigint) as normalised from f group by field")
@@ -627,18 +679,19 @@ def j16_align_bio(spark, sf_dir):
 # Windows
 
 
-@query("select l_orderkey as id, l_linenumber as start, l_linenumber + 2 as stop, 'X' as label from lineitem where l_linenumber % 3 = 1 and l_linenumber < 0 union all select o_orderkey, 0, 2, 'A' from orders union all select o_orderkey, 3, 4, 'B' from orders union all select o_orderkey, 5, 7, 'A' from orders where o_orderkey % 2 = 0")
+_TAGGED = "select l_orderkey as id, l_linenumber as pos, min(case l_partkey % 6 when 0 then 'B-' || l_returnflag when 3 then 'O' when 5 then null else 'I-' || l_returnflag end) as tag from lineitem group by 1, 2"
+
+
+@query(f"with t as ({_TAGGED}), n as (select id, max(pos) + 1 as n from t group by 1), u as (select *, lag(tag) over (partition by id order by pos) as prev from t where tag is not null), m as (select *, sum(case when tag[1] = 'I' and prev <> 'O' and substr(prev, 3) = substr(tag, 3) then 0 else 1 end) over (partition by id order by pos) as run from u), r as (select id, run, min(pos) as start, min_by(tag, pos) as first from m group by 1, 2), x as (select *, lead(start) over (partition by id order by run) as next from r) select id, start, coalesce(next, n) as stop, substr(first, 3) as label from x join n using (id) where first[1] = 'B'")
 def w6_decode_spans(spark, sf_dir):
-    # B-A I-A O B-B I-C (B-A null | O null): an I- of another label ends a span and opens none, null is stepped over.
-    tags = F.array(*(F.lit(t) for t in ("B-A", "I-A", "O", "B-B", "I-C")), F.when(F.col("o_orderkey") % 2 == 0, "B-A").otherwise("O"), F.lit(None).cast("string"))
-    rows = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.posexplode(tags).alias("pos", "tag"))
-    return score.decode_spans(rows)
+    tagged = spark.sql(_TAGGED.replace("lineitem", "{lines}"), lines=read(spark, sf_dir, "lineitem"))
+    return score.decode_spans(tagged)
 
 
 @query("with g as (select o_custkey as grp, o_orderpriority as value, count(*) as n, min(o_orderkey) as seen from orders group by 1, 2) select grp, value, cast(row_number() over (partition by grp order by n desc, seen) as integer) as place from g")
 def w2_first_seen_order(spark, sf_dir):
-    counts = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("grp"), F.col("o_orderpriority").alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("seen"))
-    return counts.select("grp", "value", F.row_number().over(Window.partitionBy("grp").orderBy(F.col("n").desc(), "seen")).alias("place"))
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("grp"), F.col("o_orderpriority").alias("value"), "o_orderkey")
+    return score.placed(rows, "grp", "value", "o_orderkey")
 
 
 @query(f"{CATALOG} select row_index, cast(regexp_extract(Part_Desc, '(\\d+)\"x', 1) as varchar) || ' in x ' || case row_index % 4 when 0 then '1/8' when 1 then '3/8' when 2 then '5/8' else '7/8' end || ' in' as run from c")
@@ -666,7 +719,7 @@ def w7_first_position(rows):
 
 @query(f"{CATALOG}, {BODY}, {TOKENS} select token, count(*) as n from tok group by 1 order by n desc, token limit 20")
 def w8_top_tokens(rows):
-    return learn.token_positions(rows).groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "token").limit(20)
+    return learn.top_tokens(rows)
 
 
 # Cells, scores and reports over synthetic cells: every order is a row, every priority a source
@@ -695,9 +748,9 @@ def a18_blank_histogram(spark, sf_dir):
     return score.source_histogram(some_cells(spark, sf_dir), blank=True)
 
 
-@query(f"with {CELLS} select row_index, source, count(*) as n from cells where value <> '' group by 1, 2")
+@query(f"with {CELLS} select row_index, source, count(*) as n from cells where trim(value) <> '' group by 1, 2")
 def a19_sources_by_row(spark, sf_dir):
-    return C.filled(some_cells(spark, sf_dir)).groupBy("row_index", "source").agg(F.count(F.lit(1)).alias("n"))
+    return score.sources_by_row(some_cells(spark, sf_dir))
 
 
 @query(f"with {CELLS} select row_index, header, value, source from cells where source in ('llm', 'local_model') and value <> ''")
@@ -767,16 +820,15 @@ def a29_span_metrics(spark, sf_dir):
     return score.span_metrics(p, a)
 
 
-@query("select source as label, count(*) as n from documents group by 1 order by n desc, label")
+@query("select source as label, count(*) as n from documents group by 1 order by n desc, min(doc_id)")
 def a32_class_distribution(spark, sf_dir):
-    return read(spark, sf_dir, "documents").groupBy(F.col("source").alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "label")
+    return score.histogram(read(spark, sf_dir, "documents").withColumnRenamed("source", "label"), "label", "doc_id")
 
 
 @query("select count(*) as leaked from (select lower(text) as t from documents where doc_id % 8 <> 0 intersect select lower(text) from documents where doc_id % 8 = 0)")
 def a33_leakage(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    key = F.sha2(F.lower("text").cast("binary"), 256).alias("t")  # a digest stands for the text in the shuffle
-    return docs.where("doc_id % 8 <> 0").select(key).intersect(docs.where("doc_id % 8 = 0").select(key)).agg(F.count(F.lit(1)).alias("leaked"))
+    return score.leaked(docs.where("doc_id % 8 <> 0"), docs.where("doc_id % 8 = 0"))
 
 
 # Orders, sets, rendering
@@ -788,30 +840,33 @@ def o1_review_order(spark, sf_dir):
     return v.orderBy("confidence", "row_index").select("row_index", learn.micro(F.col("confidence"), 3).alias("confidence"))
 
 
-@query("select doc_id, text from (select doc_id, text, lang, row_number() over (partition by lower(text), lang order by doc_id) as rn from documents) where rn = 1")
+@query("select doc_id, text from (select doc_id, text, lang, row_number() over (partition by lower(text), lower(lang) order by doc_id) as rn from documents) where rn = 1")
 def u6_keep_first(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    key = F.sha2(F.lower("text").cast("binary"), 256)
-    first = docs.groupBy(key.alias("k"), "lang").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    return docs.join(first, "doc_id", "left_semi").select("doc_id", "text")
+    return score.keep_first(read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ["text", "lang"], "doc_id").select("doc_id", "text")
 
 
-@query(f"select label, value from {values(sorted({(s.label, v) for x in RULES.contracts.values() for s in x for v in s.lov}), 'label', 'value')}")
+@query("select distinct 'Type' as label, p_type as value from part union select 'Type', p_type || ' Plus' from part union select 'Maker', p_brand from part")
 def u2_lov_union(spark, sf_dir):
-    return RULES.lov_table(spark)
+    return table_rules(spark, sf_dir).lov_table(spark)
 
 
-@query("select p_partkey, case when p_partkey % 3 = 0 then 'A' when p_partkey % 3 = 1 then 'A|C' else '' end as missing from part")
+@query("select p_partkey, array_to_string(list_filter([p_type, p_brand, p_name, 'UPC'], lambda h: not list_contains([p_type, 'UPC', case when p_size % 2 = 0 then p_brand else p_name end], h)), '|') as missing from part")
 def u4_missing_headers(spark, sf_dir):
-    have = F.when(F.col("p_partkey") % 3 == 0, F.array(F.lit("B"), F.lit("C"))).when(F.col("p_partkey") % 3 == 1, F.array(F.lit("B"))).otherwise(F.array(*map(F.lit, "ABC")))
-    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_except(F.array(*map(F.lit, "ABC")), have), "|").alias("missing"))
+    have = F.array("p_type", F.lit("UPC"), F.when(F.col("p_size") % 2 == 0, F.col("p_brand")).otherwise(F.col("p_name")))
+    return read(spark, sf_dir, "part").select("p_partkey", C.absent(F.array("p_type", "p_brand", "p_name", F.lit("UPC")), have).alias("missing"))
 
 
-@query("with s(label, style, value, uom) as (values ('Sound Level', 'value_uom_label', '47', 'dBA'), ('Mounting Type', 'value_label_head', 'Leg', ''), ('Number of Wash Cycles', 'count_hyphen', '5', ''), ('Series', 'series', 'Eco', ''), ('Voltage', 'value_only_uom', '120', 'V'), ('Notes', 'suffix_list', 'x', ''), ('H', 'hidden', 'x', '')) select label, case style when 'value_uom_label' then '47 dBA Sound Level' when 'value_label_head' then 'Leg Mounting' when 'count_hyphen' then '5-Wash Cycle' when 'series' then 'Eco Series' when 'value_only_uom' then '120 V' when 'suffix_list' then 'Notes: x' else '' end as said from s")
+_STYLES = ("value_uom_label", "value_label_head", "count_hyphen", "series", "value_only_uom", "suffix_list", "hidden")
+_STYLE = "case p_partkey % 7 " + " ".join(f"when {i} then {quoted(x)}" for i, x in enumerate(_STYLES)) + " end"
+_LABEL = "case p_partkey % 7 when 1 then p_type || ' Type' when 2 then 'Number of ' || p_type || ' Cycles' else p_type || ' Level' end"
+_NUMBER = "case when p_size % 11 = 0 then '' else cast(p_size as varchar) end"
+
+
+@query(f"with x as (select p_partkey, {_STYLE} as style, {_LABEL} as label, {_NUMBER} as value, case when p_size % 2 = 0 then 'in' else '' end as uom from part) select p_partkey, case when value = '' or style = 'hidden' then '' when style = 'value_uom_label' then concat_ws(' ', value, nullif(uom, ''), label) when style = 'value_label_head' then value || ' ' || regexp_replace(label, ' Type$', '') when style = 'count_hyphen' then value || '-' || regexp_replace(substr(label, 11), 's$', '') when style = 'series' then value || ' Series' when style = 'value_only_uom' then concat_ws(' ', value, nullif(uom, '')) else label || ': ' || value end as said from x")
 def r6_phrases(spark, sf_dir):
-    rows = [("Sound Level", "value_uom_label", "47", "dBA"), ("Mounting Type", "value_label_head", "Leg", ""), ("Number of Wash Cycles", "count_hyphen", "5", ""), ("Series", "series", "Eco", ""), ("Voltage", "value_only_uom", "120", "V"), ("Notes", "suffix_list", "x", ""), ("H", "hidden", "x", "")]
-    s = spark.createDataFrame(rows, "label string, style string, value string, uom string").select("label", F.struct("label", "style", "value", "uom").alias("s"))
-    return s.select("label", render.phrase(F.col("s")).alias("said"))
+    text_of = lambda x: F.expr(x.replace("varchar", "string"))
+    slot = F.struct(text_of(_LABEL).alias("label"), text_of(_STYLE).alias("style"), text_of(_NUMBER).alias("value"), F.when(F.col("p_size") % 2 == 0, "in").otherwise("").alias("uom"))
+    return read(spark, sf_dir, "part").withColumn("s", slot).select("p_partkey", render.phrase(F.col("s")).alias("said"))
 
 
 @query("with x as (select p_partkey, list_filter([p_name, p_type, p_brand, cast(p_size as varchar) || ' in'], lambda c: c <> '') as l from part) select p_partkey, list_reduce(l, lambda a, c: case when length(a) >= 24 then a when length(a || ', ' || c) > 30 then a else a || ', ' || c end, 'PN') as packed from x")
@@ -829,29 +884,24 @@ def r10_one_sided_packer(spark, sf_dir):
 # Extraction by single slots
 
 
-_SAID = "s as (select p_partkey, case p_partkey % 6 when 0 then 'Lamp 50k 3pk' when 1 then 'Lamp 3000K T25' when 2 then 'Multi CCT 2G' when 3 then 'Disc P150 50 Disc/Box' when 4 then '10-4 SO Cord #2' else '6/6/6 80 grit' end as t from part)"
-
+_SHORT = "p_name || ' ' || case p_partkey % 4 when 0 then cast(1000 + 100 * p_size as varchar) || 'K ' || cast(p_size as varchar) || 'pk' when 1 then cast(15 + p_size as varchar) || 'k T' || cast(10 + p_size as varchar) when 2 then 'P' || cast(40 + p_size as varchar) || ' ' || cast(1 + p_size % 9 as varchar) || 'G' else cast(10 + p_size as varchar) || '-' || cast(1 + p_size % 9 as varchar) || ' cord #' || cast(p_size % 10 as varchar) end"
 
-def said(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 6
-    t = F.when(k == 0, "Lamp 50k 3pk").when(k == 1, "Lamp 3000K T25").when(k == 2, "Multi CCT 2G").when(k == 3, "Disc P150 50 Disc/Box").when(k == 4, "10-4 SO Cord #2").otherwise("6/6/6 80 grit")
-    return read(spark, sf_dir, "part").select("p_partkey", t.alias("t"))
 
+def _only(k: int, x: str) -> str:
+    return f"case when p_partkey % 4 = {k} then cast({x} as varchar) end"
 
-def _cases(*found: str | None) -> str:
-    return "case p_partkey % 6 " + " ".join(f"when {i} then {quoted(x)}" for i, x in enumerate(found) if x) + " else null end"
 
-
-@query(f"select p_partkey, {_cases('5000', '3000', 'Selectable', None, None, None)} as cct, {_cases(None, None, None, '150', None, '80')} as grit, {_cases('3', None, None, '50', None, None)} as pack, {_cases(None, 'T25', None, None, '#2', None)} as drive, {_cases(None, None, '2', None, None, None)} as gangs, {_cases(None, None, None, None, '10', '6')} as gauge, {_cases(None, None, None, None, '4', '3')} as conductors from part")
+@query(f"select p_partkey, coalesce({_only(0, '1000 + 100 * p_size')}, {_only(1, '100 * (15 + p_size)')}) as cct, {_only(2, '40 + p_size')} as grit, {_only(0, 'p_size')} as pack, coalesce({_only(1, chr(39) + 'T' + chr(39) + ' || cast(10 + p_size as varchar)')}, {_only(3, chr(39) + '#' + chr(39) + ' || cast(p_size % 10 as varchar)')}) as drive, {_only(2, '1 + p_size % 9')} as gangs, {_only(3, '10 + p_size')} as gauge, {_only(3, '1 + p_size % 9')} as conductors from part")
 def e1_single_slots(spark, sf_dir):
-    t = F.col("t")
-    return said(spark, sf_dir).select("p_partkey", extract.color_temperature(t).alias("cct"), extract.grit(t).alias("grit"), extract.pack_quantity(t).alias("pack"), extract.drive_size(t).alias("drive"), extract.gangs(t).alias("gangs"), extract.wire(t)["size"].alias("gauge"), extract.wire(t)["conductors"].alias("conductors"))
+    t = F.expr(_SHORT.replace("varchar", "string"))
+    found = (extract.color_temperature(t).alias("cct"), extract.grit(t).alias("grit"), extract.pack_quantity(t).alias("pack"), extract.drive_size(t).alias("drive"), extract.gangs(t).alias("gangs"), extract.wire(t)["size"].alias("gauge"), extract.wire(t)["conductors"].alias("conductors"))
+    return read(spark, sf_dir, "part").select("p_partkey", *found)
 
 
-@query("select p_partkey, case p_partkey % 3 when 0 then '1 in x 6 in x 20 ft' when 1 then '2 in x 4 in' else '4-1/2 in x 1/8 in x 7/8 in' end as size from part")
+@query("select p_partkey, case p_partkey % 3 when 0 then cast(p_size as varchar) || ' in x ' || cast(p_size + 2 as varchar) || ' in x ' || cast(2 * p_size as varchar) || ' ft' when 1 then cast(p_size as varchar) || ' in x ' || cast(p_size + 4 as varchar) || ' in' else cast(p_size as varchar) || '-1/2 in x 1/8 in x ' || cast(p_size + 1 as varchar) || ' in' end as size from part")
 def e4_nominal_size(spark, sf_dir):
-    k = F.col("p_partkey") % 3
-    t = F.when(k == 0, "Board 1nx6-20' Grooved").when(k == 1, "Stud 2x4").otherwise("Wheel 4-1/2x1/8x7/8")
+    n = lambda k, times=1: (F.col("p_size") * times + k).cast("string")
+    t = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_name", F.lit(" "), n(0), F.lit("nx"), n(2), F.lit("-"), n(0, 2), F.lit("' Grooved"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("Stud "), n(0), F.lit("x"), n(4))).otherwise(F.concat(F.lit("Wheel "), n(0), F.lit("-1/2x1/8x"), n(1)))
     return read(spark, sf_dir, "part").select("p_partkey", F.array_join(extract.nominal_size(t), " x ").alias("size"))
 
 
@@ -891,15 +941,15 @@ def r18_run_verdicts(rows):
     return verdict.select("row_index", "confidence", "needs_review", F.array_join("reasons", " | ").alias("reasons"))
 
 
-@query(f"{CATALOG} select row_index, case when row_index % 10 < 3 then 'blocked' when row_index % 2 = 0 then 'review' else '' end as tone from c")
-def k2_row_tone(rows):
-    return rows.select("row_index", score.row_tone(F.when(F.col("row_index") % 10 < 3, 0.3).otherwise(0.8), F.col("row_index") % 2 == 0).alias("tone"))
+@query("select o_orderkey, case when (o_orderkey % 97) / 96.0::double < 0.45 then 'blocked' when o_orderstatus = 'F' then 'review' else '' end as tone from orders")
+def k2_row_tone(spark, sf_dir):
+    tone = score.row_tone((F.col("o_orderkey") % 97).cast("double") / 96.0, F.col("o_orderstatus") == "F")
+    return read(spark, sf_dir, "orders").select("o_orderkey", tone.alias("tone"))
 
 
 @query("select key, response from (select cast(c_nationkey as varchar) as key, c_name as response, row_number() over (partition by c_nationkey order by c_custkey desc) as rn from customer) where rn = 1")
 def s9_last_reply(spark, sf_dir):
-    rows = read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("key"), F.col("c_name").alias("response"), F.col("c_custkey").alias("line_no"))
-    return rows.groupBy("key").agg(F.max_by("response", "line_no").alias("response"))
+    return catalogue.last_replies(read(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("string").alias("key"), F.col("c_name").alias("response"), F.col("c_custkey").alias("line_no")))
 
 
 # More joins, folds and sets
@@ -910,11 +960,12 @@ def p8_filled_cells(spark, sf_dir):
     return C.filled(some_cells(spark, sf_dir)).select("row_index", "header", "value")
 
 
-@query("select l_orderkey, l_linenumber, l_linenumber * 10 < 35 and l_linenumber * 10 + 8 > 22 as taken from lineitem")
+@query("select l_orderkey, l_linenumber, (l_linenumber * 10 < l_quantity and l_linenumber * 10 + 8 > 3) or (l_linenumber * 10 < l_quantity + 12 and l_linenumber * 10 + 8 > l_quantity + 5) as taken from lineitem")
 def p14_span_overlap(spark, sf_dir):
-    claimed = F.array(F.struct(F.lit(22).alias("s"), F.lit(35).alias("e")))
+    q = F.col("l_quantity").cast("double")
+    claimed = F.array(F.struct(F.lit(3.0).alias("s"), q.alias("e")), F.struct((q + 5).alias("s"), (q + 12).alias("e")))
     at = F.col("l_linenumber") * 10
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.exists(claimed, lambda c: (at < c["e"]) & (at + 8 > c["s"])).alias("taken"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", extract.overlaps(claimed, at, at + 8).alias("taken"))
 
 
 @query("select p_partkey as row_index, 'ATTRIBUTE_LABEL 1' as header, 'Color' as value from part union all select p_partkey, 'ATTRIBUTE_VALUE 1', p_type from part union all select p_partkey, 'ATTRIBUTE_UOM 1', '' from part union all select p_partkey, 'ATTRIBUTE_LABEL 2', 'Size' from part union all select p_partkey, 'ATTRIBUTE_VALUE 2', cast(p_size as varchar) from part union all select p_partkey, 'ATTRIBUTE_UOM 2', 'in' from part")
@@ -941,58 +992,61 @@ def j3_brand_prior(rows):
     return rows.withColumn("grp", text.group_key(F.col("Part_Manuf"))).join(prior.select("grp", "brand"), "grp", "left").select("row_index", "brand")
 
 
-@query("select p_partkey, case when p_partkey % 2 = 0 then 'hardware' else 'generic' end as contract from part")
+@query("select p_partkey, case when list_contains((select list(t) from (select t, row_number() over (order by t) as n from (select distinct p_type as t from part)) where n % 2 = 1), p_type) then 'contract ' || p_type else 'generic' end as contract from part")
 def j13_contract_default(spark, sf_dir):
-    table = RULES.category_table(spark).select("classpath", F.col("contract").alias("c"))
-    named = F.when(F.col("p_partkey") % 2 == 0, RULES.categories[0].classpath).otherwise("Other")
-    return read(spark, sf_dir, "part").withColumn("classpath", named).join(F.broadcast(table), "classpath", "left").select("p_partkey", F.coalesce("c", F.lit("generic")).alias("contract"))  # one row a category
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Parts > "), "p_type").alias("classpath"))
+    return taxonomy.with_category(rows, table_rules(spark, sf_dir)).select("p_partkey", "contract")
 
 
-@query("with d as (select l_orderkey as id, l_linenumber as k, abs(l_quantity - 25) as dist from lineitem) select id, first(k order by dist, k) as nearest from d group by id")
+@query("select p_partkey as row_index, cast(case when p_size % 3 = 0 then p_size + 7 else p_size end as varchar) as width from part")
 def j17_nearest(spark, sf_dir):
-    found = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.min(F.struct(F.abs(F.col("l_quantity") - 25).alias("d"), F.col("l_linenumber").alias("k"))).alias("m"))
-    return found.select("id", F.col("m.k").alias("nearest"))
+    """The measurement next to the cue, wherever the cue stands among others."""
+    rules = Rules((), {"generic": (Slot("Width", "measure", family="length", cues=("wide",)),)})
+    a, b = F.col("p_size").cast("string"), (F.col("p_size") + 7).cast("string")
+    body = F.when(F.col("p_size") % 3 == 0, F.concat(F.lit("board "), a, F.lit(" in high and long, "), b, F.lit(" in wide"))).otherwise(F.concat(F.lit("wide "), a, F.lit(" in board, of great height "), b, F.lit(" in")))
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_index"), body.alias("body"), F.lit("generic").alias("contract"))
+    return extract.extract(rows, rules).select("row_index", F.get("filled", F.lit(0))["value"].alias("width"))
 
 
-@query(f"{CATALOG}, {BODY}, {TOKENS} select distinct token from tok where lower(token) not in ('bolt', 'gear', 'widget', 'plate')")
+@query(f"{CATALOG}, {BODY}, {TOKENS} select distinct token from tok where lower(token) not in (select lower(unnest(regexp_extract_all(p_type || ' ' || p_brand, '[A-Za-z][A-Za-z-]*'))) from part where p_partkey % 2 = 0)")
 def j18_product_word_filter(rows):
-    words = rows.sparkSession.createDataFrame([("bolt",), ("gear",), ("widget",), ("plate",)], "w string")
-    return learn.token_positions(rows).select("token", "low").distinct().join(words, F.col("low") == F.col("w"), "left_anti").select("token").distinct()
+    spark = rows.sparkSession
+    return learn.no_product_words(learn.token_positions(rows), learn.product_words(_even_types(rows)))
 
 
-@query(f"with {CELLS} select count(distinct row_index) as rows, count(distinct case when header = 'Classpath' and value <> '' then row_index end) as classified, cast(count_if(value <> '') as bigint) as filled, cast(count_if(source = 'llm' and value <> '') as bigint) as proposed from cells")
+@query(f"with {CELLS} select count(distinct row_index) as rows, count(distinct case when header = 'Classpath' and trim(value) <> '' then row_index end) as classified, cast(count_if(trim(value) <> '') as bigint) as filled, cast(count_if(source in ('llm', 'local_model') and trim(value) <> '') as bigint) as proposed from cells")
 def a22_run_stats(spark, sf_dir):
-    has = F.col("value") != ""
-    return some_cells(spark, sf_dir).agg(F.count_distinct("row_index").alias("rows"), F.count_distinct(F.when((F.col("header") == "Classpath") & has, F.col("row_index"))).alias("classified"), F.count_if(has).alias("filled"), F.count_if((F.col("source") == "llm") & has).alias("proposed"))
+    return score.run_stats(some_cells(spark, sf_dir))
 
 
-@query(f"with {CELLS} select row_index, {micro('avg(case when value <> $$$$ then 1.0::double else 0.0::double end)')} as coverage from cells group by 1")
+@query(f"with {CELLS} select row_index, {micro('avg(case when trim(value) <> $$$$ then 1.0::double else 0.0::double end)')} as coverage from cells group by 1")
 def a26_coverage(spark, sf_dir):
-    return some_cells(spark, sf_dir).groupBy("row_index").agg(learn.micro(F.avg((F.col("value") != "").cast("double"))).alias("coverage"))
+    return score.coverage(some_cells(spark, sf_dir))
 
 
-@query(f"select distinct lower(w) as word from (select unnest(string_split(value, ' ')) as w from {values(sorted({(v,) for x in RULES.contracts.values() for s in x for v in (*s.lov, *s.cues)}), 'value')})")
+@query("select distinct lower(w) as word from (select unnest(regexp_extract_all(t, '[A-Za-z][A-Za-z''-]*')) as w from (select p_type as t from part union select p_brand from part union select replace(p_brand, ' ', '-nr ') from part union select p_type || ' make' from part))")
 def a27_listed_words(spark, sf_dir):
-    rows = [(v,) for x in RULES.contracts.values() for s in x for v in (*s.lov, *s.cues)]
-    return spark.createDataFrame(rows, "v string").select(F.explode(F.regexp_extract_all("v", F.lit(r"([A-Za-z][A-Za-z'-]*)"), F.lit(0))).alias("w")).select(F.lower("w").alias("word")).distinct()
+    words = extract.listed_words(table_rules(spark, sf_dir).contract("generic"))
+    return spark.createDataFrame([(w,) for w in sorted(words)], "word string")
 
 
 @query("select o_orderpriority as k, count(*) as n from orders group by 1 order by n desc, min(o_orderkey)")
 def o2_histogram_order(spark, sf_dir):
-    h = read(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("seen"))
-    return h.orderBy(F.col("n").desc(), "seen").select("k", "n")
+    return score.histogram(read(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "k"), "k", "o_orderkey")
+
+
+_RANKS = [("a", "p_size", "p_partkey % 3"), ("b", "50 - p_size", "0"), ("c", "p_partkey % 7", "p_size % 2"), ("d", "20", "p_partkey % 2 * 2")]
 
 
-@query("select o_orderkey, 'c,a,d,b' as ordered from orders")
+@query("with x as (" + " union all ".join(f"select p_partkey, {quoted(n)} as label, {i} as i, cast({r} as integer) as r, cast({t} as integer) as t from part" for i, (n, r, t) in enumerate(_RANKS)) + ") select p_partkey, string_agg(label, ',' order by case when t > 0 then t else r + 1000 end, i) as ordered from x group by 1")
 def o3_channel_order(spark, sf_dir):
-    slot = lambda a, rank, title: F.struct(F.lit(a).alias("label"), F.lit(rank).alias("rank"), F.lit(title).alias("title_rank"))
-    slots = F.array(slot("a", 9, 2), slot("b", 50, 0), slot("c", 7, 1), slot("d", 3, 0))
-    return read(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.transform(render.by_channel(slots), lambda s: s["label"]), ",").alias("ordered"))
+    slots = F.array(*(F.struct(F.lit(n).alias("label"), F.expr(r).cast("int").alias("rank"), F.expr(t).cast("int").alias("title_rank")) for n, r, t in _RANKS))
+    return read(spark, sf_dir, "part").withColumn("s", slots).select("p_partkey", F.array_join(F.transform(render.by_channel(F.col("s")), lambda s: s["label"]), ",").alias("ordered"))
 
 
 @query("select p_partkey, array_to_string(list_sort([p_type, p_brand, p_name])[1:2], ', ') as shown from part")
 def o7_first_items(spark, sf_dir):
-    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.slice(F.array_sort(F.array("p_type", "p_brand", "p_name")), 1, 2), ", ").alias("shown"))
+    return read(spark, sf_dir, "part").select("p_partkey", C.first_items(F.array("p_type", "p_brand", "p_name"), 2).alias("shown"))
 
 
 @query(f"{CATALOG}, {BODY}, {STACK} select column_rank, count(*) as n from st group by 1")
@@ -1003,24 +1057,27 @@ def u1_union_of_columns(rows):
 @query("select id, start, stop, label from (select l_orderkey as id, l_linenumber as start, l_linenumber + 1 as stop, l_returnflag as label from lineitem where l_quantity < 30 intersect select l_orderkey, l_linenumber, l_linenumber + 1, l_returnflag from lineitem where l_quantity > 10)")
 def u5_span_intersection(spark, sf_dir):
     s = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("stop"), F.col("l_returnflag").alias("label"), "l_quantity")
-    return s.where("l_quantity < 30").drop("l_quantity").intersect(s.where("l_quantity > 10").drop("l_quantity"))
+    return score.shared_spans(s.where("l_quantity < 30"), s.where("l_quantity > 10"))
 
 
-@query("select s_suppkey, len(list_intersect(regexp_extract_all(lower(s_name), '[a-z0-9]+'), ['supplier', 'x'])) > 0 as shared from supplier")
+@query("select s_suppkey, len(list_intersect(regexp_extract_all(lower(s_name), '[a-z0-9]+'), regexp_extract_all(lower(n_name || '-SUPPLIER ' || cast(s_suppkey % 40 as varchar)), '[a-z0-9]+'))) > 0 as shared from supplier join nation on s_nationkey = n_nationkey and n_nationkey % 2 = 0")
 def u8_redundant_words(spark, sf_dir):
-    return read(spark, sf_dir, "supplier").select("s_suppkey", F.arrays_overlap(F.regexp_extract_all(F.lower("s_name"), F.lit("([a-z0-9]+)"), F.lit(0)), F.array(F.lit("supplier"), F.lit("x"))).alias("shared"))
+    both = read(spark, sf_dir, "supplier").join(read(spark, sf_dir, "nation").where("n_nationkey % 2 = 0"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return both.select("s_suppkey", render.shares_words(F.col("s_name"), F.concat("n_name", F.lit("-SUPPLIER "), (F.col("s_suppkey") % 40).cast("string"))).alias("shared"))
+
+
+_ENDINGS = "case p_partkey % 6 when 0 then ' Type' when 1 then ' RATING' when 2 then '  level' when 3 then ' Grade Type' when 4 then 'Type' else '' end"
 
 
-@query("with s(label) as (values ('Mounting Type'), ('Sound Level'), ('Voltage Rating'), ('Type'), ('Color')) select label, case label when 'Mounting Type' then 'Mounting' when 'Sound Level' then 'Sound' when 'Voltage Rating' then 'Voltage' else label end as head from s")
+@query(f"select p_partkey, regexp_replace(p_type || {_ENDINGS}, '(?i)(\\S)\\s+(?:type|rating|level|style|option|class|grade)$', '\\1') as head from part")
 def r7_label_head(spark, sf_dir):
-    labels = spark.createDataFrame([("Mounting Type",), ("Sound Level",), ("Voltage Rating",), ("Type",), ("Color",)], "label string")
-    return labels.select("label", render.label_head(F.col("label")).alias("head"))
+    return read(spark, sf_dir, "part").select("p_partkey", render.label_head(F.concat("p_type", F.expr(_ENDINGS))).alias("head"))
 
 
-@query("select p_partkey, case when p_partkey % 2 = 0 then cast(p_size as varchar) || 'IN' else 'SST' end as token from part")
+@query(f"select p_partkey, case when p_partkey % 2 = 0 then cast(p_size as varchar) || 'IN' else upper(trim(regexp_replace({_contracted(chr(112) + '_name || ' + quoted(' Stainless Steel with ') + ' || p_type')}, '\\s{{2,}}', ' ', 'g'))) end as token from part")
 def r8_invoice_token(spark, sf_dir):
     even = F.col("p_partkey") % 2 == 0
-    slot = F.struct(F.when(even, F.col("p_size").cast("string")).otherwise("Stainless Steel").alias("value"), F.when(even, "inches").otherwise("").alias("uom"))
+    slot = F.struct(F.when(even, F.col("p_size").cast("string")).otherwise(F.concat("p_name", F.lit(" Stainless Steel with "), "p_type")).alias("value"), F.when(even, "inches").otherwise("").alias("uom"))
     return read(spark, sf_dir, "part").withColumn("s", slot).select("p_partkey", render.invoice_token(F.col("s")).alias("token"))
 
 

@@ -75,7 +75,11 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True)
 
 def read_cache(spark: SparkSession, path: str) -> DataFrame:
     """key and response of an append-only reply log: the last line of a key counts."""
-    rows = spark.read.schema("key string, response string, line_no long").json(path)
+    return last_replies(spark.read.schema("key string, response string, line_no long").json(path))
+
+
+def last_replies(rows: DataFrame) -> DataFrame:
+    """key, response of (key, response, line_no): the last line of each key."""
     return rows.groupBy("key").agg(F.max_by("response", "line_no").alias("response"))
 
 
