@@ -152,6 +152,11 @@ def packed(batches: Iterable[pa.RecordBatch], column: str, most: int = 4 << 20)
         yield pa.Table.from_batches(held)
 
 
+def as_bytes(column):
+    """A string column as its UTF-8 bytes, without a copy."""
+    return column.cast(pa.binary()) if not pa.types.is_binary(column.type) else column
+
+
 def texts_of(column) -> list[bytes]:
     """The values of a binary column; null is empty."""
     return [x or b"" for x in column.to_pylist()]

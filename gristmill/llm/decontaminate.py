@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, trimmed
+from .common import as_bytes, stored, trimmed
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _built: dict[str, Items] = {}
@@ -133,7 +133,7 @@ def _scan(broadcast, key: str, state: str, text: str):
         for batch in batches:
             built = built or automaton(key, broadcast.value)
             rows = []
-            for value, before in zip(batch.column(text), batch.column(state)):
+            for value, before in zip(as_bytes(batch.column(text)), batch.column(state)):
                 body = value.as_py() or b""
                 n, ranges, items = built.matches(body)
                 old = before.as_py()
@@ -170,19 +170,19 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id:
     Null and empty texts have no words and no hits. Repeated rows stay repeated. An empty benchmark hits nothing.
     """
     spark = docs.sparkSession
-    state, body = (f"hits_{uuid.uuid4().hex}", f"body_{uuid.uuid4().hex}")
+    state = f"hits_{uuid.uuid4().hex}"
     kind = "struct<n:bigint,starts:array<int>,stops:array<int>,items:array<string>,spans:string>"
-    out = docs.withColumn(state, F.lit(None).cast(kind)).withColumn(body, F.col(text).cast("binary"))
+    out = docs.withColumn(state, F.lit(None).cast(kind))
     blocks = benchmark_blocks(benchmark, item_id, item_text, block_bytes)
     block = next(blocks)
     while block is not None:
         following = next(blocks, None)
         sent = spark.sparkContext.broadcast((width, block))
-        out = out.mapInArrow(trimmed(_scan(sent, uuid.uuid4().hex, state, body)), out.schema)
+        out = out.mapInArrow(trimmed(_scan(sent, uuid.uuid4().hex, state, text)), out.schema)
         block = following
         if following is not None:
             out = stored(out, "decontaminate")
-    return out.drop(body), state
+    return out, state
 
 
 def hit_words(state: Column) -> Column:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, mixed, packed, texts_of, trimmed, word_hashes
+from .common import Rolling, as_bytes, mixed, packed, texts_of, trimmed, word_hashes
 from .decontaminate import _FOLD
 
 STEM = 6
@@ -107,15 +107,15 @@ def held_out(doc_id: Column) -> Column:
 def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, text: str = "text", bits: int = 20) -> tuple[DataFrame, str]:
     """Every row and column of `docs` and a score column, whose name is the second value. Empty and null texts get
     the score of a text without features."""
-    name, body = f"score_{uuid.uuid4().hex}", f"body_{uuid.uuid4().hex}"
+    name = f"score_{uuid.uuid4().hex}"
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, weights, bias = sent.value
         rolling, dense = Rolling(3), np.zeros(1 << bits)
         dense[kept] = weights
-        for part in packed(batches, body, 2 << 20):
-            texts = texts_of(part.column(body))
+        for part in packed(batches, text, 1 << 20):
+            texts = texts_of(as_bytes(part.column(text)))
             owner, feature = features(texts, bits, rolling)
             heavy = np.flatnonzero(dense[feature])
             pairs = np.unique(owner[heavy] << bits | feature[heavy])
@@ -123,8 +123,8 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], *, text
             at = part.schema.get_field_index(name)
             yield from part.set_column(at, part.schema.field(at), pa.array(1 / (1 + np.exp(-np.clip(total, -35, 35))))).combine_chunks().to_batches()
 
-    out = docs.withColumn(name, F.lit(None).cast("double")).withColumn(body, F.coalesce(F.col(text).cast("binary"), F.lit(b"")))
-    return out.mapInArrow(trimmed(run), out.schema).drop(body), name
+    out = docs.withColumn(name, F.lit(None).cast("double"))
+    return out.mapInArrow(trimmed(run), out.schema), name
 
 
 def report(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
