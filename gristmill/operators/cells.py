@@ -35,6 +35,10 @@ class Schema:
     def attribute_headers(self, slot: int) -> tuple[str, str, str]:
         return tuple(f"ATTRIBUTE_{x} {slot}" for x in ("LABEL", "VALUE", "UOM"))
 
+    def blank(self) -> dict[str, Column]:
+        """An empty record: every header with ''."""
+        return {h: F.lit("").alias(h) for h in self.headers}
+
     def problems(self, wide: DataFrame) -> Column:
         """Structural faults of each wide row, as an array: absent and unknown columns, values without a label."""
         absent = [h for h in self.headers if h not in wide.columns]
@@ -65,6 +69,16 @@ def cell(header: str | Column, value: Column, source: str | Column, rule: str |
     return F.struct(as_column(header).alias("header"), value.cast("string").alias("value"), as_column(source).alias("source"), as_column(rule).alias("rule"), as_column(confidence).cast("double").alias("confidence"))
 
 
+def rescored(cell: Column, confidence: Column) -> Column:
+    """The cell with another confidence, within 0 and 1."""
+    return cell.withField("confidence", F.least(F.lit(1.0), F.greatest(F.lit(0.0), confidence.cast("double"))))
+
+
+def is_intentional_blank(source: Column, value: Column) -> Column:
+    """Whether a cell is empty on purpose."""
+    return (F.trim(F.coalesce(value, F.lit(""))) == "") & source.isin("not_derivable", "placeholder_dropped", "contract_template")
+
+
 def exploded(rows: DataFrame, *cells: Column, array: Column | None = None) -> DataFrame:
     made = F.array(*cells) if array is None else array
     return rows.select("row_index", F.explode(made).alias("c")).select("row_index", "c.*")

@@ -89,22 +89,25 @@ def link_tiers(rows: DataFrame) -> DataFrame:
     return each.groupBy("tier", F.lower("name").alias("low")).agg(first).select("tier", "f.ord", "f.name")
 
 
-def link_brands(rows: DataFrame, product: DataFrame) -> DataFrame:
+def link_brands(rows: DataFrame, product: DataFrame, store=lambda df, name: df) -> DataFrame:
     """grp, token, hits, position, seen, canonical, linkage, confidence, attested of every brand token, by the first of:
     its group's favourite column value, if the two agree; a name that it is but for case; if it is no product word
-    (`product`: low), the closest name of the first tier with one that is close enough. What is left is unattested."""
+    (`product`: low), the closest name of the first tier with one that is close enough. What is left is unattested.
+    `store` (frame, name) may write what is used several times."""
     from . import entity
 
-    tokens = brand_tokens(rows).withColumn("low", F.lower("token"))
     seen = token_positions(rows).groupBy("grp", "token").agg(F.min("row_index").alias("seen"))
+    positions = mean_positions(rows).select("low", F.col("mean_position").alias("position"))
+    tokens = brand_tokens(rows).withColumn("low", F.lower("token")).join(positions, "low", "left").join(seen, ["grp", "token"], "left")
+    tokens = store(tokens.select("grp", "token", "low", "hits", F.coalesce("position", F.lit(0.5)).alias("position"), "seen"), "tokens")
     order = (F.col("row_index") * 4 + F.col("column_rank")).alias("seen")
     votes = stacked_brands(rows, COLUMNS[:2]).select("grp", "value", order)
     favourites = first_mode(votes, "grp", "value", "seen").withColumnRenamed("value", "name")
-    tiers = link_tiers(rows)
+    tiers = store(link_tiers(rows), "tiers")
     own = entity.group_links(tokens, favourites).select("grp", "token", F.col("name").alias("own"), F.col("hits").alias("votes"))
     exact = entity.exact_links(tokens, tiers).select("token", F.col("name").alias("exact"), F.col("tier").alias("exact_tier"))
     blocked = product.select("low", F.lit(True).alias("blocked"))
-    out = tokens.join(own, ["grp", "token"], "left").join(exact, "token", "left").join(blocked, "low", "left")
+    out = store(tokens.join(own, ["grp", "token"], "left").join(exact, "token", "left").join(blocked, "low", "left"), "linked")
     open_ = out.where("own is null and exact is null and blocked is null").select("token")
     fuzzy = entity.tiered_links(open_, tiers).select("token", F.col("name").alias("fuzzy"), F.col("tier").alias("fuzzy_tier"), "score")
     labels = F.array(*map(F.lit, ("dib-brand-column", "e1-brand-column", "unilog-brand-column", "known-shorthand", "account-name-head")))
@@ -118,9 +121,8 @@ def link_brands(rows: DataFrame, product: DataFrame) -> DataFrame:
         .when(F.col("fuzzy").isNotNull(), made(F.col("fuzzy"), F.concat(F.lit("fuzzy:"), at(F.col("fuzzy_tier")), F.lit("("), F.rint("score").cast("int"), F.lit(")")), F.col("score") / 100))
         .otherwise(made(self_name, F.lit("unlinked"), F.lit(0.0)))
     )
-    positions = mean_positions(rows).select("low", F.col("mean_position").alias("position"))
-    placed = out.join(fuzzy, "token", "left").join(positions, "low", "left").join(seen, ["grp", "token"], "left").withColumn("f", found)
-    return placed.select("grp", "token", "hits", F.coalesce("position", F.lit(0.5)).alias("position"), "seen", "f.*", (F.col("f.confidence") > 0).alias("attested"))
+    told = out.join(fuzzy, "token", "left").withColumn("f", found)
+    return told.select("grp", "token", "hits", "position", "seen", "f.*", (F.col("f.confidence") > 0).alias("attested"))
 
 
 def brand_entries(links: DataFrame, attested: DataFrame | None = None) -> DataFrame:
@@ -146,6 +148,11 @@ def brand_entries(links: DataFrame, attested: DataFrame | None = None) -> DataFr
     )
 
 
+def canonical_brands(entries: DataFrame) -> DataFrame:
+    """canonical of every entry, in order."""
+    return entries.select("canonical").orderBy("canonical")
+
+
 def brands(rows: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(brands, candidates): entries of the attested links and column values, and of the rest for review, with why they
     were refused; a candidate that a column attests is no candidate any more."""

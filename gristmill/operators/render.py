@@ -87,6 +87,14 @@ def pack(head: Column, candidates: Column, *, lo: int, hi: int, joiner: str = ",
     return F.aggregate(candidates, start, step)
 
 
+def audit(packed: Column, lo: int) -> Column:
+    """What pack() did, in a line: how many candidates were used, the first dropped ones, and a text that stayed short."""
+    n = F.size(packed["used"])
+    dropped = F.when(F.size(packed["dropped"]) > 0, F.concat(F.lit("dropped: "), F.array_join(F.transform(F.slice(packed["dropped"], 1, 4), lambda c: F.concat(F.lit("'"), c, F.lit("'"))), "; ")))
+    short = F.when(F.length(packed["text"]) < lo, "window NOT satisfied")
+    return F.concat_ws(" | ", F.format_string("%d of %d candidates used", n, n + F.size(packed["dropped"])), dropped, short)
+
+
 def _joined(head: Column, phrases: Column) -> Column:
     return F.concat(head, F.array_join(F.transform(phrases, lambda p: F.concat(F.lit(", "), p)), ""))
 
@@ -152,7 +160,7 @@ def with_slots(rows: DataFrame, rules: Rules) -> DataFrame:
     def told(s: Column) -> Column:
         found = F.filter("filled", lambda f: f["label"] == s["label"])
         for name, none in empty.items():
-            s = s.withField(name, F.coalesce(F.get(F.transform(found, lambda f, name=name: f[name]), F.lit(0)), none))
+            s = s.withField(name, F.coalesce(F.get(found, F.lit(0))[name], none))
         return s
 
     return rows.withColumn("slots", F.transform(slots, told))

@@ -233,3 +233,42 @@ def keep_first(rows: DataFrame, by: list[str], order: str) -> DataFrame:
     keyed = rows.withColumn("_k", key)
     first = keyed.groupBy("_k").agg(F.min(order).alias(order))
     return keyed.join(first, ["_k", order], "left_semi").drop("_k")
+
+
+QUEUE = ("Mfg_Part_Num", "Part_Desc", "BRAND_NAME", "MANUFACTURER_NAME", "Classpath", "SHORT_DESC", "INVOICE_DESC", "MOBILE_DESC")
+CHANNELS = ("SHORT_DESC", "LONG_DESC1", "RETAIL_DESC", "MOBILE_DESC", "INVOICE_DESC")
+
+
+def queue_rows(cells: DataFrame, verdict: DataFrame) -> DataFrame:
+    """What review_queue() needs of each row: its verdict and the values of the queue's columns."""
+    return C.wide(cells.where(F.col("header").isin(*QUEUE)), QUEUE).join(verdict, "row_index")
+
+
+def channel_check(got: DataFrame, want: DataFrame, key: str = "Mfg_Part_Num", channels: tuple[str, ...] = CHANNELS) -> DataFrame:
+    """channel, compared, matched over the rows of `want` (key and channel texts; an empty text asks for nothing)."""
+    each = lambda df: F.explode(F.array(*(F.struct(F.lit(c).alias("channel"), F.coalesce(c, F.lit("")).alias("said")) for c in channels if c in df.columns))).alias("x")
+    asked = want.select(key, each(want)).select(key, "x.channel", F.col("x.said").alias("want")).where("want <> ''")
+    have = got.select(key, each(got)).select(key, "x.channel", F.col("x.said").alias("got"))
+    same = F.count_if(F.col("got").eqNullSafe(F.col("want")))
+    return asked.join(have, [key, "channel"], "left").groupBy("channel").agg(F.count(F.lit(1)).alias("compared"), same.alias("matched"))
+
+
+def evaluate(cells: DataFrame, verdict: DataFrame, gold: DataFrame | None = None, key: str = "Mfg_Part_Num") -> dict:
+    """The figures of a run's report: run, compliance, triage, sources, blanks and reasons; with `gold` (labelled rows in
+    delivery columns) also the accuracy of each field and the channels that match. Each part is a small aggregate."""
+    named = lambda df, k: {r[k]: r["n"] for r in df.orderBy(F.col("n").desc(), k).collect()}
+    wide = C.wide(cells.where(F.col("header").isin(*CHANNELS)), CHANNELS)
+    out = {
+        "run": run_stats(cells).first().asDict(),
+        "compliance": compliance(wide).first().asDict(),
+        "triage": {r["bucket"]: r["n"] for r in triage(verdict).collect()},
+        "sources": named(source_histogram(cells), "source"),
+        "blanks": named(source_histogram(cells, blank=True), "source"),
+        "reasons": named(reason_histogram(verdict), "reason"),
+    }
+    if gold is not None:
+        fields = [c for c in gold.columns if c not in ("row_index", key)]
+        got = C.wide(cells.where(F.col("header").isin(key, *fields)), [key, *fields])
+        out["fields"] = {r["field"]: {"compared": r["compared"], "exact": r["exact"], "normalised": r["normalised"]} for r in gold_scores(got, gold, fields, key).collect()}
+        out["channels"] = {r["channel"]: f"{r['matched']} of {r['compared']}" for r in channel_check(got, gold, key, tuple(c for c in CHANNELS if c in fields)).collect()}
+    return out

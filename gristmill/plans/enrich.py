@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text
 from ..operators import cells as C
-from ..operators import entity, extract, learn, render, score, taxonomy
+from ..operators import entity, extract, learn, propose, render, score, taxonomy
+from ..sources import catalogue, rules as rule_files
 from ..sources.rules import Rules
+from ..sources.scratch import stored
 
 
 @dataclass
@@ -37,10 +39,6 @@ class Vocabulary:
     def read(cls, spark, path: str) -> Vocabulary:
         return cls(*(spark.read.parquet(f"{path}/{f.name}") for f in fields(cls)))
 
-    def unpersist(self) -> None:
-        for f in fields(self):
-            getattr(self, f.name).unpersist()
-
 
 def prepared(rows: DataFrame) -> DataFrame:
     """rows with grp, body and prepared (the text that categories are matched against)."""
@@ -51,11 +49,12 @@ def prepared(rows: DataFrame) -> DataFrame:
 def brand_vocabulary(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(aliases: alias, canonical, attested; brands; candidates). Product names come first, without any knowledge of
     brands, since their words are never linked to a brand that they merely resemble."""
-    links = learn.link_brands(rows, learn.product_words(learn.product_types(rows))).persist()
+    words = stored(learn.product_words(learn.product_types(rows)), "words")
+    links = stored(learn.link_brands(rows, words, stored), "links")
     known, candidates = learn.brands(rows, links)
-    known = known.persist()
+    known = stored(known, "brands")
     entries = known.select("canonical", F.explode(F.array_union("aliases", F.array("canonical"))).alias("alias"), F.col("seen").alias("ord"))
-    return learn.alias_index(entries).withColumn("attested", F.lit(True)), known, candidates
+    return stored(learn.alias_index(entries).withColumn("attested", F.lit(True)), "aliases"), known, candidates
 
 
 def brand_aliases(rows: DataFrame) -> DataFrame:
@@ -65,13 +64,12 @@ def brand_aliases(rows: DataFrame) -> DataFrame:
 
 def learned(rows: DataFrame, rules: Rules) -> Vocabulary:
     aliases, brands, candidates = brand_vocabulary(rows)
-    aliases = aliases.persist()
     ready = prepared(rows).select("row_index", "grp", "prepared")
     seen = taxonomy.classify(ready, rules).join(ready.select("row_index", "grp"), "row_index")
-    prior = learn.group_prior(seen.where("grp <> '<ungrouped>'").select("grp", "classpath", "confidence")).persist()
+    prior = stored(learn.group_prior(seen.where("grp <> '<ungrouped>'").select("grp", "classpath", "confidence")), "group-prior")
     # The second pass over product language knows the brands and leaves them out.
     told = learn.own_aliases(rows, aliases)
-    return Vocabulary(aliases, learn.brand_prior(rows, aliases).persist(), prior, learn.series(told).persist(), brands, candidates, learn.product_types(told))
+    return Vocabulary(aliases, stored(learn.brand_prior(rows, aliases), "brand-prior"), prior, stored(learn.series(told), "series"), brands, candidates, learn.product_types(told))
 
 
 def series_names(vocabulary: Vocabulary) -> list[str]:
@@ -79,8 +77,9 @@ def series_names(vocabulary: Vocabulary) -> list[str]:
     return [r["name"] for r in vocabulary.series.orderBy(F.col("n").desc(), "name").collect()]
 
 
-def enriched(rows: DataFrame, rules: Rules, vocabulary: Vocabulary) -> DataFrame:
-    """One row a row: the input, classification, brand, filled slots and the five channels."""
+def enriched(rows: DataFrame, rules: Rules, vocabulary: Vocabulary, client=None, cache: str | None = None, most: int = 250) -> DataFrame:
+    """One row a row: the input, classification, brand, filled slots and the five channels. A `client` (request to
+    reply) proposes values for slots that are still blank; see propose.proposed()."""
     ready = prepared(rows)
     found = taxonomy.classify(ready.select("row_index", "grp", "prepared"), rules, vocabulary.group_prior)
     brands = entity.resolve_brands(rows, vocabulary.aliases, vocabulary.brand_prior)
@@ -88,6 +87,7 @@ def enriched(rows: DataFrame, rules: Rules, vocabulary: Vocabulary) -> DataFrame
     out = ready.join(found, "row_index").join(brands.withColumnsRenamed({"confidence": "brand_confidence", "source": "brand_source"}), "row_index")
     out = taxonomy.with_category(out, rules)
     out = render.with_implied(render.with_slots(extract.extract(out, rules, names), rules), rules)
+    out = propose.proposed(out, rules, client, cache, most)
     named = F.coalesce("product_name", text.fallback_name(F.col("body")))
     out = out.withColumn("product_name", named).withColumn("mpn", F.trim("Mfg_Part_Num")).withColumn("series", F.lit("")).withColumn("with_phrase", F.lit("")).withColumn("maker", F.col("manufacturer")).withColumn("manufacturer", F.col("maker.value"))
     out = render.channels(out)
@@ -113,6 +113,7 @@ def cells(rows: DataFrame, rules: Rules) -> DataFrame:
         cell("RETAIL_DESC", F.col("RETAIL_DESC"), "derived", "channel:RETAIL_DESC", 0.88),
         cell("MOBILE_DESC", F.col("MOBILE_DESC"), "constraint_solver", "channel:MOBILE_DESC", F.when(F.length("MOBILE_DESC") >= fixed.MOBILE_MIN, 0.9).otherwise(0.55)),
         cell("INVOICE_DESC", F.col("INVOICE_DESC"), "constraint_solver", "channel:INVOICE_DESC", 0.92),
+        cell("MARKETING_DESCRIPTION", F.col("marketing"), F.when(F.col("marketing") != "", "llm").otherwise("unresolved"), "proposed:MARKETING_DESCRIPTION", F.when(F.col("marketing") != "", 0.5).otherwise(0.0)),
         cell("STANDARD_APPROVALS", F.col("approvals"), F.when(F.col("approvals") != "", "regex_extract").otherwise("unresolved"), "approvals", 0.9),
         cell("MFR URL", F.coalesce(text.url_of(F.col("brand_plain"), F.col("mpn")), F.lit("")), F.when(text.url_of(F.col("brand_plain"), F.col("mpn")).isNotNull(), "derived").otherwise("not_derivable"), "mfr-url", 0.75),
     ]
@@ -128,9 +129,19 @@ def checked(rows: DataFrame, rules: Rules) -> DataFrame:
     return rows.select("row_index", F.length("INVOICE_DESC").alias("invoice_length"), F.length("MOBILE_DESC").alias("mobile_length"), F.size(wrong).alias("n_lov_violations"), F.col("classpath").isNull().alias("unclassified"), (F.col("brand_plain") == "").alias("brand_unresolved"), "margin", "runner_up")
 
 
-def run(rows: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame, DataFrame, Vocabulary]:
+def run(rows: DataFrame, rules: Rules, client=None, cache: str | None = None, most: int = 250) -> tuple[DataFrame, DataFrame, DataFrame, Vocabulary]:
     """(enriched rows, cells, verdicts, vocabulary)."""
     vocabulary = learned(rows, rules)
-    out = enriched(rows, rules, vocabulary)
+    out = enriched(rows, rules, vocabulary, client, cache, most)
     made = cells(out, rules)
     return out, made, score.verdicts(made, checked(out, rules)), vocabulary
+
+
+def build(spark, input_path: str, rules_path: str | None = None, limit: int | None = None) -> tuple[DataFrame, Rules]:
+    """(rows, rules) of a run: `limit` keeps the first rows, before anything is learnt from them."""
+    rows = catalogue.read_input(spark, input_path)
+    missing = catalogue.require_columns(rows)
+    if missing:
+        raise ValueError(f"{input_path} lacks the columns {', '.join(missing)}")
+    rows = rows if limit is None else rows.orderBy("row_index").limit(limit)
+    return rows, rule_files.load(rules_path) if rules_path else rule_files.demo()

@@ -929,14 +929,12 @@ def r1_resolve_brands(rows):
 
 @query()
 def r17_enrich(rows):
-    rows = rows.persist()
     out = enrich.enriched(rows, RULES, enrich.learned(rows, RULES))
     return out.select("row_index", "classpath", "confidence", "how", "brand", "rung", "manufacturer", "SHORT_DESC", "LONG_DESC1", "RETAIL_DESC", "MOBILE_DESC", "INVOICE_DESC", "approvals")
 
 
 @query()
 def r18_run_verdicts(rows):
-    rows = rows.persist()
     _, _, verdict, _ = enrich.run(rows, RULES)
     return verdict.select("row_index", "confidence", "needs_review", F.array_join("reasons", " | ").alias("reasons"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import csv
 import io
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,12 +39,29 @@ def headers(spark: SparkSession, path: str) -> list[str]:
     return [h.strip() for h in next(csv.reader(io.StringIO((line[0] if line else "").lstrip("﻿"))))]
 
 
+def in_file_order(df: DataFrame) -> DataFrame:
+    """df, read from files that are not split, with row_index: rows as the files' names and lines go. A first pass
+    counts the rows of each file; numbering is a join to one row a file."""
+    at = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_n", F.monotonically_increasing_id())
+    files = at.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"), F.min("_n").alias("_first"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
+    base = files.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0))).select("_file", "_base", "_first")
+    return at.join(base, "_file").select((F.col("_base") + F.col("_n") - F.col("_first")).alias("row_index"), *df.columns)
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """row_index and the file's columns as strings, names trimmed, null as ''. Row numbers follow the file's order."""
     raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).option("inferSchema", False).option("encoding", "UTF-8").csv(path)
-    named = raw.toDF(*(c.lstrip("﻿").strip() for c in raw.columns)).na.fill("")
-    schema = T.StructType([T.StructField("row_index", T.LongType()), *named.schema.fields])
-    return spark.createDataFrame(named.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])), schema)
+    numbered = in_file_order(raw)
+    return numbered.toDF("row_index", *(c.lstrip("\ufeff").strip() for c in raw.columns)).na.fill("")
+
+
+def read_payload(spark: SparkSession, payload: bytes, limit: int | None = None) -> DataFrame:
+    """An uploaded CSV file, as read_csv() reads it; `limit` keeps the first rows. The payload is the driver's already."""
+    table = [r for r in csv.reader(io.StringIO(payload.decode("utf-8-sig"))) if r]
+    names = [n.strip() for n in table[0]] if table else []
+    rows = [(i, *(r + [""] * (len(names) - len(r)))[: len(names)]) for i, r in enumerate(table[1:][:limit])]
+    return spark.createDataFrame(rows, T.StructType([T.StructField("row_index", T.LongType()), *(T.StructField(n, T.StringType()) for n in names)]))
 
 
 def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
@@ -67,8 +84,21 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     return df.select("row_index", *(F.trim(F.col(f"`{c}`")).alias(c) for c in df.columns[1:]))
 
 
+def jsonl_faults(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """file, line (from 1), text of the lines that are no JSON objects of the schema; blank lines count as lines only."""
+    lines = in_file_order(spark.read.option("maxPartitionBytes", 1 << 60).text(path).withColumn("file", F.col("_metadata.file_path")))
+    first = Window.partitionBy("file")
+    placed = lines.withColumn("line", F.col("row_index") - F.min("row_index").over(first) + 1).where(F.trim("value") != "")
+    told = placed.withColumn("j", F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
+    return told.where("j is null or j._corrupt_record is not null").select("file", "line", F.col("value").alias("text"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """JSON lines; blank ones go. `strict` fails on a bad line, else `_corrupt_record` holds it."""
+    """JSON lines; blank ones go. `strict` raises on a bad line and names it, else `_corrupt_record` holds it."""
+    if strict:
+        bad = jsonl_faults(spark, path, schema).orderBy("file", "line").limit(1).collect()
+        if bad:
+            raise ValueError(f"{bad[0]['file']}, line {bad[0]['line']}: {bad[0]['text'][:80]!r} is no JSON object")
     reader = spark.read.schema(schema if strict else f"{schema}, _corrupt_record string")
     return reader.option("mode", "FAILFAST" if strict else "PERMISSIVE").json(path)
 

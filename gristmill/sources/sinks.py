@@ -13,27 +13,41 @@ from ..operators import score
 
 
 def write_delivery_csv(cells: DataFrame, headers: list[str], path: str, strict: bool = True) -> None:
-    """The wide sheet in header order; `strict` refuses rows with structural faults."""
+    """The wide sheet in header order, rows in theirs over the part files; `strict` refuses rows with structural faults."""
     wide = C.wide(cells, headers)
     if strict:
         bad = wide.select(F.explode(C.Schema(headers).problems(wide)).alias("p")).limit(1).collect()
         if bad:
             raise ValueError(bad[0]["p"])
-    wide.drop("row_index").write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
+    wide.orderBy("row_index").drop("row_index").write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
-def write_delivery_xlsx(cells: DataFrame, verdict: DataFrame, headers: list[str], path: str) -> None:
-    """The wide sheet as a workbook, rows tinted by verdict, streamed through the driver. Needs xlsxwriter."""
-    import xlsxwriter
+#: Fixed value: rows of a worksheet.
+SHEET_ROWS = 1_048_576
 
-    book = xlsxwriter.Workbook(path, {"constant_memory": True})
-    sheet = book.add_worksheet()
+
+def write_delivery_xlsx(cells: DataFrame, verdict: DataFrame, headers: list[str], path: str, sheet_rows: int = SHEET_ROWS, writer=None) -> int:
+    """The wide sheet as a workbook, rows tinted by verdict, streamed through the driver; returns its number of rows.
+    Rows that a worksheet cannot take go on in the next one, under the same header. Needs xlsxwriter, or another
+    `writer` (path to workbook) with its interface."""
+    if writer is None:
+        import xlsxwriter
+
+        writer = lambda path: xlsxwriter.Workbook(path, {"constant_memory": True})
+    book, sheet, n = writer(path), None, 0
     tones = {"": None, "review": book.add_format({"bg_color": "#FFF2CC"}), "blocked": book.add_format({"bg_color": "#F8CBAD"})}
-    sheet.write_row(0, 0, headers)
     toned = C.wide(cells, headers).join(verdict.select("row_index", score.row_tone(F.col("confidence"), F.col("needs_review")).alias("_tone")), "row_index").orderBy("row_index")
-    for n, r in enumerate(toned.toLocalIterator(), 1):
-        sheet.write_row(n, 0, [r[h] for h in headers], tones[r["_tone"]])
+    for r in toned.toLocalIterator():
+        at = n % (sheet_rows - 1) + 1
+        if at == 1:
+            sheet = book.add_worksheet()
+            sheet.write_row(0, 0, headers)
+        sheet.write_row(at, 0, [r[h] for h in headers], tones[r["_tone"]])
+        n += 1
+    if not n:
+        book.add_worksheet().write_row(0, 0, headers)
     book.close()
+    return n
 
 
 def write_provenance(cells: DataFrame, verdict: DataFrame, path: str) -> None:
@@ -43,7 +57,13 @@ def write_provenance(cells: DataFrame, verdict: DataFrame, path: str) -> None:
 
 
 def write_review_queue(rows: DataFrame, path: str) -> None:
-    score.review_queue(rows).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """The queue in its order, over the part files."""
+    score.review_queue(rows).write.mode("overwrite").option("header", True).csv(path)
+
+
+def write_splits(rows: DataFrame, path: str) -> None:
+    """JSON lines of training rows, a folder for each value of `split`."""
+    rows.write.mode("overwrite").partitionBy("split").json(path)
 
 
 def write_cache(rows: DataFrame, path: str) -> None:
