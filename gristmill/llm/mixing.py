@@ -145,4 +145,5 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     mix, _, _, _ = schedule(rows, scratch, **(options | {"doc_id": row}))
     times = scratch.store(mix.where("first = 0").groupBy(F.col("id").alias(row)).agg(F.count(F.lit(1)).cast("int").alias(f"n_{row}")), "times")
     scratch.drop(*(t for t, _ in scratch.tables if t is not rows and t is not times))
-    return rows.join(times, row).withColumn(f"n_{row}", F.explode(F.sequence(F.lit(1), F.col(f"n_{row}")))).select(*docs.columns)
+    # The counts grow with the rows: a broadcast that their files' size suggests would too.
+    return rows.join(times.hint("merge"), row).withColumn(f"n_{row}", F.explode(F.sequence(F.lit(1), F.col(f"n_{row}")))).select(*docs.columns)
