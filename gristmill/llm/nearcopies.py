@@ -404,7 +404,7 @@ class Join:
         # Signatures with the same members are one group.
         groups = hubs.groupBy("size", "x", "y").agg(F.min("sig").alias("sig")).where("size > 1").select("sig", "size")
         labels = components(links, scratch)
-        member = scratch.store(self.impure(shared.withColumnRenamed("class", "c").join(groups, "sig"), labels), "members")
+        member = self.impure(shared.withColumnRenamed("class", "c").join(groups, "sig"), labels)
         scratch.drop(every, hubs, first)
         whole = False
         while True:
@@ -420,15 +420,18 @@ class Join:
                 scratch.drop(member, found)
                 return labels
             # What is left of the open signatures; the search over all their pairs ends it when the nearest are no links.
-            left = scratch.store(self.impure(member.drop("l_c").join(open_, "sig", "left_semi"), labels), "members")
+            left = self.impure(member.drop("l_c").join(open_, "sig", "left_semi"), labels)
             scratch.drop(member, found)
             member, whole = left, not linked
 
     def impure(self, member: DataFrame, labels: DataFrame) -> DataFrame:
-        """The members (sig, c, l_c, size) of groups that hold several components."""
+        """The members (sig, c, l_c, size), stored, of groups that hold several components."""
         named = member.join(labels.select(F.col("node").alias("c"), F.col("label").alias("l_c")), "c", "left").withColumn("l_c", F.coalesce("l_c", "c"))
-        several = named.groupBy("sig").agg(F.min("l_c").alias("lo"), F.max("l_c").alias("hi")).where("lo <> hi").select("sig")
-        return named.join(several, "sig", "left_semi")
+        # Written, so that the join below deals members by a signature that it may split.
+        several = self.scratch.store(named.groupBy("sig").agg(F.min("l_c").alias("lo"), F.max("l_c").alias("hi")).where("lo <> hi").select("sig"), "several")
+        out = self.scratch.store(named.join(several, "sig", "left_semi"), "members")
+        self.scratch.drop(several)
+        return out
 
     def across(self, member: DataFrame, classes: DataFrame, whole: bool) -> DataFrame:
         """Pairs (a, b), a < b, with a null sig, of members (sig, c, l_c, size) in different components that sizes and
