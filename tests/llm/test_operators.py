@@ -464,3 +464,43 @@ def test_toxicity(spark):
     assert [r["predicted"] for r in out if r["doc_id"] in (900, 901)] == [0, 0]
     assert toxicity.report(frame(spark, []), tagged).count() == 0
     assert {r["predicted"] for r in toxicity.report(frame(spark, rows[:3]), tagged.limit(0)).collect()} == {0}
+
+
+def test_ftrl_equals_a_plain_version():
+    """fit() against the update rules written out feature by feature, over dictionaries."""
+    import math
+
+    rng = random.Random(12)
+    texts = [(prose(rng, rng.randint(0, 25)) + (" vile" if i % 3 == 0 else "")).encode() for i in range(60)]
+    rows = [(t, int(i % 3 == 0)) for i, t in enumerate(texts)]
+    bits, alpha, beta, l1, l2 = 14, 1.5, 1.0, 0.8, 1.0
+    kept, weights, bias = toxicity.fit(rows, bits=bits, alpha=alpha, beta=beta, l1=l1, l2=l2, epochs=2)
+
+    def words(t):
+        return re.findall(rb"[a-z0-9\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), t))
+
+    # The features of a text, by its words, beginnings, pairs and skips; hashing is taken from features().
+    rolling = common.Rolling(3)
+    sets = []
+    for t in texts:
+        owner, found = toxicity.features([t], bits, rolling)
+        n = len(words(t))
+        assert len(found) == 2 * n + max(0, n - 1) + max(0, n - 2) and not owner.any()
+        sets.append(sorted(set(found.tolist())))
+    z, n = {}, {}
+    weight = lambda i: 0.0 if abs(z.get(i, 0.0)) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((beta + math.sqrt(n.get(i, 0.0))) / alpha + l2)
+    positive = sum(y for _, y in rows)
+    b, bn = math.log((positive + 0.5) / (len(rows) - positive + 1.5)), 0.0
+    for _ in range(2):
+        for own, (_, y) in zip(sets, rows):
+            w = {i: weight(i) for i in own}
+            g = 1 / (1 + math.exp(-(sum(w.values()) + b))) - y
+            for i in own:
+                root = math.sqrt(n.get(i, 0.0))
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - root) / alpha * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+            bn += g * g
+            b -= alpha * g / (beta + math.sqrt(bn))
+    expected = {i: weight(i) for i in z if abs(z[i]) > l1}
+    assert sorted(expected) == kept.tolist() and np.allclose([expected[i] for i in kept], weights) and abs(b - bias) < 1e-9
+    assert 0 < len(kept) < len(z)
