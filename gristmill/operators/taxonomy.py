@@ -1,44 +1,43 @@
 """Classification: phrases of a rule set against prepared texts, scored, ranked and checked against a group's habits.
 
-The rule set is small and fixed before the query, so one projection holds all patterns: per category one alternation
-as a filter (unless the text can match, nothing else of the category is tried), then the phrases. No row of text is
-multiplied by categories that do not match.
+Texts and phrases meet by an equi-join: runs of a text's words, without the gaps that a phrase may have between its
+words, are looked up among the phrases, and the phrase's pattern decides. So a row costs its own words, whatever the
+number of categories, and no row of text is multiplied by categories that cannot match.
 """
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text
-from ..sources.rules import Category, Rules
+from ..functions import fixed
+from ..sources.rules import Rules
 from .learn import micro
 
-MATCH = "struct<classpath:string,base:double,n_boost:int,phrases:array<string>>"
-
+ATOM = r"([a-z0-9]+|[^a-z0-9\s\-])"
 
-def _any(phrases: tuple[str, ...]) -> str:
-    return "|".join(text.phrase_pattern(p).removeprefix("(?i)") for p in sorted(phrases, key=len, reverse=True))
 
-
-def _category(prepared: Column, c: Category) -> Column:
-    """The match of one category, or null: any veto excludes, one `must` at least is needed."""
-    hit = lambda p: prepared.rlike(text.phrase_pattern(p))
-    longest = F.greatest(*(F.when(hit(p), len(p)).otherwise(0) for p in c.must), F.lit(0))
-    extra = [p for p in c.boost if p not in c.must]
-    boosts = sum((hit(p).cast("int") for p in extra), F.lit(0))
-    phrases = F.array_sort(F.array_compact(F.array(*(F.when(hit(p), p) for p in dict.fromkeys((*c.must, *c.boost))))))
-    score = F.struct(F.lit(c.classpath).alias("classpath"), (0.6 + 0.25 * F.least(longest / 12.0, F.lit(1.0)) + fixed.BOOST * F.least(boosts, F.lit(4))).alias("base"), boosts.cast("int").alias("n_boost"), phrases.alias("phrases"))
-    found = prepared.rlike("(?i)" + _any(c.must))
-    return F.when(found & ~prepared.rlike("(?i)" + _any(c.veto)) if c.veto else found, score.cast(MATCH))
+def phrase_table(spark: SparkSession, rules: Rules) -> DataFrame:
+    """classpath, kind (must, boost, veto), phrase of the categories that have a `must` phrase; a boost that is a `must`
+    as well is not counted twice."""
+    rows = [(c.classpath, kind, p) for c in rules.categories if c.must for kind in ("must", "boost", "veto") for p in dict.fromkeys(getattr(c, kind)) if p.strip() and not (kind == "boost" and p in c.must)]
+    return spark.createDataFrame(rows, "classpath string, kind string, phrase string")
 
 
 def matches(rows: DataFrame, rules: Rules, prepared: str = "prepared") -> DataFrame:
-    """rows with classpath, base, n_boost and phrases of every category that matches."""
-    found = F.array_compact(F.array(*(_category(F.col(prepared), c) for c in rules.categories if c.must)))
-    return rows.withColumn("_m", F.explode(found)).select(*rows.columns, "_m.*")
+    """rows (row_index, prepared) with classpath, base, n_boost and phrases of every category that matches: any veto
+    excludes, one `must` at least is needed."""
+    hits = phrase_join(rows, phrase_table(rows.sparkSession, rules), "row_index", prepared)
+    of = lambda kind: F.col("kind") == kind
+    told = hits.groupBy("row_index", "classpath").agg(
+        F.max(F.when(of("must"), F.length("phrase"))).alias("longest"),
+        F.count_if(of("boost")).cast("int").alias("n_boost"),
+        F.count_if(of("veto")).alias("vetoes"),
+        F.sort_array(F.collect_set(F.when(~of("veto"), F.col("phrase")))).alias("phrases"),
+    )
+    base = 0.6 + 0.25 * F.least(F.col("longest") / 12.0, F.lit(1.0)) + fixed.BOOST * F.least("n_boost", F.lit(4))
+    found = told.where("longest is not null and vetoes = 0").select("row_index", "classpath", base.alias("base"), "n_boost", "phrases")
+    return rows.join(found, "row_index").select(*rows.columns, "classpath", "base", "n_boost", "phrases")
 
 
 def ranked(rows: DataFrame, rules: Rules, prior: DataFrame | None = None) -> DataFrame:
@@ -93,19 +92,22 @@ def prior_only(prior: DataFrame) -> DataFrame:
 
 
 def phrase_join(rows: DataFrame, phrases: DataFrame, key: str, prepared: str) -> DataFrame:
-    """(key, classpath, kind, phrase) by an equi-join, for rule tables too large for one projection.
+    """(key, classpath, kind, phrase) of the phrases (classpath, kind, phrase) that a text holds.
 
-    Runs of up to four atoms are compared with phrases without their gaps, plural endings cut; the pattern of the
-    phrase then decides."""
-    squeezed = phrases.select("*", F.regexp_replace(F.lower("phrase"), r"[\s\-]+", "").alias("gram"))
-    atoms = F.regexp_extract_all(F.lower(prepared), F.lit(r"([a-z0-9]+|[^a-z0-9\s\-])"), F.lit(0))
+    Runs of as many atoms as a phrase may have are compared with phrases without their gaps, plural endings cut; the
+    pattern of the phrase then decides. The phrases are the rule file's, and are joined by their size."""
+    most = phrases.agg(F.max(F.size(F.regexp_extract_all(F.lower("phrase"), F.lit(ATOM), F.lit(0))))).first()[0] or 1
+    squeezed = phrases.select("classpath", "kind", "phrase", F.regexp_replace(F.lower("phrase"), r"[\s\-]+", "").alias("gram"))
+    atoms = F.regexp_extract_all(F.lower(prepared), F.lit(ATOM), F.lit(0))
 
     def runs(n: int) -> Column:
         made = F.transform(F.sequence(F.lit(1), F.size("_a") - n + 1), lambda i: F.array_join(F.slice("_a", i, n), ""))
         return F.when(F.size("_a") >= n, made).otherwise(F.array().cast("array<string>"))
 
-    grams = F.flatten(F.array(*map(runs, range(1, 5))))
-    cut = F.array_distinct(F.flatten(F.transform("_g", lambda g: F.array(g, F.regexp_replace(g, "s$", ""), F.regexp_replace(g, "es$", "")))))
-    candidates = rows.select(key, prepared, atoms.alias("_a")).withColumn("_g", grams).withColumn("gram", F.explode(cut)).drop("_a", "_g")
+    grams = F.array_distinct(F.flatten(F.array(*map(runs, range(1, most + 1)))))
+    listed = rows.select(key, prepared, atoms.alias("_a")).select(key, prepared, F.explode(grams).alias("_g"))
+    cut = F.array_distinct(F.array("_g", F.regexp_replace("_g", "s$", ""), F.regexp_replace("_g", "es$", "")))
+    candidates = listed.select(key, prepared, F.explode(cut).alias("gram"))
     pattern = F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), F.regexp_replace(F.regexp_replace(F.trim("phrase"), r"([^A-Za-z0-9\s\-])", r"\\$1"), r"[\s\-]+", r"[\\s\\-]*"), F.lit("(?:e?s)?(?![A-Za-z0-9])"))
-    return candidates.join(squeezed, "gram").withColumn("_p", pattern).where(F.expr(f"`{prepared}` rlike _p")).select(key, "classpath", "kind", "phrase").distinct()
+    met = candidates.join(squeezed, "gram").select(key, prepared, "classpath", "kind", "phrase").withColumn("_p", pattern)
+    return met.where(F.expr(f"`{prepared}` rlike _p")).select(key, "classpath", "kind", "phrase").distinct()

@@ -114,3 +114,25 @@ def demo() -> Rules:
     )
     dimensions = {"generic": {2: ("Width", "Length"), 3: ("Width", "Length", "Height")}}
     return Rules(categories, {"hardware": slots, "generic": slots}, dimensions)
+
+
+def generated(n_categories: int = 87, n_contracts: int = 17, n_slots: int = 12) -> Rules:
+    """A rule set of a real one's size, made by a rule from the words of the order tables: categories of one or two
+    words with boosts and vetoes, and contracts of every kind of slot. For measuring."""
+    nouns = ("widget", "plate", "gear", "bolt", "rod", "ring", "gizmo", "anvil", "bracket", "lever")
+    kinds = ("red", "blue", "hot", "cold", "small", "large", "steel", "brass", "wide")
+    names = [f"{kind} {noun}" if kind else noun for kind in ("", *kinds) for noun in nouns][:n_categories]
+    categories = tuple(
+        Category(f"Made > {name.split()[-1]} > {name}", f"contract {i % n_contracts}", must=(name, f"{name} kit"), boost=tuple(k for k in kinds if k not in name)[:4], veto=(f"old {name}",), department="Made", klass=name.split()[-1], fine=name, product_name=name.title())
+        for i, name in enumerate(names)
+    )
+    families = ("length", "weight", "voltage", "power")
+
+    def slots(c: int) -> tuple[Slot, ...]:
+        base = [Slot("Series", "series", "series", in_title=True, rank=1), Slot("Width", "dimension", "value_only_uom", in_invoice=True, rank=2), Slot("Length", "dimension", "value_only_uom", rank=3), Slot("Size", "dimension", "value", rank=4), Slot("Pack Quantity", "count", "value_uom_label", lo=1, hi=500, rank=5)]
+        base += [Slot(f"Finish {c} {k}", "lov", lov=tuple(kinds[k::3]), in_title=k == 0, in_invoice=True, rank=6 + k) for k in range(3)]
+        base += [Slot(f"Measure {k}", "measure", "value_uom_label", family=f, cues=(nouns[(c + k) % len(nouns)],), rank=10 + k) for k, f in enumerate(families)]
+        return tuple(base[: n_slots - 1] + [Slot("Additional Information", "additional", "suffix_list", rank=99)])
+
+    contracts = {f"contract {c}": slots(c) for c in range(n_contracts)}
+    return Rules(categories, contracts | {"generic": slots(0)}, {"generic": {2: ("Width", "Length"), 3: ("Width", "Length", "Height")}})

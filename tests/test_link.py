@@ -1,18 +1,16 @@
 """Linking brand tokens, the vocabulary's fold and implied values, against plain versions."""
 
-import math
 import random
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gristmill.functions import fixed
-from gristmill.operators import entity, learn, render
+from gristmill.functions import fixed, text
+from gristmill.operators import entity, learn, render, taxonomy
 from gristmill.plans import enrich
-from gristmill.sources.rules import demo
+from gristmill.sources.rules import Category, Rules, demo, generated
 
 INPUT = "row_index long, Mfg_Part_Num string, Part_Desc string, E1_Brand string, Unilog_Brand string, DIB_Brand string, Part_Manuf string"
 
@@ -137,3 +135,32 @@ def test_vocabulary_of_a_catalogue(spark):
     assert found["milw"] == "Milwaukee" and found["dewlt"] == "DeWalt" and found["milwaukee"] == "Milwaukee"
     brands = entity.resolve_brands(rows, aliases, learn.brand_prior(rows, aliases))
     assert Counter(r["brand_plain"] for r in brands.collect())["Milwaukee"] == 23  # one of the 24 rows names another brand
+
+
+def test_matches_equal_patterns_on_every_text(spark):
+    """The phrase join against every category's patterns on every text, phrases of many words and marks included."""
+    rng = random.Random(9)
+    words = ["red", "bolt", "Bolt", "bus", "box", "3", '"', "x", "T", "caf\u00e9", "steel", "old"]
+    phrase = lambda: rng.choice(("", " ")).join(rng.choice(words) + rng.choice((" ", "-", "  ")) for _ in range(rng.randint(1, 6))).strip(" -")
+    categories = [Category(f"c{i}", must=tuple(phrase() for _ in range(2)), boost=tuple(phrase() for _ in range(3)), veto=(phrase(),) if i % 3 == 0 else ()) for i in range(40)] + [Category("none")]
+    texts = ["".join(rng.choice(words) + rng.choice((" ", "-", "", "s ", "es ", ", ")) for _ in range(rng.randint(0, 12))) for _ in range(300)] + [None, ""]
+    rows = spark.createDataFrame([(i, t, "g") for i, t in enumerate(texts)], "row_index long, prepared string, grp string")
+    got = {(r["row_index"], r["classpath"]): (r["n_boost"], tuple(r["phrases"]), round(r["base"], 9)) for r in taxonomy.matches(rows, Rules(tuple(categories))).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        for c in categories:
+            hit = lambda p, t=t: bool(p.strip()) and re.search(text.phrase_pattern(p), t or "", re.ASCII) is not None
+            must = [p for p in c.must if hit(p)]
+            if must and not any(map(hit, c.veto)):
+                boost = {p for p in c.boost if hit(p) and p not in c.must}
+                base = 0.6 + 0.25 * min(max(map(len, must)) / 12, 1) + fixed.BOOST * min(len(boost), 4)
+                want[i, c.classpath] = (len(boost), tuple(sorted({*must, *boost})), round(base, 9))
+    assert got == want and len(want) > 200
+
+
+def test_a_generated_rule_set_runs(spark):
+    rules = generated()
+    assert len(rules.categories) == 87 and len(rules.contracts) == 18
+    rows = spark.createDataFrame(catalogue_rows(), INPUT)
+    out, made, verdict, _ = enrich.run(rows, rules)
+    assert verdict.count() == out.count() == rows.count()
