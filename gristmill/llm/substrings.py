@@ -58,7 +58,7 @@ def difference_set(q: int) -> tuple[int, np.ndarray]:
     raise ValueError(f"{q} is no prime")
 
 
-def pack(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", batch: int = 4 << 20) -> DataFrame:
+def pack(docs: DataFrame, scratch: Scratch, *, doc_id: str = "doc_id", text: str = "text", batch: int = 2 << 20) -> DataFrame:
     """The texts in files; per file: path, ids (of its documents), places (their texts), sizes and digests of its texts."""
     folder = scratch.folder("texts")
 

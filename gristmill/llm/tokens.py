@@ -194,7 +194,7 @@ class Encoder:
 
     LONG = 64  # longer pieces are not remembered
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 250_000):
         # A task has one core: threads of the library's own would only wait for each other.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer

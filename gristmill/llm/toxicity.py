@@ -42,8 +42,8 @@ def features(texts: list[bytes], bits: int, rolling: Rolling) -> tuple[np.ndarra
 def fit(rows: list[tuple[bytes, int]], *, bits: int = 20, alpha: float = 2.0, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0, epochs: int = 3) -> tuple[np.ndarray, np.ndarray, float]:
     """(features, weights, bias) of the rows (text, label), in the order given."""
     rolling, sets = Rolling(3), []
-    for at in range(0, len(rows), 256):
-        texts = [t for t, _ in rows[at : at + 256]]
+    for at in range(0, len(rows), 64):
+        texts = [t for t, _ in rows[at : at + 64]]
         owner, feature = features(texts, bits, rolling)
         pairs = np.unique(owner << bits | feature)
         cuts = np.searchsorted(pairs, np.arange(len(texts) + 1) << bits)
