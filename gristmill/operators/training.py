@@ -72,8 +72,11 @@ def augmented(rows: DataFrame, seed: int = 0) -> DataFrame:
     made = [("original", t), ("contract", contract_words(t)), ("expand", text.expand(t)), ("drop_mpn", drop_mpn(t, mpn)), ("add_mpn", add_mpn(t, mpn)), ("separator", separator(t, k(4, 1))), ("case", recase(t, k(20, 2))), ("quotes", inch_style(t, k(5, 3))), ("noise", trailing_noise(t, k(7, 4)))]
     listed = F.posexplode(F.array(*(F.struct(F.lit(n).alias("augmentation"), x.alias("text")) for n, x in made))).alias("step", "v")
     flat = rows.select("row_index", "label", F.col("confidence").alias("teacher_confidence"), listed).select("row_index", "v.text", "label", "v.augmentation", "teacher_confidence", "step")
-    first = F.row_number().over(Window.partitionBy(F.lower("text"), "label").orderBy("row_index", "step"))
-    return flat.withColumn("_n", first).where("_n = 1").drop("_n", "step")
+    # A digest stands for the text; copies collapse before the shuffle.
+    key = F.sha2(F.lower("text").cast("binary"), 256)
+    names = ["row_index", "text", "label", "augmentation", "teacher_confidence"]
+    first = flat.groupBy(key.alias("_k"), "label").agg(F.min_by(F.struct(*names), F.struct("row_index", "step")).alias("f"))
+    return first.select("f.*")
 
 
 def split(rows: DataFrame, seed: int = 0, validation: float = 0.12) -> DataFrame:
@@ -82,11 +85,25 @@ def split(rows: DataFrame, seed: int = 0, validation: float = 0.12) -> DataFrame
 
 
 def floored(rows: DataFrame, floor: int) -> DataFrame:
-    """rows repeated so that each label has `floor` rows at least, as evenly as may be."""
-    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n"))
+    """rows repeated so that each label has `floor` rows at least, as evenly as may be. Only rows of labels with fewer are
+    numbered, so no window holds more than `floor` rows."""
+    few = rows.groupBy("label").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < floor)
+    same = F.col("label").eqNullSafe(F.col("_label"))
+    few = few.withColumnRenamed("label", "_label")
+    enough = rows.join(few.select("_label"), same, "left_anti")
     order = F.row_number().over(Window.partitionBy("label").orderBy("row_index"))
-    times = F.greatest(F.lit(1), F.floor(F.lit(floor) / F.col("_n")) + F.when(F.col("_r") <= F.lit(floor) % F.col("_n"), 1).otherwise(0))
-    return rows.withColumn("_r", order).join(counts, "label").withColumn("_t", F.explode(F.sequence(F.lit(1), times.cast("int")))).drop("_r", "_n", "_t")
+    times = F.floor(F.lit(floor) / F.col("_n")) + F.when(F.col("_r") <= F.lit(floor) % F.col("_n"), 1).otherwise(0)
+    short = rows.join(few, same).withColumn("_r", order)
+    return enough.unionByName(short.withColumn("_t", F.explode(F.sequence(F.lit(1), times.cast("int")))).select(*rows.columns))
+
+
+def silver(rows: DataFrame, floor: int = 60, least: float = 0.70, validation: float = 0.12, seed: int = 0) -> DataFrame:
+    """Training rows (row_index, text, label, augmentation, teacher_confidence, split) from classified rows (row_index,
+    text, mpn, label, confidence): those that are sure enough, with their variants, each label `floor` times at least in
+    the training part, split by a hash of the row so that variants of a row stay together."""
+    sure = rows.where(F.col("label").isNotNull() & (F.col("confidence") >= least))
+    made = split(augmented(sure, seed), seed, validation).withColumnRenamed("fold", "split")
+    return floored(made.where("split = 'train'"), floor).unionByName(made.where("split = 'val'"))
 
 
 def span_examples(rows: DataFrame) -> DataFrame:
