@@ -1,4 +1,5 @@
-"""Output cells in long form: row_index, header, value, source, rule, confidence; the wide sheet is a pivot at the end."""
+"""Output cells in long form: row_index, header, value, source, rule, confidence, detail (why, in words) and evidence
+(the stretch of which text that shows it); the wide sheet is a pivot at the end."""
 
 from __future__ import annotations
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 
 CELL = "row_index long, header string, value string, source string, rule string, confidence double"
+EVIDENCE = "struct<base:string,start:int,end:int,snippet:string>"
 #: Repeating families of output columns.
 FAMILIES = {
     "attribute_label": r"^ATTRIBUTE_LABEL (\d+)$",
@@ -64,9 +66,18 @@ def absent(required: Column, present: Column) -> Column:
     return F.array_join(F.array_except(required, present), "|")
 
 
-def cell(header: str | Column, value: Column, source: str | Column, rule: str | Column, confidence: float | Column) -> Column:
+def evidence(base: str, text: Column, start: Column, end: Column) -> Column:
+    """The stretch from start to end of a text (`base` says which: raw, clean or body); null where it is empty."""
+    made = F.struct(F.lit(base).alias("base"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.substring(text, start + 1, end - start).alias("snippet"))
+    return F.when(end > start, made).cast(EVIDENCE)
+
+
+def cell(header: str | Column, value: Column, source: str | Column, rule: str | Column, confidence: float | Column, detail: str | Column | None = None, shown: Column | None = None) -> Column:
     as_column = lambda x: x if isinstance(x, Column) else F.lit(x)
-    return F.struct(as_column(header).alias("header"), value.cast("string").alias("value"), as_column(source).alias("source"), as_column(rule).alias("rule"), as_column(confidence).cast("double").alias("confidence"))
+    return F.struct(
+        as_column(header).alias("header"), value.cast("string").alias("value"), as_column(source).alias("source"), as_column(rule).alias("rule"), as_column(confidence).cast("double").alias("confidence"),
+        as_column(detail).cast("string").alias("detail"), (F.lit(None) if shown is None else shown).cast(EVIDENCE).alias("evidence"),
+    )
 
 
 def rescored(cell: Column, confidence: Column) -> Column:
@@ -92,7 +103,7 @@ def passthrough(rows: DataFrame) -> DataFrame:
 def not_derivable(rows: DataFrame, populated: DataFrame | None = None, headers: tuple[str, ...] | None = None) -> DataFrame:
     """A blank cell for each column that no input gives, unless the row has a value there."""
     names = [h for h in fixed.NOT_DERIVABLE if headers is None or h in headers]
-    blanks = exploded(rows, *(cell(h, F.lit(""), "not_derivable", f"not-derivable:{fixed.NOT_DERIVABLE[h]}", 1.0) for h in names))
+    blanks = exploded(rows, *(cell(h, F.lit(""), "not_derivable", f"not-derivable:{fixed.NOT_DERIVABLE[h]}", 1.0, f"held by the {fixed.NOT_DERIVABLE[h]}, not by the input") for h in names))
     return blanks if populated is None else blanks.join(filled(populated).select("row_index", "header"), ["row_index", "header"], "left_anti")
 
 
@@ -106,7 +117,11 @@ def attribute_cells(rows: DataFrame, limit: int = 50) -> DataFrame:
         confidence = F.when(has, s["confidence"] if told else F.lit(0.92)).otherwise(1.0)
         rule = F.when(has, s["rule"]).otherwise("contract:value") if told else F.lit("contract:value")
         name = lambda x: F.concat(F.lit(f"ATTRIBUTE_{x} "), n)
-        return F.array(cell(name("LABEL"), s["label"], "derived", "contract:label", 1.0), cell(name("VALUE"), s["value"], source, rule, confidence), cell(name("UOM"), s["uom"], source, "contract:uom", confidence))
+        detail = F.when(~has, F.lit("the contract's label without a value in the text"))
+        if told:
+            detail = detail.when(s["source"] == "derived", "entailed by the category, not read from the text").when(s["source"] == "llm", "proposed by a model and checked against the slot, not read from the text")
+        shown = evidence("body", F.col("body"), s["start"], s["end"]) if told and "body" in rows.columns else None
+        return F.array(cell(name("LABEL"), s["label"], "derived", "contract:label", 1.0), cell(name("VALUE"), s["value"], source, rule, confidence, detail, shown), cell(name("UOM"), s["uom"], source, F.lit("contract:uom"), confidence, detail, shown))
 
     return exploded(rows, array=F.flatten(F.transform(F.slice("slots", 1, limit), triple)))
 

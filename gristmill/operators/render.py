@@ -152,10 +152,11 @@ def slot_table(rules: Rules) -> Column:
 
 
 def with_slots(rows: DataFrame, rules: Rules) -> DataFrame:
-    """rows with `slots`: all slots of `contract`, those of `filled` with their value, unit, source, rule and confidence."""
+    """rows with `slots`: all slots of `contract`, those of `filled` with their value, unit, source, rule, confidence and
+    place in the body."""
     table = slot_table(rules)
     slots = F.coalesce(F.element_at(table, F.col("contract")), F.element_at(table, F.lit("generic")))
-    empty = {"value": F.lit(""), "uom": F.lit(""), "source": F.lit(""), "rule": F.lit(""), "confidence": F.lit(0.0)}
+    empty = {"value": F.lit(""), "uom": F.lit(""), "source": F.lit(""), "rule": F.lit(""), "confidence": F.lit(0.0), "start": F.lit(0), "end": F.lit(0)}
 
     def told(s: Column) -> Column:
         found = F.filter("filled", lambda f: f["label"] == s["label"])

@@ -52,7 +52,8 @@ def write_delivery_xlsx(cells: DataFrame, verdict: DataFrame, headers: list[str]
 
 def write_provenance(cells: DataFrame, verdict: DataFrame, path: str) -> None:
     """One JSON object a row: its verdict and every cell worth keeping."""
-    kept = C.audit(cells).groupBy("row_index").agg(F.sort_array(F.collect_list(F.struct("header", "value", "source", "rule", "confidence"))).alias("cells"))
+    told = [c for c in ("header", "value", "source", "rule", "confidence", "detail", "evidence") if c in cells.columns]
+    kept = C.audit(cells).groupBy("row_index").agg(F.sort_array(F.collect_list(F.struct(*told))).alias("cells"))
     kept.join(verdict, "row_index").write.mode("overwrite").json(path)
 
 

@@ -57,6 +57,10 @@ def test_engine(spark, run, tmp_path):
     assert catalogue.read_csv(spark, str(tmp_path / "sheet")).columns == ["row_index", *headers]
     sinks.write_provenance(made, verdict, str(tmp_path / "provenance"))
     assert spark.read.json(str(tmp_path / "provenance")).count() == rows.count()
+    # What a cell shows is in the text that it names.
+    shown = made.where("evidence is not null").join(out.select("row_index", "body"), "row_index").select("evidence.*", "body").collect()
+    assert shown and all(r["base"] == "body" and r["body"][r["start"] : r["end"]] == r["snippet"] for r in shown)
+    assert made.where("source = 'not_derivable' and detail is null and rule like 'not-derivable:%'").count() == 0
     vocabulary.write(str(tmp_path / "vocabulary"))
     assert enrich.Vocabulary.read(spark, str(tmp_path / "vocabulary")).aliases.count() == vocabulary.aliases.count()
     as_json, as_text = sinks.report({"rows": 3, "triage": {"auto": 1}})
