@@ -90,12 +90,6 @@ class Scratch:
         drop(self.spark, *gone)
 
 
-def numbered(df: DataFrame) -> tuple[DataFrame, str]:
-    """(df with a unique number a row, the name of that column): stored, so that the numbers stay."""
-    name = f"row_{uuid.uuid4().hex}"
-    return stored(df.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
-
-
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -104,6 +98,10 @@ def parallelism(spark: SparkSession) -> int:
 def _filesystem(uri: str):
     from pyarrow import fs
 
+    # Names that Hadoop has for stores, and those that Arrow has for the same.
+    for hadoop, arrow in (("s3a://", "s3://"), ("s3n://", "s3://"), ("wasbs://", "abfss://"), ("wasb://", "abfs://")):
+        if uri.startswith(hadoop):
+            uri = arrow + uri.removeprefix(hadoop)
     return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
 
 
