@@ -19,6 +19,9 @@ on their first `length` bytes; they are told blockwise, one bucket of suffixes a
 A batch sends each key or context once, so a passage that a third of the texts hold is a row a batch, and buckets are
 even whatever repeats; their number follows the bytes to be sorted, so that one fits a task. Classes are told by 128-bit
 BLAKE2 digests of their bytes.
+
+Beside bytes, passages of words are reported (never removed): the same cover over word positions tells which stretches of
+`words` words other documents may hold too, and those are compared by a 64-bit fingerprint of their words.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Rolling, Scratch, packed, parallelism, read_bytes, texts_of, trimmed, write_bytes
+from .common import Rolling, Scratch, packed, parallelism, read_bytes, texts_of, trimmed, word_hashes, write_bytes
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -289,13 +292,100 @@ def resolve(batches: DataFrame, records: Callable[[dict], np.ndarray], name: str
     return batches.join(gathered, "path", "left")
 
 
-def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 400, q: int = 7, bucket_bytes: int = 32 << 20) -> tuple[DataFrame, Callable[[dict], Iterator[tuple]]]:
+class Words:
+    """A batch's words, and fingerprints of stretches of them. Case of A-Z and the kind of white space do not count."""
+
+    def __init__(self, row: dict, words: int, q: int):
+        self.words, (self.v, cover) = words, difference_set(q)
+        self.covered = np.isin(np.arange(self.v), cover)
+        sizes = np.asarray(row["sizes"], np.int64)
+        ends = np.cumsum(np.concatenate([[0], sizes])).tolist()
+        data = pa.Codec("zstd").decompress(read_bytes(row["path"]), ends[-1], asbytes=True) if ends[-1] else b""
+        self.hashes, self.edges = word_hashes([data[a:b] for a, b in zip(ends, ends[1:])], Rolling(2))
+        twins = {t["place"]: t["first"] for t in row["twins"] or []}
+        n = len(sizes)
+        copies = np.bincount(np.asarray(row["places"], np.int64), minlength=n) > 1
+        self.whole = np.array([k in twins for k in range(n)], bool) | copies
+        self.n = np.diff(self.edges)
+        self.live = np.array([twins.get(k, True) for k in range(n)], bool) & (self.n >= words)
+        self.rolling = Rolling(4)
+        self.rolling._grow(len(self.hashes) + 1)
+        self.prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * self.rolling.up[: len(self.hashes)], dtype=np.uint64)])
+        self.owner = np.repeat(np.arange(n), self.n)
+
+    def at(self, pattern: bool, length: int) -> np.ndarray:
+        """Word positions of the searched texts that `length` words follow; those of the cover only, if `pattern`."""
+        out = [np.arange(self.edges[k], self.edges[k + 1] - length + 1) for k in np.flatnonzero(self.live & (self.n >= length))]
+        if pattern:
+            out = [at[np.resize(self.covered, len(at))] for at in out]
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+    def keys(self, at: np.ndarray, length: int) -> np.ndarray:
+        return self.rolling.windows(self.prefix, at, length)
+
+    def once(self, at: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The keys, each once for a text."""
+        order = np.argsort(keys, kind="stable")  # positions ascend, and so do texts among equal keys
+        keys, owner = keys[order], self.owner[at[order]]
+        return keys[np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])] if len(keys) else keys
+
+    @property
+    def depth(self) -> int:
+        return self.words - self.v + 1
+
+
+def passages(batches: DataFrame, scratch: Scratch, total: int, words: int, q: int, buckets: Callable[[int], int]) -> tuple[DataFrame, Callable[[dict], np.ndarray]]:
+    """(batches, counts): a function that gives for a batch how many words of each text lie in stretches of `words` words
+    that another document holds as well."""
+
+    def sampled(row: dict) -> np.ndarray:
+        w = Words(row, words, q)
+        at = w.at(True, w.depth)
+        return w.once(at, w.keys(at, w.depth))
+
+    def near(row: dict) -> tuple[Words, np.ndarray]:
+        """The stretches that hold a tied sample stretch, which every stretch that other documents share does."""
+        w = Words(row, words, q)
+        at = w.at(True, w.depth)
+        keys = w.keys(at, w.depth)
+        distinct = np.unique(keys)
+        tied = at[_masked(row["word_sample"], len(distinct))[np.searchsorted(distinct, keys)]]
+        change = np.zeros(len(w.hashes) + 1, np.int32)
+        np.add.at(change, np.maximum(tied - w.v + 1, w.edges[w.owner[tied]]), 1)
+        np.add.at(change, tied + 1, -1)
+        every = w.at(False, words)
+        return w, every[np.cumsum(change)[every] > 0]
+
+    def stretches(row: dict) -> np.ndarray:
+        w, at = near(row)
+        return w.once(at, w.keys(at, words))
+
+    def counts(row: dict) -> np.ndarray:
+        w, at = near(row)
+        keys = w.keys(at, words)
+        distinct = np.unique(keys)
+        hits = at[_masked(row["word_tied"], len(distinct))[np.searchsorted(distinct, keys)]]
+        change = np.zeros(len(w.hashes) + 1, np.int32)
+        change[hits] += 1
+        change[hits + words] -= 1
+        covered = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) > 0)])
+        return np.where(w.whole & (w.n >= words), w.n, covered[w.edges[1:]] - covered[w.edges[:-1]])
+
+    # A word has some six bytes; a key of the sample six, one of a stretch eight.
+    batches, masks = exchange(batches, sampled, "word_sample", even_edges(buckets(total // 6 * (q + 1) // difference_set(q)[0] * 6)), 6, scratch)
+    n_tied = masks.agg(F.sum("n_tied")).first()[0] or 0
+    batches, _ = exchange(batches, stretches, "word_tied", even_edges(buckets(n_tied * 64)), 8, scratch)
+    return batches, counts
+
+
+def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = 400, q: int = 7, words: int = 50, bucket_bytes: int = 32 << 20) -> tuple[DataFrame, Callable[[dict], Iterator[tuple]]]:
     """(batches, marks): rows of batches, and a function that gives for a batch each of its documents as
-    (id, whole text, mask of the bytes to remove). `bucket_bytes` bounds what a task sorts, but for one key's rows."""
+    (id, whole text, mask of the bytes to remove, words in passages of `words` words that other documents hold). `bucket_bytes` bounds what a task sorts, but for one key's rows."""
     spark = docs.sparkSession
     v, cover = difference_set(q)
-    if length <= v or v > 64:
-        raise ValueError("length must exceed the cover's period, and that 64 bits")
+    word_q = max((p for p in (2, 3, 5) if p * p + p + 1 <= words // 2), default=0)
+    if length <= v or v > 64 or not word_q:
+        raise ValueError("lengths must exceed the covers' periods, and those of bytes 64 bits")
     scratch = Scratch(spark, "substrings")
     packs = pack(docs, scratch, doc_id=doc_id, text=text)
     batches = copies(packs, scratch)
@@ -322,7 +412,10 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leng
     n_tied = masks.agg(F.sum("n_tied")).first()[0] or 0
     batches = resolve(batches, records, "shifts", even_edges(most(n_tied * (18 + 2 * v))), v, scratch)
 
+    batches, shared = passages(batches, scratch, total, words, word_q, most)
+
     def marks(row: dict) -> Iterator[tuple]:
+        n_words = shared(row).tolist()
         b, at = tied(row)
         rows = b.contexts(at)
         order = np.argsort(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), kind="stable")
@@ -344,30 +437,31 @@ def repeats(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", leng
         covered |= np.repeat((seen | b.whole) & (b.sizes >= length), b.sizes)
         for key, k in zip(row["ids"], row["places"]):
             span = slice(b.bases[k], b.bases[k + 1])
-            yield key, b.data[span], covered[span]
+            yield key, b.data[span], covered[span], n_words[k]
 
     return batches, marks
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """Per row of `docs`: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.
+    """Per row of `docs`: doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256; and n_repeated_words, the
+    words in passages of `words` words (50) that other documents hold as well, which need not be `length` bytes long.
 
     Null text is empty; matches never cross texts; repeated rows and equal texts remove each other whole from `length`
     bytes on. Shorter texts lose nothing."""
     batches, marks = repeats(docs, **options)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
+        kind = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("n_repeated_words", pa.int64())])
         for batch in rows:
             for row in batch.to_pylist():
                 out = []
-                for key, data, gone in marks(row):
+                for key, data, gone, n_words in marks(row):
                     n = int(gone.sum())
                     runs = int(gone[:1].sum()) + int((gone[1:] & ~gone[:-1]).sum())
-                    out.append((key, len(data), n, runs, _EMPTY if n == len(data) else hashlib.sha256(data[~gone].tobytes() if n else data.tobytes()).hexdigest()))
+                    out.append((key, len(data), n, runs, _EMPTY if n == len(data) else hashlib.sha256(data[~gone].tobytes() if n else data.tobytes()).hexdigest(), n_words))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), kind)], schema=kind)
 
-    return spread(batches).mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return spread(batches).mapInArrow(trimmed(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_repeated_words long")
 
 
 def brute_force(docs: list[tuple], length: int = 400) -> list[tuple]:
@@ -387,3 +481,22 @@ def brute_force(docs: list[tuple], length: int = 400) -> list[tuple]:
         padded = np.concatenate([[False], gone])
         out.append((d, len(t), int(gone.sum()), int((padded[1:] & ~padded[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def brute_force_passages(docs: list[tuple], words: int = 50) -> list[tuple]:
+    """(doc_id, n_repeated_words) by a dictionary of all stretches of that many words; for tests."""
+    import re
+
+    lists = [(d, re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))) for d, t in docs]
+    seen: dict[tuple, set] = {}
+    for n, (_, w) in enumerate(lists):
+        for i in range(len(w) - words + 1):
+            seen.setdefault(tuple(w[i : i + words]), set()).add(n)
+    out = []
+    for d, w in lists:
+        hit = np.zeros(len(w), bool)
+        for i in range(len(w) - words + 1):
+            if len(seen[tuple(w[i : i + words])]) > 1:
+                hit[i : i + words] = True
+        out.append((d, int(hit.sum())))
+    return out

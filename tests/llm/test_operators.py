@@ -289,7 +289,8 @@ def test_licenses(spark, docs):
 
 def test_substrings(spark, docs):
     rows = [r for r in docs if len(r[1] or "") < 5000]
-    df = substrings.report(frame(spark, rows))
+    df = substrings.report(frame(spark, rows)).persist()
+    assert got(df, "doc_id", "n_repeated_words") == ordered(substrings.brute_force_passages(pairs(rows)))
     assert got(df, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == ordered(substrings.brute_force(pairs(rows)))
     assert substrings.report(frame(spark, [])).count() == 0
 
@@ -316,6 +317,20 @@ def test_substrings_at_random(spark, monkeypatch, length, q):
     assert got(df, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == ordered(substrings.brute_force(rows, length))
 
 
+@pytest.mark.parametrize("words", [14, 26, 50, 62])
+def test_passages_at_random(spark, monkeypatch, words):
+    """Stretches of words shared at any alignment, of lengths about the limit, in many batches; repeats inside one
+    document do not count."""
+    monkeypatch.setattr(substrings, "pack", lambda *a, _pack=substrings.pack, **b: _pack(*a, **b, batch=4096))
+    rng = random.Random(words)
+    parts = [prose(rng, words + k) for k in (-3, -1, 0, 1, 7, 40)]
+    rows = [(i, " ".join(x for _ in range(3) for x in (prose(rng, rng.randrange(30)), rng.choice(parts) if rng.random() < 0.3 else ""))) for i in range(120)]
+    inside = prose(rng, 80)
+    rows += [(200, f"{inside} and {inside}"), (201, parts[4].upper().replace(" ", " \n")), (202, rows[3][1]), (203, None), (204, prose(rng, words))]
+    df = substrings.report(frame(spark, rows).repartition(3), words=words, bucket_bytes=4096)
+    assert got(df, "doc_id", "n_repeated_words") == ordered(substrings.brute_force_passages(rows, words))
+
+
 def test_substrings_in_very_long_texts(spark):
     """Two texts of some 150,000 bytes that share stretches, and a passage that a third of the rows hold."""
     rng = random.Random(31)
