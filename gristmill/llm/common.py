@@ -20,7 +20,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch between Spark and Python, and the setting's default.
+BATCH, _BATCH_SETTING, _BATCH_DEFAULT = "8m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of a folder. Texts are large: where the session leaves the size of Arrow batches at its default, it is
+    lowered, as an executor holds several on both sides of each task."""
+    if spark.conf.get(_BATCH_SETTING, _BATCH_DEFAULT) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
