@@ -198,18 +198,20 @@ class Rolling:
     `seed` picks the byte values; a second seed gives an independent hash."""
 
     BASE = 0xD1342543DE82EF95
+    #: Powers of the base and of its inverse, the same for all seeds, kept in the worker up to KEPT of them.
+    KEPT = 1 << 22
+    up = down = np.ones(1, dtype=np.uint64)
 
     def __init__(self, seed: int = 0):
         self.values = np.random.default_rng(977 + seed).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def _grow(self, n: int) -> None:
         if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
+            size = n + (1 << 18)
             for name, base in (("up", self.BASE), ("down", pow(self.BASE, -1, 1 << 64))):
                 powers = np.full(size, base, dtype=np.uint64)
                 powers[0] = 1
-                setattr(self, name, np.cumprod(powers))
+                setattr(Rolling if size <= self.KEPT else self, name, np.cumprod(powers))
 
     def prefix(self, data: np.ndarray) -> np.ndarray:
         self._grow(len(data) + 1)
