@@ -194,7 +194,7 @@ class Encoder:
 
     LONG = 64  # longer pieces are not remembered
 
-    def __init__(self, path: str, most: int = 250_000):
+    def __init__(self, path: str, most: int = 500_000):
         # A task has one core: threads of the library's own would only wait for each other.
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -305,7 +305,7 @@ def _write(folder: str, tokenizer: str, end: int):
         coder, shard, path, out = encoder(tokenizer), TaskContext.get().partitionId(), f"{folder}/shard-{uuid.uuid4().hex}", None
         keys: list = []
         counts: list[int] = []
-        for part in packed(batches, "body", 1 << 20):
+        for part in packed(batches, "body", 2 << 20):
             ids, n = coder.encode(texts_of(part.column("body")))
             if out is None:
                 system, at = storage(path)
@@ -331,8 +331,11 @@ def write(docs: DataFrame, folder: str, tokenizer: str, *, doc_id: str = "doc_id
     shuffle partitions, and more where that would be over `shard_bytes` of text for each."""
     rows = docs.select(F.col(doc_id).cast("long").alias("key"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body")).withColumn("tie", F.xxhash64("body"))
     order = (F.col("key").asc_nulls_first(), F.col("tie").asc())
-    size = rows.agg(F.sum(F.octet_length("body") + 16)).first()[0] or 0
-    shards = max(parallelism(docs.sparkSession), -(-size // shard_bytes))
+    shards = parallelism(docs.sparkSession)
+    # The plan's estimate (files as they are packed, or more) tells whether the texts need be measured at all.
+    if int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > shards * shard_bytes // 4:
+        size = rows.agg(F.sum(F.octet_length("body") + 16)).first()[0] or 0
+        shards = max(shards, -(-size // shard_bytes))
     ranged = rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("key", "body")
     manifest = ranged.mapInArrow(trimmed(_write(folder, tokenizer, end)), "shard int, path string, n_docs long, n_tokens long, first_key long, last_key long")
     manifest.write.parquet(f"{folder}/manifest")
