@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, mixing, nearcopies, secrets, substrings, tokens, topk, toxicity, warc
+from . import clusters, decontaminate, licenses, mixing, nearcopies, secrets, substrings, tokens, topk, toxicity, warc, whitening
 from .common import table
 
 
@@ -52,6 +52,14 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.join(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mix_sources": op1_mix_sources,
     "op2_token_ids": op2_token_ids,
@@ -63,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_toxicity": op10_toxicity,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_topk": topk.ORACLE_SQL, "op6_license_scan": licenses.oracle_sql()}
+ORACLE_SQL: dict[str, str] = {"op4_exact_topk": topk.ORACLE_SQL, "op6_license_scan": licenses.oracle_sql(), "op13_centroid_clustering": clusters.oracle_sql()}
