@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import clusters, decontaminate, licenses, mixing, nearcopies, secrets, substrings, tokens, topk, toxicity, warc, whitening
+from . import clusters, decontaminate, fingerprints, licenses, mixing, nearcopies, secrets, substrings, tokens, topk, toxicity, warc, whitening
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearcopies.join(table(spark, sf_dir, "documents"))
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_ngram_jaccard": op9_ngram_jaccard,
     "op10_toxicity": op10_toxicity,
+    "op11_document_fingerprints": op11_document_fingerprints,
     "op12_embedding_whitening": op12_embedding_whitening,
     "op13_centroid_clustering": op13_centroid_clustering,
 }
