@@ -24,7 +24,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Rolling, Scratch, mixed, packed, trimmed
@@ -278,3 +278,135 @@ def report(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> Da
     heads = done.where("role = 'head'").select(F.col("at").alias("then"), F.col("text").alias("head"))
     last = done.where("role = 'open'").select("doc_id", "text", "at").join(F.broadcast(after), "at").join(heads, "then")
     return done.where("role is null").select(*_RESULT.names).unionByName(last.select("doc_id", "text", "head").mapInArrow(trimmed(_open), _SPARK))
+
+
+_SEEDS = np.random.default_rng(1107)
+#: Samples that each band reads, of those that a level has.
+_BANDS = np.stack([np.sort(_SEEDS.permutation(SAMPLES // 2)[:8]) for _ in range(8)])
+
+
+def bands(level: np.ndarray, samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of every band of fingerprints, at their own level and the next, as a near copy's may be coarser."""
+    texts, keys, n = [], [], samples.shape[1]
+    for w in range(WALKS):
+        for up in (0, 1):
+            own = coarser(level[w], samples[w], level[w] + up).astype(np.uint64)
+            for b, columns in enumerate(_BANDS):
+                salt = np.uint64((w * len(_BANDS) + b) << 8)
+                key = mixed((level[w] + up).astype(np.uint64) + salt + np.uint64(1))
+                for c in columns:
+                    key = mixed(key ^ own[:, c])
+                texts.append(np.arange(n))
+                keys.append(key.view(np.int64))
+    return np.concatenate(texts), np.concatenate(keys)
+
+
+def edit_distance(a: str, b: str, most: int) -> int | None:
+    """Insertions, deletions and changes of a character that make a of b; None if more than `most`. Furthest reaching
+    points by diagonal (Landau and Vishkin), whose runs of equal characters are found by hashes of 64 bits."""
+    x, y = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64) for t in (a, b))
+    rolling = Rolling()
+    rolling._grow(max(len(x), len(y)) + 1)
+    prefix = lambda v: np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(v + np.uint64(1)) * rolling.up[: len(v)])])
+    px, py, goal = prefix(x), prefix(y), len(y) - len(x)
+
+    def slid(i: np.ndarray, d: np.ndarray) -> np.ndarray:
+        low, high = np.zeros_like(i), np.minimum(len(x) - i, len(y) - i - d)
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            same = rolling.windows(px, i, mid) == rolling.windows(py, i + d, mid)
+            low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+        return i + low
+
+    if abs(goal) > most:
+        return None
+    reach = slid(np.zeros(1, np.int64), np.zeros(1, np.int64))
+    for e in range(most + 1):
+        if abs(goal) <= e and reach[goal + e] >= len(x):
+            return e
+        d = np.arange(-e - 1, e + 2)
+        low = np.full(1, -(1 << 40))
+        changed, added, dropped = (np.concatenate(parts) for parts in ((low, reach + 1, low), (low, low, reach), (reach + 1, low, low)))
+        i = np.minimum(np.maximum(np.maximum(changed, added), dropped), np.minimum(len(x), len(y) - d))
+        valid = (i >= 0) & (i + d >= 0)
+        reach = np.where(valid, slid(np.where(valid, i, 0), np.where(valid, d, 0)), -(1 << 40))
+    return None
+
+
+def allowed(a: str, b: str, edits: int, share: float) -> int:
+    return min(edits, int(share * max(len(a), len(b))))
+
+
+def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in packed(batches, "text", 8 << 20):
+        texts, keys = bands(*fingerprinted(part.column("text").to_pylist()))
+        yield pa.RecordBatch.from_arrays([part.column("class").combine_chunks().take(pa.array(texts)), pa.array(keys)], ["class", "key"])
+
+
+def _verified(edits: int, share: float):
+    """Groups of rows (pivot, salt, class, text), each led by the pivot's own (class null): linked (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = ""
+        for batch in batches:
+            found = []
+            for r in batch.to_pylist():
+                if r["class"] is None:
+                    own = r["text"]
+                elif edit_distance(own, r["text"], allowed(own, r["text"], edits, share)) is not None:
+                    found.append((r["pivot"], r["class"]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in zip(*found)], ["a", "b"])
+
+    return run
+
+
+def near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", edits: int = 64, share: float = 0.2, pivots: int = 16, room: int = 64) -> DataFrame:
+    """Per row of `docs`: doc_id and component_id, the smallest doc_id of the texts linked to its own, directly or not.
+
+    Texts that share a band are linked when their edit distance is at most `edits` and `share` of the longer one's
+    length. Links are those of all pairs in a band: a band's first text, the pivot, is verified against all others of
+    the band; where that leaves texts of several components, up to `pivots` further ones are, until none is left. No
+    pair is verified twice by the same pivot, none within a component, and no task holds more than one text beside
+    those that it reads; a pivot of many is dealt in groups of about `room`.
+
+    Equal texts are one class and always together. A null text is empty; rows may repeat ids; a null id is never a
+    component's smallest, unless all are null. An empty table gives no rows."""
+    scratch = Scratch(docs.sparkSession, "near")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", F.sha2("text", 256).alias("class"), "text")
+    texts = scratch.store(rows.groupBy("class").agg(F.first("text").alias("text")), "texts")
+    members = scratch.store(texts.mapInArrow(trimmed(_banded), "class string, key long").distinct(), "members")
+    edges, labels, limit = None, None, 1
+    while True:
+        if labels is None:
+            open_ = members.withColumn("label", F.col("class"))
+        else:
+            open_ = members.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+        impure = open_.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+        open_ = scratch.store(open_.join(impure, "key", "left_semi"), "open")
+        if open_.isEmpty():
+            break
+        first = open_.groupBy("key").agg(F.min("class").alias("pivot")) if limit == 1 else None
+        if first is None:  # the least classes of each band, pre-selected within each task
+            kept = open_.withColumn("task", F.spark_partition_id())
+            for by in (["key", "task"], ["key"]):
+                kept = kept.withColumn("r", F.row_number().over(Window.partitionBy(*by).orderBy("class"))).where(F.col("r") <= limit)
+            first = kept.select("key", F.col("class").alias("pivot"))
+        first = scratch.store(first, "pivots")
+        ours = first.join(open_.select("key", F.col("class").alias("pivot"), F.col("label").alias("p")), ["key", "pivot"])
+        pairs = scratch.store(open_.join(ours, "key").where("class <> pivot and label <> p").select("pivot", "class").distinct(), "pairs")
+        groups = pairs.groupBy("pivot").agg(F.ceil(F.count("*") / room).alias("groups"))
+        dealt = pairs.join(groups, "pivot").select("pivot", "class", F.pmod(F.xxhash64("class"), "groups").alias("salt"))
+        others = dealt.join(texts, "class").select("pivot", "salt", "class", "text")
+        own = dealt.select("pivot", "salt").distinct().join(texts.withColumnRenamed("class", "pivot"), "pivot").select("pivot", "salt", F.lit(None).cast("string").alias("class"), "text")
+        led = own.unionByName(others).repartition("pivot", "salt").sortWithinPartitions("pivot", "salt", "class")
+        found = led.mapInArrow(trimmed(_verified(edits, share)), "a string, b string")
+        more = scratch.store(found if edges is None else edges.unionByName(found), "links")
+        members = scratch.store(open_.select("class", "key").join(first.withColumnRenamed("pivot", "class"), ["key", "class"], "left_anti").select("class", "key"), "members")
+        edges, labels, limit = more, components(more, scratch), pivots
+    named = rows.select("doc_id", "class")
+    if labels is not None:
+        named = named.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("class", F.coalesce("label", "class"))
+    least = named.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    return named.join(least, "class").select("doc_id", "component_id")
