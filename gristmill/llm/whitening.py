@@ -3,16 +3,17 @@
 The fit list is every distinct integer vector once; grouping merges copies before they travel. Its count and exact
 sums centre the rows, which go as a distributed `RowMatrix` to `computeSVD`: the right singular vectors are the
 components, and a singular value s of n rows is the eigenvalue s * s / n of the covariance with divisor n. Total
-variance doesn't come from the singular values, of which only the first few are computed, but from the exact
-deviations of the rows. Rows are projected by native functions; the driver holds `count` vectors of one row's length,
-and computeSVD one matrix of that length squared.
+variance doesn't come from the singular values but from the exact deviations of the rows. Rows are projected in Arrow
+batches; the driver holds vectors of one row's length, and computeSVD one matrix of that length squared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
@@ -33,18 +34,27 @@ def integers(vectors: DataFrame) -> DataFrame:
     return usable.select("vec_id", F.transform("c", lambda x: F.floor(F.greatest(F.least(x * 256.0, F.lit(_EDGE)), F.lit(-_EDGE)))).alias("x"))
 
 
-def deviation(n: int, sums: list[int], wide: bool) -> Column:
-    """Sum over dimensions of (n * x - S)**2: long where that fits every row, else decimal of 38 digits."""
-    kind = "decimal(38,0)" if wide else "long"
-    off = lambda x, s: (F.lit(n).cast(kind) * x.cast("decimal(20,0)" if wide else kind) - s.cast(kind)).cast(kind)
-    total = F.lit(0).cast(kind)
-    square = lambda d: F.try_multiply(d, d).cast(kind)
-    return F.aggregate(F.zip_with("x", _literal(sums, kind), lambda x, s: square(off(x, s))), total, lambda a, b: F.try_add(a, b).cast(kind))
+def _literal(values: list[float]) -> Column:
+    """An array of doubles as one literal, whatever its length."""
+    return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), "array<double>")
 
 
-def _literal(values: list, kind: str) -> Column:
-    """An array of numbers as one literal, whatever its length."""
-    return F.from_json(F.lit("[" + ",".join(map(str, values)) + "]"), f"array<{kind}>")
+def projected(rows: DataFrame, n: int, sums: list[int], wide: bool, axes: np.ndarray) -> DataFrame:
+    """(vec_id, deviation, size, w) of rows (vec_id, x): the sum over dimensions of (n * x - S)**2 as a long (null
+    beyond) and as a double, and the centred row's products with `axes`. If `wide`, integers may pass 64 bits."""
+    means, kind = np.array([float(Fraction(s, n)) for s in sums]), object if wide else np.int64
+    shape = pa.schema([("vec_id", pa.int64()), ("deviation", pa.int64()), ("size", pa.float64()), ("w", pa.list_(pa.float64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.array(sums, dtype=kind)
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            squares = ((n * x.astype(kind) - total) ** 2).sum(1)
+            w = ((x - means) @ axes.T).ravel()
+            w = pa.ListArray.from_arrays(pa.array(np.arange(0, len(w) + 1, len(axes), dtype=np.int32)), pa.array(w))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array([v if v < 1 << 63 else None for v in squares.tolist()], pa.int64()), pa.array(squares.astype(float)), w], schema=shape)
+
+    return rows.mapInArrow(run, "vec_id long, deviation long, size double, w array<double>")
 
 
 def principal(centred: DataFrame, n: int, count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +62,7 @@ def principal(centred: DataFrame, n: int, count: int) -> tuple[np.ndarray, np.nd
     the largest `count`, fewer where the rows span less. More than half of all are asked for, as MLlib then decomposes
     the rows' Gram matrix to double precision; for fewer it iterates, and stops at 1e-10."""
     rows = MLUtils.convertVectorColumnsFromML(centred.select(array_to_vector("vector").alias("vector")), "vector")
-    found = RowMatrix(rows).computeSVD(max(count, rows.first()["vector"].size // 2 + 1), computeU=False)
+    found = RowMatrix(rows).computeSVD(max(count, rows.first()["vector"].size // 2 + 1), computeU=False, rCond=1e-7)
     return found.s.toArray()[:count] ** 2 / n, found.V.toArray().T[:count]
 
 
@@ -62,8 +72,8 @@ def whiten(vectors: DataFrame, *, count: int = 4, dim: int | None = None) -> Dat
 
     Vectors that are null or hold a null or non-finite entry take no part, nor do those whose length isn't `dim`, by
     default the commonest length (of equally common ones the longest). Rows that repeat a vec_id, or have none, are rows
-    of their own; a vector counts in the fit once, however many rows have it. Directions without variance (below 1e-9 of
-    the largest singular value) are no components, so vectors that are all alike, and an empty table, give no rows. A
+    of their own; a vector counts in the fit once, however many rows have it. Directions without variance (singular
+    values below 1e-7 of the largest) are no components, so vectors that are all alike, and an empty table, give no rows. A
     deviation beyond a long is null. Entries beyond 2**62 count as that."""
     spark = vectors.sparkSession
     rows = integers(vectors)
@@ -81,22 +91,19 @@ def whiten(vectors: DataFrame, *, count: int = 4, dim: int | None = None) -> Dat
         return spark.createDataFrame([], _COLUMNS)
     n, sums = told[0]["n"], [int(r["s"]) for r in told]
     reach = max(max(abs(n * r["low"] - int(r["s"])), abs(n * r["high"] - int(r["s"]))) for r in told)
-    wide = dim * reach * reach >= 1 << 63
-    apart = deviation(n, sums, wide)
-    means = [float(Fraction(s, n)) for s in sums]
-    centre = lambda x: F.zip_with(x, _literal(means, "double"), lambda v, m: v.cast("double") - m)
-    values, components = principal(fit.select(centre("x").alias("vector")), n, min(count, dim))
-    parts = [_literal((v / np.sqrt(e)).tolist(), "double") for e, v in zip(values, components)]
-    projected = [F.aggregate(F.zip_with(centre("x"), v, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) for v in parts]
-
-    names = [f"w{i}" for i in range(len(parts))]
-    own = fit.select(apart.alias("deviation"), *(p.alias(w) for p, w in zip(projected, names)))
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    exact = F.sum(F.col("deviation").cast("decimal(38,0)")) if not wide else F.sum(F.col("deviation").cast("double"))
-    sides = own.agg(exact.alias("deviation"), *(F.covar_pop(names[i], names[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
-    total = float(Fraction(sides["deviation"]) / n**3)
-    error = max(abs(sides[f"c{i}_{j}"] - (i == j)) for i, j in pairs)
-
-    each = F.explode(F.array(*(F.struct(F.lit(i + 1).alias("component"), p.alias("whitened"), F.lit(float(e) / total).alias("explained")) for i, (p, e) in enumerate(zip(projected, values)))))
-    out = rows.select("vec_id", apart.try_cast("long").alias("deviation"), each.alias("e"))
-    return out.select("vec_id", "e.component", F.lit(n).cast("long").alias("n"), "deviation", "e.whitened", "e.explained", F.lit(float(error)).alias("identity_error"))
+    wide = dim * reach * reach >= 1 << 63 or n * max(abs(v) for r in told for v in (r["low"], r["high"])) >= 1 << 62
+    means = _literal([float(Fraction(s, n)) for s in sums])
+    centred = fit.select(F.zip_with("x", means, lambda v, m: v.cast("double") - m).alias("vector"))
+    values, components = principal(centred, n, min(count, dim))
+    axes = components / np.sqrt(values)[:, None]
+
+    own = projected(fit.select(F.lit(None).cast("long").alias("vec_id"), "x"), n, sums, wide, axes)
+    pairs = [(i, j) for i in range(len(axes)) for j in range(i, len(axes))]
+    size = F.sum("size") if wide else F.sum(F.col("deviation").cast("decimal(38,0)"))
+    told = own.agg(size.alias("size"), *(F.covar_pop(F.col("w")[i], F.col("w")[j]).alias(f"c{i}_{j}") for i, j in pairs)).first()
+    total = float(Fraction(told["size"]) / n**3)
+    error = float(max(abs(told[f"c{i}_{j}"] - (i == j)) for i, j in pairs))
+
+    out = projected(rows, n, sums, wide, axes).select("vec_id", "deviation", F.posexplode("w").alias("place", "whitened"))
+    shares = _literal([float(e) / total for e in values])
+    return out.select("vec_id", (F.col("place") + 1).alias("component"), F.lit(n).cast("long").alias("n"), "deviation", "whitened", F.get(shares, "place").alias("explained"), F.lit(error).alias("identity_error"))
