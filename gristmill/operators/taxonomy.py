@@ -14,7 +14,9 @@ from ..functions import fixed
 from ..sources.rules import Rules
 from .learn import micro
 
-ATOM = r"([a-z0-9]+|[^a-z0-9\s\-])"
+#: Spaces of all scripts, said in full since engines differ in what their short form holds.
+GAP = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\-"
+ATOM = rf"([a-z0-9]+|[^a-z0-9{GAP}])"
 
 
 def phrase_table(spark: SparkSession, rules: Rules) -> DataFrame:
@@ -91,23 +93,29 @@ def prior_only(prior: DataFrame) -> DataFrame:
     return top.select("grp", F.col("classpath").alias("lent"), micro(0.45 * F.col("share"), 4).alias("lent_confidence"))
 
 
-def phrase_join(rows: DataFrame, phrases: DataFrame, key: str, prepared: str) -> DataFrame:
-    """(key, classpath, kind, phrase) of the phrases (classpath, kind, phrase) that a text holds.
+def phrase_candidates(rows: DataFrame, phrases: DataFrame, key: str, text: str) -> DataFrame:
+    """(key and the columns of `phrases`) of the phrases (phrase) that a text may hold; their pattern is not yet tried.
 
-    Runs of as many atoms as a phrase may have are compared with phrases without their gaps, plural endings cut; the
-    pattern of the phrase then decides. The phrases are the rule file's, and are joined by their size."""
-    most = phrases.agg(F.max(F.size(F.regexp_extract_all(F.lower("phrase"), F.lit(ATOM), F.lit(0))))).first()[0] or 1
-    squeezed = phrases.select("classpath", "kind", "phrase", F.regexp_replace(F.lower("phrase"), r"[\s\-]+", "").alias("gram"))
-    atoms = F.regexp_extract_all(F.lower(prepared), F.lit(ATOM), F.lit(0))
+    Runs of as many atoms as a phrase may have are compared with phrases without their gaps, plural endings cut. Only
+    keys and runs are exchanged, not texts; the phrases are joined by their size."""
+    fold = lambda c: F.lower(F.translate(c, "İıſ", "iis"))
+    most = phrases.agg(F.max(F.size(F.regexp_extract_all(fold("phrase"), F.lit(ATOM), F.lit(0))))).first()[0] or 1
+    squeezed = phrases.withColumn("_g", F.regexp_replace(fold("phrase"), f"[{GAP}]+", ""))
+    atoms = F.regexp_extract_all(fold(text), F.lit(ATOM), F.lit(0))
 
     def runs(n: int) -> Column:
         made = F.transform(F.sequence(F.lit(1), F.size("_a") - n + 1), lambda i: F.array_join(F.slice("_a", i, n), ""))
         return F.when(F.size("_a") >= n, made).otherwise(F.array().cast("array<string>"))
 
-    grams = F.array_distinct(F.flatten(F.array(*map(runs, range(1, most + 1)))))
-    listed = rows.select(key, prepared, atoms.alias("_a")).select(key, prepared, F.explode(grams).alias("_g"))
-    cut = F.array_distinct(F.array("_g", F.regexp_replace("_g", "s$", ""), F.regexp_replace("_g", "es$", "")))
-    candidates = listed.select(key, prepared, F.explode(cut).alias("gram"))
+    grams = F.flatten(F.array(*map(runs, range(1, most + 1))))
+    cut = F.array_distinct(F.flatten(F.transform(grams, lambda g: F.array(g, F.regexp_replace(g, "s$", ""), F.regexp_replace(g, "es$", "")))))
+    listed = rows.select(key, atoms.alias("_a")).select(key, F.explode(cut).alias("_g"))
+    return listed.join(squeezed, "_g").drop("_g").distinct()
+
+
+def phrase_join(rows: DataFrame, phrases: DataFrame, key: str, prepared: str) -> DataFrame:
+    """(key, classpath, kind, phrase) of the phrases (classpath, kind, phrase) that a text holds: candidates by their
+    words, on which the pattern of the phrase decides."""
     pattern = F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), F.regexp_replace(F.regexp_replace(F.trim("phrase"), r"([^A-Za-z0-9\s\-])", r"\\$1"), r"[\s\-]+", r"[\\s\\-]*"), F.lit("(?:e?s)?(?![A-Za-z0-9])"))
-    met = candidates.join(squeezed, "gram").select(key, prepared, "classpath", "kind", "phrase").withColumn("_p", pattern)
-    return met.where(F.expr(f"`{prepared}` rlike _p")).select(key, "classpath", "kind", "phrase").distinct()
+    met = phrase_candidates(rows, phrases.select("classpath", "kind", "phrase"), key, prepared).withColumn("_p", pattern)
+    return met.join(rows.select(key, prepared), key).where(F.expr(f"`{prepared}` rlike _p")).select(key, "classpath", "kind", "phrase")

@@ -72,21 +72,15 @@ def learned(rows: DataFrame, rules: Rules) -> Vocabulary:
     return Vocabulary(aliases, stored(learn.brand_prior(rows, aliases), "brand-prior"), prior, stored(learn.series(told), "series"), brands, candidates, learn.product_types(told))
 
 
-def series_names(vocabulary: Vocabulary) -> list[str]:
-    """Every induced series, the most frequent first."""
-    return [r["name"] for r in vocabulary.series.orderBy(F.col("n").desc(), "name").collect()]
-
-
 def enriched(rows: DataFrame, rules: Rules, vocabulary: Vocabulary, client=None, cache: str | None = None, most: int = 250) -> DataFrame:
     """One row a row: the input, classification, brand, filled slots and the five channels. A `client` (request to
     reply) proposes values for slots that are still blank; see propose.proposed()."""
     ready = prepared(rows)
     found = taxonomy.classify(ready.select("row_index", "grp", "prepared"), rules, vocabulary.group_prior)
     brands = entity.resolve_brands(rows, vocabulary.aliases, vocabulary.brand_prior)
-    names = series_names(vocabulary)
     out = ready.join(found, "row_index").join(brands.withColumnsRenamed({"confidence": "brand_confidence", "source": "brand_source"}), "row_index")
     out = taxonomy.with_category(out, rules)
-    out = render.with_implied(render.with_slots(extract.extract(out, rules, names), rules), rules)
+    out = render.with_implied(render.with_slots(extract.extract(out, rules, vocabulary.series), rules), rules)
     out = propose.proposed(out, rules, client, cache, most)
     named = F.coalesce("product_name", text.fallback_name(F.col("body")))
     out = out.withColumn("product_name", named).withColumn("mpn", F.trim("Mfg_Part_Num")).withColumn("series", F.lit("")).withColumn("with_phrase", F.lit("")).withColumn("maker", F.col("manufacturer")).withColumn("manufacturer", F.col("maker.value"))

@@ -39,14 +39,23 @@ def headers(spark: SparkSession, path: str) -> list[str]:
     return [h.strip() for h in next(csv.reader(io.StringIO((line[0] if line else "").lstrip("﻿"))))]
 
 
+def in_files(df: DataFrame) -> DataFrame:
+    """df, read from files, with _file, _line (from 0, as the file's lines go) and _before (rows of earlier files by name).
+
+    Files may be read in splits: a first pass counts the rows of each split, sums over a file's splits tell where each
+    begins, and numbering is a join to one row a split. No task holds the rows of a file."""
+    at = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_from", F.col("_metadata.file_block_start")).withColumn("_n", F.monotonically_increasing_id())
+    splits = at.groupBy("_file", "_from").agg(F.count(F.lit(1)).alias("_rows"), F.min("_n").alias("_first"))
+    earlier = lambda w: F.coalesce(F.sum("_rows").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = splits.groupBy("_file").agg(F.sum("_rows").alias("_rows"))
+    files = files.select("_file", earlier(Window.partitionBy(F.lit(0)).orderBy("_file")).alias("_before"))  # one row a file
+    begins = splits.select("_file", "_from", (earlier(Window.partitionBy("_file").orderBy("_from")) - F.col("_first")).alias("_shift"))
+    return at.join(begins.join(files, "_file"), ["_file", "_from"]).select(*df.columns, "_file", (F.col("_n") + F.col("_shift")).alias("_line"), "_before")
+
+
 def in_file_order(df: DataFrame) -> DataFrame:
-    """df, read from files that are not split, with row_index: rows as the files' names and lines go. A first pass
-    counts the rows of each file; numbering is a join to one row a file."""
-    at = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_n", F.monotonically_increasing_id())
-    files = at.groupBy("_file").agg(F.count(F.lit(1)).alias("_rows"), F.min("_n").alias("_first"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # one row a file
-    base = files.withColumn("_base", F.coalesce(F.sum("_rows").over(before), F.lit(0))).select("_file", "_base", "_first")
-    return at.join(base, "_file").select((F.col("_base") + F.col("_n") - F.col("_first")).alias("row_index"), *df.columns)
+    """df with row_index: rows as the files' names and lines go."""
+    return in_files(df).select((F.col("_before") + F.col("_line")).alias("row_index"), *df.columns)
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -86,9 +95,8 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
 
 def jsonl_faults(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """file, line (from 1), text of the lines that are no JSON objects of the schema; blank lines count as lines only."""
-    lines = in_file_order(spark.read.option("maxPartitionBytes", 1 << 60).text(path).withColumn("file", F.col("_metadata.file_path")))
-    first = Window.partitionBy("file")
-    placed = lines.withColumn("line", F.col("row_index") - F.min("row_index").over(first) + 1).where(F.trim("value") != "")
+    lines = in_files(spark.read.text(path))
+    placed = lines.select(F.col("_file").alias("file"), (F.col("_line") + 1).alias("line"), "value").where(F.trim("value") != "")
     told = placed.withColumn("j", F.from_json("value", f"{schema}, _corrupt_record string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}))
     return told.where("j is null or j._corrupt_record is not null").select("file", "line", F.col("value").alias("text"))
 

@@ -32,6 +32,29 @@ def test_jsonl_and_cache(spark, tmp_path):
         catalogue.read_jsonl(spark, str(tmp_path / "y.jsonl"), "a int").collect()
 
 
+def test_line_numbers_of_split_files(spark, tmp_path):
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    bad = {"b": {1, 7, 900, 1999}, "a": {3, 600}}
+    for name, numbers in bad.items():
+        rows = [f"bad {name} {i} " + "x" * (i % 97) if i in numbers else "" if i % 50 == 0 else json.dumps({"a": i, "t": "y" * (i % 83)}) for i in range(1, 2001)]
+        (folder / f"{name}.jsonl").write_text("\n".join(rows) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2048")
+    try:
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 20
+        found = catalogue.jsonl_faults(spark, str(folder), "a int, t string").collect()
+        assert {(r["file"].rsplit("/")[-1][0], r["line"]) for r in found} == {(n, i) for n, numbers in bad.items() for i in numbers}
+        assert all(r["text"].startswith(f"bad {r['file'].rsplit('/')[-1][0]} {r['line']} ") for r in found)
+        with pytest.raises(ValueError, match="a.jsonl, line 3:"):
+            catalogue.read_jsonl(spark, str(folder), "a int, t string")
+        order = catalogue.in_file_order(spark.read.text(str(folder))).orderBy("row_index").collect()
+        lines = [x for n in "ab" for x in (folder / f"{n}.jsonl").read_text().splitlines()]
+        assert [r["row_index"] for r in order] == list(range(4000)) and [r["value"] for r in order] == lines
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_rules_round_trip(tmp_path):
     spec = {"categories": [{"classpath": "A > B", "must": ["b"], "implies": [["Material", "Steel"]]}], "contracts": {"generic": [{"label": "Color", "kind": "lov", "lov": ["Red"]}]}, "dimensions": {"generic": {"2": ["Width", "Length"]}}}
     (tmp_path / "r.json").write_text(json.dumps(spec))
