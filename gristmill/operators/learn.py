@@ -37,7 +37,7 @@ def groups(rows: DataFrame) -> DataFrame:
 
 def token_positions(rows: DataFrame) -> DataFrame:
     """row_index, grp, token, low, position (of the first occurrence, over the number of candidates)."""
-    candidates = candidate_tokens(F.col("Part_Desc"), F.col("Mfg_Part_Num"))
+    candidates = F.col("candidates") if "candidates" in rows.columns else candidate_tokens(F.col("Part_Desc"), F.col("Mfg_Part_Num"))
     listed = rows.select("row_index", text.group_key(F.col("Part_Manuf")).alias("grp"), candidates.alias("c"))
     return listed.select("row_index", "grp", F.greatest(F.size("c"), F.lit(1)).alias("n"), F.posexplode("c").alias("pos", "token")).withColumn("low", F.lower("token"))
 
@@ -217,8 +217,9 @@ def own_aliases(rows: DataFrame, aliases: DataFrame) -> DataFrame:
 
 def named(rows: DataFrame) -> DataFrame:
     """rows with body, found (its measurements), phrase (the words that name the product) and canonical (in full, title
-    case). Words of a column `aliases` name no product."""
-    made = rows.withColumn("body", text.body_of(F.col("Part_Desc"), F.col("Mfg_Part_Num"))).withColumn("found", units.find_measurements("body"))
+    case). Words of a column `aliases` name no product; `body` and `found` are taken from rows that have them."""
+    made = rows if "body" in rows.columns else rows.withColumn("body", text.body_of(F.col("Part_Desc"), F.col("Mfg_Part_Num")))
+    made = made if "found" in rows.columns else made.withColumn("found", units.find_measurements("body"))
     known = F.col("aliases") if "aliases" in rows.columns else None
     return made.withColumn("phrase", head_phrase(F.col("body"), F.col("found"), known)).withColumn("canonical", text.title_case(text.expand(F.col("phrase"))))
 

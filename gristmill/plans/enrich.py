@@ -11,7 +11,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text
+from ..functions import fixed, text, units
 from ..operators import cells as C
 from ..operators import entity, extract, learn, propose, render, score, taxonomy
 from ..sources import catalogue, rules as rule_files
@@ -42,10 +42,28 @@ class Vocabulary:
 
 def prepared(rows: DataFrame) -> DataFrame:
     """rows with grp, body and prepared (the text that categories are matched against)."""
+    if "prepared" in rows.columns:
+        return rows
     made = rows.withColumn("grp", text.group_key(F.col("Part_Manuf"))).withColumn("body", text.body_of(F.col("Part_Desc"), F.col("Mfg_Part_Num")))
     return made.withColumn("prepared", text.prepare_text(F.col("Part_Desc"), F.col("Mfg_Part_Num")))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows by row_index over as many partitions as exchanges have. Work on a row is heavy and its bytes few, so neither
+    the files' splits nor a count of bytes deals it well; joins by row_index need no other exchange of these rows."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "row_index")
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """rows with what several passes over them read: grp, body, prepared, found (measurements) and candidates (for brand
+    tokens), written once."""
+    if "found" in rows.columns:
+        return rows
+    found = F.transform(units.find_measurements("body"), lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["family"].alias("family")))
+    made = prepared(dealt(rows)).withColumn("candidates", learn.candidate_tokens(F.col("Part_Desc"), F.col("Mfg_Part_Num"))).withColumn("found", found)
+    return stored(made, "rows")
+
+
 def brand_vocabulary(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(aliases: alias, canonical, attested; brands; candidates). Product names come first, without any knowledge of
     brands, since their words are never linked to a brand that they merely resemble."""
@@ -63,6 +81,7 @@ def brand_aliases(rows: DataFrame) -> DataFrame:
 
 
 def learned(rows: DataFrame, rules: Rules) -> Vocabulary:
+    rows = shared(rows)
     aliases, brands, candidates = brand_vocabulary(rows)
     ready = prepared(rows).select("row_index", "grp", "prepared")
     seen = taxonomy.classify(ready, rules).join(ready.select("row_index", "grp"), "row_index")
@@ -75,7 +94,7 @@ def learned(rows: DataFrame, rules: Rules) -> Vocabulary:
 def enriched(rows: DataFrame, rules: Rules, vocabulary: Vocabulary, client=None, cache: str | None = None, most: int = 250) -> DataFrame:
     """One row a row: the input, classification, brand, filled slots and the five channels. A `client` (request to
     reply) proposes values for slots that are still blank; see propose.proposed()."""
-    ready = prepared(rows)
+    ready = dealt(prepared(rows.drop("found", "candidates")))
     found = taxonomy.classify(ready.select("row_index", "grp", "prepared"), rules, vocabulary.group_prior)
     brands = entity.resolve_brands(rows, vocabulary.aliases, vocabulary.brand_prior)
     out = ready.join(found, "row_index").join(brands.withColumnsRenamed({"confidence": "brand_confidence", "source": "brand_source"}), "row_index")
@@ -125,6 +144,7 @@ def checked(rows: DataFrame, rules: Rules) -> DataFrame:
 
 def run(rows: DataFrame, rules: Rules, client=None, cache: str | None = None, most: int = 250) -> tuple[DataFrame, DataFrame, DataFrame, Vocabulary]:
     """(enriched rows, cells, verdicts, vocabulary)."""
+    rows = shared(rows)
     vocabulary = learned(rows, rules)
     out = enriched(rows, rules, vocabulary, client, cache, most)
     made = cells(out, rules)

@@ -929,6 +929,7 @@ def r1_resolve_brands(rows):
 
 @query()
 def r17_enrich(rows):
+    rows = enrich.shared(rows)
     out = enrich.enriched(rows, RULES, enrich.learned(rows, RULES))
     return out.select("row_index", "classpath", "confidence", "how", "brand", "rung", "manufacturer", "SHORT_DESC", "LONG_DESC1", "RETAIL_DESC", "MOBILE_DESC", "INVOICE_DESC", "approvals")
 
