@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +57,14 @@ class Rules:
     #: Labels of a dimension run by contract and number of parts.
     dimensions: dict[str, dict[int, tuple[str, ...]]] = field(default_factory=dict)
 
+    @cached_property
+    def memo(self) -> dict:
+        """What is made of the rules once in each process, by contract."""
+        return {}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "memo"}
+
     def contract(self, name: str) -> tuple[Slot, ...]:
         return self.contracts.get(name) or self.contracts.get("generic", ())
 

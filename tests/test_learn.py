@@ -69,7 +69,7 @@ def test_one_matcher_reads_what_all_patterns_read():
         rules = Rules((), {"generic": slots})
         for _ in range(20):
             text = "".join(rng.choice((*words, "3", "12 in", "1")) + rng.choice(joints) for _ in range(rng.randint(0, 9)))
-            row = extract._Row(text, slots, [])
+            row = extract._Row(text, extract.Contract(slots), [])
             row.dimensions(rules, "generic")
             row.found = {c for s in slots for c in s.cues}
             for s in slots:
