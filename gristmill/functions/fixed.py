@@ -550,3 +550,5 @@ BRAND_PURITY, BRAND_ROWS = 0.60, 3
 BOOST, PRIOR, PRIOR_ONLY_PURITY, PRIOR_ONLY_WEIGHT, LEARN = 0.18, 0.35, 0.60, 5.0, 0.70
 AUTO, BLOCKED, REVIEW = 0.85, 0.45, 0.70
 INVOICE_MAX, MOBILE_MIN, MOBILE_MAX = 40, 60, 80
+#: The ratio from which an account's head is a brand's name.
+HEAD_RATIO = 88

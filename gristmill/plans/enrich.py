@@ -96,7 +96,7 @@ def enriched(rows: DataFrame, rules: Rules, vocabulary: Vocabulary, client=None,
     reply) proposes values for slots that are still blank; see propose.proposed()."""
     ready = dealt(prepared(rows.drop("found", "candidates")))
     found = taxonomy.classify(ready.select("row_index", "grp", "prepared"), rules, vocabulary.group_prior)
-    brands = entity.resolve_brands(rows, vocabulary.aliases, vocabulary.brand_prior)
+    brands = entity.resolve_brands(rows, vocabulary.aliases, vocabulary.brand_prior, brands=vocabulary.brands)
     out = ready.join(found, "row_index").join(brands.withColumnsRenamed({"confidence": "brand_confidence", "source": "brand_source"}), "row_index")
     out = taxonomy.with_category(out, rules)
     out = render.with_implied(render.with_slots(extract.extract(out, rules, vocabulary.series), rules), rules)

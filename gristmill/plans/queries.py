@@ -991,6 +991,30 @@ def j3_brand_prior(rows):
     return rows.withColumn("grp", text.group_key(F.col("Part_Manuf"))).join(prior.select("grp", "brand"), "grp", "left").select("row_index", "brand")
 
 
+#: Letters in common, in order, by the usual table, one row of it a letter.
+_COMMON = (
+    "list_last(list_reduce(string_split(lower(head), ''), lambda row, c: list_reduce(range(1, length(name) + 1), "
+    "lambda made, j: list_append(made, greatest(row[j + 1], made[j], row[j] + case when lower(name[j]) = c then 1 else 0 end)), [0::bigint]), "
+    "list_transform(range(0, length(name) + 1), lambda j: 0::bigint)))"
+)
+
+
+@query(
+    "with h as (select s_suppkey, case when s_suppkey % 3 = 0 then replace(s_name, 'pp', 'p') when s_suppkey % 3 = 1 then substr(s_name, 2) else s_name || ' x' end as head from supplier), "
+    f"n as (select s_name as name, s_suppkey * 7 % 101 as ord from supplier where s_suppkey % 2 = 0), d as (select distinct head from h), m as (select head, name, ord, 200.0::double * {_COMMON} / (length(head) + length(name)) as score from d cross join n), "
+    "b as (select head, first(name order by ord, name) as name from m where score >= 88 group by head) select s_suppkey, head, b.name as brand from h join b using (head)"
+)
+def j12_account_heads(spark, sf_dir):
+    """Misspelt account heads against the even suppliers' names, in an order of their own."""
+    supplier = read(spark, sf_dir, "supplier")
+    three = F.pmod("s_suppkey", F.lit(3))
+    head = F.when(three == 0, F.replace("s_name", F.lit("pp"), F.lit("p"))).when(three == 1, F.substring("s_name", 2, 99)).otherwise(F.concat("s_name", F.lit(" x")))
+    heads = supplier.select("s_suppkey", head.alias("head"))
+    names = supplier.where("s_suppkey % 2 = 0").select(F.col("s_name").alias("name"), F.expr("s_suppkey * 7 % 101").alias("ord"))
+    near = entity.close_names(heads, names)
+    return heads.join(near, "head").select("s_suppkey", "head", F.col("name").alias("brand"))
+
+
 @query("select p_partkey, case when list_contains((select list(t) from (select t, row_number() over (order by t) as n from (select distinct p_type as t from part)) where n % 2 = 1), p_type) then 'contract ' || p_type else 'generic' end as contract from part")
 def j13_contract_default(spark, sf_dir):
     rows = read(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("Parts > "), "p_type").alias("classpath"))

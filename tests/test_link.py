@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -16,9 +17,13 @@ INPUT = "row_index long, Mfg_Part_Num string, Part_Desc string, E1_Brand string,
 
 
 def common(a: str, b: str) -> int:
-    if not a or not b:
-        return 0
-    return common(a[:-1], b[:-1]) + 1 if a[-1] == b[-1] else max(common(a[:-1], b), common(a, b[:-1]))
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
+        row = new
+    return row[-1]
 
 
 def test_ratios_count_common_letters():
@@ -39,7 +44,7 @@ def test_similarity(token, name, score):
 
 @pytest.mark.parametrize(("token", "name", "agrees"), [("Milw", "Milwaukee", True), ("Kichler", "Kichler Co", True), ("Bosch", "Makita", False), ("Tool", "Milwaukee Tool", True), ("", "x", False)])
 def test_agreement(token, name, agrees):
-    assert (entity.agreement(token, name) >= fixed.LINK_THRESHOLD) == agrees
+    assert (entity.agreements([token], [name])[0] >= fixed.LINK_THRESHOLD) == agrees
 
 
 def test_near_pairs_miss_none(spark):
@@ -164,3 +169,71 @@ def test_a_generated_rule_set_runs(spark):
     rows = spark.createDataFrame(catalogue_rows(), INPUT)
     out, made, verdict, _ = enrich.run(rows, rules)
     assert verdict.count() == out.count() == rows.count()
+
+
+def test_close_names(spark):
+    """Account heads against names with letters dropped, added and changed anywhere, by brute force over all pairs."""
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdeAB") for _ in range(n))
+    names = list(dict.fromkeys(word(rng.randint(1, 40)) for _ in range(120))) + ["Philips", "PHILIPS", "Zoë Works"]
+    heads = {"Phillips", "philips", "zoe works", "", "a"}
+    for n in names:
+        for _ in range(3):
+            x = list(n)
+            for _ in range(rng.randint(0, 1 + len(n) // 8)):
+                at, how = rng.randint(0, len(x)), rng.randrange(3)
+                x[at : at + (how != 1)] = rng.choice("abcz") * (how != 2)
+            heads.add("".join(x))
+    order = {n: (i * 37) % 41 for i, n in enumerate(names)}
+    pairs = [(h, n) for h in sorted(heads) for n in names if h and entity.slack(len(h), len(n), 88) >= 0]
+    scores = entity.indel_ratios([h.lower() for h, _ in pairs], [n.lower() for _, n in pairs])
+    want = {}
+    for (h, n), score in zip(pairs, scores):
+        if score >= 88 and (h not in want or (order[n], n) < (order[want[h]], want[h])):
+            want[h] = n
+    found = entity.close_names(spark.createDataFrame([(h,) for h in sorted(heads)] + [(None,)], "head string"), spark.createDataFrame(list(order.items()), "name string, ord long"))
+    assert {r["head"]: r["name"] for r in found.collect()} == want and len(want) > 100
+    assert any(h.lower()[0] != n.lower()[0] for h, n in want.items())
+
+
+def test_slack_is_what_a_ratio_leaves():
+    for x in range(1, 30):
+        for y in range(1, 30):
+            most = max((d for d in range(x + y + 1) if (x + y - d) % 2 == 0 and d >= abs(x - y) and 100 * (x + y - d) >= 88 * (x + y)), default=-1)
+            assert entity.slack(x, y, 88) == most
+
+
+def test_account_head_of_a_brand(spark):
+    row = lambda i, account: (i, "X", "nothing known", "-", "-", "-", account)
+    rows = spark.createDataFrame([row(0, "Phillips (ABC)"), row(1, "Hillipse (ABC)"), row(2, "Philips (ABC)"), row(3, "Elsewhere (ABC)"), row(4, "-"), row(5, "Candidat (ABC)")], "row_index long, Mfg_Part_Num string, Part_Desc string, E1_Brand string, Unilog_Brand string, DIB_Brand string, Part_Manuf string")
+    aliases = spark.createDataFrame([("philips", "Philips", True), ("candidat", "Candidat", False)], "alias string, canonical string, attested boolean")
+    brands = spark.createDataFrame([("Philips", 4), ("Phillipse", 9), ("Candidate", 1)], "canonical string, seen long")
+    prior = spark.createDataFrame([], "grp string, brand string, hits long, purity double")
+    got = {r["row_index"]: (r["brand_plain"], r["rung"], r["confidence"]) for r in entity.resolve_brands(rows, aliases, prior, parse_account=True, brands=brands).collect()}
+    assert got[0] == got[2] == ("Philips", "account-name-head", 0.7) and got[1] == ("Phillipse", "account-name-head", 0.7)
+    assert got[3][1] == got[4][1] == got[5][1] == "unresolved"
+
+
+def plain_agreement(token, name):
+    ratio = lambda a, b: 100.0 if not a and not b else 200.0 * common(a, b) / (len(a) + len(b))
+    short, long = sorted((token.lower(), name.lower()), key=len)
+    if not short:
+        return 0.0
+    scores = [ratio(short, long[max(0, i) : i + len(short)]) for i in range(1 - len(short), len(long))]
+    if len(long) < 1.5 * len(short):
+        scores += [ratio(token, name), 0.95 * ratio(token, " ".join(sorted(name.split()))), 95.0 * (token in name.split())]
+    return max(scores)
+
+
+def test_agreements_of_a_batch():
+    rng = random.Random(14)
+    text = lambda most: "".join(rng.choice("abAB é") for _ in range(rng.randint(0, most)))
+    pairs = [(text(9), text(14)) for _ in range(300)] + [(text(20), text(90)) for _ in range(10)] + [(text(80), text(80)) for _ in range(4)]
+    found = entity.agreements(*map(list, zip(*pairs)))
+    assert all(abs(f - plain_agreement(t, n)) < 1e-9 for f, (t, n) in zip(found, pairs))
+    letters = [(text(70), text(150)) for _ in range(60)] + [("", ""), ("", "a"), ("a" * 64, "a" * 70), ("b" * 65, "b" * 64)]
+    assert entity.common_letters(*map(list, zip(*letters))).tolist() == [common(a, b) for a, b in letters]
+    many = [("Milwauke", "Milwaukee Accessory"), ("Dewlt", "Dewalt")] * 2000
+    began = time.perf_counter()
+    entity.agreements(*map(list, zip(*many)))
+    assert time.perf_counter() - began < 10  # 4,000 pairs with some twenty stretches each
