@@ -125,18 +125,33 @@ def link_brands(rows: DataFrame, product: DataFrame, store=lambda df, name: df)
     return told.select("grp", "token", "hits", "position", "seen", "f.*", (F.col("f.confidence") > 0).alias("attested"))
 
 
+#: From here on a weight of 2**-r is 0.
+LAST = 1100
+
+
 def brand_entries(links: DataFrame, attested: DataFrame | None = None) -> DataFrame:
     """canonical, aliases, groups, support, linkage, confidence, mean_position, seen of what link_brands() tells, folded
     in the order in which groups and tokens were seen; with `attested` (value, support, seen) every such value is an
     entry and adds its support.
 
-    The mean position is a running one: each link moves it half way to its own."""
+    The mean position is a running one: each link moves it half way to its own, from the first that is not 0. So the
+    link that is r-th from the end weighs 2**-r, the first as much again, and links beyond the last LAST weigh nothing
+    that a double holds. Everything else is a group's aggregate, by spelling first: no row holds a brand's links."""
     link = F.struct("seen", "grp", "token", "position", "linkage", "hits")
-    some = links.groupBy("canonical").agg(F.sort_array(F.collect_list(link)).alias("l"), F.sum("hits").alias("support"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("grp")).alias("groups"), F.min("seen").alias("seen"))
-    spelled = lambda x, i: ~F.exists(F.slice("l", 1, i), lambda y: F.lower(y["token"]) == F.lower(x["token"]))
-    aliases = F.transform(F.filter("l", spelled), lambda x: x["token"])
-    halved = F.aggregate("l", F.lit(0.0), lambda acc, x: F.when(acc == 0, x["position"]).otherwise((acc + x["position"]) / 2))
-    out = some.select("canonical", aliases.alias("aliases"), "groups", "support", F.col("l")[0]["linkage"].alias("linkage"), "confidence", micro(halved).alias("mean_position"), "seen")
+    made = links.select("canonical", "token", "grp", "hits", "confidence", "seen", "position", link.alias("l"))
+    spelled = made.groupBy("canonical", F.lower("token").alias("low")).agg(
+        F.min("l").alias("l"), F.min(F.when(F.col("position") > 0, F.col("l"))).alias("begin"), F.sum("hits").alias("hits"), F.max("confidence").alias("confidence"), F.min("seen").alias("seen"), F.collect_set("grp").alias("groups")
+    )
+    some = spelled.groupBy("canonical").agg(
+        F.transform(F.sort_array(F.collect_list("l")), lambda x: x["token"]).alias("aliases"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("groups")))).alias("groups"), F.sum("hits").alias("support"),
+        F.min("l")["linkage"].alias("linkage"), F.max("confidence").alias("confidence"), F.min("begin").alias("begin"), F.min("seen").alias("seen"),
+    )
+    last = made.select("canonical", "l", F.row_number().over(Window.partitionBy("canonical").orderBy(F.col("l").desc())).alias("r")).where(F.col("r") <= LAST)
+    last = last.join(some.select("canonical", "begin"), "canonical")
+    weight = F.pow(F.lit(2.0), -F.col("r"))
+    means = last.groupBy("canonical").agg(F.sum(F.col("l.position") * weight).alias("most"), F.min(F.when(F.col("l").eqNullSafe(F.col("begin")), F.col("l.position") * weight)).alias("more"))
+    halved = F.coalesce("most", F.lit(0.0)) + F.coalesce("more", F.lit(0.0))
+    out = some.join(means, "canonical").select("canonical", "aliases", "groups", "support", "linkage", "confidence", micro(halved).alias("mean_position"), "seen")
     if attested is None:
         return out
     told = attested.select(F.col("value").alias("canonical"), F.col("support").alias("_n"), F.col("seen").alias("_seen"))

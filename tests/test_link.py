@@ -237,3 +237,34 @@ def test_agreements_of_a_batch():
     began = time.perf_counter()
     entity.agreements(*map(list, zip(*many)))
     assert time.perf_counter() - began < 10  # 4,000 pairs with some twenty stretches each
+
+
+def plain_entries(links):
+    """canonical to (aliases, groups, support, linkage, confidence, mean position, seen), folded link by link."""
+    out = {}
+    for seen, g, t, p, linkage, hits, c, confidence in sorted((x[4], x[0], x[1], x[3], x[6], x[2], x[5], x[7]) for x in links):
+        e = out.setdefault(c, [[], set(), 0, linkage, 0.0, 0.0, seen])
+        if t.lower() not in {a.lower() for a in e[0]}:
+            e[0].append(t)
+        e[1].add(g)
+        e[2] += hits
+        e[4] = max(e[4], confidence)
+        e[5] = p if e[5] == 0 else (e[5] + p) / 2
+    return out
+
+
+def test_entries_equal_the_fold(spark):
+    """Among others a brand of 100,000 links, brands that begin at 0 or never leave it, and links that repeat."""
+    rng = random.Random(20)
+    made = lambda c, n, zeros=0.2: [(f"g{rng.randrange(9)}", rng.choice(("Ab", "AB", "ab", "Abc", "aBC")), rng.randrange(5), 0.0 if rng.random() < zeros else round(rng.random(), 3), rng.randrange(50 * n), c, rng.choice("xyz"), round(rng.random(), 2)) for _ in range(n)]
+    links = made("hot", 100_000) + made("zero", 30, 1.0) + [x for i in range(40) for x in made(f"c{i}", rng.randint(1, 9))]
+    links += [("g", "Tail", 1, 0.0, i, "late", "x", 0.5) for i in range(3000)] + [("g", "Tail", 1, 0.7, 3000, "late", "x", 0.5), ("g", "Tail", 1, 0.1, 3001, "late", "x", 0.5)]
+    links += [("g", "Same", 1, 0.25, 1, "same", "x", 0.5)] * 3 + [("g", "Same", 1, 0.75, 2, "same", "x", 0.5)]
+    df = spark.createDataFrame(links, "grp string, token string, hits long, position double, seen long, canonical string, linkage string, confidence double").withColumn("attested", F.lit(True))
+    want = plain_entries(links)
+    got = {r["canonical"]: r for r in learn.brand_entries(df).collect()}
+    assert set(got) == set(want)
+    for c, (aliases, groups, support, linkage, confidence, mean, seen) in want.items():
+        r = got[c]
+        assert (r["aliases"], r["groups"], r["support"], r["linkage"], r["confidence"], r["seen"]) == (aliases, sorted(groups), support, linkage, confidence, seen)
+        assert r["mean_position"] == pytest.approx(mean, abs=2e-6), c
