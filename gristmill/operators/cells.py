@@ -142,10 +142,3 @@ def audit(cells: DataFrame) -> DataFrame:
 def wide(cells: DataFrame, headers: list[str] | tuple[str, ...]) -> DataFrame:
     """One row a row_index with every header in order; '' where there is no cell."""
     return cells.groupBy("row_index").pivot("header", list(headers)).agg(F.first("value")).na.fill("", list(headers)).select("row_index", *(F.col(f"`{h}`") for h in headers))
-
-
-def with_implied(rows: DataFrame, implied: DataFrame) -> DataFrame:
-    """rows (row_index, classpath, label, value, confidence) with the values that a category implies in blank slots."""
-    hit = rows.join(implied.withColumnRenamed("value", "_v"), ["classpath", "label"], "left")
-    use = (F.trim("value") == "") & F.col("_v").isNotNull()
-    return hit.withColumns({"value": F.when(use, F.col("_v")).otherwise(F.col("value")), "confidence": F.when(use, F.greatest(F.lit(0.6), 0.9 * F.col("confidence"))).otherwise(F.col("confidence"))}).drop("_v")

@@ -13,6 +13,7 @@ from ..operators import cells as C
 from ..operators import entity, extract, learn, propose, render, score, taxonomy, training
 from ..sources import catalogue
 from ..sources.rules import Category, Rules, Slot, demo
+from ..sources.scratch import stored
 from . import enrich
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -315,9 +316,11 @@ def t32_length_status(rows):
 # Units and numbers
 
 
-@query(f"select alias, canonical, family from {values([(k, u.canonical, u.family) for k, u in units.aliases().items()], 'alias', 'canonical', 'family')}")
+@query(f"select alias, canonical, family, count(*) as n from (select lower(unnest(regexp_extract_all(text, '[A-Za-z]+'))) as alias from documents) join {values([(k, u.canonical, u.family) for k, u in units.aliases().items()], 'alias', 'canonical', 'family')} using (alias) group by 1, 2, 3")
 def n1_alias_table(spark, sf_dir):
-    return units.unit_table(spark).select("alias", "canonical", "family")
+    """How often each spelling of a unit is a word of the documents."""
+    words = read(spark, sf_dir, "documents").select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(0))).alias("w")).groupBy(F.lower("w").alias("alias")).agg(F.count(F.lit(1)).alias("n"))
+    return words.join(units.unit_table(spark), "alias").select("alias", "canonical", "family", "n")
 
 
 _ALIASES = values([(k, u.canonical) for k, u in units.aliases().items()], "k", "v")
@@ -348,9 +351,10 @@ def n6_normalise_magnitude(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", units.normalise_magnitude(F.concat(F.col("p_size").cast("string"), F.lit(".50")), F.col("p_partkey") % 2 == 0).alias("m"))
 
 
-@query("select range as n, cast(range as double) / 64.0::double as x from range(1, 64)")
+@query("select l_orderkey, l_linenumber, cast(cast(l_quantity as integer) as double) / 64.0::double as x from lineitem")
 def n7_fraction_table(spark, sf_dir):
-    return spark.range(1, 64).select(F.col("id").alias("n"), units.to_decimal(F.concat(F.col("id").cast("string"), F.lit("/64"))).alias("x"))
+    """Quantities as sixty-fourths."""
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", units.to_decimal(F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("/64"))).alias("x"))
 
 
 @query("select p_partkey, cast(p_size as varchar) || ' in' as spaced, cast(p_size as varchar) || 'IN' as glued from part")
@@ -446,10 +450,18 @@ def a7_product_types(rows):
     return t.select("canonical", "support", F.array_join("groups", "|").alias("groups"), F.array_join("variants", "|").alias("variants"))
 
 
-@query()
+_KNOWN_WORDS = ", ".join(quoted(w) for w in [*units.aliases(), *fixed.EXPANSIONS])
+
+
+@query(
+    "with w as (select string_split(p_name, ' ') as w, p_size from part), s as (select array_to_string(list_transform(w, lambda x: upper(substr(x, 1, 1)) || substr(x, 2)), ' ') || case p_size % 3 when 0 then ' II' when 1 then ' 40' else '' end as name from w) "
+    f"select name, count(*) as n from s where len(list_filter(string_split(lower(name), ' '), lambda w: w in ({_KNOWN_WORDS}))) = 0 group by name having count(*) >= 2"
+)
 def a8_series_counts(spark, sf_dir):
-    said = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_index"), F.lit("").alias("Mfg_Part_Num"), F.col("text").alias("Part_Desc"))
-    return learn.series(said)
+    """Descriptions that begin with a title-cased run and end with the product's words."""
+    tail = F.when(F.col("p_size") % 3 == 0, " II").when(F.col("p_size") % 3 == 1, " 40").otherwise("")
+    said = F.concat(F.initcap("p_name"), tail, F.lit(" in "), F.lower("p_type"), F.lit(" - general purpose shop stock"))
+    return learn.series(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_index"), F.lit("").alias("Mfg_Part_Num"), said.alias("Part_Desc")))
 
 
 @query()
@@ -457,10 +469,7 @@ def a9_families(rows):
     return learn.families(rows)
 
 
-_KNOWN_UNITS = ", ".join(quoted(w) for w in [*units.aliases(), *fixed.EXPANSIONS])
-
-
-@query("select suffix, count(*) as n from (select unnest(regexp_extract_all(' ' || cast(p_size as varchar) || p_type || ' ', '\\d+(?:[./-]\\d+)?\\s*([A-Za-z]{1,5})\\b', 1)) as suffix from part) where lower(suffix) not in (" + _KNOWN_UNITS + ") group by suffix")
+@query("select suffix, count(*) as n from (select unnest(regexp_extract_all(' ' || cast(p_size as varchar) || p_type || ' ', '\\d+(?:[./-]\\d+)?\\s*([A-Za-z]{1,5})\\b', 1)) as suffix from part) where lower(suffix) not in (" + _KNOWN_WORDS + ") group by suffix")
 def a10_unknown_units(spark, sf_dir):
     part = read(spark, sf_dir, "part").select(F.lit("").alias("Mfg_Part_Num"), F.concat(F.col("p_size").cast("string"), "p_type").alias("Part_Desc"))
     return learn.unknown_units(part)
@@ -631,17 +640,38 @@ def j11_tiered_link(spark, sf_dir):
     return entity.tiered_links(tokens.where("token <> ''"), tiers).select("token", "name", "tier")
 
 
-@query()
+#: The catalogue with a word of each account's own at the head of its descriptions. A third of the accounts (kind 0) have
+#: that word's company in a brand column here and there, a third (1) the word itself in another column, the rest nothing.
+_WORDS = (
+    "select *, upper(substr(l, 1, 1)) || substr(l, 2) as w, ascii(substr(l, 2, 1)) % 3 as kind, ascii(substr(md5(Mfg_Part_Num), 1, 1)) % 2 = 0 as told "
+    "from (select *, translate(substr(md5(Part_Manuf), 1, 8), '0123456789', 'ghijklmnop') as l from {c}) as named"
+)
+_BRANDED = (
+    "select row_index, Mfg_Part_Num, w || ' ' || substr(Part_Desc, 10) || ' general purpose shop stock' as Part_Desc, '-- Unbranded --' as E1_Brand, case when kind = 1 and told then w else '-- No Unilog Brand --' end as Unilog_Brand, "
+    f"case when kind = 0 and told then w || ' Company' else '-- No DIB Brand --' end as DIB_Brand, Part_Manuf from ({_WORDS}) as worded"
+)
+_BRANDED_SQL = f"with c as ({_BRANDED.format(c=f'({catalogue.BRIDGE}) as bridge')})"
+
+
+def branded(rows):
+    return rows.sparkSession.sql(_BRANDED, c=rows)
+
+
+@query(
+    f"with g as (select Part_Manuf as grp, w as token, kind, count(*) as hits, count(*) filter (where told) as votes from ({_WORDS.format(c=f'({catalogue.BRIDGE}) as bridge')}) group by 1, 2, 3) "
+    "select grp, token, hits, case when kind = 0 and votes > 0 then token || ' Company' else token end as canonical, case when kind = 0 and votes > 0 then 'group-brand-column(' || votes || ' rows)' when kind = 1 and votes > 0 then 'exact:unilog-brand-column' else 'unlinked' end as linkage, kind < 2 and votes > 0 as attested from g"
+)
 def j12_link_brands(rows):
     """Every brand token of the catalogue on the ladder: group column, exact name, product word, likeness, none."""
-    return learn.link_brands(rows, learn.product_words(learn.product_types(rows))).select("grp", "token", "hits", "canonical", "linkage", "attested")
+    rows = enrich.shared(branded(rows))
+    return learn.link_brands(rows, learn.product_words(learn.product_types(rows)), stored).select("grp", "token", "hits", "canonical", "linkage", "attested")
 
 
-@query(f"{CATALOG}, {BODY}, {STACK} select value, 1 as kept from st group by 1")
+@query(f"{_BRANDED_SQL}, {BODY}, {STACK} select value, 1 as kept from st group by 1")
 def j19_no_attested_candidates(rows):
     """Brands that columns attest are entries, whatever else their tokens would make of them; none stays a candidate."""
-    links = learn.link_brands(rows, learn.product_words(learn.product_types(rows)))
-    known, candidates = learn.brands(rows, links)
+    rows = enrich.shared(branded(rows))
+    _, known, candidates = enrich.brand_vocabulary(rows)
     values = learn.attested_brands(rows).select("value")
     kept = values.join(known, F.col("value") == F.col("canonical"), "left_semi")
     return kept.join(candidates, F.col("value") == F.col("canonical"), "left_anti").select("value", F.lit(1).alias("kept"))
@@ -700,10 +730,16 @@ def w3_dimension_run(rows):
     return made.select("row_index", F.array_join(F.transform("run", lambda m: F.concat_ws(" ", m["magnitude"], m["unit"])), " x ").alias("run"))
 
 
-@query("select o_orderkey as id, 0 as start, 10 as \"end\", 'a' as label from orders union all select o_orderkey, 12, 20, 'c' from orders")
+@query(
+    "with s as (select l_orderkey as id, cast(l_linenumber * 10 - l_quantity % 7 as integer) as a, cast(l_linenumber * 10 + l_quantity % 25 + 1 as integer) as b, l_returnflag as x from lineitem), "
+    "l as (select id, list(struct_pack(a := a, b := b, x := x) order by a, b desc, x) as l from s group by id), "
+    "k as (select id, unnest(list_reduce(list_transform(l, lambda v: [v]), lambda kept, v: case when v[1].a >= kept[-1].b then list_concat(kept, v) else kept end)) as k from l) "
+    "select id, k.a as start, k.b as \"end\", k.x as label from k"
+)
 def w4_without_overlaps(spark, sf_dir):
-    spans = F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(x).alias("label")) for a, b, x in ((0, 4, "z"), (0, 10, "a"), (5, 30, "b"), (12, 20, "c"))))
-    return score.without_overlaps(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.explode(spans).alias("s")).select("id", "s.*"))
+    quantity = F.col("l_quantity").cast("int")
+    spans = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 10 - quantity % 7).cast("int").alias("start"), (F.col("l_linenumber") * 10 + quantity % 25 + 1).cast("int").alias("end"), F.col("l_returnflag").alias("label"))
+    return score.without_overlaps(spans)
 
 
 @query("with s as (select l_orderkey as id, l_linenumber * 10 as a, l_linenumber * 10 + 4 + cast(l_quantity as integer) % 12 as b from lineitem), o as (select *, max(b) over (partition by id order by a, b rows between unbounded preceding and 1 preceding) as reach from s), r as (select *, sum(case when reach is null or a > reach then 1 else 0 end) over (partition by id order by a, b) as run from o) select id, min(a) as start, max(b) as \"end\" from r group by id, run")
@@ -976,9 +1012,11 @@ def p15_attribute_triples(spark, sf_dir):
 
 @query("select p_partkey as row_index, case when p_partkey % 2 = 0 then 'Steel' else p_type end as value, case when p_partkey % 2 = 0 then 0.72::double else 0.8::double end as confidence from part")
 def p16_implied_values(spark, sf_dir):
-    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_index"), F.lit("A").alias("classpath"), F.lit("Material").alias("label"), F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.col("p_type")).alias("value"), F.lit(0.8).alias("confidence"))
-    implied = spark.createDataFrame([("A", "Material", "Steel")], "classpath string, label string, value string")
-    return C.with_implied(rows, implied).select("row_index", "value", learn.micro(F.col("confidence")).alias("confidence"))
+    own = F.when(F.col("p_partkey") % 2 == 0, "").otherwise(F.col("p_type"))
+    slot = F.struct(F.lit("Material").alias("label"), own.alias("value"), F.lit("").alias("uom"), F.lit("").alias("source"), F.lit("").alias("rule"), F.lit(0.8).alias("confidence"))
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_index"), F.lit("Goods > A").alias("classpath"), F.lit(0.8).alias("confidence"), F.array(slot).alias("slots"))
+    out = render.with_implied(rows, Rules((Category("Goods > A", implies=(("Material", "Steel"),)),)))
+    return out.select("row_index", F.col("slots")[0]["value"].alias("value"), learn.micro(F.col("slots")[0]["confidence"]).alias("confidence"))
 
 
 _A15 = ORACLE_SQL["a15_brand_prior"]
