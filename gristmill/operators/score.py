@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -253,18 +255,26 @@ def channel_check(got: DataFrame, want: DataFrame, key: str = "Mfg_Part_Num", ch
     return asked.join(have, [key, "channel"], "left").groupBy("channel").agg(F.count(F.lit(1)).alias("compared"), same.alias("matched"))
 
 
+def payload(cells: DataFrame, verdict: DataFrame) -> DataFrame:
+    """section, name, value of a run's figures: run, triage, sources (of filled cells) and blanks (of empty ones)."""
+    run = run_stats(cells)
+    run = run.select(F.explode(F.array(*(F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("n")) for c in run.columns))).alias("x")).select("x.*")
+    parts = {"run": run, "triage": triage(verdict), "sources": source_histogram(cells), "blanks": source_histogram(cells, blank=True)}
+    out = [df.toDF("name", "n").select(F.lit(k).alias("section"), "name", F.col("n").cast("long").alias("value")) for k, df in parts.items()]
+    return reduce(DataFrame.unionByName, out)
+
+
 def evaluate(cells: DataFrame, verdict: DataFrame, gold: DataFrame | None = None, key: str = "Mfg_Part_Num") -> dict:
     """The figures of a run's report: run, compliance, triage, sources, blanks and reasons; with `gold` (labelled rows in
     delivery columns) also the accuracy of each field and the channels that match. Each part is a small aggregate."""
-    named = lambda df, k: {r[k]: r["n"] for r in df.orderBy(F.col("n").desc(), k).collect()}
+    told: dict[str, dict] = {"run": {}, "triage": {}, "sources": {}, "blanks": {}}
+    for r in payload(cells, verdict).orderBy(F.col("value").desc(), "name").collect():  # a row a figure
+        told[r["section"]][r["name"]] = r["value"]
     wide = C.wide(cells.where(F.col("header").isin(*CHANNELS)), CHANNELS)
     out = {
-        "run": run_stats(cells).first().asDict(),
+        **told,
         "compliance": compliance(wide).first().asDict(),
-        "triage": {r["bucket"]: r["n"] for r in triage(verdict).collect()},
-        "sources": named(source_histogram(cells), "source"),
-        "blanks": named(source_histogram(cells, blank=True), "source"),
-        "reasons": named(reason_histogram(verdict), "reason"),
+        "reasons": {r["reason"]: r["n"] for r in reason_histogram(verdict).orderBy(F.col("n").desc(), "reason").collect()},
     }
     if gold is not None:
         fields = [c for c in gold.columns if c not in ("row_index", key)]

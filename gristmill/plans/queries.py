@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, text, units
 from ..operators import cells as C
-from ..operators import entity, extract, learn, propose, render, score, taxonomy, training
+from ..operators import entity, extract, learn, models, propose, render, score, taxonomy, training
 from ..sources import catalogue
 from ..sources.rules import Category, Rules, Slot, demo
 from ..sources.scratch import stored
@@ -1170,3 +1170,65 @@ def m3_accept_proposal(spark, sf_dir):
 def m10_span_faults(spark, sf_dir):
     s = read(spark, sf_dir, "lineitem").select(F.when(F.col("l_linenumber") == 1, "").otherwise("abc def").alias("text"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end"), F.when(F.col("l_tax") > 0.05, "X").otherwise("Y").alias("label"))
     return training.faults(s, spark.createDataFrame([("X",)], "label string"))
+
+
+# Evaluation and models
+
+
+def _part_of(section: str, query_name: str, name: str, value: str = "n") -> str:
+    return f"select '{section}' as section, {name} as name, cast({value} as bigint) as value from ({ORACLE_SQL[query_name]})"
+
+
+@query(
+    " union all ".join([
+        *(_part_of("run", "a22_run_stats", f"'{c}'", c) for c in ("rows", "classified", "filled", "proposed")),
+        _part_of("triage", "a23_triage", "bucket"),
+        _part_of("sources", "a17_source_histogram", "source"),
+        _part_of("blanks", "a18_blank_histogram", "source"),
+    ])
+)
+def a30_evaluation(spark, sf_dir):
+    cells = some_cells(spark, sf_dir)
+    return score.payload(cells, score.verdicts(cells, some_checks(spark, sf_dir)))
+
+
+@query(
+    "with x as (select p_name as want, case p_partkey % 3 when 0 then upper(p_name) when 1 then p_name end as got, case when p_partkey % 5 > 0 then p_type else '' end as want2, p_type as got2 from part) "
+    "select 'SHORT_DESC' as channel, count(*) as compared, cast(count_if(got = want) as bigint) as matched from x union all select 'MOBILE_DESC', count(*), cast(count_if(got2 = want2) as bigint) from x where want2 <> ''"
+)
+def a31_channel_check(spark, sf_dir):
+    part = read(spark, sf_dir, "part").withColumn("Mfg_Part_Num", F.col("p_partkey").cast("string"))
+    third = F.pmod("p_partkey", F.lit(3))
+    got = part.select("Mfg_Part_Num", F.when(third == 0, F.upper("p_name")).when(third == 1, F.col("p_name")).alias("SHORT_DESC"), F.col("p_type").alias("MOBILE_DESC"))
+    want = part.select("Mfg_Part_Num", F.col("p_name").alias("SHORT_DESC"), F.when(F.col("p_partkey") % 5 > 0, F.col("p_type")).otherwise("").alias("MOBILE_DESC"))
+    return score.channel_check(got, want)
+
+
+@query(
+    "with k as (select doc_id, lang as label, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as word from documents), c as (select word, label, count(*) as n from k where doc_id % 5 <> 0 and label is not null group by 1, 2), "
+    "v as (select count(distinct word) as v from c), t as (select label, sum(n) as total from c group by 1), r as (select lang as label, count(*) as r from documents where doc_id % 5 <> 0 and lang is not null group by 1), "
+    "cl as (select label, ln(r::double / (select sum(r) from r)) as prior, ln(1.0::double / (coalesce(total, 0) + v)) as unseen from r left join t using (label) cross join v), "
+    "q as (select doc_id, word, count(*) as tf from k where doc_id % 5 = 0 group by 1, 2), known as (select * from q where word in (select word from c)), sz as (select doc_id, sum(tf) as n from known group by 1), "
+    "m as (select doc_id, c.label, sum(tf * ln(n + 1.0::double)) as more from known join c using (word) group by 1, 2), "
+    "s as (select d.doc_id, cl.label, prior + coalesce(sz.n, 0) * unseen + coalesce(m.more, 0) as score from documents d cross join cl left join sz using (doc_id) left join m on m.doc_id = d.doc_id and m.label = cl.label where d.doc_id % 5 = 0) "
+    "select doc_id as row_index, first(label order by score desc, label) as pred from s group by 1"
+)
+def m8_classify(spark, sf_dir):
+    """The language of a fifth of the documents, told by the words of the others."""
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_index"), "text", F.col("lang").alias("label"))
+    held = F.col("row_index") % 5 == 0
+    return models.classified(docs.where(held), models.train_classifier(docs.where(~held))).select("row_index", "pred")
+
+
+@query(
+    "with h as (select p_partkey as id, p_name, p_size, p_type from part where p_partkey % 4 = 0) select id, cast(0 as bigint) as pos, 'B-FINISH' as tag from h union all select id, 1, 'B-NOUN' from h "
+    "union all select id, 2, 'B-SIZE' from h union all select id, 3, 'I-SIZE' from h union all select id, 4, 'O' from h"
+)
+def m8_tag_words(spark, sf_dir):
+    """Names, sizes and types of a fourth of the parts, tagged after those of the others."""
+    name = F.split("p_name", " ")
+    words = (("B-FINISH", name[0]), ("B-NOUN", name[1]), ("B-SIZE", F.col("p_size").cast("string")), ("I-SIZE", F.lit("inch")), ("O", F.col("p_type")))
+    tokens = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.posexplode(F.array(*(F.struct(F.lit(t).alias("tag"), w.alias("word")) for t, w in words))).alias("pos", "x"))
+    tokens = tokens.select("id", F.col("pos").cast("long").alias("pos"), "x.word", "x.tag")
+    held = F.col("id") % 4 == 0
+    return models.tagged(tokens.where(held).drop("tag"), models.train_tagger(tokens.where(~held)))
