@@ -40,6 +40,28 @@ class Vocabulary:
         return cls(*(spark.read.parquet(f"{path}/{f.name}") for f in fields(cls)))
 
 
+    @classmethod
+    def of_artefact(cls, tables: dict[str, DataFrame]) -> Vocabulary:
+        """The vocabulary that a JSON document holds (read_vocabulary()); it has no priors, which are learnt from rows."""
+        brands = tables["brands"].drop("key").withColumnRenamed("ord", "seen")
+        attested = brands.select("canonical", "attested")
+        aliases = tables["alias_index"].join(attested, "canonical", "left").select("alias", "canonical", F.coalesce("attested", F.lit(False)).alias("attested"))
+        empty = lambda schema: brands.sparkSession.createDataFrame([], schema)
+        priors = empty("grp string, brand string, hits long, purity double"), empty("grp string, classpath string, weight double, total double, share double")
+        return cls(aliases, *priors, tables["series"].select("name", "n"), brands, tables["brand_candidates"].drop("key").withColumnRenamed("ord", "seen"), tables["product_types"].drop("ord", "key"))
+
+
+def artefact(rows: DataFrame, vocabulary: Vocabulary) -> dict[str, DataFrame]:
+    """The sections of the JSON document (write_vocabulary()) of a vocabulary and the rows that it was learnt from."""
+    entry = lambda df, attested: df.select(F.col("seen").alias("ord"), F.col("canonical").alias("key"), "canonical", "aliases", "groups", "support", "linkage", "confidence", F.lit(attested).alias("attested"), "mean_position", (F.col("rejection") if "rejection" in df.columns else F.lit("")).alias("rejection"))
+    plain = lambda df: df.withColumn("ord", F.lit(0).cast("long"))  # noqa: E731  # sections whose order tells nothing
+    return {
+        "n_rows": rows.agg(F.count(F.lit(1)).alias("n_rows")), "brands": entry(vocabulary.brands, True), "brand_candidates": entry(vocabulary.candidates, False), "alias_index": plain(vocabulary.aliases.select("alias", "canonical")),
+        "product_types": plain(vocabulary.product_types.withColumn("key", F.col("canonical"))), "series": vocabulary.series.withColumn("ord", -F.col("n")), "groups": plain(learn.groups(rows).select("grp", "name", "code")),
+        "unknown_units": plain(learn.unknown_units(rows)), "observed_families": plain(learn.families(rows)), "value_vocab": plain(learn.finishes(rows).withColumn("kind", F.lit("finish"))),
+    }
+
+
 def prepared(rows: DataFrame) -> DataFrame:
     """rows with grp, body and prepared (the text that categories are matched against)."""
     if "prepared" in rows.columns:
