@@ -1,5 +1,6 @@
-"""python -m gristmill INPUT --rules RULES.json --out FOLDER [--limit N] [--propose]: enriches a catalogue file and writes
-the provenance lines, the review queue, the vocabulary and a report."""
+"""python -m gristmill INPUT --rules RULES.json --out FOLDER [--schema HEADER.csv] [--limit N] [--propose]: enriches a
+catalogue file and writes the provenance lines, the review queue, the vocabulary and a report; with a file whose first line
+is the delivery's header, also the delivery as CSV and as workbooks."""
 
 from __future__ import annotations
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators import propose, score
 from .plans import enrich
-from .sources import sinks
+from .sources import catalogue, sinks
 
 
 def main(args: list[str] | None = None) -> dict:
@@ -19,6 +20,7 @@ def main(args: list[str] | None = None) -> dict:
     parser.add_argument("input")
     parser.add_argument("--rules")
     parser.add_argument("--out", required=True)
+    parser.add_argument("--schema", help="a CSV file whose first line is the header of the delivery")
     parser.add_argument("--limit", type=int)
     parser.add_argument("--propose", action="store_true", help="ask the model that the PROPOSER_* variables name")
     told = parser.parse_args(args)
@@ -34,6 +36,10 @@ def main(args: list[str] | None = None) -> dict:
     sinks.write_provenance(cells, verdict, f"{told.out}/provenance")
     sinks.write_review_queue(score.queue_rows(cells, verdict), f"{told.out}/review")
     vocabulary.write(f"{told.out}/vocabulary")
+    if told.schema:
+        headers = catalogue.headers(spark, told.schema)
+        sinks.write_delivery_csv(cells, headers, f"{told.out}/delivery")
+        sinks.write_delivery_xlsx(cells, verdict, headers, f"{told.out}/workbooks")
     payload = score.evaluate(cells, verdict) | {"seconds": round(time.time() - began, 3)}
     as_json, as_text = sinks.report(payload)
     report = spark.createDataFrame([("report.json", as_json), ("report.md", as_text)], "name string, value string")

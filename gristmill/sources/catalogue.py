@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed
+from . import sheets
 
 #: The input contract over `part` and `supplier`: one text for any SQL engine.
 BRIDGE = """
@@ -73,19 +74,9 @@ def read_payload(spark: SparkSession, payload: bytes, limit: int | None = None)
     return spark.createDataFrame(rows, T.StructType([T.StructField("row_index", T.LongType()), *(T.StructField(n, T.StringType()) for n in names)]))
 
 
-def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
-    """The first sheet as read_csv(); rows that are all null go and keep their number. Needs openpyxl."""
-    import openpyxl
-
-    sheet = openpyxl.load_workbook(path, read_only=True, data_only=True).worksheets[0]
-    rows = sheet.iter_rows(values_only=True)
-    names = [str(c).strip() if c is not None else "" for c in next(rows)]
-    found = [(i, *("" if c is None else str(c) for c in r)) for i, r in enumerate(rows) if any(c is not None for c in r)]
-    return spark.createDataFrame(found, T.StructType([T.StructField("row_index", T.LongType()), *(T.StructField(n, T.StringType()) for n in names)]))
-
-
 def read_input(spark: SparkSession, path: str) -> DataFrame:
-    return read_xlsx(spark, path) if path.lower().endswith((".xlsx", ".xlsm", ".xls")) else read_csv(spark, path)
+    """A CSV file or folder, or a workbook; `path/*.xlsx` names the workbooks of a folder."""
+    return sheets.read(spark, path) if path.lower().endswith((".xlsx", ".xlsm")) else read_csv(spark, path)
 
 
 def read_gold(spark: SparkSession, path: str) -> DataFrame:

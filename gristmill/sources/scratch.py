@@ -6,20 +6,24 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame, written under spark.checkpoint.dir and read back: what uses it several times neither recomputes it nor
-    carries its plan. Where no folder is named, a session on one machine gets a temporary one; a cluster, whose executors
-    could not see that, is refused."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new name under spark.checkpoint.dir. Where no folder is named, a session on one machine gets a temporary one; a
+    cluster, whose executors could not see that, is refused."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         top = tempfile.mkdtemp(prefix="gristmill-")
         spark.conf.set("spark.checkpoint.dir", top)
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The frame, written in a folder() and read back: what uses it several times neither recomputes it nor carries its
+    plan."""
+    path = folder(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

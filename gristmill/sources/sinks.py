@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cells as C
 from ..operators import score
+from . import sheets
 
 
 def write_delivery_csv(cells: DataFrame, headers: list[str], path: str, strict: bool = True) -> None:
@@ -22,32 +23,11 @@ def write_delivery_csv(cells: DataFrame, headers: list[str], path: str, strict:
     wide.orderBy("row_index").drop("row_index").write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
-#: Fixed value: rows of a worksheet.
-SHEET_ROWS = 1_048_576
-
-
-def write_delivery_xlsx(cells: DataFrame, verdict: DataFrame, headers: list[str], path: str, sheet_rows: int = SHEET_ROWS, writer=None) -> int:
-    """The wide sheet as a workbook, rows tinted by verdict, streamed through the driver; returns its number of rows.
-    Rows that a worksheet cannot take go on in the next one, under the same header. Needs xlsxwriter, or another
-    `writer` (path to workbook) with its interface."""
-    if writer is None:
-        import xlsxwriter
-
-        writer = lambda path: xlsxwriter.Workbook(path, {"constant_memory": True})
-    book, sheet, n = writer(path), None, 0
-    tones = {"": None, "review": book.add_format({"bg_color": "#FFF2CC"}), "blocked": book.add_format({"bg_color": "#F8CBAD"})}
-    toned = C.wide(cells, headers).join(verdict.select("row_index", score.row_tone(F.col("confidence"), F.col("needs_review")).alias("_tone")), "row_index").orderBy("row_index")
-    for r in toned.toLocalIterator():
-        at = n % (sheet_rows - 1) + 1
-        if at == 1:
-            sheet = book.add_worksheet()
-            sheet.write_row(0, 0, headers)
-        sheet.write_row(at, 0, [r[h] for h in headers], tones[r["_tone"]])
-        n += 1
-    if not n:
-        book.add_worksheet().write_row(0, 0, headers)
-    book.close()
-    return n
+def write_delivery_xlsx(cells: DataFrame, verdict: DataFrame, headers: list[str], path: str, sheet_rows: int = sheets.SHEET_ROWS, tinted: bool = True) -> int:
+    """The wide sheet as a folder of workbooks, rows tinted by verdict, in order over the files; returns its number of rows.
+    Tasks write them: rows that a worksheet cannot take go on in the next workbook, under the same header."""
+    tone = verdict.select("row_index", score.row_tone(F.col("confidence"), F.col("needs_review")).alias("_tone"))
+    return sheets.write(C.wide(cells, headers).join(tone, "row_index", "left"), headers, path, tone="_tone" if tinted else None, sheet_rows=sheet_rows)
 
 
 def write_provenance(cells: DataFrame, verdict: DataFrame, path: str) -> None:
