@@ -161,12 +161,14 @@ def span_metrics(predicted: DataFrame, actual: DataFrame) -> DataFrame:
 
 
 def without_overlaps(spans: DataFrame) -> DataFrame:
-    """spans (id, start, end, label) without those that begin inside a kept one: earliest first, then longest."""
-    listed = spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("neg"), "label"))).alias("s"))
-    kind = "array<struct<start:int,neg:int,label:string>>"
+    """spans (id, start, end, label or more) without those that begin inside a kept one: earliest first, then longest,
+    then by the other columns in their order."""
+    rest = [c for c in spans.columns if c not in ("id", "start", "end")]
+    kind = "array<struct<start:int,neg:int," + ",".join(f"{c}:{spans.schema[c].dataType.simpleString()}" for c in rest) + ">>"
+    listed = spans.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("neg"), *rest))).alias("s"))
     last = lambda acc: F.coalesce(-F.element_at(acc, -1)["neg"], F.lit(0))
     kept = F.aggregate(F.col("s").cast(kind), F.array().cast(kind), lambda acc, x: F.when((F.size(acc) > 0) & (x["start"] < F.when(F.size(acc) > 0, last(acc)).otherwise(0)), acc).otherwise(F.concat(acc, F.array(x))))
-    return listed.select("id", F.explode(kept).alias("k")).select("id", F.col("k.start").alias("start"), (-F.col("k.neg")).alias("end"), "k.label")
+    return listed.select("id", F.explode(kept).alias("k")).select("id", F.col("k.start").alias("start"), (-F.col("k.neg")).alias("end"), *(f"k.{c}" for c in rest))
 
 
 def merged_spans(spans: DataFrame) -> DataFrame:

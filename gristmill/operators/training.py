@@ -107,13 +107,61 @@ def silver(rows: DataFrame, floor: int = 60, least: float = 0.70, validation: fl
 
 
 def span_examples(rows: DataFrame) -> DataFrame:
-    """id, start, end, label of the filled slots (row_index, text, filled), at the snippet's first place in the text,
-    overlaps dropped."""
-    each = rows.select(F.col("row_index").alias("id"), "text", F.explode("filled").alias("f")).where("f.end > f.start")
+    """id, start, end, label, value of the filled slots (row_index, text, filled in contract order), at the snippet's first
+    place in the text, overlaps dropped: earliest first, then longest, then first in the contract."""
+    each = rows.select(F.col("row_index").alias("id"), "text", F.posexplode("filled").alias("rank", "f")).where("f.end > f.start and trim(f.value) <> ''")
     snippet = F.substring("text", F.col("f.start") + 1, F.col("f.end") - F.col("f.start"))
-    placed = each.withColumn("start", F.instr(F.col("text"), snippet) - 1).where("start >= 0")
+    placed = each.withColumn("start", F.instr(F.col("text"), snippet) - 1).where((F.col("start") >= 0) & (snippet != ""))
     label = F.upper(F.regexp_replace(F.regexp_replace("f.label", "[^A-Za-z]+", "_"), "^_+|_+$", ""))
-    return score.without_overlaps(placed.select("id", F.col("start").cast("int"), (F.col("start") + F.length(snippet)).cast("int").alias("end"), label.alias("label")))
+    spans = placed.select("id", F.col("start").cast("int"), (F.col("start") + F.length(snippet)).cast("int").alias("end"), "rank", label.alias("label"), F.col("f.value").alias("value"))
+    return score.without_overlaps(spans).drop("rank")
+
+
+#: The parts of a training set.
+SPLITS = ("train", "val")
+
+
+def _is_blank(t: Column) -> Column:
+    return ~F.coalesce(t, F.lit("")).rlike(r"(?U)\S")
+
+
+def validation(classes: DataFrame, spans: DataFrame, class_labels: DataFrame, span_labels: DataFrame) -> DataFrame:
+    """part, split, fault, n, examples: what is wrong with a training set; no rows where it may be used.
+
+    classes: split, text, label; spans: split, text, entities (array of start, end, label); the declared labels, each a
+    table with `label`. Faults of classes: 'no rows', 'empty text', 'unknown label', and for both splits at once ('all')
+    'text of both splits', which counts texts that differ in more than case once. Faults of spans: 'no rows', 'offset out
+    of range' (nulls too), and of those in range 'unknown label' and 'blank span'. `examples` are the first five unknown
+    labels, a null label as '<none>'. Everything is counted by aggregation; texts meet by digests."""
+    declared = lambda df: df.select(F.col("label").alias("_l")).where("_l is not null").distinct()
+    nothing = F.lit(None).cast("string")
+    shown = F.coalesce("label", F.lit("<none>"))
+
+    def found(rows: DataFrame, part: str, checks: list[tuple[str, Column, Column]]) -> DataFrame:
+        told = F.explode(F.array_compact(F.array(*(F.when(bad, F.struct(F.lit(name).alias("fault"), example.alias("example"))) for name, bad, example in checks))))
+        return rows.select(F.lit(part).alias("part"), "split", told.alias("f")).select("part", "split", "f.*")
+
+    named = classes.join(declared(class_labels), F.col("label") == F.col("_l"), "left")
+    of_classes = found(named, "classes", [("empty text", _is_blank(F.col("text")), nothing), ("unknown label", F.col("_l").isNull(), shown)])
+    entities = spans.select("split", F.coalesce("text", F.lit("")).alias("text"), F.explode("entities").alias("e")).select("split", "text", "e.start", "e.end", "e.label")
+    inside = F.coalesce((F.col("start") >= 0) & (F.col("start") < F.col("end")) & (F.col("end") <= F.length("text")), F.lit(False))
+    stretch = F.expr("substring(text, start + 1, end - start)")
+    tagged = entities.join(declared(span_labels), F.col("label") == F.col("_l"), "left").withColumn("_in", inside)
+    of_spans = found(tagged, "spans", [("offset out of range", ~F.col("_in"), nothing), ("unknown label", F.col("_in") & F.col("_l").isNull(), shown), ("blank span", F.col("_in") & _is_blank(stretch), nothing)])
+
+    each = of_classes.unionByName(of_spans).groupBy("part", "split", "fault", "example").agg(F.count(F.lit(1)).alias("n"))
+    key = ["part", "split", "fault"]
+    first = F.row_number().over(Window.partitionBy(*key).orderBy("example"))
+    listed = each.where("example is not null").withColumn("_r", first).where("_r <= 5").groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("example")), ", ").alias("examples"))
+    counted = each.groupBy(*key).agg(F.sum("n").alias("n")).join(listed, key, "left")
+
+    held = classes.select(F.lit("classes").alias("part"), "split").unionByName(spans.select(F.lit("spans").alias("part"), "split")).distinct()
+    expected = F.explode(F.array(*(F.struct(F.lit(p).alias("part"), F.lit(s).alias("split")) for p in ("classes", "spans") for s in SPLITS)))
+    absent = classes.sparkSession.range(1).select(expected.alias("x")).select("x.*").join(held, ["part", "split"], "left_anti")
+    empty = absent.select(*key[:2], F.lit("no rows").alias("fault"), F.lit(1).cast("long").alias("n"), nothing.alias("examples"))
+    texts = classes.where("text is not null").groupBy(F.sha2(F.lower("text").cast("binary"), 256).alias("_t")).agg(F.count_distinct("split").alias("_s")).where("_s > 1")
+    shared = texts.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.lit("classes").alias("part"), F.lit("all").alias("split"), F.lit("text of both splits").alias("fault"), "n", nothing.alias("examples"))
+    return counted.unionByName(empty).unionByName(shared).withColumn("examples", F.coalesce("examples", F.lit("")))
 
 
 def faults(spans: DataFrame, labels: DataFrame) -> DataFrame:

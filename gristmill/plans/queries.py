@@ -1172,6 +1172,55 @@ def m10_span_faults(spark, sf_dir):
     return training.faults(s, spark.createDataFrame([("X",)], "label string"))
 
 
+#: Slots of a part's text in SQL: label, value, start and end, in contract order.
+SLOT_SQL = (
+    "s as (select p_partkey as id, p_name || ' ' || p_size || ' inch ' || p_type as text, p_name, p_size, p_type from part), "
+    "f as (select id, text, 0 as rank, 'FINISH' as label, split_part(p_name, ' ', 1) as value, 0 as a, strpos(p_name, ' ') - 1 as b from s "
+    "union all select id, text, 1, 'PRODUCT_NAME', p_name, 0, length(p_name) from s where p_size % 3 = 0 "
+    "union all select id, text, 2, 'SIZE', cast(p_size as varchar), length(p_name) + 1, length(p_name) + 1 + length(cast(p_size as varchar)) from s "
+    "union all select id, text, 3, 'LETTER', 'letter', length(text) - 1, length(text) from s "
+    "union all select id, text, 4, 'TYPE', p_type, length(text) - length(p_type), length(text) from s)"
+)
+
+
+@query(
+    f"with {SLOT_SQL}, p as (select id, rank, label, value, strpos(text, substr(text, a + 1, b - a)) - 1 as a, b - a as len from f where b > a), "
+    "l as (select id, list(struct_pack(a := a, b := a + len, r := rank, x := label, v := value) order by a, len desc, rank) as l from p group by id), "
+    "k as (select id, unnest(list_reduce(list_transform(l, lambda v: [v]), lambda kept, v: case when v[1].a >= kept[-1].b then list_concat(kept, v) else kept end)) as k from l) "
+    'select id, cast(k.a as integer) as start, cast(k.b as integer) as "end", k.x as label, k.v as value from k'
+)
+def m6_span_examples(spark, sf_dir):
+    """Spans of the parts' names, sizes and types; some readings share a beginning, and a letter's first place is elsewhere."""
+    text, size, name = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" inch "), "p_type"), F.col("p_size").cast("string"), F.length("p_name")
+    slot = lambda label, value, a, b: F.struct(F.lit(label).alias("label"), value.alias("value"), a.cast("int").alias("start"), b.cast("int").alias("end"))
+    made = (
+        slot("Finish", F.substring_index("p_name", " ", 1), F.lit(0), F.instr("p_name", " ") - 1), F.when(F.col("p_size") % 3 == 0, slot("Product Name", F.col("p_name"), F.lit(0), name)),
+        slot("Size", size, name + 1, name + 1 + F.length(size)), slot("(letter)", F.lit("letter"), F.length(text) - 1, F.length(text)), slot("Type", F.col("p_type"), F.length(text) - F.length("p_type"), F.length(text)),
+    )
+    return training.span_examples(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_index"), text.alias("text"), F.array_compact(F.array(*made)).alias("filled")))
+
+
+@query(
+    "with c as (select case when p_partkey % 5 = 0 then 'val' else 'train' end as split, case when p_partkey % 11 = 0 then ' ' else p_name end as text, p_brand as label, p_size, p_type from part), "
+    "d as (select distinct label from c where p_size = 1), "
+    "e as (select split, text, p_size % 15 - 1 as a, p_size % 15 + p_size % 3 as b, 'FINISH' as label from c union all select split, text, strpos(text, ' ') - 1, strpos(text, ' '), p_type from c), "
+    "i as (select *, a >= 0 and a < b and b <= length(text) as ok from e), "
+    "f as (select 'classes' as part, split, 'empty text' as fault, null as x from c where trim(text) = '' union all select 'classes', split, 'unknown label', label from c where label not in (select label from d) "
+    "union all select 'spans', split, 'offset out of range', null from i where not ok union all select 'spans', split, 'unknown label', label from i where ok and label <> 'FINISH' "
+    "union all select 'spans', split, 'blank span', null from i where ok and trim(substr(text, a + 1, b - a)) = '') "
+    "select part, split, fault, count(*) as n, coalesce(array_to_string(list_slice(list_sort(list_distinct(list(x))), 1, 5), ', '), '') as examples from f group by 1, 2, 3 "
+    "union all select 'classes', 'all', 'text of both splits', count(*), '' from (select lower(text) from c group by 1 having count(distinct split) > 1) having count(*) > 0"
+)
+def m7_data_validation(spark, sf_dir):
+    """A training set made of the parts, with brands that are not declared, blank names and spans that miss the text."""
+    part, size = read(spark, sf_dir, "part"), F.col("p_size")
+    rows = part.select(F.when(F.col("p_partkey") % 5 == 0, "val").otherwise("train").alias("split"), F.when(F.col("p_partkey") % 11 == 0, " ").otherwise(F.col("p_name")).alias("text"), F.col("p_brand").alias("label"), "p_size", "p_type")
+    gap = F.instr("text", " ")
+    span = lambda a, b, label: F.struct(a.cast("int").alias("start"), b.cast("int").alias("end"), label.alias("label"))
+    spans = rows.select("split", "text", F.array(span(size % 15 - 1, size % 15 + size % 3, F.lit("FINISH")), span(gap - 1, gap, F.col("p_type"))).alias("entities"))
+    return training.validation(rows.select("split", "text", "label"), spans, rows.where("p_size = 1").select("label"), spark.createDataFrame([("FINISH",)], "label string"))
+
+
 # Evaluation and models
 
 

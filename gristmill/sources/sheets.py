@@ -8,6 +8,7 @@ the first worksheet, a header, a tint a row.
 from __future__ import annotations
 
 import io
+import os
 import re
 import uuid
 import zipfile
@@ -35,6 +36,13 @@ DATE_FORMATS, DAY_ZERO = (*range(14, 23), *range(45, 48)), datetime(1899, 12, 30
 TINTS = {"header": "1F2937", "review": "FEF3C7", "blocked": "FEE2E2"}
 
 
+def _store(path: str) -> tuple[fs.FileSystem, str]:
+    """(file system, path in it) of a folder's URI or local name; Arrow has other names than Hadoop for the same stores."""
+    for hadoop, arrow in (("s3a://", "s3://"), ("s3n://", "s3://"), ("wasbs://", "abfss://"), ("wasb://", "abfs://")):
+        path = arrow + path.removeprefix(hadoop) if path.startswith(hadoop) else path
+    return fs.FileSystem.from_uri(path if re.match("[a-z0-9]+:", path) else os.path.abspath(path))
+
+
 # Reading
 
 
@@ -248,7 +256,7 @@ def _task(folder: str, headers: list[str], most: int) -> Callable:
 
     def write(batches):
         task, told, book = TaskContext.get(), [], None
-        store, top = fs.FileSystem.from_uri(folder)
+        store, top = _store(folder)
 
         def begun():
             final = f"part-{task.partitionId():06d}-{len(told):05d}.xlsx"
@@ -278,13 +286,13 @@ def write(rows: DataFrame, headers: list[str], path: str, key: str = "row_index"
     the header's included; returns the number of rows. `tone` names a column of '', 'review' or 'blocked'.
 
     Rows are dealt by ranges of the key; each task writes its own workbooks beside the folder, and those of the attempts
-    that counted are moved into it. `path` is absolute or a URI that all executors can write; what it holds goes."""
+    that counted are moved into it. `path` is one that all executors can write; what it holds goes."""
     most = sheet_rows - 1
     if most < 1:
         raise ValueError("a worksheet needs a row beside the header")
-    store, top = fs.FileSystem.from_uri(path)
+    store, top = _store(path)
     beside = f"{path.rstrip('/')}.attempts-{uuid.uuid4().hex}"
-    attempts = fs.FileSystem.from_uri(beside)[1]
+    attempts = _store(beside)[1]
     store.create_dir(attempts, recursive=True)
     try:
         parts = -(-rows.count() // most) or 1
