@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text, units
 from ..operators import cells as C
 from ..operators import entity, extract, learn, models, propose, render, score, taxonomy, training
-from ..sources import catalogue
+from ..sources import catalogue, sheets, sinks
 from ..sources.rules import Category, Rules, Slot, demo
-from ..sources.scratch import stored
+from ..sources.scratch import folder, stored
 from . import enrich
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1281,3 +1281,206 @@ def m8_tag_words(spark, sf_dir):
     tokens = tokens.select("id", F.col("pos").cast("long").alias("pos"), "x.word", "x.tag")
     held = F.col("id") % 4 == 0
     return models.tagged(tokens.where(held).drop("tag"), models.train_tagger(tokens.where(~held)))
+
+
+# Channels of a description
+
+
+#: What the channels say of a part, in SQL: absent phrases are null.
+CHANNELS = (
+    "x as (select p_partkey, p_brand, p_size, 'PN' || lpad(cast(p_partkey as varchar), 6, '0') as mpn, split_part(p_name, ' ', 1) as finish, split_part(p_name, ' ', 2) as noun, "
+    "case when p_size % 4 > 0 then p_type || ' Series' end as line, case when p_size % 5 > 0 then cast(p_size % 9 + 1 as varchar) || ' in Length' end as len, cast(p_size as varchar) || '-Hole' as holes, "
+    "case when p_partkey % 2 = 0 then p_brand || ' Inc' else 'Supplies ' || p_type end as maker from part), "
+    "y as (select *, concat_ws(', ', len, holes, finish) as title, list_filter([noun, line, mpn, len, holes, finish, 'Small Hardware', 'General Hardware Goods'], lambda c: c is not null) as l from x)"
+)
+
+
+def channelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts with a series, a count, a measure and a finish as slots, and the five channels made of them."""
+    size = F.col("p_size")
+
+    def slot(label, value, uom, style, kind, rank, title_rank, in_invoice=True):
+        said = (F.lit(label), value, F.lit(uom), F.lit(style), F.lit(kind), F.lit(rank), F.lit(title_rank), F.lit(True), F.lit(in_invoice), F.lit(True))
+        return F.struct(*said).cast(render.SLOT)
+
+    slots = F.array(
+        slot("Series", F.when(size % 4 > 0, F.col("p_type")).otherwise(""), "", "series", "series", 1, 0, False),
+        slot("Number of Holes", size.cast("string"), "", "count_hyphen", "count", 2, 2),
+        slot("Length", F.when(size % 5 > 0, (size % 9 + 1).cast("string")).otherwise(""), "in", "value_uom_label", "measure", 3, 1),
+        slot("Finish", F.split("p_name", " ")[0], "", "value", "lov", 4, 0, False),
+    )
+    maker = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_brand", F.lit(" Inc"))).otherwise(F.concat(F.lit("Supplies "), "p_type"))
+    named = (F.split("p_name", " ")[1].alias("product_name"), F.col("p_brand").alias("brand"), F.col("p_brand").alias("brand_plain"), maker.alias("manufacturer"), F.concat(F.lit("PN"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("mpn"))
+    rest = (F.lit("").alias("series"), F.lit("").alias("with_phrase"), F.lit("Small Hardware").alias("leaf"), F.lit("General Hardware Goods").alias("klass"), slots.alias("slots"))
+    return render.channels(read(spark, sf_dir, "part").select("p_partkey", *named, *rest))
+
+
+@query(f"with {CHANNELS} select p_partkey, concat_ws(' ', p_brand, line, mpn, noun) || ', ' || title as said from y")
+def r12_short_desc(spark, sf_dir):
+    return channelled(spark, sf_dir).select("p_partkey", F.col("SHORT_DESC").alias("said"))
+
+
+@query(f"with {CHANNELS} select p_partkey, concat_ws(' ', p_brand, noun) || ', ' || concat_ws(', ', line, cast(p_size as varchar) || ' Holes', len, finish) as said from y")
+def r13_long_desc(spark, sf_dir):
+    return channelled(spark, sf_dir).select("p_partkey", F.col("LONG_DESC1").alias("said"))
+
+
+@query(f"with {CHANNELS} select p_partkey, concat_ws(' ', line, noun) || ', ' || title as said from y")
+def r14_retail_desc(spark, sf_dir):
+    return channelled(spark, sf_dir).select("p_partkey", F.col("RETAIL_DESC").alias("said"))
+
+
+_PACKED = "list_reduce(l, lambda a, c: case when length(a) >= 60 or length(a || ', ' || c) > 80 then a else a || ', ' || c end, {head})"
+
+
+@query(
+    f"with {CHANNELS}, z as (select *, {_PACKED.format(head='case when p_partkey % 2 = 0 then p_brand else concat_ws(chr(32), maker, p_brand) end')} as one, {_PACKED.format(head='concat_ws(chr(32), maker, p_brand)')} as two from y) "
+    "select p_partkey, case when p_partkey % 2 = 0 and length(one) < 60 and length(two) > length(one) and length(two) <= 80 then two else one end as said from z"
+)
+def r15_mobile_desc(spark, sf_dir):
+    return channelled(spark, sf_dir).select("p_partkey", F.col("MOBILE_DESC").alias("said"))
+
+
+@query(f"with {CHANNELS} select p_partkey, concat_ws(' ', upper({_contracted('noun')}), case when p_size % 5 > 0 then cast(p_size % 9 + 1 as varchar) || 'IN' end, cast(p_size as varchar)) as said from y")
+def r16_invoice_desc(spark, sf_dir):
+    return channelled(spark, sf_dir).select("p_partkey", F.col("INVOICE_DESC").alias("said"))
+
+
+@query(
+    "with a as (select *, length('PN ' || p_name) <= 14 as u1 from part), b as (select *, case when u1 then 'PN ' || p_name else 'PN' end as t1 from a), c as (select *, length(t1 || ' ' || p_type) <= 14 as u2 from b), "
+    "d as (select *, case when u2 then t1 || ' ' || p_type else t1 end as t2 from c), e as (select *, length(t2 || ' ' || p_brand) <= 14 as u3 from d), f as (select *, case when u3 then t2 || ' ' || p_brand else t2 end as t3 from e) "
+    "select p_partkey, concat_ws(' | ', cast(u1::int + u2::int + u3::int as varchar) || ' of 3 candidates used', "
+    "'dropped: ' || nullif(concat_ws('; ', case when not u1 then '''' || p_name || '''' end, case when not u2 then '''' || p_type || '''' end, case when not u3 then '''' || p_brand || '''' end), ''), case when length(t3) < 14 then 'window NOT satisfied' end) as said from f"
+)
+def r11_pack_audit(spark, sf_dir):
+    packed = render.pack(F.lit("PN"), F.array("p_name", "p_type", "p_brand"), lo=14, hi=14, joiner=" ", required=3)
+    return read(spark, sf_dir, "part").select("p_partkey", render.audit(packed, 14).alias("said"))
+
+
+# Cells and the proposer
+
+
+@query("select p_partkey, p_size % 3 = 0 and p_type in ('SMALL', 'LARGE') as on_purpose from part")
+def p10_intentional_blank(spark, sf_dir):
+    source = F.when(F.col("p_type") == "SMALL", "not_derivable").when(F.col("p_type") == "LARGE", "contract_template").otherwise("unresolved")
+    return read(spark, sf_dir, "part").select("p_partkey", C.is_intentional_blank(source, F.when(F.col("p_size") % 3 > 0, F.col("p_name")).when(F.col("p_size") % 2 == 0, " ")).alias("on_purpose"))
+
+
+@query("select p_partkey, p_name as value, 'Size' as header, greatest(0.0::double, least(1.0::double, (p_size - 10) / 32.0::double)) as confidence from part")
+def p12_rescored(spark, sf_dir):
+    made = C.rescored(C.cell("Size", F.col("p_name"), "regex_extract", "size", 0.92), (F.col("p_size") - 10) / F.lit(32.0))
+    return read(spark, sf_dir, "part").select("p_partkey", made.alias("c")).select("p_partkey", "c.value", "c.header", "c.confidence")
+
+
+@query(
+    "select p_partkey, p_type as value, case when p_size % 4 > 0 then 'body' end as base, case when p_size % 4 > 0 then p_size % 3 else -1 end as start, case when p_size % 4 > 0 then p_size % 3 + p_size % 4 else -1 end as \"end\", "
+    "case when p_size % 4 > 0 then substr(p_name, p_size % 3 + 1, p_size % 4) end as snippet from part"
+)
+def e15_evidence(spark, sf_dir):
+    start = F.col("p_size") % 3
+    made = C.cell("Type", F.col("p_type"), "regex_extract", "r", 0.9, None, C.evidence("body", F.col("p_name"), start, start + F.col("p_size") % 4))
+    return read(spark, sf_dir, "part").select("p_partkey", made.alias("c")).select("p_partkey", "c.value", "c.evidence.base", F.coalesce("c.evidence.start", F.lit(-1)).alias("start"), F.coalesce("c.evidence.end", F.lit(-1)).alias("end"), "c.evidence.snippet")
+
+
+@query(
+    "with q as (select p_partkey as row_index, '{\"blanks\":[' || case when p_size % 3 = 1 then '\"Colour\"' else '\"Colour\",\"Size\"' end || '],\"description\":\"' || p_name || '\",\"classpath\":\"Parts > ' || p_type || '\"}' as request from part where p_size % 3 > 0) "
+    "select row_index, request, sha256(request) as key from q"
+)
+def t29_requests(spark, sf_dir):
+    blanks = F.when(F.col("p_size") % 3 == 0, F.array().cast("array<string>")).when(F.col("p_size") % 3 == 1, F.array(F.lit("Colour"))).otherwise(F.array(F.lit("Size"), F.lit("Colour")))
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_index"), F.col("p_name").alias("body"), F.concat(F.lit("Parts > "), "p_type").alias("classpath"), blanks.alias("blanks"))
+    return propose.requests(rows).select("row_index", "request", "key")
+
+
+@query("select cast(count_if(p_size % 4 = 0) + count_if(p_type = 'SMALL') as bigint) as accepted, cast(count_if(p_type = 'LARGE') as bigint) as rejected_not_in_lov, cast(count_if(p_size % 4 = 1) as bigint) as rejected_out_of_bounds, cast(count_if(p_size > 25) as bigint) as marketing from part")
+def a34_proposer_stats(spark, sf_dir):
+    one = lambda outcome: F.when(outcome.isNotNull(), F.struct(F.lit("x").alias("label"), outcome.alias("outcome")))
+    size = F.when(F.col("p_size") % 4 == 0, "accepted").when(F.col("p_size") % 4 == 1, "out of bounds")
+    kind = F.when(F.col("p_type") == "SMALL", "accepted").when(F.col("p_type") == "LARGE", "not in list")
+    rows = read(spark, sf_dir, "part").select(F.array_compact(F.array(one(size), one(kind))).alias("outcomes"), F.when(F.col("p_size") > 25, "words").otherwise("").alias("marketing"))
+    return propose.stats(rows)
+
+
+# Files: what a source reads of what a sink wrote
+
+
+def _ordered(rows: DataFrame, key: str = "row_index") -> DataFrame:
+    """Rows dealt by ranges of the key and sorted, so that part files follow each other in its order."""
+    return rows.repartitionByRange(key).sortWithinPartitions(key)
+
+
+_NUMBERED = f"{CATALOG} select row_number() over (order by row_index) - 1 as row_index"
+_AS_IS = ", ".join(fixed.PASSTHROUGH)
+
+
+@query(f"{_NUMBERED}, Mfg_Part_Num, Part_Desc, case when row_index % 3 = 0 then '' else E1_Brand end as E1_Brand, Part_Manuf from c")
+def s1_csv_scan(rows):
+    """Quotes in quotes, absent values, padded names of columns, several files."""
+    path = folder(rows.sparkSession, "s1")
+    padded = [F.col("Mfg_Part_Num").alias(" Mfg_Part_Num"), F.col("Part_Desc").alias("Part_Desc "), F.when(F.col("row_index") % 3 > 0, F.col("E1_Brand")).alias("E1_Brand"), F.col("Part_Manuf")]
+    _ordered(rows).select(*padded).write.option("header", True).option("escape", '"').csv(path)
+    return catalogue.read_csv(rows.sparkSession, path)
+
+
+@query(f"{_NUMBERED}, Mfg_Part_Num, Part_Desc, Part_Manuf from c")
+def s4_gold_scan(rows):
+    """Values with blanks around them."""
+    path = folder(rows.sparkSession, "s4")
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "header": True, "escape": '"'}
+    _ordered(rows).select(*(F.concat(F.lit("  "), c, F.lit(" ")).alias(c) for c in ("Mfg_Part_Num", "Part_Desc", "Part_Manuf"))).write.options(**kept).csv(path)
+    return catalogue.read_gold(rows.sparkSession, path)
+
+
+@query(f"{_NUMBERED}, {_AS_IS} from c")
+def s2_workbook_scan(rows):
+    """A folder of workbooks, read back as one table."""
+    path = folder(rows.sparkSession, "s2")
+    sheets.write(rows, list(fixed.PASSTHROUGH), path, sheet_rows=5_000)
+    return sheets.read(rows.sparkSession, path)
+
+
+@query(f"{_NUMBERED}, {_AS_IS} from c")
+def k1_delivery_csv(rows):
+    path = folder(rows.sparkSession, "k1")
+    sinks.write_delivery_csv(C.passthrough(rows), list(fixed.PASSTHROUGH), path)
+    return catalogue.read_csv(rows.sparkSession, path)
+
+
+@query(f"with {CELLS}, {QUALITY}, {VERDICT}, n as (select row_index, count(*) as n, count_if(value <> '') as filled from cells where value <> '' or source <> 'unresolved' group by 1) select row_index, confidence, cast(n as bigint) as n, cast(filled as bigint) as filled from n join v using (row_index)")
+def k3_provenance_lines(spark, sf_dir):
+    path, cells = folder(spark, "k3"), some_cells(spark, sf_dir)
+    sinks.write_provenance(cells, score.verdicts(cells, some_checks(spark, sf_dir)), path)
+    kept = "row_index long, confidence double, cells array<struct<header:string,value:string,source:string>>"
+    lines = catalogue.read_jsonl(spark, path, kept)
+    return lines.select("row_index", "confidence", F.size("cells").cast("long").alias("n"), F.size(F.filter("cells", lambda c: c["value"] != "")).cast("long").alias("filled"))
+
+
+@query(
+    "with l as (select event_id // 5000 as file, event_id % 89 as k, event_id, row_number() over (partition by event_id // 5000 order by event_id) as line from events) "
+    "select cast(file as bigint) as file, line, case when k = 3 then 'event ' || event_id else '{\"n\":\"' || event_id || 'x\"}' end as text from l where k in (3, 4)"
+)
+def s8_line_faults(spark, sf_dir):
+    """Events as JSON lines, 5,000 a file, with blank lines, lines that are no JSON and numbers that are none."""
+    path, n, k = folder(spark, "s8"), F.col("event_id").cast("string"), F.col("event_id") % 89
+    line = F.when(k == 2, "").when(k == 3, F.concat(F.lit("event "), n)).when(k == 4, F.concat(F.lit('{"n":"'), n, F.lit('x"}'))).otherwise(F.concat(F.lit('{"n":'), n, F.lit("}")))
+    events = read(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 5000).alias("bucket"), "event_id", line.alias("value"))
+    events.repartitionByRange("bucket").sortWithinPartitions("bucket", "event_id").drop("event_id").write.partitionBy("bucket").text(path)
+    return catalogue.jsonl_faults(spark, path, "n long").select(F.regexp_extract("file", r"bucket=(\d+)", 1).cast("long").alias("file"), "line", "text")
+
+
+@query("select case when p_size % 8 = 0 then 'val' else 'train' end as split, p_name as text, p_type as label from part")
+def k10_training_splits(spark, sf_dir):
+    path = folder(spark, "k10")
+    sinks.write_splits(read(spark, sf_dir, "part").select(F.col("p_name").alias("text"), F.col("p_type").alias("label"), F.when(F.col("p_size") % 8 == 0, "val").otherwise("train").alias("split")), path)
+    return spark.read.schema("text string, label string, split string").json(path).select("split", "text", "label")
+
+
+@query("select p_partkey as row_index, (p_partkey % 128) / 128.0::double as confidence, 'PN' || p_partkey as \"Mfg_Part_Num\", length(p_name) as invoice_chars, length(p_type) as mobile_chars, p_type || ' | ' || p_brand as review_reasons from part where p_size % 3 = 0 and p_partkey % 16 = 0")
+def k5_review_file(spark, sf_dir):
+    """The queue as a file; confidences are sixteenths of a half, which three decimals state to the digit."""
+    path, part = folder(spark, "k5"), read(spark, sf_dir, "part")
+    said = {"Part_Desc": "p_name", "BRAND_NAME": "p_brand", "MANUFACTURER_NAME": "p_brand", "Classpath": "p_type", "SHORT_DESC": "p_name", "INVOICE_DESC": "p_name", "MOBILE_DESC": "p_type"}
+    rows = part.select(F.col("p_partkey").alias("row_index"), ((F.col("p_partkey") % 128) / F.lit(128.0)).alias("confidence"), ((F.col("p_size") % 3 == 0) & (F.col("p_partkey") % 16 == 0)).alias("needs_review"), F.concat(F.lit("PN"), F.col("p_partkey").cast("string")).alias("Mfg_Part_Num"), *(F.col(c).alias(h) for h, c in said.items()), F.array("p_type", "p_brand").alias("reasons"))
+    sinks.write_review_queue(rows, path)
+    queue = spark.read.option("header", True).csv(path)
+    return queue.select(F.col("row_index").cast("long"), F.col("confidence").cast("double"), "Mfg_Part_Num", F.col("invoice_chars").cast("long"), F.col("mobile_chars").cast("long"), "review_reasons")
