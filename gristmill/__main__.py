@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .operators import propose, score
 from .plans import enrich
-from .sources import catalogue, sinks
+from .sources import catalogue, scratch, sinks
 
 
 def main(args: list[str] | None = None) -> dict:
@@ -25,7 +25,7 @@ def main(args: list[str] | None = None) -> dict:
     parser.add_argument("--propose", action="store_true", help="ask the model that the PROPOSER_* variables name")
     told = parser.parse_args(args)
     spark = SparkSession.builder.appName("gristmill").getOrCreate()
-    began = time.time()
+    began, earlier = time.time(), scratch.named()
     rows, rules = enrich.build(spark, told.input, told.rules, told.limit)
     config = propose.Config.from_env()
     out, cells, verdict, vocabulary = enrich.run(rows, rules, propose.build(config) if told.propose else None, f"{told.out}/replies" if told.propose else None, config.max_calls)
@@ -45,6 +45,8 @@ def main(args: list[str] | None = None) -> dict:
     report = spark.createDataFrame([("report.json", as_json), ("report.md", as_text)], "name string, value string")
     for name in ("report.json", "report.md"):
         report.where(F.col("name") == name).select("value").coalesce(1).write.mode("overwrite").text(f"{told.out}/{name}")
+    # All that the run gives is written by now; what it stored on the way goes.
+    scratch.drop(spark, *(set(scratch.named()) - set(earlier)))
     return payload
 
 

@@ -17,6 +17,8 @@ from .learn import micro
 #: Spaces of all scripts, said in full since engines differ in what their short form holds.
 GAP = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000\-"
 ATOM = rf"([a-z0-9]+|[^a-z0-9{GAP}])"
+#: Categories (one short row each) that are sent to all tasks; a larger table is joined by its size.
+MOST_BROADCAST = 20_000
 
 
 def phrase_table(spark: SparkSession, rules: Rules) -> DataFrame:
@@ -81,7 +83,8 @@ def classify(rows: DataFrame, rules: Rules, prior: DataFrame | None = None) -> D
 def with_category(rows: DataFrame, rules: Rules) -> DataFrame:
     """rows (classpath) with the category's leaf, department, klass, fine, product_name and contract, 'generic' where the
     class is null or unknown."""
-    table = F.broadcast(rules.category_table(rows.sparkSession))  # one row a category of the rule file
+    table = rules.category_table(rows.sparkSession)
+    table = F.broadcast(table) if len(rules.categories) <= MOST_BROADCAST else table
     return rows.join(table, "classpath", "left").withColumn("contract", F.coalesce("contract", F.lit("generic")))
 
 

@@ -1484,3 +1484,15 @@ def k5_review_file(spark, sf_dir):
     sinks.write_review_queue(rows, path)
     queue = spark.read.option("header", True).csv(path)
     return queue.select(F.col("row_index").cast("long"), F.col("confidence").cast("double"), "Mfg_Part_Num", F.col("invoice_chars").cast("long"), F.col("mobile_chars").cast("long"), "review_reasons")
+
+
+@query(
+    f"{CATALOG}, {BODY}, s as (select p_name as name, count(*) as n from part group by 1 union all select split_part(p_name, ' ', 2), count(*) from part group by 1) "
+    "select row_index, string_agg(name, '|' order by length(name) desc, n desc, name) as names from b join s on contains(' ' || body || ' ', ' ' || name || ' ') group by 1"
+)
+def e11_series_names(spark, sf_dir):
+    """Names of two words and the one that each ends in, as an induced vocabulary; a row's own, the longest first."""
+    part = read(spark, sf_dir, "part")
+    series = part.groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("n")).unionByName(part.groupBy(F.split("p_name", " ")[1].alias("name")).agg(F.count(F.lit(1)).alias("n")))
+    told = extract.own_names(bodies(catalogue.bridge(spark, sf_dir)), series)
+    return told.where("names is not null").select("row_index", F.array_join("names", "|").alias("names"))

@@ -9,6 +9,23 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that this process has named and not dropped.
+_named: list[str] = []
+
+
+def named() -> list[str]:
+    return list(_named)
+
+
+def drop(spark: SparkSession, *folders: str) -> None:
+    """Deletes folders; frames that read them can be used no more."""
+    for path in folders:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        if path in _named:
+            _named.remove(path)
+
+
 def folder(spark: SparkSession, name: str) -> str:
     """A new name under spark.checkpoint.dir. Where no folder is named, a session on one machine gets a temporary one; a
     cluster, whose executors could not see that, is refused."""
@@ -18,7 +35,8 @@ def folder(spark: SparkSession, name: str) -> str:
             raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
         top = tempfile.mkdtemp(prefix="gristmill-")
         spark.conf.set("spark.checkpoint.dir", top)
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _named.append(f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _named[-1]
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

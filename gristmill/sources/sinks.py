@@ -51,13 +51,39 @@ def write_cache(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
+#: The report's sections by name, with the heads of their columns; other parts are titled by their name.
+SECTIONS = {
+    "run": ("Run", "Metric", "Value"),
+    "compliance": ("Compliance", "Metric", "Value"),
+    "sources": ("Cells by source", "Source", "Cells"),
+    "blanks": ("Blanks by reason", "Reason", "Cells"),
+    "triage": ("Triage", "Bucket", "Rows"),
+    "reasons": ("Top review reasons", "Reason", "Rows"),
+    "vocabulary": ("Vocabulary induced", "Item", "Count"),
+}
+
+
+def _table(title: str, heads: tuple[str, ...], rows: list[tuple]) -> list[str]:
+    said = lambda cells: "| " + " | ".join(str(c).replace("|", "\\|").replace("\n", " ") for c in cells) + " |"
+    return [f"## {title}", "", said(heads), "|" + "---|" * len(heads), *map(said, rows), ""]
+
+
 def report(payload: dict) -> tuple[str, str]:
-    """(JSON, Markdown) of a run's small figures."""
-    stamped = payload | {"generated_at": datetime.now(timezone.utc).isoformat(timespec="seconds")}
-    lines = ["# Run report", ""]
-    for name, part in stamped.items():
-        if isinstance(part, dict):
-            lines += [f"## {name}", "", "| measure | value |", "|---|---|", *(f"| {k} | {v} |" for k, v in part.items()), ""]
+    """(JSON, Markdown) of a run's small figures: the known sections in their order, then the others, each a table (of
+    several columns where its values are dicts); `notes` as a list at the end. Empty sections are left out."""
+    stamped = {"generated_at": datetime.now(timezone.utc).isoformat(timespec="seconds")} | payload
+    plain = {k: v for k, v in stamped.items() if not isinstance(v, dict) and k != "notes"}
+    lines = ["# Enrichment report", "", *(f"- **{k}**: {v}" for k, v in plain.items()), ""]
+    for name in [*(k for k in SECTIONS if k in stamped), *(k for k in stamped if k not in SECTIONS)]:
+        part = stamped[name]
+        if not isinstance(part, dict) or not part:
+            continue
+        title, *heads = SECTIONS.get(name, (name.replace("_", " ").capitalize(), "Item", "Value"))
+        first = next(iter(part.values()))
+        if isinstance(first, dict):
+            lines += _table(title, (heads[0], *first), [(k, *v.values()) for k, v in part.items()])
         else:
-            lines += [f"- **{name}**: {part}"]
+            lines += _table(title, tuple(heads), list(part.items()))
+    if stamped.get("notes"):
+        lines += ["## Notes", "", *(f"- {n}" for n in stamped["notes"]), ""]
     return json.dumps(stamped, indent=2, ensure_ascii=False), "\n".join(lines)

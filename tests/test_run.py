@@ -11,7 +11,7 @@ from gristmill import __main__ as command
 from gristmill.operators import cells as C
 from gristmill.operators import propose, render, score
 from gristmill.plans import enrich
-from gristmill.sources import catalogue, sheets, sinks
+from gristmill.sources import catalogue, scratch, sheets, sinks
 from gristmill.sources.rules import Rules, Slot, demo
 
 HEADER = "Mfg_Part_Num,Part_Desc,E1_Brand,Unilog_Brand,DIB_Brand,Part_Manuf\n"
@@ -102,7 +102,14 @@ def test_client_is_off_unless_named():
 
 def test_command_line(spark, tmp_path):
     (tmp_path / "in.csv").write_text(HEADER + lines(40))
-    payload = command.main([str(tmp_path / "in.csv"), "--out", str(tmp_path / "out"), "--limit", "24"])
+    (tmp_path / "header.csv").write_text("Mfg_Part_Num,BRAND_NAME,SHORT_DESC\n")
+    earlier = scratch.named()
+    payload = command.main([str(tmp_path / "in.csv"), "--out", str(tmp_path / "out"), "--limit", "24", "--schema", str(tmp_path / "header.csv")])
+    assert scratch.named() == earlier
+    for sheet in ("delivery", "workbooks/*.xlsx"):
+        delivered = catalogue.read_input(spark, str(tmp_path / "out" / sheet)).orderBy("row_index")
+        assert delivered.columns == ["row_index", "Mfg_Part_Num", "BRAND_NAME", "SHORT_DESC"]
+        assert [r["Mfg_Part_Num"] for r in delivered.collect()] == [f"PN{i}" for i in range(24)]
     assert payload["run"]["rows"] == 24 and sum(payload["triage"].values()) == 24
     for name in ("provenance", "review", "vocabulary/brands", "report.json", "report.md", "cells"):
         assert (tmp_path / "out" / name).is_dir()
@@ -134,3 +141,13 @@ def test_blank_record_and_rescoring(spark):
 def test_packing_is_told(spark):
     packed = render.pack(F.lit("head"), F.array(F.lit("a"), F.lit("far too long to fit"), F.lit("b")), lo=20, hi=20)
     assert spark.range(1).select(render.audit(packed, 20)).first()[0] == "2 of 3 candidates used | dropped: 'far too long to fit' | window NOT satisfied"
+
+
+def test_report_is_tables_in_order():
+    as_json, as_text = sinks.report({"triage": {"auto": 1}, "fields": {"Dept": {"compared": 2, "exact": 1}}, "run": {"a|b": 3}, "reasons": {}, "seconds": 2, "notes": ["one", "two"]})
+    assert json.loads(as_json)["fields"]["Dept"]["exact"] == 1
+    assert as_text.split("\n")[0] == "# Enrichment report" and "- **seconds**: 2" in as_text
+    assert as_text[as_text.index("## ") :] == (
+        "## Run\n\n| Metric | Value |\n|---|---|\n| a\\|b | 3 |\n\n## Triage\n\n| Bucket | Rows |\n|---|---|\n| auto | 1 |\n\n"
+        "## Fields\n\n| Item | compared | exact |\n|---|---|---|\n| Dept | 2 | 1 |\n\n## Notes\n\n- one\n- two\n"
+    )
