@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed, text, units
 from ..operators import cells as C
 from ..operators import entity, extract, learn, models, propose, render, score, taxonomy, training
-from ..sources import catalogue, sheets, sinks
+from ..sources import catalogue, sheets, sinks, vocabulary
 from ..sources.rules import Category, Rules, Slot, demo
 from ..sources.scratch import folder, stored
 from . import enrich
@@ -1496,3 +1496,62 @@ def e11_series_names(spark, sf_dir):
     series = part.groupBy(F.col("p_name").alias("name")).agg(F.count(F.lit(1)).alias("n")).unionByName(part.groupBy(F.split("p_name", " ")[1].alias("name")).agg(F.count(F.lit(1)).alias("n")))
     told = extract.own_names(bodies(catalogue.bridge(spark, sf_dir)), series)
     return told.where("names is not null").select("row_index", F.array_join("names", "|").alias("names"))
+
+
+# Dimensions by contract and number of parts; the vocabulary as a document
+
+
+DIMENSIONS = Rules(
+    (),
+    {"generic": tuple(Slot(x, "dimension") for x in ("Width", "Length", "Height", "Size")), "turned": tuple(Slot(x, "dimension") for x in ("Height", "Length", "Width", "Size"))},
+    {"generic": {2: ("Width", "Length")}, "turned": {2: ("Length", "Width"), 3: ("Height", "Width", "Length")}},
+)
+
+
+@query(
+    "with x as (select p_partkey, p_partkey % 3 = 0 as turned, length(p_name) + 1 as a, cast(p_size as varchar) as one, cast(2 * (p_partkey % 4) + 1 as varchar) || '/8' as two, case when p_size % 2 = 1 then cast(p_size % 7 + 1 as varchar) end as three from part), "
+    "y as (select *, a + length(one) + length(two) + 3 + coalesce(length(three) + 2, 0) as b from x), "
+    "f as (select *, 'Size' as label, one || ' in x ' || two || ' in' || coalesce(' x ' || three || ' in', '') as value, '' as uom from y "
+    "union all select *, case when not turned then 'Width' when three is null then 'Length' else 'Height' end, one, 'in' from y "
+    "union all select *, case when turned then 'Width' else 'Length' end, two, 'in' from y "
+    "union all select *, 'Length', three, 'in' from y where turned and three is not null) "
+    'select p_partkey, label, value, uom, cast(a as integer) as start, cast(b as integer) as "end" from f'
+)
+def e13_dimensions(spark, sf_dir):
+    """Two or three measures in a row, told apart by what the contract, or else the generic one, says of so many; a contract
+    that does not say it for three names as many as its longest order has."""
+    size = F.col("p_size")
+    run = F.concat(size.cast("string"), F.lit('"x'), (2 * (F.col("p_partkey") % 4) + 1).cast("string"), F.lit('/8"'), F.when(size % 2 == 1, F.concat(F.lit("x"), (size % 7 + 1).cast("string"), F.lit('"'))).otherwise(""))
+    contract = F.when(F.col("p_partkey") % 3 == 0, "turned").when(F.col("p_partkey") % 3 == 1, "generic").otherwise("unknown")
+    rows = read(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", run, "p_type").alias("body"), contract.alias("contract"))
+    return extract.extract(rows, DIMENSIONS).select("p_partkey", F.explode("filled").alias("f")).select("p_partkey", "f.label", "f.value", "f.uom", F.col("f.start").cast("int").alias("start"), F.col("f.end").cast("int").alias("end"))
+
+
+#: The vocabulary's document over the tables, in SQL: sections of each of its kinds of entries.
+_ENTRIES = (
+    "with s as (select 'alias_index' as section, lower(s_name) as name, s_name as value, s_suppkey as ord from supplier union all select 'series', p_name, cast(count(*) as varchar), min(p_partkey) from part group by 2 "
+    "union all select 'groups', s_name || ' (' || s_suppkey || ')', s_name || '/' || s_suppkey, s_suppkey from supplier union all select 'value_vocab', p_type || ':' || p_brand, cast(count(*) as varchar), 0 from part group by p_type, p_brand) "
+)
+
+
+@query(_ENTRIES + "select section, name, value, case when section = 'value_vocab' then -1 else row_number() over (partition by section order by ord) - 1 end as place from s")
+def k8_vocabulary_document(spark, sf_dir):
+    """Names, counts, structs and objects of counts, written as one document and read again with the places of entries."""
+    path, part, suppliers = folder(spark, "k8"), read(spark, sf_dir, "part"), read(spark, sf_dir, "supplier")
+    n, key = F.count(F.lit(1)).alias("n"), F.col("s_suppkey").cast("string")
+    tables = {
+        "alias_index": suppliers.select(F.col("s_suppkey").alias("ord"), F.lower("s_name").alias("alias"), F.col("s_name").alias("canonical")),
+        "series": part.groupBy(F.col("p_name").alias("name")).agg(n, F.min("p_partkey").alias("ord")),
+        "groups": suppliers.select(F.col("s_suppkey").alias("ord"), F.concat("s_name", F.lit(" ("), key, F.lit(")")).alias("grp"), F.col("s_name").alias("name"), key.alias("code")),
+        "value_vocab": part.groupBy(F.col("p_type").alias("kind"), F.col("p_brand").alias("value")).agg(n, F.min("p_partkey").alias("ord")),
+    }
+    vocabulary.write_vocabulary(tables, path)
+    back = vocabulary.read_vocabulary(spark, path)
+    row = lambda section, name, value, place: back[section].select(F.lit(section).alias("section"), name.alias("name"), value.alias("value"), place.cast("long").alias("place"))
+    at = F.col("ord")
+    return (
+        row("alias_index", F.col("alias"), F.col("canonical"), at)
+        .unionByName(row("series", F.col("name"), F.col("n").cast("string"), at))
+        .unionByName(row("groups", F.col("grp"), F.concat_ws("/", "name", "code"), at))
+        .unionByName(row("value_vocab", F.concat_ws(":", "kind", "value"), F.col("n").cast("string"), F.lit(-1)))
+    )
