@@ -236,7 +236,7 @@ def t13_subsequence(spark, sf_dir):
     return read(spark, sf_dir, "customer").select("c_custkey", text.is_subsequence("ctmr", F.lower("c_name")).alias("sub"))
 
 
-@query()
+@query(f"{CATALOG}, {BODY} select row_index, trim(regexp_replace(body, ' \\d+\"x\\d/8\"| 6pc$', '', 'g')) as phrase from b")
 def t15_head_phrase(rows):
     made = bodies(rows).withColumn("m", units.find_measurements("body"))
     return made.select("row_index", learn.head_phrase(F.col("body"), F.col("m")).alias("phrase"))
@@ -252,7 +252,7 @@ def t20_phrase_match(rows):
     return rows.select("row_index", F.col("Part_Desc").rlike(text.phrase_pattern("red bolt")).alias("hit"))
 
 
-@query()
+@query(f"{CATALOG}, {BODY} select row_index, {sql_clean('Part_Desc')} || ' | ' || body as prepared from b")
 def t21_prepare_text(rows):
     return enrich.prepared(rows).select("row_index", "prepared")
 
@@ -266,7 +266,7 @@ def t22_decorate(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", text.decorate(F.expr(_MARKED), F.col("p_size") % 2 == 0).alias("brand"))
 
 
-@query()
+@query(f"{CATALOG}, {BODY} select row_index, array_to_string(list_transform(list_slice(regexp_extract_all(body, '[A-Za-z]{{2,}}'), -3, -1), lambda w: case when w = upper(w) then w else upper(w[1:1]) || w[2:] end), ' ') as name from b")
 def t24_fallback_name(rows):
     return bodies(rows).select("row_index", text.fallback_name(F.col("body")).alias("name"))
 
@@ -363,7 +363,12 @@ def n8_render_unit(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", units.render(size, F.lit("in")).alias("spaced"), units.render(size, F.lit("in"), True).alias("glued"))
 
 
-@query()
+@query(
+    f"{CATALOG}, s as (select row_index, Part_Desc, regexp_extract(Part_Desc, '(\\d+)\"x', 1) as one, regexp_extract(Part_Desc, 'x(\\d/8)', 1) as two from c), p as (select *, strpos(Part_Desc, one || '\"x') - 1 as a from s), "
+    "f as (select row_index, 0 as i, one as magnitude, 'in' as unit, 'length' as family, a, a + length(one) + 1 as b from p union all select row_index, 1, two, 'in', 'length', a + length(one) + 2, a + length(one) + 6 from p "
+    "union all select row_index, 2, '6', 'pc', 'count', length(Part_Desc) - 3, length(Part_Desc) from p where Part_Desc like '% 6pc') "
+    'select row_index, i, magnitude, unit, family, cast(a as integer) as start, cast(b as integer) as "end" from f'
+)
 def n9_find_measurements(rows):
     m = rows.select("row_index", F.posexplode(units.find_measurements("Part_Desc")).alias("i", "m"))
     return m.select("row_index", "i", "m.magnitude", "m.unit", "m.family", "m.start", "m.end")
@@ -375,7 +380,7 @@ def n10_render_dimensions(spark, sf_dir):
     return read(spark, sf_dir, "part").select("p_partkey", units.render_dimensions(parts, F.array(F.lit("W"), F.lit("D"))).alias("dims"))
 
 
-@query()
+@query(f"{CATALOG} select row_index, regexp_replace(regexp_replace(Part_Desc, '(\\d+)\"x(\\d/8)\"', '\\1 in x \\2 in'), ' 6pc$', ' 6 pc') as spaced from c")
 def n11_enforce_spacing(rows):
     return rows.select("row_index", units.enforce_spacing("Part_Desc", "Mfg_Part_Num").alias("spaced"))
 
@@ -464,7 +469,11 @@ def a8_series_counts(spark, sf_dir):
     return learn.series(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_index"), F.lit("").alias("Mfg_Part_Num"), said.alias("Part_Desc")))
 
 
-@query()
+@query(
+    f"{CATALOG}, {BODY}, h as (select row_index, body, trim(regexp_replace(body, ' \\d+\"x\\d/8\"| 6pc$', '', 'g')) as phrase from b), t as (select phrase from h group by 1 having count(*) > 1), "
+    "m as (select phrase, 'length' as family, 2 as n from h union all select phrase, 'count', 1 from h where body like '% 6pc') "
+    "select array_to_string(list_transform(string_split(phrase, ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') as canonical, family, cast(sum(n) as bigint) as n from m join t using (phrase) group by 1, 2"
+)
 def a9_families(rows):
     return learn.families(rows)
 
