@@ -176,7 +176,7 @@ def t5_expand_token(spark, sf_dir):
     return counts.join(F.broadcast(lexicon), "k").groupBy(F.col("v").alias("expansion")).agg(F.sum("c").alias("n"))  # a fixed table of 164 rows
 
 
-@query()
+@query(f"{CATALOG} select row_index, replace({sql_clean('Part_Desc')}, 'PN', 'Polished Nickel') || ' Stainless Steel Black Light Fixture' as expanded from c")
 def t6_expand(rows):
     return rows.select("row_index", text.expand(F.concat_ws(" ", "Part_Desc", F.lit("SS blk lt fixt"))).alias("expanded"))
 
@@ -449,7 +449,10 @@ def a6_alias_index(spark, sf_dir):
     return learn.alias_index(part.select(F.col("p_brand").alias("canonical"), F.substring("p_name", 1, 4).alias("alias"), F.col("p_partkey").alias("ord")))
 
 
-@query()
+@query(
+    f"{CATALOG}, {BODY}, h as (select grp, trim(regexp_replace(body, ' \\d+\"x\\d/8\"| 6pc$', '', 'g')) as phrase from b) "
+    "select array_to_string(list_transform(string_split(phrase, ' '), lambda w: upper(w[1:1]) || w[2:]), ' ') as canonical, count(*) as support, string_agg(distinct grp, '|' order by grp) as \"groups\", '' as variants from h group by phrase having count(*) > 1"
+)
 def a7_product_types(rows):
     t = learn.product_types(rows)
     return t.select("canonical", "support", F.array_join("groups", "|").alias("groups"), F.array_join("variants", "|").alias("variants"))
