@@ -8,7 +8,6 @@ the first worksheet, a header, a tint a row.
 from __future__ import annotations
 
 import io
-import os
 import re
 import uuid
 import zipfile
@@ -37,10 +36,17 @@ TINTS = {"header": "1F2937", "review": "FEF3C7", "blocked": "FEE2E2"}
 
 
 def _store(path: str) -> tuple[fs.FileSystem, str]:
-    """(file system, path in it) of a folder's URI or local name; Arrow has other names than Hadoop for the same stores."""
+    """(file system, path in it) of a folder's URI or absolute local name; Arrow has other names than Hadoop for the same stores."""
     for hadoop, arrow in (("s3a://", "s3://"), ("s3n://", "s3://"), ("wasbs://", "abfss://"), ("wasb://", "abfs://")):
         path = arrow + path.removeprefix(hadoop) if path.startswith(hadoop) else path
-    return fs.FileSystem.from_uri(path if re.match("[a-z0-9]+:", path) else os.path.abspath(path))
+    return fs.FileSystem.from_uri(path)
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """The path with the scheme that Spark gives it; a local one without."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return re.sub("^file:/+", "/", whole)
 
 
 # Reading
@@ -290,6 +296,7 @@ def write(rows: DataFrame, headers: list[str], path: str, key: str = "row_index"
     most = sheet_rows - 1
     if most < 1:
         raise ValueError("a worksheet needs a row beside the header")
+    path = _qualified(rows.sparkSession, path)
     store, top = _store(path)
     beside = f"{path.rstrip('/')}.attempts-{uuid.uuid4().hex}"
     attempts = _store(beside)[1]
