@@ -959,7 +959,17 @@ def e9_lov_and_count(rows):
     return rows.select("row_index", extract.lov_value(F.col("Part_Desc"), color).alias("color"), extract.count_of(F.col("Part_Desc"), "pc").alias("pieces"))
 
 
-@query()
+@query(
+    f"{CATALOG}, {BODY}, s as (select row_index, body, regexp_extract(body, '(\\d+)\"x', 1) as one, regexp_extract(body, 'x(\\d/8)', 1) as two, split_part(body, ' ', 1) as word, (body like '% 6pc')::int as pack from b), "
+    "p as (select *, strpos(body, one || '\"x') - 1 as a, strpos(body, one || '\"x') + length(one) + 5 as z, upper(word[1:1]) || word[2:] as said from s), "
+    "f as (select row_index, 0 as i, 'Width' as label, one as value, 'in' as uom, 'regex_extract' as source, 'dimension:unit-bearing-run:Width' as rule, 0.88::double as confidence, a, z from p "
+    "union all select row_index, 1, 'Length', two, 'in', 'regex_extract', 'dimension:unit-bearing-run:Length', 0.88::double, a, z from p "
+    "union all select row_index, 2, 'Size', one || ' in x ' || two || ' in', '', 'regex_extract', 'dimension:unit-bearing-run:Size', 0.9::double, a, z from p "
+    "union all select row_index, 3, 'Pack Quantity', '6', 'pc', 'regex_extract', 'pack:suffix', 0.92::double, length(body) - 3, length(body) from p where pack = 1 "
+    "union all select row_index, 3 + pack, 'Color', said, '', 'lexicon_exact', 'lov:Color', 0.95::double, 0, length(word) from p where word in ('red', 'blue') "
+    "union all select row_index, 3 + pack, 'Condition', said, '', 'regex_extract', 'cue:' || word, 0.8::double, 0, length(word) from p where word in ('hot', 'cold')) "
+    'select row_index, i, label, value, uom, source, rule, confidence, cast(a as integer) as start, cast(z as integer) as "end" from f'
+)
 def e14_extract_contract(rows):
     made = bodies(rows).withColumn("contract", F.lit("hardware"))
     return extract.extract(made, RULES).select("row_index", F.posexplode("filled").alias("i", "f")).select("row_index", "i", "f.*")
