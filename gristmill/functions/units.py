@@ -97,7 +97,8 @@ def glued_unit(text: Column) -> Column:
 def _scan(glued: bool) -> re.Pattern:
     spellings = "|".join(re.escape(k) for k in sorted(aliases(), key=len, reverse=True))
     magnitude = r"\d(?:[\d./-]*\d)?" if glued else r"(?:\d+(?:\.\d+)?(?:[-\s]\d+/\d+)?|\d+/\d+)\s*"
-    return re.compile(f"(?P<mag>{magnitude})(?P<unit>{spellings})", re.IGNORECASE)
+    first = "".join(re.escape(c) for c in sorted({k[0] for k in aliases()}))  # most numbers are followed by nothing that begins a unit
+    return re.compile(f"(?P<mag>{magnitude})(?=[{first}])(?P<unit>{spellings})", re.IGNORECASE)
 
 
 def _stands_alone(text: str, m: re.Match, unit: fixed.Unit) -> bool:
@@ -171,7 +172,12 @@ def dimension_run(measures: Column, text: Column) -> Column:
 def spaced(text: str, protect: tuple[str, ...] = ()) -> str:
     """A text with a space between every number and unit, and around an 'x' between measurements; the strings of
     `protect` stay as they are."""
-    kept = [(m.start(), m.end()) for p in protect if p for m in re.finditer(f"(?={re.escape(p)})", text) for m in [re.compile(re.escape(p)).match(text, m.start())]]
+    kept = []
+    for p in filter(None, protect):
+        begin = text.find(p)
+        while begin >= 0:
+            kept.append((begin, begin + len(p)))
+            begin = text.find(p, begin + 1)
     out, at = [], 0
     for m in _scan(True).finditer(text):
         unit = lookup(m["unit"])
