@@ -217,9 +217,8 @@ def head_phrase(body: Column, measured: Column, aliases: Column | None = None) -
         found = F.filter(F.regexp_extract_all(s, F.lit(PRODUCT_WORD), F.lit(0)), lambda w: (F.length(w) > 1) | (F.lower(w) == "t"))
         return found if aliases is None else F.filter(found, lambda w: ~F.array_contains(aliases, F.lower(w)))
 
-    named = F.filter(F.transform(segments, words), lambda w: F.size(w) > 0)
-    last = F.element_at(named, -1)
-    return F.when(F.size(named) > 0, F.array_join(F.slice(last, F.greatest(F.size(last) - 3, F.lit(1)), F.lit(4)), " ")).otherwise("")
+    ending = lambda last: F.array_join(F.slice(last, F.greatest(F.size(last) - 3, F.lit(1)), F.lit(4)), " ")
+    return text.let(F.filter(F.transform(segments, words), lambda w: F.size(w) > 0), lambda named: F.when(F.size(named) > 0, ending(F.element_at(named, -1))).otherwise(""))
 
 
 def own_aliases(rows: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -230,21 +229,31 @@ def own_aliases(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     return rows.join(found, "row_index", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
 
 
-def named(rows: DataFrame) -> DataFrame:
-    """rows with body, found (its measurements), phrase (the words that name the product) and canonical (in full, title
-    case). Words of a column `aliases` name no product; `body` and `found` are taken from rows that have them."""
+def phrased(rows: DataFrame) -> DataFrame:
+    """rows with body, found (its measurements) and phrase (the words that name the product). Words of a column `aliases`
+    name no product; `body` and `found` are taken from rows that have them."""
     made = rows if "body" in rows.columns else rows.withColumn("body", text.body_of(F.col("Part_Desc"), F.col("Mfg_Part_Num")))
     made = made if "found" in rows.columns else made.withColumn("found", units.find_measurements("body"))
     known = F.col("aliases") if "aliases" in rows.columns else None
-    return made.withColumn("phrase", head_phrase(F.col("body"), F.col("found"), known)).withColumn("canonical", text.title_case(text.expand(F.col("phrase"))))
+    return made.withColumn("phrase", head_phrase(F.col("body"), F.col("found"), known))
+
+
+def in_full(phrases: DataFrame) -> DataFrame:
+    """phrases with canonical: the phrase in full, title case. Made of distinct phrases, it costs no row anything."""
+    return phrases.withColumn("canonical", text.title_case(text.expand(F.col("phrase"))))
 
 
 def product_types(rows: DataFrame) -> DataFrame:
-    """canonical, support, groups and variants (sorted arrays) of the product names that occur twice or more."""
+    """canonical, support, groups and variants (sorted arrays) of the product names that occur twice or more.
+
+    Empty phrases go last: a condition on the phrase itself would be tried on rows, and make each phrase twice."""
     account = text.clean(F.col("Part_Manuf"))
+    made = phrased(rows).withColumn("grp", F.when(account == "", "<ungrouped>").otherwise(account))
+    counts = made.groupBy("phrase", "grp").agg(F.count(F.lit(1)).alias("n"))
+    each = counts.groupBy("phrase").agg(F.sum("n").alias("n"), F.collect_set("grp").alias("grps"))
     variant = F.when(F.lower("canonical") != F.lower("phrase"), F.col("phrase"))
-    made = named(rows).where("phrase <> ''").withColumn("grp", F.when(account == "", "<ungrouped>").otherwise(account))
-    return made.groupBy("canonical").agg(F.count(F.lit(1)).alias("support"), F.array_sort(F.collect_set("grp")).alias("groups"), F.array_sort(F.collect_set(variant)).alias("variants")).where("support >= 2")
+    groups = F.array_sort(F.array_distinct(F.flatten(F.collect_list("grps"))))
+    return in_full(each).groupBy("canonical").agg(F.sum("n").alias("support"), groups.alias("groups"), F.array_sort(F.collect_set(variant)).alias("variants"), F.max(F.length("phrase")).alias("_said")).where("support >= 2 and _said > 0").drop("_said")
 
 
 def product_words(types: DataFrame) -> DataFrame:
@@ -253,10 +262,10 @@ def product_words(types: DataFrame) -> DataFrame:
 
 
 def families(rows: DataFrame) -> DataFrame:
-    """canonical, family, n: the measurement families of each product name that occurs twice or more."""
-    made = named(rows).where("phrase <> ''").select("canonical", "found.family")
-    kept = made.groupBy("canonical").count().where("count >= 2").select("canonical")
-    return made.join(kept, "canonical", "left_semi").select("canonical", F.explode("family").alias("family")).groupBy("canonical", "family").agg(F.count(F.lit(1)).alias("n"))
+    """canonical, family, n: the measurement families of each product name that occurs twice or more. One pass over rows."""
+    counts = phrased(rows).groupBy("phrase", F.col("found.family").alias("families")).agg(F.count(F.lit(1)).alias("n"))
+    told = in_full(counts).withColumn("support", F.sum("n").over(Window.partitionBy("canonical"))).where("support >= 2 and phrase <> ''")
+    return told.select("canonical", "n", F.explode("families").alias("family")).groupBy("canonical", "family").agg(F.sum("n").alias("n"))
 
 
 #: Word boundaries, spaces and digits of all scripts, said in full since engines differ in what their short forms hold.
@@ -285,7 +294,7 @@ def series_runs(rows: DataFrame) -> DataFrame:
     row's product phrase is none; words of a column `aliases` are left out; two words must stay, without shorthand and
     units among them."""
     known = [*fixed.EXPANSIONS, *units.aliases()]
-    made = named(rows).select("row_index", "phrase", *(["aliases"] if "aliases" in rows.columns else []), F.explode(F.regexp_extract_all("body", F.lit(_WHOLE_RUN), F.lit(1))).alias("run"))
+    made = phrased(rows).select("row_index", "phrase", *(["aliases"] if "aliases" in rows.columns else []), F.explode(F.regexp_extract_all("body", F.lit(_WHOLE_RUN), F.lit(1))).alias("run"))
     words = F.filter(F.split("run", rf"{_SPACE}+"), lambda w: w != "")
     low = lambda x: F.transform(x, F.lower)
     made = made.withColumn("words", words).where(~F.arrays_overlap(low(F.col("words")), low(F.split("phrase", " "))))

@@ -295,3 +295,14 @@ def test_entries_equal_the_fold(spark):
         r = got[c]
         assert (r["aliases"], r["groups"], r["support"], r["linkage"], r["confidence"], r["seen"]) == (aliases, sorted(groups), support, linkage, confidence, seen)
         assert r["mean_position"] == pytest.approx(mean, abs=2e-6), c
+
+
+def test_product_names_read_rows_once(spark):
+    """Families count names and measurements in one pass, and names are made of distinct phrases: two rows whose phrases
+    differ in shorthand alone are one name."""
+    said = [(0, "PN1", "PN1 SS Bolt 2 in", "A"), (1, "PN2", "PN2 Stainless Steel Bolt 3 in 4 pc", "B"), (2, "PN3", "PN3 Stainless Steel Bolt", "A"), (3, "PN4", "4 in", "A"), (4, "PN5", "5 in", "A")]
+    rows = spark.createDataFrame(said, "row_index long, Mfg_Part_Num string, Part_Desc string, Part_Manuf string")
+    types, families = learn.product_types(rows), learn.families(rows)
+    assert {(r["canonical"], r["support"], tuple(r["groups"]), tuple(r["variants"])) for r in types.collect()} == {("Stainless Steel Bolt", 3, ("A", "B"), ("SS Bolt",))}
+    assert {tuple(r) for r in families.collect()} == {("Stainless Steel Bolt", "length", 2), ("Stainless Steel Bolt", "count", 1)}
+    assert families._jdf.queryExecution().optimizedPlan().toString().count("find_measurements") == 1
