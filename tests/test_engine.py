@@ -104,3 +104,14 @@ def test_stream_equals_batch(spark, run, tmp_path):
 def test_schema_families():
     schema = cells.Schema([*(f"ATTRIBUTE_{x} {i}" for i in (1, 2, 3) for x in ("LABEL", "VALUE", "UOM")), "Ref URL 1", "Alternate Image 2"])
     assert schema.n_attributes == 3 and schema.families["ref_url"] == [1] and schema.families["alternate_image"] == [2]
+
+
+def test_rows_of_one_split_are_work_of_many_tasks(spark):
+    """The tables of a folder are one split each here; what is made of each row is dealt over all partitions, and over
+    more where rows are many."""
+    from gristmill.plans import queries
+
+    for rows in (catalogue.bridge(spark, DATA), queries.channelled(spark, DATA), *queries._tokens(spark, DATA)):
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == 4
+    many = catalogue.dealt(spark.range(1000), "id", 400_000)
+    assert many.select(F.spark_partition_id().alias("p")).distinct().count() == 8
