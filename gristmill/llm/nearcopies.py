@@ -40,6 +40,10 @@ from .substrings import _masked, even_edges, exchange, pack, spread
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _SKETCH, _TOKEN = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9FB21C651E98DF25)
 TILE = 512
+#: A signature's members are dealt into so many parts at most: larger groups have larger tiles, and a member is in no more.
+PARTS = 16
+#: Signatures of a member that tell where else a pair meets: the least ones.
+LEAST = 16
 #: A tile is done at once when it leaves no more pairs open than so many times its rows.
 OPEN = 8
 #: Shingles of a block of sets that are compared with all sets.
@@ -438,46 +442,78 @@ class Join:
         sketches leave open: all of them, or, unless `whole`, in a tile with many for each member the nearest one only.
         Then a row (null, null, sig) names the tile's signature."""
         percent = self.percent
-        parts = F.ceil(F.col("size") / TILE).cast("int")
-        rows = member.join(classes.select(F.col("class").alias("c"), "n", "sketch"), "c").withColumn("part", F.pmod(F.xxhash64("c"), parts).cast("int")).withColumn("parts", parts)
+        parts = F.least(F.ceil(F.col("size") / TILE), F.lit(PARTS)).cast("int")
+        least = member.groupBy("c").agg(F.slice(F.sort_array(F.collect_set("sig")), 1, LEAST).alias("sigs"))
+        rows = member.join(least, "c").join(classes.select(F.col("class").alias("c"), "n", "sketch"), "c").withColumn("part", F.pmod(F.xxhash64("c"), parts).cast("int")).withColumn("parts", parts)
         # A member meets every part of its signature in a tile (i, j), i <= j.
         other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        tiles = rows.withColumn("other", other).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).select("sig", "i", "j", "c", "l_c", "n", "sketch")
+        tiles = rows.withColumn("other", other).withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")).select("sig", "i", "j", "part", "c", "l_c", "n", "sigs", "sketch")
 
-        names = ["sig", "i", "j", "c", "l_c", "n"]
+        names = ["sig", "i", "j", "part", "c", "l_c", "n"]
 
-        def search(chunk: pa.Table) -> pa.RecordBatch:
-            sig, i, j, c, label, n = (chunk.column(x).to_numpy() for x in names)
+        def search(chunk: pa.Table) -> Iterator[pa.RecordBatch]:
+            sig, i, j, part, c, label, n = (chunk.column(x).to_numpy() for x in names)
             known = Sketches(chunk.column("sketch").to_pylist())
+            lists = chunk.column("sigs").combine_chunks()
+            told, to_told = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+            starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
             tile = np.cumsum(np.concatenate([[0], (sig[1:] != sig[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
-            left, right, slacks = [], [], []
+            limit = OPEN * np.bincount(tile)
+            count = np.zeros(len(limit), np.int64)
+            best, nearest = np.full(len(sig), -1, np.int64), np.zeros(len(sig), np.int64)
+
+            def keys(at: np.ndarray, own: np.ndarray) -> np.ndarray:
+                """(pair, signature) of the least signatures of rows that are less than their tile's."""
+                size = starts[at + 1] - starts[at]
+                pair = np.repeat(np.arange(len(at)), size)
+                value = to_told[np.arange(len(pair)) + np.repeat(starts[at] - np.cumsum(size) + size, size)]
+                return (pair * (len(told) + 1) + value)[told[value] < own[pair]]
+
+            def batch(one: np.ndarray, two: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+                for lo in range(0, len(one), 1 << 16):
+                    x, y = one[lo : lo + (1 << 16)], two[lo : lo + (1 << 16)]
+                    # A pair that meets at a lesser signature as well is told there.
+                    met = np.intersect1d(keys(x, sig[x]), keys(y, sig[x]), assume_unique=True) // (len(told) + 1)
+                    y[met] = -1
+                one, two = one[two >= 0], two[two >= 0]
+                pairs = np.unique(np.stack([np.minimum(c[one], c[two]), np.maximum(c[one], c[two])]), axis=1) if len(one) else np.zeros((2, 0), np.int64)
+                pad = pa.nulls(len(many), pa.int64())
+                columns = [pa.concat_arrays([pa.array(pairs[0], pa.int64()), pad]), pa.concat_arrays([pa.array(pairs[1], pa.int64()), pad]), pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(many, pa.int64())])]
+                return pa.RecordBatch.from_arrays(columns, ["a", "b", "sig"])
+
+            left, right, held, none = [], [], 0, np.zeros(0, np.int64)
             # Rows ascend by size in a tile: once a row is too large for another, so are those after it.
             at, step = np.arange(len(sig)), 1
             while len(at := at[at + step < len(sig)]):
                 to = at + step
                 at = at[(tile[at] == tile[to]) & (n[to] * percent <= 100 * n[at])]
-                mine = at[label[at] != label[at + step]]
+                to = at + step
+                # Two of one part meet in its own tile.
+                mine = at[(label[at] != label[to]) & ((i[at] == j[at]) | (part[at] != part[to]))]
                 if len(mine):
                     to = mine + step
                     slack = n[mine] + n[to] - 2 * overlap(n[mine], n[to], percent) - known.distances(mine, known, to)
-                    near = slack >= 0
-                    left.append(mine[near])
-                    right.append(to[near])
-                    slacks.append(slack[near])
+                    mine, to, slack = mine[slack >= 0], to[slack >= 0], slack[slack >= 0]
+                    np.add.at(count, tile[mine], 1)
+                    closer = slack > best[mine]
+                    best[mine[closer]], nearest[mine[closer]] = slack[closer], to[closer]
+                    # What a tile holds is bounded by its rows.
+                    kept = whole | (count[tile[mine]] <= limit[tile[mine]])
+                    left.append(mine[kept])
+                    right.append(to[kept])
+                    held += int(kept.sum())
+                    if whole and held >= 1 << 18:
+                        yield batch(np.concatenate(left), np.concatenate(right), none)
+                        left, right, held = [], [], 0
                 step += 1
-            one, two, slack = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right, slacks))
-            many = np.zeros(0, np.int64)
+            one, two = (np.concatenate(x) if x else none for x in (left, right))
+            many = none
             if not whole:
-                full = np.bincount(tile[one], minlength=tile[-1] + 1) > OPEN * np.bincount(tile)
-                order = np.lexsort((-slack, one))
-                one, two = one[order], two[order]
-                first = np.concatenate([[True], one[1:] != one[:-1]]) if len(one) else np.zeros(0, bool)
-                kept = first | ~full[tile[one]]
-                one, two, many = one[kept], two[kept], np.unique(sig[full[tile]])
-            pairs = np.unique(np.stack([np.minimum(c[one], c[two]), np.maximum(c[one], c[two])]), axis=1) if len(one) else np.zeros((2, 0), np.int64)
-            pad = pa.nulls(len(many), pa.int64())
-            columns = [pa.concat_arrays([pa.array(pairs[0], pa.int64()), pad]), pa.concat_arrays([pa.array(pairs[1], pa.int64()), pad]), pa.concat_arrays([pa.nulls(pairs.shape[1], pa.int64()), pa.array(many, pa.int64())])]
-            return pa.RecordBatch.from_arrays(columns, ["a", "b", "sig"])
+                full = count > limit
+                rest, near = ~full[tile[one]], np.flatnonzero(full[tile] & (best >= 0))
+                one, two = np.concatenate([one[rest], near]), np.concatenate([two[rest], nearest[near]])
+                many = np.unique(sig[full[tile]])
+            yield batch(one, two, many)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
@@ -491,11 +527,11 @@ class Join:
                     last = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))
                     cut = int(last[-1]) + 1 if len(last) else 0  # the last tile may go on in the next batch
                     if cut:
-                        yield search(table.slice(0, cut))
+                        yield from search(table.slice(0, cut))
                     held = table.slice(cut).to_batches()
                     rows = table.num_rows - cut
             if rows:
-                yield search(pa.Table.from_batches(held))
+                yield from search(pa.Table.from_batches(held))
 
         dealt = tiles.repartition(2 * parallelism(self.spark), "sig", "i", "j").sortWithinPartitions("sig", "i", "j", "n")
         return self.scratch.store(dealt.mapInArrow(trimmed(run), "a long, b long, sig long"), "across")

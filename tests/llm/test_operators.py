@@ -415,6 +415,31 @@ def test_near_copies_whose_copies_lie_in_other_batches(spark, monkeypatch):
     assert got(found, "doc_id", "n_shingles", "component_id") == ordered(nearcopies.brute_force(rows))
 
 
+def test_near_copies_tell_a_pair_at_one_of_its_signatures(spark, monkeypatch):
+    """A cluster of texts that share many signatures, in many components and several tiles: what the search across
+    components tells does not grow with the signatures that a pair shares, nor with the tiles."""
+    monkeypatch.setattr(nearcopies, "TILE", 16)
+    rng = random.Random(17)
+    words = prose(rng, 200).split()
+    rows = []
+    for i in range(160):
+        w = list(words)
+        for k in range(rng.choice((2, 3, 4, 4, 5))):
+            w[rng.randrange(len(w))] = f"own{i}x{k}"
+        rows.append((i, " ".join(w)))
+    told, across = [], nearcopies.Join.across
+
+    def spied(self, *args):
+        found = across(self, *args)
+        pairs = found.where("sig is null")
+        told.append((pairs.count(), pairs.distinct().count()))
+        return found
+
+    monkeypatch.setattr(nearcopies.Join, "across", spied)
+    assert got(nearcopies.join(frame(spark, rows)), "doc_id", "n_shingles", "component_id") == ordered(nearcopies.brute_force(rows))
+    assert told[0][1] > 100 and all(n <= 1.1 * distinct for n, distinct in told)
+
+
 def test_stragglers_are_compared_with_all(spark, docs, monkeypatch):
     """With no segment taken as a signature, every link must come from the blocks."""
     work = nearcopies.Join(frame(spark, docs), "doc_id", "text", 5, 80)
