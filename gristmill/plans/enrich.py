@@ -165,10 +165,11 @@ def checked(rows: DataFrame, rules: Rules) -> DataFrame:
 
 
 def run(rows: DataFrame, rules: Rules, client=None, cache: str | None = None, most: int = 250) -> tuple[DataFrame, DataFrame, DataFrame, Vocabulary]:
-    """(enriched rows, cells, verdicts, vocabulary)."""
+    """(enriched rows, cells, verdicts, vocabulary). Enriched rows are written once: cells of each kind, and what is
+    checked, read them."""
     rows = shared(rows)
     vocabulary = learned(rows, rules)
-    out = enriched(rows, rules, vocabulary, client, cache, most)
+    out = stored(enriched(rows, rules, vocabulary, client, cache, most), "enriched")
     made = cells(out, rules)
     return out, made, score.verdicts(made, checked(out, rules)), vocabulary
 

@@ -69,6 +69,15 @@ def run(spark):
     return rows, out.persist(), made.persist(), verdict.persist(), vocabulary
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the small tables")
+def test_rows_are_enriched_once_a_run(run):
+    """Cells of all kinds and verdicts read the rows that a run has written; none makes them again."""
+    for made in run[2:4]:
+        leaves = made._jdf.queryExecution().analyzed().collectLeaves()
+        read = [x.relation().location().rootPaths().mkString() for x in map(leaves.apply, range(leaves.size())) if x.nodeName().startswith("LogicalRelation")]
+        assert read and all("/enriched-" in path for path in read)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the small tables")
 def test_engine(spark, run, tmp_path):
     rows, out, made, verdict, vocabulary = run
